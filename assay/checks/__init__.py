@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("sources",)
+GROUPS = ("sources", "profile", "scores", "rules")
 
 
 def load_all() -> None:

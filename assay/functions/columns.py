@@ -86,7 +86,7 @@ def month_end(col: Column | str) -> Column:
 # -- validity ----------------------------------------------------------------------------------------
 
 def luhn_ok(col: Column | str) -> Column:
-    return F.luhn_check(_c(col))
+    return F.call_function("luhn_check", _c(col))
 
 
 def aba_ok(col: Column | str) -> Column:
@@ -102,7 +102,7 @@ def npi_format_ok(col: Column | str) -> Column:
 
 def npi_ok(col: Column | str) -> Column:
     """Ten digits with the check digit computed over the issuer prefix 80840."""
-    return npi_format_ok(col) & F.luhn_check(F.concat(F.lit("80840"), _c(col)))
+    return npi_format_ok(col) & F.call_function("luhn_check", F.concat(F.lit("80840"), _c(col)))
 
 
 def bic_ok(col: Column | str) -> Column:

@@ -8,7 +8,8 @@ import time
 
 import duckdb
 
-from assay.checks.registry import SCHEMAS
+sys.path.insert(0, ".")
+from assay.checks.registry import SCHEMAS  # noqa: E402
 
 
 def database(root):
@@ -59,7 +60,6 @@ def compare(spark, con, root, name, fn, sql):
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, ".")
     import __spark_entry__ as entry
     from assay.session import session
 
