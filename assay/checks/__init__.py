@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("sources", "profile", "scores", "rules")
+GROUPS = ("sources", "profile", "scores", "rules", "clean")
 
 
 def load_all() -> None:

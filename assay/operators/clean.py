@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions import columns as fx
-from assay.operators.ordered import exact_quantiles, first_rows, join_null_safe, neighbour
+from assay.operators.ordered import exact_quantiles, first_rows, hot_keys, join_null_safe, neighbour
+from assay.session import cut
 
 # -- imputation ---------------------------------------------------------------------------------------
 
@@ -76,9 +77,12 @@ def scd2_history(df: DataFrame, key: str, ts: str, attrs: list[str], tiebreak: l
     """Versions of each key from its whole record: a row opens a version when an attribute changes."""
     order = [ts, *(tiebreak or [])]
     hashed = df.select(key, *order, *[a for a in attrs if a not in order], row_hash(attrs).alias("row_hash"))
-    before = neighbour(hashed, [key], order, {"__before": ("row_hash", 1)}, hot_rows=hot_rows)
+    hot = hot_keys(hashed, [key], ts, hot_rows)
+    before = neighbour(hashed, [key], order, {"__before": ("row_hash", 1)}, hot=hot)
     opened = before.where(F.col("__before").isNull() | (F.col("__before") != F.col("row_hash"))).drop("__before")
-    closed = neighbour(opened, [key], order, {"valid_to": (ts, 1)}, following=True, hot_rows=hot_rows)
+    if hot is not None:
+        opened = cut(opened)
+    closed = neighbour(opened, [key], order, {"valid_to": (ts, 1)}, following=True, hot=hot)
     return closed.withColumnRenamed(ts, "valid_from").withColumn("is_current", F.col("valid_to").isNull())
 
 
@@ -219,13 +223,13 @@ def split_orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> tupl
 def ltv(loans: DataFrame, appraisals: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
     """Outstanding balance over collateral value in per cent; the latest appraisal up to ``as_of`` wins.
 
-    ``appraisals``: (loan_id, appraised_on, value). ``max_by`` combines on the map side.
+    ``appraisals``: (loan_id, appraised_on, value). Of several on one day the highest is taken.
     """
     out = loans
     value = F.col("collateral_value")
     if appraisals is not None:
         known = appraisals if as_of is None else appraisals.where(F.col("appraised_on") <= F.lit(as_of))
-        latest = known.groupBy("loan_id").agg(F.max_by("value", "appraised_on").alias("__current"))
+        latest = known.groupBy("loan_id").agg(F.max(F.struct("appraised_on", "value")).getField("value").alias("__current"))
         out = out.join(latest, "loan_id", "left")
         value = F.coalesce("__current", "collateral_value")
     ratio = F.when(value > 0, F.round(F.col("outstanding_balance") / value * 100, 2))

@@ -36,7 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     links = cut(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def signature(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first())
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = signature(links)
     for _ in range(max_rounds):

@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from assay.session import cut
+
 HOT_ROWS = 1_000_000  # a group up to this size is ordinary work for one task
 HOT_SHARE = 1e-5      # hence never more than 100,000 hot keys, whatever the data
 SPAN = "__span"
@@ -35,8 +37,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str
     return left.join(other, on, how).drop(*[f"__r_{n}" for n in names])
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> DataFrame:
-    """Keys with too many rows for one task, with the range of their order column and a span count."""
+def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> DataFrame | None:
+    """Keys with too many rows for one task, with the range of their order column and a span count.
+
+    The list holds at most ``1 / HOT_SHARE`` keys, and is stored once; None when there is no such key,
+    which lets the callers use the plain window. ``hot_rows`` overrides the limits in tests.
+    """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     share = HOT_SHARE if hot_rows is None else 0.0
     stats = df.groupBy(*keys).agg(
@@ -44,20 +50,19 @@ def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int | None =
         F.min(axis(df, order)).alias("__lo"),
         F.max(axis(df, order)).alias("__hi"),
     )
-    total = stats.agg(F.sum("__n").alias("t")).scalar()
-    return stats.where(F.col("__n") > F.greatest(F.lit(float(limit)), total * F.lit(share))).select(
-        *keys, "__lo", "__hi", F.ceil(F.col("__n") / limit).alias("__pieces")
-    )
+    large = stats.where(F.col("__n") > limit)
+    if share:
+        large = large.where(F.col("__n") > df.agg(F.count(F.lit(1))).scalar() * F.lit(share))
+    found = cut(large.select(*keys, "__lo", "__hi", F.ceil(F.col("__n") / limit).alias("__pieces")))
+    return None if found.isEmpty() else found
 
 
-def with_span(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> DataFrame:
-    """Add the span number: 0 for ordinary keys, 1..pieces along the order column for hot ones."""
-    hot = F.broadcast(hot_keys(df, keys, order, hot_rows))
-    joined = join_null_safe(df, hot, keys)
+def with_span(df: DataFrame, keys: list[str], order: str, hot: DataFrame, only_hot: bool = False) -> DataFrame:
+    """Add the span number: 1..pieces along the order column for hot keys, 0 for the others."""
+    joined = join_null_safe(df, F.broadcast(hot), keys, "inner" if only_hot else "left")
     place = (axis(df, order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
-    span = F.when(
-        F.col("__pieces").isNull() | axis(df, order).isNull(), F.lit(0)
-    ).otherwise(F.lit(1) + F.floor(place * F.col("__pieces")))
+    span = F.when(F.col("__pieces").isNull(), F.lit(0)).otherwise(
+        F.coalesce(F.lit(1) + F.floor(place * F.col("__pieces")), F.lit(1)))
     return joined.withColumn(SPAN, span.cast("long")).drop("__lo", "__hi", "__pieces")
 
 
@@ -65,34 +70,40 @@ def _ordering(order: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
+AUTO = object()
+
+
 def neighbour(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     values: dict[str, tuple[str, int]],
     following: bool = False,
+    hot=AUTO,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Value ``n`` rows back (or ahead) in the key's order, as ``{new column: (source column, n)}``.
 
     ``order`` must be a total order within the key. Spans of a hot key receive the last ``n`` rows of
-    the spans before them as extra rows, which are removed after the window has run.
+    the spans before them as extra rows, which are removed after the window has run. ``hot`` takes a
+    list already found by ``hot_keys``.
     """
+    hot = hot_keys(df, keys, order[0], hot_rows) if hot is AUTO else hot
+    ordering = _ordering(order, following)
+    if hot is None:
+        window = W.partitionBy(*keys).orderBy(*ordering)
+        return df.withColumns({name: F.lag(c, n).over(window) for name, (c, n) in values.items()})
+
     reach = max(n for _, n in values.values())
-    spanned = df if SPAN in df.columns else with_span(df, keys, order[0], hot_rows)
     group = [*keys, SPAN]
-    ordering = _ordering(order, following)
     source = sorted({c for c, _ in values.values()})
     carried = sorted({*keys, *order, *source})
-
-    hot = spanned.where(F.col(SPAN) > 0).select(*carried, SPAN)
-    tail = (
-        hot.withColumn(
-            "__rank", F.row_number().over(W.partitionBy(*group).orderBy(*_ordering(order, not following)))
-        ).where(F.col("__rank") <= reach)
-    )
+    from_end = W.partitionBy(*group).orderBy(*_ordering(order, not following))
+    tail = cut(
+        with_span(df.select(*carried), keys, order[0], hot, only_hot=True)
+        .withColumn("__rank", F.row_number().over(from_end)).where(F.col("__rank") <= reach))
     along = W.partitionBy(*keys).orderBy(F.col(SPAN).desc() if following else F.col(SPAN).asc())
-    sizes = hot.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = tail.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     targets = sizes.select(
         *group,
         F.array(*[
@@ -112,7 +123,7 @@ def neighbour(
         .withColumn(SPAN, F.col("__to.span"))
         .select(*carried, SPAN, F.lit(True).alias("__halo"))
     )
-    both = spanned.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    both = with_span(df, keys, order[0], hot).withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
     window = W.partitionBy(*group).orderBy(*ordering)
     out = both.withColumns({name: F.lag(c, n).over(window) for name, (c, n) in values.items()})
     return out.where(~F.col("__halo")).drop("__halo", SPAN)
@@ -123,30 +134,31 @@ def running(
     keys: list[str],
     order: list[str],
     sums: dict[str, Column],
+    hot=AUTO,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Running totals per key in the given total order, the row itself included."""
-    spanned = df if SPAN in df.columns else with_span(df, keys, order[0], hot_rows)
+    hot = hot_keys(df, keys, order[0], hot_rows) if hot is AUTO else hot
+    upto = lambda group: W.partitionBy(*group).orderBy(*_ordering(order, False)).rowsBetween(W.unboundedPreceding, 0)
+    if hot is None:
+        return df.withColumns({n: F.sum(e).over(upto(keys)) for n, e in sums.items()})
     group = [*keys, SPAN]
-    inside = W.partitionBy(*group).orderBy(*_ordering(order, False)).rowsBetween(W.unboundedPreceding, 0)
-    names = list(sums)
     along = W.partitionBy(*keys).orderBy(SPAN).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        spanned.where(F.col(SPAN) > 0)
+        with_span(df, keys, order[0], hot, only_hot=True)
         .groupBy(*group).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-        .select(*group, *[F.sum(n).over(along).alias(f"__o_{n}") for n in names])
+        .select(*group, *[F.sum(n).over(along).alias(f"__o_{n}") for n in sums])
     )
-    local = spanned.withColumns({n: F.sum(e).over(inside) for n, e in sums.items()})
-    out = join_null_safe(local, offsets, group)
+    local = with_span(df, keys, order[0], hot).withColumns({n: F.sum(e).over(upto(group)) for n, e in sums.items()})
     total = {n: F.when(F.col(f"__o_{n}").isNull(), F.col(n)).otherwise(
-        F.coalesce(F.col(n), F.col(f"__o_{n}") * 0) + F.col(f"__o_{n}")) for n in names}
-    return out.withColumns(total).drop(SPAN, *[f"__o_{n}" for n in names])
+        F.coalesce(F.col(n), F.col(f"__o_{n}") * 0) + F.col(f"__o_{n}")) for n in sums}
+    return join_null_safe(local, offsets, group).withColumns(total).drop(SPAN, *[f"__o_{n}" for n in sums])
 
 
-def position(df: DataFrame, keys: list[str], order: list[str], out: str = "position",
+def position(df: DataFrame, keys: list[str], order: list[str], out: str = "position", hot=AUTO,
              hot_rows: int | None = None) -> DataFrame:
     """1, 2, 3, … per key in the given total order."""
-    return running(df, keys, order, {out: F.lit(1).cast("long")}, hot_rows)
+    return running(df, keys, order, {out: F.lit(1).cast("long")}, hot, hot_rows)
 
 
 def rolling(
