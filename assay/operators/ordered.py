@@ -133,32 +133,37 @@ def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    sums: dict[str, Column],
+    values: dict[str, Column],
+    how: str = "sum",
+    inclusive: bool = True,
     hot=AUTO,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Running totals per key in the given total order, the row itself included."""
+    """Running sums (or maxima) per key in the given total order, with or without the row itself."""
     hot = hot_keys(df, keys, order[0], hot_rows) if hot is AUTO else hot
-    upto = lambda group: W.partitionBy(*group).orderBy(*_ordering(order, False)).rowsBetween(W.unboundedPreceding, 0)
+    fold = {"sum": F.sum, "max": F.max}[how]
+    upto = lambda group: W.partitionBy(*group).orderBy(*_ordering(order, False)).rowsBetween(
+        W.unboundedPreceding, 0 if inclusive else -1)
     if hot is None:
-        return df.withColumns({n: F.sum(e).over(upto(keys)) for n, e in sums.items()})
+        return df.withColumns({n: fold(e).over(upto(keys)) for n, e in values.items()})
     group = [*keys, SPAN]
     along = W.partitionBy(*keys).orderBy(SPAN).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         with_span(df, keys, order[0], hot, only_hot=True)
-        .groupBy(*group).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-        .select(*group, *[F.sum(n).over(along).alias(f"__o_{n}") for n in sums])
+        .groupBy(*group).agg(*[fold(e).alias(n) for n, e in values.items()])
+        .select(*group, *[fold(n).over(along).alias(f"__o_{n}") for n in values])
     )
-    local = with_span(df, keys, order[0], hot).withColumns({n: F.sum(e).over(upto(group)) for n, e in sums.items()})
-    total = {n: F.when(F.col(f"__o_{n}").isNull(), F.col(n)).otherwise(
-        F.coalesce(F.col(n), F.col(f"__o_{n}") * 0) + F.col(f"__o_{n}")) for n in sums}
-    return join_null_safe(local, offsets, group).withColumns(total).drop(SPAN, *[f"__o_{n}" for n in sums])
+    local = with_span(df, keys, order[0], hot).withColumns({n: fold(e).over(upto(group)) for n, e in values.items()})
+    both = (lambda n: F.greatest(n, f"__o_{n}")) if how == "max" else (
+        lambda n: F.when(F.col(f"__o_{n}").isNull(), F.col(n)).otherwise(F.coalesce(F.col(n) + F.col(f"__o_{n}"), F.col(f"__o_{n}"))))
+    return join_null_safe(local, offsets, group).withColumns({n: both(n) for n in values}).drop(
+        SPAN, *[f"__o_{n}" for n in values])
 
 
 def position(df: DataFrame, keys: list[str], order: list[str], out: str = "position", hot=AUTO,
              hot_rows: int | None = None) -> DataFrame:
     """1, 2, 3, … per key in the given total order."""
-    return running(df, keys, order, {out: F.lit(1).cast("long")}, hot, hot_rows)
+    return running(df, keys, order, {out: F.lit(1).cast("long")}, hot=hot, hot_rows=hot_rows)
 
 
 def rolling(
