@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("sources", "profile", "scores", "rules", "clean")
+GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern")
 
 
 def load_all() -> None:
