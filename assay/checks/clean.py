@@ -346,7 +346,7 @@ def addresses(t: Tables) -> DataFrame:
 
 
 def scrub_sql(col: str) -> str:
-    for p, label in deid._TEXT:
+    for p, label, _ in deid.FREE_TEXT:
         col = f"regexp_replace({col}, '{p}', '{label}', 'g')"
     return col
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions import columns as fx
-from assay.operators.ordered import exact_quantiles, first_rows, hot_keys, join_null_safe, neighbour
+from assay.operators.ordered import exact_quantiles, first_rows, hot_keys, join_null_safe, neighbour, sized
 from assay.session import cut
 
 # -- imputation ---------------------------------------------------------------------------------------
@@ -41,7 +41,7 @@ def impute(df: DataFrame, plan: dict[str, tuple]) -> DataFrame:
         if how[0] == "group_mean":
             means = df.groupBy(how[1]).agg(
                 (F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(c)).alias(f"__m_{c}"))
-            out = join_null_safe(out, means, [how[1]])
+            out = join_null_safe(out, sized(means), [how[1]])
             out = out.withColumn(c, F.coalesce(c, F.col(f"__m_{c}"))).drop(f"__m_{c}")
         else:
             out = out.withColumn(c, F.coalesce(F.col(c), _fill_value(df, c, how)))
@@ -250,7 +250,7 @@ def outliers(df: DataFrame, col: str, by: list[str], k: float = 3.0, policy: tup
 
     Groups may be few and huge, so their moments are aggregated and joined back instead of windowed.
     """
-    out = join_null_safe(df, group_moments(df, col, by), by)
+    out = join_null_safe(df, sized(group_moments(df, col, by)), by)
     flag = F.abs(F.col(col) - F.col("group_mean")) > k * F.col("group_sd")
     if policy:
         flag = flag | ~F.col(col).between(*policy)

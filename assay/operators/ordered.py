@@ -17,6 +17,7 @@ from assay.session import cut
 
 HOT_ROWS = 1_000_000  # a group up to this size is ordinary work for one task
 HOT_SHARE = 1e-5      # hence never more than 100,000 hot keys, whatever the data
+BROADCAST_ROWS = 200_000  # key lists and group figures up to this many rows are broadcast
 SPAN = "__span"
 
 
@@ -37,6 +38,17 @@ def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str
     return left.join(other, on, how).drop(*[f"__r_{n}" for n in names])
 
 
+def sized(small: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Store a condensed table once and count it: few rows are marked for broadcast, many join by shuffle.
+
+    Without this, Spark judges the table by the size of what it was computed from, and shuffles the
+    large side of the join for the sake of a handful of rows.
+    """
+    stored = cut(small)
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(stored) if stored.count() <= limit else stored
+
+
 def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> DataFrame | None:
     """Keys with too many rows for one task, with the range of their order column and a span count.
 

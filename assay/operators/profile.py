@@ -103,6 +103,14 @@ def numeric_profile(df: DataFrame, columns: list[str], scale: int = 2) -> DataFr
     return _long_form(df.agg(*aggs), columns, line)
 
 
+def may_match(col: str, kind: str) -> Column:
+    """Cheap necessary condition of a pattern."""
+    needle = patterns.NEEDLE.get(kind)
+    if needle is None:
+        return F.lit(True)
+    return F.col(col).contains(needle) if needle else F.col(col).rlike("[0-9]")
+
+
 def detect_sensitive(df: DataFrame, table: str, rules: dict[str, tuple[str, str]] | None = None,
                      min_rate: float = 0.0, columns: list[str] | None = None) -> DataFrame:
     """Sensitive columns by name and by content, all columns and patterns in one pass.
@@ -115,7 +123,7 @@ def detect_sensitive(df: DataFrame, table: str, rules: dict[str, tuple[str, str]
     cells = [(c, k) for c in columns for k in rules]
     hits = df.agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.count_if(F.col(c).rlike(rules[k][1])).alias(f"h_{c}_{k}") for c, k in cells],
+        *[F.count_if(may_match(c, k) & F.col(c).rlike(rules[k][1])).alias(f"h_{c}_{k}") for c, k in cells],
     )
     long = hits.select(F.explode(F.array(*[
         F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.lit(k).alias("kind"),
@@ -179,7 +187,7 @@ def extract_sensitive(df: DataFrame, key: str, text: str, kinds: dict[str, str]
     """Values found in free text: one row per (key, kind, value) with its number of occurrences."""
     kinds = kinds or patterns.FREE_TEXT
     found = df.select(key, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("values"))
+        F.struct(F.lit(k).alias("kind"), F.when(may_match(text, k), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0))).alias("values"))
         for k, p in kinds.items()])).alias("f"))
     return (
         found.select(key, "f.kind", F.explode("f.values").alias("value"))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assay.functions import columns as fx, patterns
-from assay.operators.ordered import join_null_safe, rolling
+from assay.operators.ordered import join_null_safe, rolling, sized
 
 
 @dataclass(frozen=True)
@@ -119,16 +119,16 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], graded: bool = True)
 def judge(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows with ``failed_rules``, the names of the rules each one breaks.
 
-    Only the offending keys of key rules are joined back; Spark broadcasts them when they are few and
-    splits skewed partitions of the table otherwise.
+    Only the offending keys of key rules are joined back. They are stored and counted first: when few,
+    the table is not shuffled at all; when many, the join shuffles and Spark splits skewed partitions.
     """
     out, flags = df, []
     for i, r in enumerate(rules):
         if isinstance(r, Row):
             flags.append(F.when(_failed(r), F.lit(r.id)))
             continue
-        bad = (_repeats(df, r) if isinstance(r, Unique) else _orphans(df, r)).select(*r.cols, F.lit(True).alias(f"__bad{i}"))
-        out = join_null_safe(out, bad, r.cols)
+        bad = (_repeats(df, r) if isinstance(r, Unique) else _orphans(df, r)).select(*r.cols)
+        out = join_null_safe(out, sized(bad).withColumn(f"__bad{i}", F.lit(True)), r.cols)
         flags.append(F.when(F.col(f"__bad{i}"), F.lit(r.id)))
     return out.withColumn("failed_rules", F.array_compact(F.array(*flags))).select(*df.columns, "failed_rules")
 
@@ -294,14 +294,33 @@ def velocity_rule(df: DataFrame, key: str, ts: str, amount: Column, limits: dict
         f"over_{k}": (F.col(f"n_{k}") > most) | (F.col(f"amount_{k}") > largest) for k, (_, most, largest) in limits.items()})
 
 
-def gold_aggregate(df: DataFrame, dims: list[str], measures: dict[str, Column], mode: str = "plain",
+def gold_aggregate(df: DataFrame, dims: list[str], measures: dict[str, tuple], mode: str = "plain",
                    sets: list[list[str]] | None = None) -> DataFrame:
-    """Counts, sums and averages by dimension, with sub-totals for rollup, cube and grouping sets."""
-    aggs = [e.alias(n) for n, e in measures.items()]
+    """Aggregates by dimension, with sub-totals for rollup, cube and grouping sets.
+
+    Measures are ("count",), ("sum", e), ("avg", e), ("min", e) or ("max", e). They are first computed at
+    the finest grain, so that sub-totals multiply a few group lines and not the rows of the table.
+    """
+    fine, total, final = [], [], []
+    for name, (kind, *expr) in measures.items():
+        e = expr[0] if expr else F.lit(1)
+        if kind in ("count", "avg"):
+            fine.append(F.count(e).alias(f"{name}__c"))
+            total.append(F.sum(f"{name}__c").alias(f"{name}__c"))
+        if kind in ("sum", "avg"):
+            fine.append(F.sum(e).alias(f"{name}__s"))
+            total.append(F.sum(f"{name}__s").alias(f"{name}__s"))
+        if kind in ("min", "max"):
+            fold = F.min if kind == "min" else F.max
+            fine.append(fold(e).alias(f"{name}__s"))
+            total.append(fold(f"{name}__s").alias(f"{name}__s"))
+        final.append((F.col(f"{name}__c") if kind == "count" else F.col(f"{name}__s") if kind != "avg"
+                      else F.col(f"{name}__s").cast("double") / F.col(f"{name}__c")).alias(name))
+    grain = df.groupBy(*dims).agg(*fine)
     if mode == "plain":
-        return df.groupBy(*dims).agg(*aggs)
+        return grain.select(*dims, *final)
     grouped = {
-        "rollup": lambda: df.rollup(*dims), "cube": lambda: df.cube(*dims),
-        "sets": lambda: df.groupingSets([[F.col(c) for c in s] for s in (sets or [])], *dims),
+        "rollup": lambda: grain.rollup(*dims), "cube": lambda: grain.cube(*dims),
+        "sets": lambda: grain.groupingSets([[F.col(c) for c in s] for s in (sets or [])], *dims),
     }[mode]()
-    return grouped.agg(*aggs, F.grouping_id().alias("grouping_id"))
+    return grouped.agg(*total, F.grouping_id().alias("grouping_id")).select(*dims, *final, "grouping_id")
