@@ -22,13 +22,20 @@ SPAN = "__span"
 
 
 def axis(df: DataFrame, name: str) -> Column:
-    """The order column as a number on which equal-width spans can be cut."""
-    kind = df.schema[name].dataType
+    """The order column as a number that grows with it, on which equal-width spans can be cut."""
+    kind, c = df.schema[name].dataType, F.col(name)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+        return F.unix_micros(c.cast("timestamp")).cast("double")
     if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    return F.col(name).cast("double")
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.StringType):
+        # the first 15 bytes as one number; texts are ordered by their bytes
+        digits = F.rpad(F.hex(F.encode(c, "UTF-8")), 30, "0")
+        part = lambda start, n: F.conv(F.substring(digits, start, n), 16, 10).cast("decimal(20,0)")
+        return (part(1, 14) * F.lit(str(2**64)).cast("decimal(20,0)") + part(15, 16)).cast("decimal(38,0)")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.least(F.greatest(F.nanvl(c.cast("double"), F.lit(1e300)), F.lit(-1e300)), F.lit(1e300))
+    return c.cast("double")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str = "left") -> DataFrame:
@@ -72,7 +79,7 @@ def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int | None =
 def with_span(df: DataFrame, keys: list[str], order: str, hot: DataFrame, only_hot: bool = False) -> DataFrame:
     """Add the span number: 1..pieces along the order column for hot keys, 0 for the others."""
     joined = join_null_safe(df, F.broadcast(hot), keys, "inner" if only_hot else "left")
-    place = (axis(df, order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
+    place = (axis(df, order) - F.col("__lo")).cast("double") / ((F.col("__hi") - F.col("__lo")).cast("double") + 1)
     span = F.when(F.col("__pieces").isNull(), F.lit(0)).otherwise(
         F.coalesce(F.lit(1) + F.floor(place * F.col("__pieces")), F.lit(1)))
     return joined.withColumn(SPAN, span.cast("long")).drop("__lo", "__hi", "__pieces")

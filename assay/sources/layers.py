@@ -100,7 +100,10 @@ def insert_or_ignore(target: DataFrame | None, batch: DataFrame, keys: list[str]
 
 
 def observed(df: DataFrame, name: str, **extra: Column) -> tuple[DataFrame, Observation]:
-    """The same rows, counted while they are written; no second pass over the data."""
+    """The same rows, counted while they are written; no second pass over the data.
+
+    To be used right before a write without a shuffle in between: stages that run again count again.
+    """
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[e.alias(n) for n, e in extra.items()]), seen
 

@@ -42,6 +42,15 @@ def test_running_and_position_equal_window(skewed, hot_rows):
     same(got, skewed.withColumn("s", F.sum("v").over(w)).withColumn("position", F.count(F.lit(1)).over(w)))
 
 
+@pytest.mark.parametrize("kind", ["string", "double", "date", "timestamp"])
+def test_order_columns_of_any_type(skewed, kind):
+    cast = {"string": F.date_add(F.lit("1999-12-01"), F.col("t").cast("int")).cast("string"), "double": (F.col("t") - 100.5) * 3,
+            "date": F.date_add(F.lit("1969-12-01"), F.col("t").cast("int")), "timestamp": F.timestamp_seconds(F.col("t") * 977)}[kind]
+    df = skewed.withColumn("o", F.when(F.col("id") % 17 != 0, cast))
+    got = ordered.neighbour(df, ["key"], ["o", "id"], {"a": ("v", 2)}, hot_rows=11)
+    same(got, df.withColumn("a", F.lag("v", 2).over(W.partitionBy("key").orderBy("o", "id"))))
+
+
 def test_hot_key_is_found_and_split(skewed):
     hot = ordered.hot_keys(skewed, ["key"], "t", 100)
     assert [(r["key"], r["__pieces"]) for r in hot.collect()] == [("hot", 3)]
