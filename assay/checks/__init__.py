@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern")
+GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain")
 
 
 def load_all() -> None:

@@ -83,12 +83,12 @@ SELECT lo, hi, count(*) AS rows, count(*) FILTER (o_totalprice < lo OR o_totalpr
 """)
 def percentile_range(t: Tables) -> DataFrame:
     q = exact_quantiles(t.orders, "o_totalprice", {"lo": 0.01, "hi": 0.99})
-    bounds = q.agg(F.max(F.when(F.col("name") == "lo", F.col("value"))).alias("lo"),
-                   F.max(F.when(F.col("name") == "hi", F.col("value"))).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    return t.orders.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if((F.col("o_totalprice") < lo) | (F.col("o_totalprice") > hi)).alias("failed"),
-    ).select(lo.alias("lo"), hi.alias("hi"), "rows", "failed")
+    bounds = q.agg(F.struct(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in ("lo", "hi")]).alias("b")).scalar()
+    marked = t.orders.select("o_totalprice", bounds.alias("b"))
+    return marked.groupBy("b").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if((F.col("o_totalprice") < F.col("b.lo")) | (F.col("o_totalprice") > F.col("b.hi"))).alias("failed"),
+    ).select("b.lo", "b.hi", "rows", "failed")
 
 
 @query("f4_regex", f"""

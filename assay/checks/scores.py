@@ -82,7 +82,7 @@ SCORE_SQL = """CAST(floor((30 * completeness::DECIMAL(9,4) + 20 * uniqueness::DE
 
 
 def dirty(t: Tables, table: str) -> DataFrame:
-    return {"orders": t.orders_dirty, "lineitem": t.lineitem, "customer": t.customer_dirty}[table] if table != "lineitem" else t.lineitem
+    return {"orders": t.orders_dirty, "lineitem": t.lineitem, "customer": t.customer_dirty}[table]
 
 
 @query("c1_c4_readiness", f"SELECT *, {SCORE_SQL} AS score FROM (" + " UNION ALL ".join(FACTORS_SQL.values()) + ")")
@@ -127,11 +127,11 @@ SELECT f.*, {SCORE_SQL} AS score, quarantined, failures, rows - quarantined AS g
 """)
 def scorecard(t: Tables) -> DataFrame:
     rules = scorecard_rules(t)
-    cards = [
-        score.measure_factors(dirty(t, n), n, factor_spec(t, n)).join(
-            R.quarantine_summary(dirty(t, n), n, rules[n]).select("table_name", "quarantined", "failures", "gold_rows"), "table_name")
-        for n in FACTORS_SQL
-    ]
+    cards = []
+    for n in FACTORS_SQL:
+        bad = R.quarantine_summary(dirty(t, n), n, rules[n]).select(F.struct("quarantined", "failures", "gold_rows").alias("b")).scalar()
+        factors = score.measure_factors(dirty(t, n), n, factor_spec(t, n)).withColumn("b", bad)
+        cards.append(factors.select(*[c for c in factors.columns if c != "b"], "b.*"))
     return score.readiness(reduce(DataFrame.unionByName, cards), score.CORE_WEIGHTS)
 
 

@@ -28,11 +28,12 @@ def logistic(x: Column, intercept: float, slope: float) -> Column:
     return 1.0 / (1.0 + F.exp(-(F.lit(intercept) + F.lit(slope) * x)))
 
 
-def quartile(df: DataFrame, col: str) -> Column:
-    """1 to 4 by the exact quartile borders of the column, without ordering the table in one task."""
+def with_quartile(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Add 1 to 4 by the exact quartile borders of the column, without ordering the table in one task."""
     q = exact_quantiles(df, col, {"a": 0.25, "b": 0.5, "c": 0.75})
-    b = q.agg(F.struct(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in "abc"]).alias("s")).scalar()
-    return sum((F.when(F.col(col) > b.getField(k), 1).otherwise(0) for k in "abc"), F.lit(1))
+    borders = q.agg(F.struct(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in "abc"]).alias("s")).scalar()
+    marked = df.withColumn("__q", borders)
+    return marked.withColumn(out, sum((F.when(F.col(col) > F.col(f"__q.{k}"), 1).otherwise(0) for k in "abc"), F.lit(1))).drop("__q")
 
 
 def customer_features(customers: DataFrame, key: str, orders: DataFrame, fk: str, ts: str, amount: str, as_of: str,
@@ -45,10 +46,8 @@ def customer_features(customers: DataFrame, key: str, orders: DataFrame, fk: str
     per = orders.groupBy(F.col(fk).alias(key)).agg(
         F.count(F.lit(1)).alias("frequency"), F.sum(F.col(amount).cast(MONEY)).alias("lifetime_value"),
         F.datediff(F.lit(as_of).cast("date"), F.max(ts).cast("date")).alias("recency_days"))
-    scored = per.withColumns({
-        "monetary": F.col("lifetime_value").cast("double") / F.col("frequency"),
-        "churn_score": logistic(F.col("recency_days"), *churn), "segment": quartile(per, "lifetime_value"),
-    })
+    scored = with_quartile(per, "lifetime_value", "segment").withColumns({
+        "monetary": F.col("lifetime_value").cast("double") / F.col("frequency"), "churn_score": logistic(F.col("recency_days"), *churn)})
     return customers.select(key).join(scored, key, "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
 
 
@@ -111,15 +110,15 @@ def normalise(df: DataFrame, cols: list[str], how: str = "zscore") -> DataFrame:
                  F.sum((d * d).cast("decimal(34,4)")).cast("double").alias(f"q_{c}"),
                  F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}")]
     one = df.agg(*aggs)
-    s = one.select(F.struct(*one.columns).alias("s")).scalar()
+    s = lambda n, c: F.col(f"__s.{n}_{c}")
     def norm(c):
         if how == "minmax":
-            lo, hi = s.getField(f"lo_{c}"), s.getField(f"hi_{c}")
-            return F.when(hi > lo, (F.col(c) - lo) / (hi - lo))
-        mean = s.getField(f"s_{c}") / s.getField(f"n_{c}")
-        sd = F.sqrt(F.greatest(s.getField(f"q_{c}") / s.getField(f"n_{c}") - mean * mean, F.lit(0.0)))
+            return F.when(s("hi", c) > s("lo", c), (F.col(c) - s("lo", c)) / (s("hi", c) - s("lo", c)))
+        mean = s("s", c) / s("n", c)
+        sd = F.sqrt(F.greatest(s("q", c) / s("n", c) - mean * mean, F.lit(0.0)))
         return F.when(sd > 0, (F.col(c) - mean) / sd)
-    return df.withColumns({f"{c}_norm": norm(c) for c in cols})
+    figures = df.withColumn("__s", one.select(F.struct(*one.columns).alias("s")).scalar())
+    return figures.withColumns({f"{c}_norm": norm(c) for c in cols}).drop("__s")
 
 
 def encode(df: DataFrame, col: str, order: list[str], one_hot: bool = True) -> DataFrame:
@@ -141,8 +140,7 @@ def temporal_features(df: DataFrame, key: str, order: list[str], hot=AUTO) -> Da
 
 def bucket_counts(df: DataFrame, key: str, bucket: Column, values: list) -> DataFrame:
     """Events per key and bucket as columns, from the buckets named by the caller (no extra pass to find them)."""
-    return df.groupBy(key).pivot("__b", values).agg(F.count(F.lit(1))) if "__b" in df.columns else \
-        df.withColumn("__b", bucket).groupBy(key).pivot("__b", values).agg(F.count(F.lit(1))).fillna(0)
+    return df.withColumn("__b", bucket).groupBy(key).pivot("__b", values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def risk_vector(df: DataFrame, parts: dict[str, Column], bands: list[tuple[int, str]]) -> DataFrame:

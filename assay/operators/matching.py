@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions import columns as fx
 from assay.operators.graph import components
+from assay.session import cut
 
 
 def _shorter(text: Column) -> Column:
@@ -64,6 +65,8 @@ def match_edges(df: DataFrame, id: str, weights: dict[str, int], threshold: int,
         names = sorted(fields)
         known = df.where(" AND ".join(f"{n} IS NOT NULL" for n in names)).select(id, *names)
         groups = known.groupBy(*names).agg(F.min(id).alias("rep"))
+        if fuzzy in fields:
+            groups = cut(groups)  # read five times below
         parts.append(known.join(groups, names).select(F.col(id).alias("src"), F.col("rep").alias("dst")))
         if fuzzy in fields:
             others = [n for n in names if n != fuzzy]

@@ -220,6 +220,21 @@ def rolling(
     )
 
 
+def prefix_sums(df: DataFrame, index: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """Sum of ``value`` over all smaller ``index`` numbers; one line per index, which may be many.
+
+    Blocks of indexes are summed inside tasks; only one line per block meets in a single task. The lines
+    are stored first, because they are read twice.
+    """
+    blocked = cut(df).withColumn("__block", F.floor(F.col(index) / block))
+    along = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("__block").orderBy(index).rowsBetween(W.unboundedPreceding, -1)
+    base = blocked.groupBy("__block").agg(F.sum(value).alias("__v")).select(
+        "__block", F.coalesce(F.sum("__v").over(along), F.lit(0)).alias("__base"))
+    return blocked.join(base, "__block").withColumn(
+        out, F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__block", "__base")
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column | str], k: int = 1,
                rank: str | None = None) -> DataFrame:
     """First ``k`` rows per key. Spark prunes each task's groups to ``k`` rows before the shuffle."""
@@ -233,7 +248,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], accuracy
     """Exact nearest-rank quantiles (smallest value with at least ``ceil(p * n)`` rows at or below it).
 
     One pass brackets each quantile with a mergeable sketch of bounded size; the second counts the rows
-    below the bracket and keeps only the values inside it, about ``6 / accuracy`` of the table.
+    below the bracket and keeps only the values inside it, about ``6 / accuracy`` of the table. Their
+    running count is split like any hot group when even they are many.
     """
     rows = df.select(F.col(value).alias("v")).where(F.col("v").isNotNull())
     margin = 3.0 / accuracy
@@ -258,9 +274,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], accuracy
         )
         .agg(F.count(F.lit(1)).alias("c"), F.max("q.want").alias("want"))
     )
-    upto = W.partitionBy("name").orderBy(F.col("v").asc_nulls_first())
     return (
-        counted.withColumn("upto", F.sum("c").over(upto))
+        running(cut(counted), ["name"], ["v"], {"upto": F.col("c")})
         .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))
         .select("name", F.col("v").alias("value"))
     )

@@ -83,14 +83,18 @@ def _failed(rule: Row) -> Column:
     return ~F.coalesce(rule.ok, F.lit(False))
 
 
+def _all_filled(cols: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+
+
+def _parent_keys(rule: Exists) -> DataFrame:
+    return rule.parent.select(*[F.col(p).alias(c) for p, c in zip(rule.parent_cols, rule.cols)]).distinct()
+
+
 def _orphans(df: DataFrame, rule: Exists) -> DataFrame:
-    """One line per key of the child that the parent lacks, with its row count."""
-    keys = df.groupBy(*rule.cols).agg(F.count(F.lit(1)).alias("n"))
-    parent = rule.parent.select(*[F.col(p).alias(c) for p, c in zip(rule.parent_cols, rule.cols)]).distinct()
-    missing = keys.join(parent, rule.cols, "left_anti")
-    if rule.null_ok:
-        missing = missing.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rule.cols]))
-    return missing
+    """The keys of the child that the parent lacks."""
+    missing = df.select(*rule.cols).distinct().join(_parent_keys(rule), rule.cols, "left_anti")
+    return missing.where(_all_filled(rule.cols)) if rule.null_ok else missing
 
 
 def _repeats(df: DataFrame, rule: Unique) -> DataFrame:
@@ -109,9 +113,15 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], graded: bool = True)
     for r in rules:
         if isinstance(r, Row):
             continue
-        bad = _repeats(df, r) if isinstance(r, Unique) else _orphans(df, r)
-        parts.append(bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failed")).select(
-            F.lit(r.id).alias("rule_id"), df.agg(F.count(F.lit(1))).scalar().alias("rows"), "failed"))
+        keys = df.groupBy(*r.cols).agg(F.count(F.lit(1)).alias("n"))
+        if isinstance(r, Unique):
+            bad = F.col("n") > 1
+        else:
+            keys = keys.join(_parent_keys(r).withColumn("__hit", F.lit(True)), r.cols, "left")
+            bad = F.col("__hit").isNull() & (_all_filled(r.cols) if r.null_ok else F.lit(True))
+        parts.append(keys.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("failed"),
+        ).select(F.lit(r.id).alias("rule_id"), "rows", "failed"))
     counts = reduce(DataFrame.unionByName, parts).select(F.lit(table).alias("table_name"), "*")
     return outcome(counts, graded)
 

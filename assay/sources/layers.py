@@ -55,11 +55,12 @@ def write_layer(df: DataFrame, root: str, layer: str, table: str, cluster_by: li
     """Write one layer table.
 
     ``mode="overwrite"`` rebuilds it, ``mode="ignore"`` keeps one that exists. Clustering range-partitions
-    and sorts on the given columns, which keeps row-group statistics narrow for later key filters.
+    and sorts on the given columns, which keeps row-group statistics narrow for later key filters. A hash of
+    the row is the last range column, so that a value held by many rows spreads over several files.
     """
     out = df
     if cluster_by:
-        out = out.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+        out = out.repartitionByRange(*[F.col(c) for c in cluster_by], F.xxhash64(*df.columns)).sortWithinPartitions(*cluster_by)
     writer = out.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

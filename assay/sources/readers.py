@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from assay.operators.ordered import prefix_sums, running
+from assay.session import cut
+
 
 def read_table(spark: SparkSession, root: str, name: str, schema: str | StructType, fmt: str = "parquet",
                **options: str) -> DataFrame:
@@ -53,24 +56,24 @@ def range_summary(df: DataFrame, key: str, n: int = 8) -> DataFrame:
 def chunk_plan(df: DataFrame, key: str, size: int) -> DataFrame:
     """Chunks of ``size`` rows in key order, the last one partial: chunk, rows, key bounds, rows so far.
 
-    Row numbers come from counts per key plus a prefix sum over key ranges, never from one global window.
+    Row numbers come from counts per key plus a prefix sum over key ranges, never from one global window;
+    a range that holds too many keys is split like any hot group.
     Keys may repeat; rows with equal keys fill chunks in sequence.
     """
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    stats = counts.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("c").alias("total"))
+    stats = cut(counts.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("c").alias("total")))
     packed = stats.select(F.struct(*stats.columns).alias("s")).scalar()
     placed = counts.select("k", "c", packed.alias("s")).withColumn(
         "slot",
         F.floor((F.col("k") - F.col("s.lo")) / (F.col("s.hi") - F.col("s.lo") + 1)
                 * F.ceil(F.col("s.total") / size)),
     )
-    before = W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy("slot").agg(F.sum("c").alias("n")).select(
-        "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    upto = W.partitionBy("slot").orderBy("k")
+    sizes = placed.groupBy("slot").agg(F.sum("c").alias("n"))
+    offsets = prefix_sums(sizes, "slot", "n", "offset").select("slot", "offset")
     runs = (
-        placed.join(offsets, "slot")
-        .withColumn("last", F.col("offset") + F.sum("c").over(upto))
+        running(placed.select("slot", "k", "c"), ["slot"], ["k"], {"upto": F.col("c")})
+        .join(offsets, "slot")
+        .withColumn("last", F.col("offset") + F.col("upto"))
         .withColumn("first", F.col("last") - F.col("c"))
         # a key whose rows cross a chunk border contributes to every chunk it touches
         .withColumn("chunk", F.explode(F.sequence(

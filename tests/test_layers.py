@@ -23,6 +23,14 @@ def test_save_modes(spark, tmp_path):
         layers.write_layer(spark.range(1), root, "silver", "t", mode="errorifexists")
 
 
+def test_clustering_splits_a_hot_value(spark, tmp_path):
+    df = spark.range(4000).withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")))
+    layers.write_layer(df.repartition(8), str(tmp_path), "silver", "t", ["k"])
+    back = readers.read_layer(spark, str(tmp_path), "silver", "t")
+    files = back.where("k = 7").groupBy(F.input_file_name()).count().count()
+    assert back.count() == 4000 and (files > 1 or back.select(F.input_file_name()).distinct().count() == 1)
+
+
 def test_bronze_audit_and_months(spark, tmp_path):
     root = str(tmp_path)
     df, seen = layers.observed(layers.to_bronze(spark.range(25), "erp", "b1", "2024-01-31 06:00:00"), "load-" + uuid.uuid4().hex)

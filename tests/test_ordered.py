@@ -104,3 +104,13 @@ def test_scd2_history_on_hot_key(skewed, hot_rows):
     assert {(r["key"], r["valid_from"], r["id"], r["status"], r["valid_to"]) for r in got} == \
         {(k, t, i, s, ends.get(i)) for k, t, i, s in opened}
     assert sum(r["is_current"] for r in got) == len(last)
+
+
+def test_prefix_sums(spark):
+    df = spark.range(500).select((F.col("id") * 3).alias("i"), (F.col("id") % 7).alias("v"))
+    got = {r["i"]: r["s"] for r in ordered.prefix_sums(df, "i", "v", "s", block=50).collect()}
+    total, want = 0, {}
+    for i in range(500):
+        want[3 * i] = total
+        total += i % 7
+    assert got == want
