@@ -6,7 +6,7 @@ from assay.checks.registry import Tables, query
 from assay.checks.rules import LINEITEM_RULES, ORDERS_RULES, dated, results
 from assay.checks.scores import outcome_sql
 from assay.functions import columns as fx, patterns
-from assay.operators import clean, features_banking as B, features_clinical as C, govern as G, graph, profile, rules as R, score
+from assay.operators import features_banking as B, features_clinical as C, govern as G, graph, profile, rules as R, score
 from assay.session import cut
 
 D = "CAST({} AS DECIMAL(18,2))".format

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assay.operators.ordered import AUTO, exact_quantiles, neighbour, position, rolling, running
+from assay.operators.ordered import AUTO, exact_quantiles, hot_keys, neighbour, rolling, running
 
 MONEY = "decimal(18,2)"
 
@@ -65,16 +65,26 @@ def chunk_text(df: DataFrame, id: str, col: str, size: int = 512, overlap: int =
     )
 
 
-def hash_embed(df: DataFrame, id: str, col: str, dim: int = 128) -> DataFrame:
-    """Hashed bag-of-words vector of fixed length, scaled to length one; empty texts give the zero vector.
+def _word_grams(words: str, n: int) -> Column:
+    """All runs of ``n`` neighbouring words, joined by a space."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
+def hash_embed(df: DataFrame, id: str, col: str, dim: int = 128, ngram: int = 1) -> DataFrame:
+    """Vector of fixed length from the hashed word n-grams (1 to ``ngram``), scaled to length one.
+
+    Empty texts give the zero vector.
 
     A deterministic stand-in for a model. The sign of a token comes from a second hash, so collisions
     cancel instead of adding up. A text's tokens are counted inside its own task; at most ``dim`` numbers
     per text are shuffled.
     """
-    token = F.explode_outer(F.filter(F.split(F.lower(F.col(col)), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    words = F.filter(F.split(F.lower(F.col(col)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    grams = [F.col("__w")] + [_word_grams("__w", n) for n in range(2, ngram + 1)]
     counts = (
-        df.select(id, token.alias("w"))
+        df.select(id, words.alias("__w"))
+        .select(id, F.explode_outer(F.concat(*grams) if ngram > 1 else grams[0]).alias("w"))
         .select(id, F.pmod(F.xxhash64("w"), F.lit(dim)).alias("d"), F.when(F.col("w").isNull(), 0)
                 .when(F.pmod(F.hash("w"), F.lit(2)) == 0, 1).otherwise(-1).alias("sign"))
         .groupBy(id, "d").agg(F.sum("sign").alias("v"))
@@ -154,7 +164,6 @@ def risk_vector(df: DataFrame, parts: dict[str, Column], bands: list[tuple[int,
 
 def sessions(df: DataFrame, keys: list[str], order: list[str], gap_seconds: int, out: str = "session", hot=AUTO) -> DataFrame:
     """Number the stretches of a key's events that are separated by more than ``gap_seconds``."""
-    from assay.operators.ordered import hot_keys
     found = hot_keys(df, keys, order[0]) if hot is AUTO else hot
     before = neighbour(df, keys, order, {"__prev": (order[0], 1)}, hot=found)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

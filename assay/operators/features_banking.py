@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assay.operators.ordered import rolling
+from assay.operators.ordered import AUTO, neighbour, rolling
 
 MONEY = "decimal(18,2)"
 
@@ -105,11 +105,10 @@ def branch_features(accounts: DataFrame, loans: DataFrame, branch: str = "branch
     ).withColumn("deposit_to_loan", F.when(F.col("loans") > 0, F.round((F.col("deposits") / F.col("loans")).cast("double"), 4)))
 
 
-def travel_anomaly(uses: DataFrame, key: str, order: list[str], lat: str, lon: str, max_kmh: float, hot=None) -> DataFrame:
+def travel_anomaly(uses: DataFrame, key: str, order: list[str], lat: str, lon: str, max_kmh: float, hot=AUTO) -> DataFrame:
     """Consecutive uses of a card whose distance would need more than ``max_kmh``."""
-    from assay.operators.ordered import AUTO, neighbour
     ts = order[0]
-    prev = neighbour(uses, [key], order, {"__t": (ts, 1), "__lat": (lat, 1), "__lon": (lon, 1)}, hot=AUTO if hot is None else hot)
+    prev = neighbour(uses, [key], order, {"__t": (ts, 1), "__lat": (lat, 1), "__lon": (lon, 1)}, hot=hot)
     rad = lambda c: F.radians(F.col(c))
     h = F.pow(F.sin((rad(lat) - rad("__lat")) / 2), 2) + F.cos(rad(lat)) * F.cos(rad("__lat")) * F.pow(F.sin((rad(lon) - rad("__lon")) / 2), 2)
     km = 2 * 6371.0 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))

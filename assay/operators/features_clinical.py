@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions import columns as fx
-from assay.operators.ordered import AUTO, hot_keys, neighbour, rolling, running
+from assay.operators.ordered import AUTO, neighbour, rolling, running
+from assay.operators.rules import lab_flag
 
 
 def patient_features(patients: DataFrame, diagnoses: DataFrame, weights: DataFrame, as_of: str,
@@ -88,7 +89,6 @@ def trend(df: DataFrame, key: list[str], ts: str, value: str, days: int = 7) ->
 
 def lab_features(labs: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
     """(per result: flag, critical alert, z-score against the reference interval; per patient and test: slope)."""
-    from assay.operators.rules import lab_flag
     mid = (F.col("reference_low") + F.col("reference_high")) / 2
     critical = F.col("critical_high") if "critical_high" in labs.columns else 3 * F.col("reference_high")
     flag = lab_flag(F.col("result_value"), F.col("reference_low"), F.col("reference_high"), critical)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions import columns as fx
 from assay.operators.graph import components
+from assay.operators.ordered import sized
 from assay.session import cut
 
 
@@ -99,7 +100,7 @@ def correct_codes(df: DataFrame, col: str, valid: DataFrame, valid_col: str, max
         F.min(F.struct("distance", "right_value")).alias("best"))
     mapping = codes.join(near, F.col("code") == F.col("left_value"), "left").select(
         F.col("raw").alias("__raw"), F.col("best.right_value").alias("__fixed"))
-    out = df.join(mapping, F.col(col) == F.col("__raw"), "left")
+    out = df.join(sized(mapping), F.col(col) == F.col("__raw"), "left")
     return out.withColumns({
         f"{col}_corrected": F.col("__fixed"),
         f"{col}_outcome": F.when(F.col("__fixed").isNull(), "unknown").when(F.col("__fixed") == F.col(col), "valid").otherwise("repaired"),
@@ -113,9 +114,9 @@ def screen(df: DataFrame, id: str, name: str, watch: DataFrame, watch_name: str,
     """
     subjects = df.select(F.col(id).alias("subject"), F.col(name).alias("name"), fx.match_text(name).alias("norm")).where("norm <> ''")
     listed = watch.select(F.col(watch_name).alias("listed"), fx.match_text(watch_name).alias("listed_norm")).where("listed_norm <> ''").distinct()
-    near = near_pairs(
+    near = sized(near_pairs(
         subjects.select("norm").distinct(), listed.select(F.col("listed_norm").alias("norm")).distinct(), "norm", max_dist,
-    ).select(F.col("left_value").alias("norm"), F.col("right_value").alias("listed_norm"), "distance")
+    ).select(F.col("left_value").alias("norm"), F.col("right_value").alias("listed_norm"), "distance"))
     hits = subjects.join(near, "norm").join(listed, "listed_norm")
     return hits.select(
         F.col("subject").alias(id), "name", "listed", "distance",

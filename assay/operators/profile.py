@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from assay.functions import patterns
-from assay.operators.ordered import first_rows
 
 
 def table_counts(tables: dict[str, DataFrame | None], total: str | None = None) -> DataFrame:

@@ -94,8 +94,8 @@ def compliance_score(results: DataFrame, weights: DataFrame) -> DataFrame:
         F.floor(F.sum(F.col("pass_rate") * F.col("weight")) / F.sum("weight")).cast("int").alias("compliance_score"))
 
 
-def layer_position(layer: Column | str) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in LAYER_ORDER]), F.col(layer) if isinstance(layer, str) else layer)
+def layer_position(layer: str) -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in LAYER_ORDER]), F.col(layer))
 
 
 def regressions(scores: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,8 +35,7 @@ class Journal:
         self.run_id, self.rows = run_id, []
 
     def add(self, type: str, **values) -> None:
-        import datetime
-        row = {"run_id": self.run_id, "seq": len(self.rows) + 1, "ts": datetime.datetime.fromtimestamp(time.time(), datetime.timezone.utc), "type": type, **values}
+        row = {"run_id": self.run_id, "seq": len(self.rows) + 1, "ts": datetime.now(timezone.utc), "type": type, **values}
         self.rows.append(tuple(row.get(f.split()[0]) for f in EVENT_SCHEMA.split(", ")))
 
     def frame(self, spark: SparkSession) -> DataFrame:

@@ -76,6 +76,14 @@ def write_quarantine(judged: DataFrame, root: str, table: str, run_id: str) -> N
     )
 
 
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str = "overwrite") -> None:
+    """Table hashed into buckets by its keys: later joins and aggregates on them need no shuffle.
+
+    For keys that are unique or nearly so; a value held by very many rows would fill one bucket.
+    """
+    df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+
+
 def with_month(df: DataFrame, ts: str, out: str = "month") -> DataFrame:
     """Partition column for a ledger: the first day of the month."""
     return df.withColumn(out, F.date_trunc("month", F.col(ts).cast("timestamp")).cast("date"))

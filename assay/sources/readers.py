@@ -20,9 +20,16 @@ def read_layer(spark: SparkSession, root: str, layer: str, table: str) -> DataFr
     return spark.read.parquet(f"{root}/{layer}/{table}")
 
 
-def read_jdbc_ranges(spark: SparkSession, url: str, table: str, key: str, lower, upper, n: int = 8,
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, key: str, lower=None, upper=None, n: int = 8,
                      **options: str) -> DataFrame:
-    """Parallel extract of a database table: ``n`` connections, each reading one range of ``key``."""
+    """Parallel extract of a database table: ``n`` connections, each reading one range of ``key``.
+
+    Without bounds the database is asked for the smallest and largest key first.
+    """
+    if lower is None or upper is None:
+        ends = f"SELECT min({key}) AS lo, max({key}) AS hi FROM {table}"
+        row = spark.read.format("jdbc").options(url=url, query=ends, **options).load().first()
+        lower, upper = row[0], row[1]
     return (
         spark.read.format("jdbc")
         .options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(lower), upperBound=str(upper),

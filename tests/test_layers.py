@@ -38,6 +38,20 @@ def test_clustering_splits_a_hot_value(spark, tmp_path):
     assert sum(r["hot"] > 0 for r in per_file) >= 4 and max(r["n"] for r in per_file) < 600
 
 
+def test_bucketed_tables_join_without_shuffle(spark):
+    for name, n in (("bucketed_a", 300), ("bucketed_b", 200)):
+        layers.write_bucketed(spark.range(n).withColumnRenamed("id", "k"), name, ["k"], 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("bucketed_a").join(spark.table("bucketed_b"), "k")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_a")
+        spark.sql("DROP TABLE bucketed_b")
+
+
 def test_bronze_audit_and_months(spark, tmp_path):
     root = str(tmp_path)
     df, seen = layers.observed(layers.to_bronze(spark.range(25), "erp", "b1", "2024-01-31 06:00:00"), "load-" + uuid.uuid4().hex)
