@@ -1,8 +1,7 @@
 """Order-dependent operators that stay balanced when one key holds much of the table.
 
 ``Window.partitionBy(key)`` puts all rows of a key into one task. The functions here first find the
-keys too large for that (at most ``1 / HOT_SHARE`` of them, so the list may be broadcast), cut the
-time line of each such key into spans of about ``HOT_ROWS`` rows, work inside ``(key, span)``, and
+keys too large for that (at most ``MAX_HOT`` of them, so the list may be broadcast), cut the time line of each such key into spans of about ``HOT_ROWS`` rows, work inside ``(key, span)``, and
 carry the few values that cross a span border through a summary with one row per span. Results equal
 those of the plain window.
 """
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from assay.session import cut
 
 HOT_ROWS = 1_000_000  # a group up to this size is ordinary work for one task
-HOT_SHARE = 1e-5      # hence never more than 100,000 hot keys, whatever the data
+MAX_HOT = 100_000     # never more keys than this are split, so their list can be broadcast
 BROADCAST_ROWS = 200_000  # key lists and group figures up to this many rows are broadcast
 SPAN = "__span"
 
@@ -59,21 +58,26 @@ def sized(small: DataFrame, max_rows: int | None = None) -> DataFrame:
 def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> DataFrame | None:
     """Keys with too many rows for one task, with the range of their order column and a span count.
 
-    The list holds at most ``1 / HOT_SHARE`` keys, and is stored once; None when there is no such key,
-    which lets the callers use the plain window. ``hot_rows`` overrides the limits in tests.
+    Found in one condensing pass and stored. The list never exceeds ``MAX_HOT`` keys: should more lie above
+    the limit, the limit rises, and what then stays whole is less than the table's rows over ``MAX_HOT``.
+    None when there is no such key, which lets the callers use the plain window. ``hot_rows`` overrides
+    the limit in tests.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    share = HOT_SHARE if hot_rows is None else 0.0
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
         F.min(axis(df, order)).alias("__lo"),
         F.max(axis(df, order)).alias("__hi"),
     )
-    large = stats.where(F.col("__n") > limit)
-    if share:
-        large = large.where(F.col("__n") > df.agg(F.count(F.lit(1))).scalar() * F.lit(share))
-    found = cut(large.select(*keys, "__lo", "__hi", F.ceil(F.col("__n") / limit).alias("__pieces")))
-    return None if found.isEmpty() else found
+    found = cut(stats.where(F.col("__n") > limit))
+    count, bar = found.count(), limit
+    while count > MAX_HOT:
+        bar *= 2
+        found = found.where(F.col("__n") > bar)
+        count = found.count()
+    if not count:
+        return None
+    return found.select(*keys, "__lo", "__hi", F.ceil(F.col("__n") / limit).alias("__pieces"))
 
 
 def with_span(df: DataFrame, keys: list[str], order: str, hot: DataFrame, only_hot: bool = False) -> DataFrame:

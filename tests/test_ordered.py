@@ -59,6 +59,14 @@ def test_hot_key_is_found_and_split(skewed):
     assert ordered.hot_keys(skewed, ["key"], "t", 1000) is None
 
 
+def test_list_of_hot_keys_is_bounded(skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "MAX_HOT", 1)
+    hot = ordered.hot_keys(skewed, ["key"], "t", 5)
+    assert [r["key"] for r in hot.collect()] == ["hot"]
+    got = ordered.neighbour(skewed, ["key"], ["t", "id"], {"a": ("v", 1)}, hot_rows=5)
+    same(got, skewed.withColumn("a", F.lag("v", 1).over(W.partitionBy("key").orderBy("t", "id"))))
+
+
 def test_rolling_equals_range_window(spark, skewed):
     df = skewed.where("key IS NOT NULL").withColumn("ts", F.timestamp_seconds(F.col("t") * 3600))
     got = ordered.rolling(df, ["key"], "ts", {"n": F.lit(1).cast("long"), "s": F.col("v")}, {"a": 5 * 3600, "b": 60 * 3600}, "second")
