@@ -78,7 +78,7 @@ def scd2_history(df: DataFrame, key: str, ts: str, attrs: list[str], tiebreak: l
     """Versions of each key from its whole record: a row opens a version when an attribute changes."""
     order = [ts, *(tiebreak or [])]
     hashed = df.select(key, *order, *[a for a in attrs if a not in order], row_hash(attrs).alias("row_hash"))
-    hot = hot_keys(hashed, [key], ts, hot_rows)
+    hot = hot_keys(hashed, [key], order, hot_rows)
     before = neighbour(hashed, [key], order, {"__before": ("row_hash", 1)}, hot=hot)
     opened = before.where(F.col("__before").isNull() | (F.col("__before") != F.col("row_hash"))).drop("__before")
     if hot is not None:

@@ -164,7 +164,7 @@ def risk_vector(df: DataFrame, parts: dict[str, Column], bands: list[tuple[int,
 
 def sessions(df: DataFrame, keys: list[str], order: list[str], gap_seconds: int, out: str = "session", hot=AUTO) -> DataFrame:
     """Number the stretches of a key's events that are separated by more than ``gap_seconds``."""
-    found = hot_keys(df, keys, order[0]) if hot is AUTO else hot
+    found = hot_keys(df, keys, order) if hot is AUTO else hot
     before = neighbour(df, keys, order, {"__prev": (order[0], 1)}, hot=found)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     opens = F.when(F.col("__prev").isNull() | (micros(order[0]) - micros("__prev") > gap_seconds * 1_000_000), 1).otherwise(0)

@@ -1,13 +1,16 @@
 """Order-dependent operators that stay balanced when one key holds much of the table.
 
 ``Window.partitionBy(key)`` puts all rows of a key into one task. The functions here first find the
-keys too large for that (at most ``MAX_HOT`` of them, so the list may be broadcast), cut the time line of each such key into spans of about ``HOT_ROWS`` rows, work inside ``(key, span)``, and
-carry the few values that cross a span border through a summary with one row per span. Results equal
-those of the plain window.
+keys too large for that (at most ``MAX_HOT`` of them, so the list may be broadcast), cut the time line of
+each such key into spans of about ``HOT_ROWS`` rows, work inside ``(key, span)``, and carry the few values
+that cross a span border through a summary with one row per span. Spans that are still too large, because
+rows crowd in time or share one order value, are cut again, by the next order column where the first is
+tied. Results equal those of the plain window.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -16,6 +19,7 @@ from assay.session import cut
 
 HOT_ROWS = 1_000_000  # a group up to this size is ordinary work for one task
 MAX_HOT = 100_000     # never more keys than this are split, so their list can be broadcast
+LEVELS = 3            # a span that stays too large is cut again this often
 BROADCAST_ROWS = 200_000  # key lists and group figures up to this many rows are broadcast
 SPAN = "__span"
 
@@ -55,38 +59,76 @@ def sized(small: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= limit else stored
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None) -> DataFrame | None:
-    """Keys with too many rows for one task, with the range of their order column and a span count.
+@dataclass(frozen=True)
+class Hot:
+    """How the hot keys are cut: one small stored table per level."""
+    order: list[str]
+    levels: list[DataFrame]
 
-    Found in one condensing pass and stored. The list never exceeds ``MAX_HOT`` keys: should more lie above
-    the limit, the limit rises, and what then stays whole is less than the table's rows over ``MAX_HOT``.
-    None when there is no such key, which lets the callers use the plain window. ``hot_rows`` overrides
-    the limit in tests.
+
+def _large_groups(df: DataFrame, group: list[str], order: list[str], unit: int, above: int) -> DataFrame | None:
+    """Groups with more than ``above`` rows that can be cut, with their ranges; at most ``MAX_HOT`` of them.
+
+    Should more lie above the limit, the limit rises; what then stays whole is small against the table.
     """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min(axis(df, order)).alias("__lo"),
-        F.max(axis(df, order)).alias("__hi"),
-    )
-    found = cut(stats.where(F.col("__n") > limit))
-    count, bar = found.count(), limit
+    first = order[0]
+    aggs = [F.count(F.lit(1)).alias("__n"), F.min(axis(df, first)).alias("__lo0"), F.max(axis(df, first)).alias("__hi0"),
+            F.count(first).alias("__filled"), F.coalesce(F.min(first) == F.max(first), F.lit(True)).alias("__one")]
+    tied = F.lit(False)
+    if len(order) > 1:
+        aggs += [F.min(axis(df, order[1])).alias("__lo1"), F.max(axis(df, order[1])).alias("__hi1")]
+        tied = F.col("__one") & F.col("__filled").isin(F.lit(0), F.col("__n")) & F.coalesce(F.col("__lo1") < F.col("__hi1"), F.lit(False))
+    can_cut = tied | F.coalesce(F.col("__lo0") < F.col("__hi0"), F.lit(False)) | F.col("__filled").between(1, F.col("__n") - 1)
+    found = cut(df.groupBy(*group).agg(*aggs).where(F.col("__n") > above))
+    count, bar = found.count(), above
     while count > MAX_HOT:
         bar *= 2
         found = found.where(F.col("__n") > bar)
         count = found.count()
     if not count:
         return None
-    return found.select(*keys, "__lo", "__hi", F.ceil(F.col("__n") / limit).alias("__pieces"))
+    found = found.where(can_cut).withColumns({"__tied": tied, "__pieces": F.ceil(F.col("__n") / unit)}).drop("__n", "__filled", "__one")
+    return None if found.isEmpty() else found
 
 
-def with_span(df: DataFrame, keys: list[str], order: str, hot: DataFrame, only_hot: bool = False) -> DataFrame:
-    """Add the span number: 1..pieces along the order column for hot keys, 0 for the others."""
-    joined = join_null_safe(df, F.broadcast(hot), keys, "inner" if only_hot else "left")
-    place = (axis(df, order) - F.col("__lo")).cast("double") / ((F.col("__hi") - F.col("__lo")).cast("double") + 1)
-    span = F.when(F.col("__pieces").isNull(), F.lit(0)).otherwise(
-        F.coalesce(F.lit(1) + F.floor(place * F.col("__pieces")), F.lit(1)))
-    return joined.withColumn(SPAN, span.cast("long")).drop("__lo", "__hi", "__pieces")
+def hot_keys(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = None) -> Hot | None:
+    """Find the keys with too many rows for one task, in one condensing pass, and how to cut them.
+
+    None when there is no such key, which lets the callers use the plain window. Further passes read hot
+    keys only. ``hot_rows`` overrides the limit in tests.
+    """
+    unit = HOT_ROWS if hot_rows is None else hot_rows
+    order = order[:2]
+    needed = df.select(*dict.fromkeys([*keys, *order]))
+    first = _large_groups(needed, keys, order, unit, unit)
+    if first is None:
+        return None
+    hot = Hot(order, [first])
+    while len(hot.levels) < LEVELS:
+        spanned = with_span(needed, keys, hot, only_hot=True)
+        again = _large_groups(spanned, [*keys, SPAN], order, unit, 4 * unit)
+        if again is None:
+            break
+        hot = Hot(order, [*hot.levels, again])
+    return hot
+
+
+def with_span(df: DataFrame, keys: list[str], hot: Hot, only_hot: bool = False) -> DataFrame:
+    """Add the span number, growing along the order of a hot key; 0 for rows of other keys."""
+    out, group = df, list(keys)
+    for number, level in enumerate(hot.levels):
+        joined = join_null_safe(out, F.broadcast(level), group, "inner" if only_hot and not number else "left")
+        piece = None
+        for i, name in enumerate(hot.order):
+            at, low, high = axis(df, name), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+            place = (at - low).cast("double") / ((high - low).cast("double") + 1)
+            by = F.when(at.isNull(), F.lit(1)).otherwise(F.lit(2) + F.floor(place * F.col("__pieces")))
+            piece = by if piece is None else F.when(F.col("__tied"), by).otherwise(piece)
+        piece = F.when(F.col("__pieces").isNull(), F.lit(0)).otherwise(piece).cast("long")
+        span = F.col(SPAN) * F.lit(1_000_000) + piece if number else piece
+        out = joined.withColumn(SPAN, span).drop(*[c for c in level.columns if c not in group])
+        group = [*keys, SPAN]
+    return out
 
 
 def _ordering(order: list[str], descending: bool) -> list[Column]:
@@ -111,7 +153,7 @@ def neighbour(
     the spans before them as extra rows, which are removed after the window has run. ``hot`` takes a
     list already found by ``hot_keys``.
     """
-    hot = hot_keys(df, keys, order[0], hot_rows) if hot is AUTO else hot
+    hot = hot_keys(df, keys, order, hot_rows) if hot is AUTO else hot
     ordering = _ordering(order, following)
     if hot is None:
         window = W.partitionBy(*keys).orderBy(*ordering)
@@ -123,7 +165,7 @@ def neighbour(
     carried = sorted({*keys, *order, *source})
     from_end = W.partitionBy(*group).orderBy(*_ordering(order, not following))
     tail = cut(
-        with_span(df.select(*carried), keys, order[0], hot, only_hot=True)
+        with_span(df.select(*carried), keys, hot, only_hot=True)
         .withColumn("__rank", F.row_number().over(from_end)).where(F.col("__rank") <= reach))
     along = W.partitionBy(*keys).orderBy(F.col(SPAN).desc() if following else F.col(SPAN).asc())
     sizes = tail.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
@@ -146,7 +188,7 @@ def neighbour(
         .withColumn(SPAN, F.col("__to.span"))
         .select(*carried, SPAN, F.lit(True).alias("__halo"))
     )
-    both = with_span(df, keys, order[0], hot).withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    both = with_span(df, keys, hot).withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
     window = W.partitionBy(*group).orderBy(*ordering)
     out = both.withColumns({name: F.lag(c, n).over(window) for name, (c, n) in values.items()})
     return out.where(~F.col("__halo")).drop("__halo", SPAN)
@@ -163,7 +205,7 @@ def running(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Running sums (or maxima) per key in the given total order, with or without the row itself."""
-    hot = hot_keys(df, keys, order[0], hot_rows) if hot is AUTO else hot
+    hot = hot_keys(df, keys, order, hot_rows) if hot is AUTO else hot
     fold = {"sum": F.sum, "max": F.max}[how]
     upto = lambda group: W.partitionBy(*group).orderBy(*_ordering(order, False)).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1)
@@ -172,11 +214,11 @@ def running(
     group = [*keys, SPAN]
     along = W.partitionBy(*keys).orderBy(SPAN).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        with_span(df, keys, order[0], hot, only_hot=True)
+        with_span(df, keys, hot, only_hot=True)
         .groupBy(*group).agg(*[fold(e).alias(n) for n, e in values.items()])
         .select(*group, *[fold(n).over(along).alias(f"__o_{n}") for n in values])
     )
-    local = with_span(df, keys, order[0], hot).withColumns({n: fold(e).over(upto(group)) for n, e in values.items()})
+    local = with_span(df, keys, hot).withColumns({n: fold(e).over(upto(group)) for n, e in values.items()})
     both = (lambda n: F.greatest(n, f"__o_{n}")) if how == "max" else (
         lambda n: F.when(F.col(f"__o_{n}").isNull(), F.col(n)).otherwise(F.coalesce(F.col(n) + F.col(f"__o_{n}"), F.col(f"__o_{n}"))))
     return join_null_safe(local, offsets, group).withColumns({n: both(n) for n in values}).drop(

@@ -51,18 +51,39 @@ def test_order_columns_of_any_type(skewed, kind):
     same(got, df.withColumn("a", F.lag("v", 2).over(W.partitionBy("key").orderBy("o", "id"))))
 
 
+def spans(df, keys, hot):
+    return {r[0]: r[1] for r in ordered.with_span(df, keys, hot).where("key = 'hot'").groupBy(ordered.SPAN).count().collect()}
+
+
 def test_hot_key_is_found_and_split(skewed):
-    hot = ordered.hot_keys(skewed, ["key"], "t", 100)
-    assert [(r["key"], r["__pieces"]) for r in hot.collect()] == [("hot", 3)]
-    spans = ordered.with_span(skewed, ["key"], "t", hot).where("key = 'hot'").groupBy(ordered.SPAN).count().collect()
-    assert len(spans) == 3 and all(r["count"] < 150 for r in spans)
-    assert ordered.hot_keys(skewed, ["key"], "t", 1000) is None
+    hot = ordered.hot_keys(skewed, ["key"], ["t", "id"], 100)
+    assert [(r["key"], r["__pieces"]) for r in hot.levels[0].collect()] == [("hot", 3)]
+    sizes = spans(skewed, ["key"], hot)
+    assert len(sizes) == 3 and all(n < 150 for n in sizes.values())
+    assert ordered.hot_keys(skewed, ["key"], ["t", "id"], 1000) is None
+
+
+@pytest.mark.parametrize("shape", ["outlier", "tied", "tied_null", "two_values"])
+def test_crowded_orders_are_cut_again(skewed, shape):
+    """All rows of the key at one moment, or crowded beside an outlier."""
+    t = {"outlier": F.when(F.col("id") == 0, F.lit(10**12)).otherwise(F.col("t")), "tied": F.lit(7), "tied_null": F.lit(None).cast("long"),
+         "two_values": F.when(F.col("id") % 2 == 0, 3)}[shape]
+    df = skewed.withColumn("t", t.cast("long"))
+    hot = ordered.hot_keys(df, ["key"], ["t", "id"], 20)
+    sizes = spans(df, ["key"], hot)
+    assert sum(sizes.values()) == 300 and max(sizes.values()) <= 80
+    w = W.partitionBy("key").orderBy("t", "id")
+    same(ordered.neighbour(df, ["key"], ["t", "id"], {"a": ("v", 2)}, hot=hot), df.withColumn("a", F.lag("v", 2).over(w)))
+    back = W.partitionBy("key").orderBy(F.col("t").desc(), F.col("id").desc())
+    same(ordered.neighbour(df, ["key"], ["t", "id"], {"a": ("v", 1)}, following=True, hot=hot), df.withColumn("a", F.lag("v", 1).over(back)))
+    same(ordered.running(df, ["key"], ["t", "id"], {"s": F.col("v")}, hot=hot),
+         df.withColumn("s", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0))))
 
 
 def test_list_of_hot_keys_is_bounded(skewed, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_HOT", 1)
-    hot = ordered.hot_keys(skewed, ["key"], "t", 5)
-    assert [r["key"] for r in hot.collect()] == ["hot"]
+    hot = ordered.hot_keys(skewed, ["key"], ["t", "id"], 5)
+    assert [r["key"] for r in hot.levels[0].collect()] == ["hot"]
     got = ordered.neighbour(skewed, ["key"], ["t", "id"], {"a": ("v", 1)}, hot_rows=5)
     same(got, skewed.withColumn("a", F.lag("v", 1).over(W.partitionBy("key").orderBy("t", "id"))))
 

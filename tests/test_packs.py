@@ -174,9 +174,9 @@ def test_medication_lab_claim_features(spark):
     assert got == {"p1": (5, True, True, 1.0), "p2": (1, False, False, 0.8)}
     # the same cover when the patient is split as a hot key
     from assay.operators.ordered import hot_keys
-    flat = meds.select("patient_id", F.unix_date(F.col("start_date").cast("date")).alias("__s"))
+    flat = meds.select("patient_id", F.unix_date(F.col("start_date").cast("date")).alias("__s"), F.col("medication_id").alias("__id"))
     cover = lambda hot: {tuple(r) for r in C.covered_days(meds, ["patient_id"], "start_date", "end_date", "medication_id", hot).collect()}
-    assert cover(hot_keys(flat, ["patient_id"], "__s", 1)) == cover(None)
+    assert cover(hot_keys(flat, ["patient_id"], ["__s", "__id"], 1)) == cover(None)
     labs = spark.createDataFrame([("p1", "x", "2024-01-%02d" % d, float(v), 10.0, 20.0, 30.0) for d, v in ((1, 10), (2, 12), (3, 14), (9, 31))],
                                  "patient_id string, loinc_code string, collection_date string, result_value double, reference_low double, reference_high double, critical_high double")
     results, trend = C.lab_features(labs)
