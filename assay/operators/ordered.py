@@ -19,6 +19,7 @@ from assay.session import cut
 
 HOT_ROWS = 1_000_000  # a group up to this size is ordinary work for one task
 MAX_HOT = 100_000     # never more keys than this are split, so their list can be broadcast
+SHORT_FRAME = 400     # moving frames up to this many ticks are summed row by row
 LEVELS = 3            # a span that stays too large is cut again this often
 BROADCAST_ROWS = 200_000  # key lists and group figures up to this many rows are broadcast
 SPAN = "__span"
@@ -245,7 +246,7 @@ def rolling(
     ``{"7d": 7}`` at day grain covers today and the six days before. Rows are first summed per tick with
     map-side aggregation. The time line is then cut into blocks of four times the longest span, each
     block also receiving the ticks a window may reach back to, so that a group holds at most five spans
-    of ticks however many rows a key has.
+    of ticks however many rows a key has. Measures should be whole numbers or decimals, whose sums are exact.
     """
     at = F.unix_date(F.col(ts).cast("date")).cast("long") if tick == "day" else F.unix_seconds(F.col(ts).cast("timestamp"))
     ticks = df.groupBy(*keys, at.alias("tick")).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
@@ -254,16 +255,27 @@ def rolling(
     own = F.floor(F.col("tick") / block)
     reach = F.floor((F.col("tick") + longest - 1) / block)
     spread = ticks.withColumn("__block", F.explode(
-        F.when(own == reach, F.array(own)).otherwise(F.array(own, reach))))
-    order = W.partitionBy(*keys, "__block").orderBy("tick")
-    return (
-        spread.withColumns({
-            f"{n}_{label}": F.sum(n).over(order.rangeBetween(-(length - 1), 0))
-            for n in measures for label, length in spans.items()
-        })
-        .where(own == F.col("__block"))
-        .drop("__block")
-    )
+        F.when(own == reach, F.array(own)).otherwise(F.array(own, reach)))).withColumn("__own", own == F.col("__block"))
+    if longest <= SHORT_FRAME:
+        order = W.partitionBy(*keys, "__block").orderBy("tick")
+        return (
+            spread.withColumns({
+                f"{n}_{label}": F.sum(n).over(order.rangeBetween(-(length - 1), 0))
+                for n in measures for label, length in spans.items()
+            })
+            .where("__own").drop("__block", "__own")
+        )
+    # a moving frame is summed anew for every row; long ones are the difference of two running sums instead
+    probes = F.array(*[F.struct((F.col("tick") - length).alias("at"), F.lit(i).alias("kind")) for i, length in enumerate(spans.values(), 1)])
+    here = F.array(F.struct(F.col("tick").alias("at"), F.lit(0).alias("kind")))
+    lines = spread.withColumn("__e", F.explode(F.when(F.col("__own"), F.concat(here, probes)).otherwise(here)))
+    upto = W.partitionBy(*keys, "__block").orderBy("__e.at", F.col("__e.kind") > 0).rowsBetween(W.unboundedPreceding, 0)
+    summed = lines.withColumns({f"__s_{n}": F.coalesce(F.sum(F.when(F.col("__e.kind") == 0, F.col(n))).over(upto), F.lit(0)) for n in measures})
+    at = lambda n, kind: F.max(F.when(F.col("__e.kind") == kind, F.col(f"__s_{n}")))
+    return summed.where("__own").groupBy(*keys, "__block", "tick").agg(
+        *[F.first(n).alias(n) for n in measures],
+        *[(at(n, 0) - at(n, i)).alias(f"{n}_{label}") for n in measures for i, label in enumerate(spans, 1)],
+    ).drop("__block")
 
 
 def prefix_sums(df: DataFrame, index: str, value: str, out: str, block: int = 4096) -> DataFrame:

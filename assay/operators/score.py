@@ -53,7 +53,10 @@ def measure_factors(df: DataFrame, table: str, spec: FactorSpec) -> DataFrame:
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
     aggs = [F.count(F.lit(1)).alias("rows")]
     aggs += [F.count(c).alias(f"n{i}") for i, c in enumerate(spec.required)]
-    aggs += [(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(plain)]
+    # texts are compared by hash: whether there is a second value needs no order, and numbers aggregate faster
+    texts = {f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")}
+    probe = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) if c in texts else F.col(c)
+    aggs += [(F.min(probe(c)) < F.max(probe(c))).alias(f"v{i}") for i, c in enumerate(plain)]
     fresh = F.lit(True)
     if spec.freshness:
         fresh = F.datediff(F.lit(spec.as_of).cast("date"), F.col(spec.freshness).cast("date")) <= spec.max_age_days

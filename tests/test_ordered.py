@@ -88,7 +88,9 @@ def test_list_of_hot_keys_is_bounded(skewed, monkeypatch):
     same(got, skewed.withColumn("a", F.lag("v", 1).over(W.partitionBy("key").orderBy("t", "id"))))
 
 
-def test_rolling_equals_range_window(spark, skewed):
+@pytest.mark.parametrize("frame", [1, 10**9])
+def test_rolling_equals_range_window(spark, skewed, frame, monkeypatch):
+    monkeypatch.setattr(ordered, "SHORT_FRAME", frame)
     df = skewed.where("key IS NOT NULL").withColumn("ts", F.timestamp_seconds(F.col("t") * 3600))
     got = ordered.rolling(df, ["key"], "ts", {"n": F.lit(1).cast("long"), "s": F.col("v")}, {"a": 5 * 3600, "b": 60 * 3600}, "second")
     ticks = df.groupBy("key", F.unix_seconds("ts").alias("tick")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
