@@ -94,7 +94,7 @@ def chunk_plan(df: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def estimated_chunks(rows: int, size: int) -> int:
-    """Chunk count as the legacy loader reported it: whole chunks only, at least one."""
+    """Chunk count as a progress display shows it: whole chunks only, at least one."""
     return max(1, rows // size)
 
 
