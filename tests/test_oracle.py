@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from assay.checks.registry import ORACLE, QUERIES
 from tests.compare import compare, database
 
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,15 +21,15 @@ def con():
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     def run(session, root):
-        df = entry.queries()[name](session, root)
+        df = QUERIES[name](session, root)
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not [word for word in FORBIDDEN if word in plan], plan
         return df
 
-    ok, note = compare(spark, con, ROOT, name, run, entry.oracle_sql().get(name))
+    ok, note = compare(spark, con, ROOT, name, run, ORACLE.get(name))
     assert ok, note
 
 
