@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assay.session import shared_dir
 from assay.sources.readers import read_table
@@ -75,11 +78,41 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, size: int) ->
             start, base = end, int(ends[end - 1])
 
 
-def crc_of_id(doc_id: int | None) -> int:
-    """crc32 of the identifier as text; a missing one counts as the empty text."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+def map_texts(df: DataFrame, keep: list[str], new: str, work: Callable[[list[bytes]], list], text_col: str = "text",
+              size: int = 4_000_000) -> DataFrame:
+    """Columns ``keep`` and the ``new`` ones (DDL) that ``work`` makes of every whole text, row by row, in order.
 
+    ``work`` gets the texts of a small batch as UTF-8 (null as empty) and returns one array or list for each new
+    column. Other columns, of whatever name, are passed by position, so names cannot clash on the way.
+    """
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], whole(F.col(f"`{text_col}`").cast("string")).cast("binary").alias("t"))
+    added = T.StructType.fromDDL(new)
+    schema = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(source.schema.fields[:-1])] + list(added))
+    kinds = [to_arrow_type(f.dataType) for f in added]
 
-def lower_ascii(data: bytes) -> bytes:
-    """Lower-case A-Z only; ``bytes.lower`` leaves all bytes of other letters as they are."""
-    return data.lower()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "t", size):
+            made = work(batch.column("t").to_pylist())
+            arrays = batch.columns[:-1] + [pa.array(x, type=k) for x, k in zip(made, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return source.mapInArrow(run, schema).toDF(*keep, *added.names)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block."""
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(block))
+
+
+def held_out(modulus: int, id_col: str = "doc_id") -> Column:
+    """Rows kept from learning: crc32 of the identifier as text leaves the remainder 1. A missing identifier counts as ''."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == 1
+
+
+def batch_number(sequence: int) -> int:
+    """A number for a batch of a map task; the same when the task runs again."""
+    return (TaskContext.get().partitionId() << 32) | sequence
