@@ -177,7 +177,7 @@ class CuckooIndex:
         return F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _changed(self, batch: DataFrame, deleting: bool) -> "CuckooIndex":
-        def work(key, new: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        def work(key: tuple, new: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             bucket = Bucket(held)
             for digest, n_bytes, check, first_id, first_row, n in zip(
                     new.digest, new.n_bytes, new.check, new.first_id, new.first_row, new.n):
