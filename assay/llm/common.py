@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -70,7 +71,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, size: int) ->
         n = batch.num_rows
         if not n:
             continue
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
         start, base = 0, 0
         while start < n:
             end = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
