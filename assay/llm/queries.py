@@ -1,4 +1,4 @@
 """All queries of this package; importing it registers them."""
 
-from assay.llm import classlm, dedup, idfiles, jaccard, licences, mixing, pieces, quality  # noqa: F401
+from assay.llm import classlm, dedup, idfiles, jaccard, licences, mixing, pieces, quality, toxicity  # noqa: F401
 from assay.llm.common import ORACLE, QUERIES  # noqa: F401
