@@ -1,4 +1,4 @@
-"""Toxicity scores of restored text: noisy-channel deobfuscation, then a linear classifier.
+"""Toxicity scores of restored text: noisy-channel deobfuscation, then a classifier of independent causes.
 
 1. **Counts.** In one pass over the labelled training rows, tasks count in how many texts, and in how many toxic ones, each feature
    stands, and the character trigrams of their words. Counts are condensed per task and summed by key range; the features that
@@ -8,7 +8,7 @@
    letters, nothing), a run of equal letters offers one or two of them, a gap between single letters offers a space or
    none; Viterbi finds the best path through this lattice under the character trigram model and the channel's costs.
    All other words are their own restoration.
-3. **Classifier.** Logistic regression on the restored words and their beginnings of four and five letters (so inflected forms of a learned
+3. **Classifier.** Regression with independent causes (the score is 1 - exp(-sum of weights)) on the restored words and their beginnings of four, five and seven letters (so inflected forms of a learned
    word count too), fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of their text. Every text is scored whole.
 
 Labels are read for training rows only; language, source and doc_id are no inputs (doc_id only decides which rows are held out).
@@ -37,6 +37,7 @@ FEATURES = 4_096
 FIT_ROWS = 40_000
 MODULUS = 3
 LEAST_TEXTS = 3     # a feature stands in at least so many toxic texts
+LEAST_RATIO = 6.0   # and its log likelihood ratio is at least this
 CUTOFF = 0.7
 FLUSH = 300_000
 BATCH = 2_000_000
@@ -49,6 +50,8 @@ LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
                "+": "t", "€": "e", "(": "c", "£": "l"}
 ITSELF, MEANT, NOTHING, DOUBLE = -4.0, -1.0, -2.5, -0.7   # log costs of the channel
 
+BEGINNINGS = (4, 5, 7)
+
 EDGES = re.compile(r"^[^\w@$€£]+|[^\w]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
@@ -67,7 +70,7 @@ def key_of(feature: str) -> int:
 
 
 def features_of(word: str) -> list[str]:
-    return [word] + ([word[:4] + "-", word[:5] + "-"] if len(word) > 4 else [])
+    return [word] + [word[:n] + "-" for n in BEGINNINGS if len(word) > n]
 
 
 @dataclass
@@ -92,7 +95,7 @@ def suspicious(core: str) -> bool:
         return True
     marks = sum(c in LOOK_ALIKES for c in core)
     letters = sum(c.isalpha() for c in core)
-    return len(core) <= 40 and letters >= 2 and marks > 0 and letters + marks == len(core) and marks <= letters
+    return len(core) <= 40 and letters >= 2 and marks > 0 and letters + marks == len(core) and marks <= letters + 1
 
 
 def lattice(core: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
@@ -269,7 +272,7 @@ def chosen_features(counts: DataFrame, total: int, toxic: int) -> np.ndarray:
                 take = np.argsort(-value, kind="stable")[:FEATURES]
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys[take]), "value": pa.array(value[take])})
 
-    rows = counts.where("part >= 0").select("block").mapInArrow(best, "key long, value double").where("value > 0").orderBy(F.desc("value"), "key").limit(FEATURES).collect()
+    rows = counts.where("part >= 0").select("block").mapInArrow(best, "key long, value double").where(F.col("value") >= LEAST_RATIO).orderBy(F.desc("value"), "key").limit(FEATURES).collect()
     return np.sort(np.array([r.key for r in rows], dtype=np.int64))
 
 
@@ -280,19 +283,24 @@ class Model:
     language: bytes  # the trigram model's table
 
 
-def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int = 400, decay: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression with a small quadratic penalty, by Adam over all rows."""
+def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int = 800, price: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights of at least 0 that maximise the likelihood of label 1 with probability 1 - exp(-sum), by Adam over all rows.
+
+    Each feature is a cause that alone may make a text toxic, and words that merely stand beside such a cause get no weight, as the text
+    is explained already. A weight costs as much as ``price`` clean texts with that feature would.
+    """
     at = np.array([i for i, (f, _) in enumerate(rows) for _ in f], dtype=np.int64)
     cols = np.array([j for f, _ in rows for j in f], dtype=np.int64)
     y = np.array([t for _, t in rows], dtype=float)
-    theta, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
+    theta, m, v = np.full(n_features + 1, 0.05), np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(at, theta[cols], minlength=len(y)) + theta[-1]
-        error = (1 / (1 + np.exp(-z)) - y) / len(y)
-        gradient = np.r_[np.bincount(cols, error[at], minlength=n_features), error.sum()]
-        gradient[:-1] += decay * theta[:-1] / max(n_features, 1)
+        total = np.bincount(at, theta[cols], minlength=len(y)) + theta[-1]
+        slope = np.where(y > 0, -1 / np.expm1(np.minimum(total, 700.0)), 1.0)
+        gradient = np.r_[np.bincount(cols, slope[at], minlength=n_features) + price, slope.sum()]
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient ** 2
-        theta -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
+        theta -= 0.1 * (0.995 ** step) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
+        theta = np.maximum(theta, 0)
+        theta[-1] = max(theta[-1], 1e-5)
     return theta[:-1], float(theta[-1])
 
 
@@ -365,7 +373,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                             parts = [p for p in restore("".join(cores[i] for i in here[k:min(k + 60, e)]), True).split() if len(p) > 2]
                             hits.update(weighted(parts))
                             count += len(parts)
-            scores.append(1 / (1 + np.exp(-(model.bias + sum(v for _, v in sorted(hits.items()))))))
+            scores.append(float(-np.expm1(-(model.bias + sum(v for _, v in sorted(hits.items()))))))
             restored.append(count)
         return [scores, [int(s >= CUTOFF) for s in scores], restored]
 
@@ -376,7 +384,11 @@ def toxicity(docs: DataFrame, marks: DataFrame, keep: list[str]) -> DataFrame:
     """Learn from the labelled rows that are not held out, then score every document."""
     marks = marks.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     few = marks.count() <= SMALL_LABELS
-    train = docs.where(~held_out(MODULUS)).join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("__id")).select("text", "toxic")
+    marked = docs.where(~held_out(MODULUS)).select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("__id"))
+    # One row for each text and label: copies of one text say nothing about other words of it.
+    first = stored(marked.groupBy(F.xxhash64(whole()).alias("mark"), "toxic").agg(F.min("doc_id").alias("__id")).select("__id", "toxic"), "toxic-first")
+    few = first.count() <= SMALL_LABELS
+    train = docs.select("doc_id", "text").join(F.broadcast(first) if few else first, F.col("doc_id") == F.col("__id")).select("text", "toxic")
     return score(docs, fit(train, 2 * partitions(docs.sparkSession)), keep)
 
 
