@@ -32,6 +32,7 @@ from assay.llm.common import documents, partitions, register, stored, whole
 SALTS = 16
 LINES_PER_BUCKET = 50_000
 NO_ID = 2**63 - 1
+SMALL = 200_000  # keys of 40 bytes, 8 MB, that may be broadcast
 KEY = ["digest", "n_bytes", "check"]
 STORE = "bucket int, digest binary, n_bytes int, check bigint, first_id bigint, first_row bigint, n bigint, filter binary"
 
@@ -215,12 +216,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without later copies, all columns as they were.
 
-    Rows are told apart by doc_id; should one doc_id carry several rows with one text, one of them stays.
+    Rows are told apart by doc_id and text; should one doc_id carry a text several times, one of the rows stays.
     """
-    flags = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(normalised(whole("text")), 256)))
-    first = keyed.join(flags, F.col("doc_id").eqNullSafe(F.col("__id")) & (keyed["__digest"] == flags["__digest"]), "left_semi")
-    return first.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    flags = exact_groups(docs).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"), "kept")
+    keys = stored(flags.groupBy("__id", "__digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "copies")
+    gone = keys.where("NOT kept").select("__id", "__digest")
+    digest = F.unhex(F.sha2(normalised(whole(F.col("text").cast("string"))), 256))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
+    rest = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, on, "left_anti")
+    return rest if keys.where("kept AND n > 1").isEmpty() else rest.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
 
 
 SQL = r"""

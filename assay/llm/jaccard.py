@@ -287,8 +287,11 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of each component the document with the smallest doc_id, all columns as they were; rows without doc_id stay."""
-    gone = stored(similar_components(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "similar")
+    """Of each component the document with the smallest doc_id, all columns as they were; rows without doc_id stay.
+
+    A doc_id that stands in several rows stays if one of them is to stay.
+    """
+    gone = stored(similar_components(docs, percent).groupBy(F.col("doc_id").alias("__id")).agg(F.max("component_id").alias("c")).where("c < __id").select("__id"), "similar")
     few = gone.count() <= SMALL
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__id"), "left_anti")
 

@@ -9,8 +9,8 @@ The protobuf is read field by field: pieces with score and kind, the trainer's m
 * the decoder: byte pieces joined, marker to space, one leading space dropped.
 
 A piece holds the marker only at its beginning, or consists of markers, so a text may be cut before each run of markers:
-stretches are encoded as batches by several threads, each distinct stretch once while it is held. ``parity`` counts the documents in
-which the result differs from the sentencepiece library, and the query does so for every document.
+stretches are encoded as batches by several threads, each distinct stretch once while it is held. ``parity`` tells for every document
+whether the ids are those of the sentencepiece library.
 
 Where a model ranks pieces equally (the runs of spaces), the libraries may merge in different order; stretches with two markers
 or more therefore are encoded by the reference library's rule: the leftmost of the best-scored pairs first (``merged``).
@@ -226,29 +226,21 @@ def original(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def encode_documents(docs: DataFrame, keep: list[str], path: str, threads: int = THREADS, text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``ids``."""
-
-    def work(texts: list[bytes]) -> list:
-        return [[x.astype(np.int32) for x in encoder(path, threads).encode(texts)]]
-
-    return map_texts(docs, keep, "ids array<int>", work, text_col)
-
-
-def encoded_figures(docs: DataFrame, keep: list[str], path: str, threads: int = THREADS, text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, keep: list[str], path: str, threads: int = THREADS, text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Columns ``keep`` and, per document: number and crc32 of the ids (little-endian unsigned 32-bit), whether decoding them gives the
-    text again, and whether they are those of the sentencepiece library."""
+    text again, whether they are those of the sentencepiece library, and the ``ids`` themselves."""
 
     def work(texts: list[bytes]) -> list:
         made, plain = encoder(path, threads), [t.decode("utf-8", "replace") for t in texts]
         ids, sound = made.checked(texts)
         theirs = original(path).encode(plain, num_threads=threads)
         return [[len(x) for x in ids], [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
-                sound, [len(a) == len(b) and a.tolist() == b for a, b in zip(ids, theirs)]]
+                sound, [len(a) == len(b) and a.tolist() == b for a, b in zip(ids, theirs)],
+                *([[x.astype(np.int32) for x in ids]] if with_ids else [])]
 
-    return map_texts(docs, keep, FIGURES, work, text_col)
+    return map_texts(docs, keep, FIGURES + (", ids array<int>" if with_ids else ""), work, text_col)
 
 
 @register("op9_piece_ids")
 def op9_piece_ids(spark: SparkSession, root: str) -> DataFrame:
-    return encoded_figures(documents(spark, root), ["doc_id"], public_tokenizers.path(MODEL))
+    return encode_documents(documents(spark, root), ["doc_id"], public_tokenizers.path(MODEL), with_ids=False)
