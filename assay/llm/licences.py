@@ -104,14 +104,14 @@ def evaluate(order: list[str]) -> tuple[frozenset[str], bool] | None:
     stack: list[tuple[frozenset[str], bool, bool]] = []  # labels, allowed, single name
     for token in order:
         if token not in PRECEDENCE:
-            name = token.rstrip("+")
-            stack.append((frozenset([name]), not name.startswith(COPYLEFT), True))
+            label = token.rstrip("+")
+            stack.append((frozenset([label]), not label.startswith(COPYLEFT), True))
             continue
         if len(stack) < 2:
             return None
-        (la, aa, _), (lb, ab, single) = stack[-2], stack[-1]
+        (la, aa, name), (lb, ab, exception) = stack[-2], stack[-1]
         if token == "with":
-            if not single:
+            if not (name and exception):
                 return None
             new = (la | lb, True, False)
         else:

@@ -40,7 +40,7 @@ THREADS = 2
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 RUNS = re.compile(b"((?:" + MARK_BYTES + b")+)")
-FIRST = "\x00"  # before a stretch that has no marker
+FIRST = b"\xff"  # before a stretch that has no marker; no UTF-8 text has this byte
 LINE = 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the model file
 UNIGRAM, BPE = 1, 2
@@ -165,22 +165,22 @@ class Encoder:
     def _encode(self, keys: list[bytes]) -> Encoded:
         ids, sizes = self._encoded(keys)
         held = len(self.words.known) - len(keys)
-        texts = [k.decode("utf-8", "replace") for k in keys]
-        want = [t[1:] if t[:1] == FIRST else t.replace(MARK, " ").removeprefix(" ") if MARK in t else t for t in texts]
+        want = [k[1:].decode("utf-8", "replace") if k[:1] == FIRST else k.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") if MARK_BYTES in k
+                else k.decode("utf-8", "replace") for k in keys]
         got = self.decode(list(slices(ids, sizes)))
         self.sound = np.concatenate([self.sound[:held], np.array([a == b for a, b in zip(got, want)], dtype=bool)])
         return ids, sizes
 
     def _encoded(self, keys: list[bytes]) -> Encoded:
         """Ids of stretches. A key without marker stands for the word with one marker before it."""
-        texts = [k.decode("utf-8", "replace") for k in keys]
-        if all(MARK not in t for t in texts):
+        texts = [k.removeprefix(FIRST).decode("utf-8", "replace") for k in keys]
+        if not any(MARK_BYTES in k or k[:1] == FIRST for k in keys):
             lines = [MARK + MARK.join(texts[i:i + LINE]) for i in range(0, len(texts), LINE)]
             ids, _ = self._batch(lines)
             opens = np.flatnonzero(self.opens[ids])
             if len(opens) == len(texts):
                 return ids, np.diff(np.r_[opens, len(ids)])
-        full = [t[1:] if t[:1] == FIRST else t if MARK in t else MARK + t for t in texts]
+        full = [t if k[:1] == FIRST or MARK in t else MARK + t for k, t in zip(keys, texts)]
         out = [e.ids for e in self.made.encode_batch_fast(full, add_special_tokens=False)]
         for i, stretch in enumerate(full):
             if self.model.kind == BPE and MARK * 2 in stretch:
@@ -195,7 +195,7 @@ class Encoder:
             return text.split(b" ")
         escaped = (MARK_BYTES if self.model.dummy_prefix else b"") + text.replace(b" ", MARK_BYTES)
         cut = RUNS.split(escaped)  # what stands before the first run, then runs and what follows them
-        return ([FIRST.encode() + cut[0]] if cut[0] else []) + [run + rest for run, rest in zip(cut[1::2], cut[2::2])]
+        return ([FIRST + cut[0]] if cut[0] else []) + [run + rest for run, rest in zip(cut[1::2], cut[2::2])]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         ids, sizes = self.words([self.stretches(t) for t in texts])
