@@ -1,15 +1,15 @@
 """Order-dependent operators that stay balanced when one key holds much of the table.
 
-``Window.partitionBy(key)`` puts all rows of a key into one task. The functions here first find the
-keys too large for that (at most ``MAX_HOT`` of them, so the list may be broadcast), cut the time line of
-each such key into spans of about ``HOT_ROWS`` rows, work inside ``(key, span)``, and carry the few values
-that cross a span border through a summary with one row per span. Spans that are still too large, because
-rows crowd in time or share one order value, are cut again, by the next order column where the first is
-tied. Results equal those of the plain window.
+``Window.partitionBy(key)`` puts all rows of a key into one task. The functions here first count the rows per key. If no key
+is too large for one task, the plain window runs. Otherwise the rows of the large keys are range-partitioned by ``(keys, order)``, with
+borders that Spark measures on a sample, and stored with their partition number as span: consecutive stretches of about
+``HOT_ROWS`` rows, whatever the type and spread of the order columns. Work is done inside ``(key, span)``, and the few
+values that cross a span border are carried through a summary with one row per span. Results equal those of the plain window.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,31 +17,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from assay.session import cut
 
-HOT_ROWS = 1_000_000  # a group up to this size is ordinary work for one task
-MAX_HOT = 100_000     # never more keys than this are split, so their list can be broadcast
-SHORT_FRAME = 400     # moving frames up to this many ticks are summed row by row
-LEVELS = 3            # a span that stays too large is cut again this often
-BROADCAST_ROWS = 200_000  # key lists and group figures up to this many rows are broadcast
+HOT_ROWS = 1_000_000          # a group up to this size is ordinary work for one task
+BROADCAST_BYTES = 16_000_000  # key lists and group figures up to this measured size are broadcast
 SPAN = "__span"
 
 
-def axis(df: DataFrame, name: str) -> Column:
-    """The order column as a number that grows with it, on which equal-width spans can be cut."""
-    kind, c = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, T.StringType):
-        # the first 15 bytes as one number; texts are ordered by their bytes
-        digits = F.rpad(F.hex(F.encode(c, "UTF-8")), 30, "0")
-        part = lambda start, n: F.conv(F.substring(digits, start, n), 16, 10).cast("decimal(20,0)")
-        return (part(1, 14) * F.lit(str(2**64)).cast("decimal(20,0)") + part(15, 16)).cast("decimal(38,0)")
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.least(F.greatest(F.nanvl(c.cast("double"), F.lit(1e300)), F.lit(-1e300)), F.lit(1e300))
-    return c.cast("double")
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str = "left") -> DataFrame:
     """Join in which null keys meet; the right copy of the key columns is dropped."""
     other = right.select(*[F.col(n).alias(f"__r_{n}") if n in names else F.col(n) for n in right.columns])
@@ -49,87 +29,59 @@ def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str
     return left.join(other, on, how).drop(*[f"__r_{n}" for n in names])
 
 
-def sized(small: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Store a condensed table once and count it: few rows are marked for broadcast, many join by shuffle.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts by their length, nested values by their JSON form, others eight."""
+    def one(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(f.name)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(f.name)))
+        return F.lit(0)
+    return sum((F.coalesce(one(f), F.lit(0)) + 8 for f in df.schema.fields), F.lit(0)).cast("long")
+
+
+def sized(small: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Store a condensed table once and measure it: a small one is marked for broadcast, a large one joins by shuffle.
 
     Without this, Spark judges the table by the size of what it was computed from, and shuffles the
     large side of the join for the sake of a handful of rows.
     """
     stored = cut(small)
-    limit = BROADCAST_ROWS if max_rows is None else max_rows
-    return F.broadcast(stored) if stored.count() <= limit else stored
+    limit = BROADCAST_BYTES if max_bytes is None else max_bytes
+    return F.broadcast(stored) if (stored.agg(F.sum(row_bytes(stored))).first()[0] or 0) <= limit else stored
 
 
 @dataclass(frozen=True)
 class Hot:
-    """How the hot keys are cut: one small stored table per level."""
-    order: list[str]
-    levels: list[DataFrame]
+    """The keys that are too large for one task, how many rows they have together, and how many a span is to hold."""
+    keys: DataFrame
+    rows: int
+    unit: int
 
 
-def _large_groups(df: DataFrame, group: list[str], order: list[str], unit: int, above: int) -> DataFrame | None:
-    """Groups with more than ``above`` rows that can be cut, with their ranges; at most ``MAX_HOT`` of them.
+def hot_keys(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = None) -> Hot | None:
+    """Find the keys with too many rows for one task, in one condensing pass.
 
-    Should more lie above the limit, the limit rises; what then stays whole is small against the table.
+    None when there is no such key, which lets the callers use the plain window. ``hot_rows`` overrides the
+    limit in tests.
     """
-    first = order[0]
-    aggs = [F.count(F.lit(1)).alias("__n"), F.min(axis(df, first)).alias("__lo0"), F.max(axis(df, first)).alias("__hi0"),
-            F.count(first).alias("__filled"), F.coalesce(F.min(first) == F.max(first), F.lit(True)).alias("__one")]
-    tied = F.lit(False)
-    if len(order) > 1:
-        aggs += [F.min(axis(df, order[1])).alias("__lo1"), F.max(axis(df, order[1])).alias("__hi1")]
-        tied = F.col("__one") & F.col("__filled").isin(F.lit(0), F.col("__n")) & F.coalesce(F.col("__lo1") < F.col("__hi1"), F.lit(False))
-    can_cut = tied | F.coalesce(F.col("__lo0") < F.col("__hi0"), F.lit(False)) | F.col("__filled").between(1, F.col("__n") - 1)
-    found = cut(df.groupBy(*group).agg(*aggs).where(F.col("__n") > above))
-    count, bar = found.count(), above
-    while count > MAX_HOT:
-        bar *= 2
-        found = found.where(F.col("__n") > bar)
-        count = found.count()
-    if not count:
-        return None
-    found = found.where(can_cut).withColumns({"__tied": tied, "__pieces": F.ceil(F.col("__n") / unit)}).drop("__n", "__filled", "__one")
-    return None if found.isEmpty() else found
+    unit = HOT_ROWS if hot_rows is None else hot_rows
+    found = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > unit))
+    total = found.agg(F.sum("__n")).first()[0]
+    return Hot(sized(found.drop("__n")), total, unit) if total else None
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = None) -> Hot | None:
-    """Find the keys with too many rows for one task, in one condensing pass, and how to cut them.
+def spanned(df: DataFrame, keys: list[str], order: list[str], hot: Hot) -> DataFrame:
+    """Add the span number: 0 for rows of ordinary keys; it grows along the order of the large ones, whose rows are stored.
 
-    None when there is no such key, which lets the callers use the plain window. Further passes read hot
-    keys only. ``hot_rows`` overrides the limit in tests.
+    The range partitioner compares all order columns, nulls first, so only rows that are equal in all of
+    them must share a span.
     """
-    unit = HOT_ROWS if hot_rows is None else hot_rows
-    order = order[:2]
-    needed = df.select(*dict.fromkeys([*keys, *order]))
-    first = _large_groups(needed, keys, order, unit, unit)
-    if first is None:
-        return None
-    hot = Hot(order, [first])
-    while len(hot.levels) < LEVELS:
-        spanned = with_span(needed, keys, hot, only_hot=True)
-        again = _large_groups(spanned, [*keys, SPAN], order, unit, 4 * unit)
-        if again is None:
-            break
-        hot = Hot(order, [*hot.levels, again])
-    return hot
-
-
-def with_span(df: DataFrame, keys: list[str], hot: Hot, only_hot: bool = False) -> DataFrame:
-    """Add the span number, growing along the order of a hot key; 0 for rows of other keys."""
-    out, group = df, list(keys)
-    for number, level in enumerate(hot.levels):
-        joined = join_null_safe(out, F.broadcast(level), group, "inner" if only_hot and not number else "left")
-        piece = None
-        for i, name in enumerate(hot.order):
-            at, low, high = axis(df, name), F.col(f"__lo{i}"), F.col(f"__hi{i}")
-            place = (at - low).cast("double") / ((high - low).cast("double") + 1)
-            by = F.when(at.isNull(), F.lit(1)).otherwise(F.lit(2) + F.floor(place * F.col("__pieces")))
-            piece = by if piece is None else F.when(F.col("__tied"), by).otherwise(piece)
-        piece = F.when(F.col("__pieces").isNull(), F.lit(0)).otherwise(piece).cast("long")
-        span = F.col(SPAN) * F.lit(1_000_000) + piece if number else piece
-        out = joined.withColumn(SPAN, span).drop(*[c for c in level.columns if c not in group])
-        group = [*keys, SPAN]
-    return out
+    marked = hot.keys.withColumn("__hot", F.lit(True))
+    rows = join_null_safe(df, marked, keys, "inner").drop("__hot")
+    ranged = rows.repartitionByRange(max(1, math.ceil(hot.rows / hot.unit)), *[F.col(c).asc() for c in dict.fromkeys([*keys, *order])])
+    cold = join_null_safe(df, marked, keys, "left").where("__hot IS NULL").drop("__hot").withColumn(SPAN, F.lit(0))
+    return cold.unionByName(cut(ranged.withColumn(SPAN, F.spark_partition_id() + 1)))
 
 
 def _ordering(order: list[str], descending: bool) -> list[Column]:
@@ -164,9 +116,10 @@ def neighbour(
     group = [*keys, SPAN]
     source = sorted({c for c, _ in values.values()})
     carried = sorted({*keys, *order, *source})
+    all_rows = spanned(df, keys, order, hot)
     from_end = W.partitionBy(*group).orderBy(*_ordering(order, not following))
     tail = cut(
-        with_span(df.select(*carried), keys, hot, only_hot=True)
+        all_rows.where(F.col(SPAN) > 0).select(*carried, SPAN)
         .withColumn("__rank", F.row_number().over(from_end)).where(F.col("__rank") <= reach))
     along = W.partitionBy(*keys).orderBy(F.col(SPAN).desc() if following else F.col(SPAN).asc())
     sizes = tail.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
@@ -189,7 +142,7 @@ def neighbour(
         .withColumn(SPAN, F.col("__to.span"))
         .select(*carried, SPAN, F.lit(True).alias("__halo"))
     )
-    both = with_span(df, keys, hot).withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    both = all_rows.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
     window = W.partitionBy(*group).orderBy(*ordering)
     out = both.withColumns({name: F.lag(c, n).over(window) for name, (c, n) in values.items()})
     return out.where(~F.col("__halo")).drop("__halo", SPAN)
@@ -213,13 +166,14 @@ def running(
     if hot is None:
         return df.withColumns({n: fold(e).over(upto(keys)) for n, e in values.items()})
     group = [*keys, SPAN]
+    all_rows = spanned(df, keys, order, hot)
     along = W.partitionBy(*keys).orderBy(SPAN).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        with_span(df, keys, hot, only_hot=True)
+        all_rows.where(F.col(SPAN) > 0)
         .groupBy(*group).agg(*[fold(e).alias(n) for n, e in values.items()])
         .select(*group, *[fold(n).over(along).alias(f"__o_{n}") for n in values])
     )
-    local = with_span(df, keys, hot).withColumns({n: fold(e).over(upto(group)) for n, e in values.items()})
+    local = all_rows.withColumns({n: fold(e).over(upto(group)) for n, e in values.items()})
     both = (lambda n: F.greatest(n, f"__o_{n}")) if how == "max" else (
         lambda n: F.when(F.col(f"__o_{n}").isNull(), F.col(n)).otherwise(F.coalesce(F.col(n) + F.col(f"__o_{n}"), F.col(f"__o_{n}"))))
     return join_null_safe(local, offsets, group).withColumns({n: both(n) for n in values}).drop(
@@ -239,43 +193,30 @@ def rolling(
     measures: dict[str, Column],
     spans: dict[str, int],
     tick: str = "day",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Trailing sums per key at day or second grain: one row per ``(key, tick)`` that occurs.
 
     ``measures`` are summed; ``spans`` maps a suffix to a number of ticks, the current one included, so
     ``{"7d": 7}`` at day grain covers today and the six days before. Rows are first summed per tick with
-    map-side aggregation. The time line is then cut into blocks of four times the longest span, each
-    block also receiving the ticks a window may reach back to, so that a group holds at most five spans
-    of ticks however many rows a key has. Measures should be whole numbers or decimals, whose sums are exact.
+    map-side aggregation. A trailing sum is the difference of two running sums, at the tick and just before
+    the window; the running sums split large keys, so no group grows with the window. A window without any
+    value sums to null. Measures should be whole numbers or decimals, whose sums are exact.
     """
     at = F.unix_date(F.col(ts).cast("date")).cast("long") if tick == "day" else F.unix_seconds(F.col(ts).cast("timestamp"))
     ticks = df.groupBy(*keys, at.alias("tick")).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
-    longest = max(spans.values())
-    block = 4 * longest
-    own = F.floor(F.col("tick") / block)
-    reach = F.floor((F.col("tick") + longest - 1) / block)
-    spread = ticks.withColumn("__block", F.explode(
-        F.when(own == reach, F.array(own)).otherwise(F.array(own, reach)))).withColumn("__own", own == F.col("__block"))
-    if longest <= SHORT_FRAME:
-        order = W.partitionBy(*keys, "__block").orderBy("tick")
-        return (
-            spread.withColumns({
-                f"{n}_{label}": F.sum(n).over(order.rangeBetween(-(length - 1), 0))
-                for n in measures for label, length in spans.items()
-            })
-            .where("__own").drop("__block", "__own")
-        )
-    # a moving frame is summed anew for every row; long ones are the difference of two running sums instead
-    probes = F.array(*[F.struct((F.col("tick") - length).alias("at"), F.lit(i).alias("kind")) for i, length in enumerate(spans.values(), 1)])
-    here = F.array(F.struct(F.col("tick").alias("at"), F.lit(0).alias("kind")))
-    lines = spread.withColumn("__e", F.explode(F.when(F.col("__own"), F.concat(here, probes)).otherwise(here)))
-    upto = W.partitionBy(*keys, "__block").orderBy("__e.at", F.col("__e.kind") > 0).rowsBetween(W.unboundedPreceding, 0)
-    summed = lines.withColumns({f"__s_{n}": F.coalesce(F.sum(F.when(F.col("__e.kind") == 0, F.col(n))).over(upto), F.lit(0)) for n in measures})
-    at = lambda n, kind: F.max(F.when(F.col("__e.kind") == kind, F.col(f"__s_{n}")))
-    return summed.where("__own").groupBy(*keys, "__block", "tick").agg(
-        *[F.first(n).alias(n) for n in measures],
-        *[(at(n, 0) - at(n, i)).alias(f"{n}_{label}") for n in measures for i, label in enumerate(spans, 1)],
-    ).drop("__block")
+    probes = [F.struct(F.col("tick").alias("at"), F.lit(0).alias("kind"))] + [
+        F.struct((F.col("tick") - length).alias("at"), F.lit(i).alias("kind")) for i, length in enumerate(spans.values(), 1)]
+    lines = ticks.select("*", F.explode(F.array(*probes)).alias("__e")).select("*", F.col("__e.at").alias("__at"), F.col("__e.kind").alias("__kind")).drop("__e")
+    # a line of a tick adds its values; a line just before a window adds nothing and reads the sum there
+    adds = F.col("__kind") == 0
+    sums = {f"__s_{n}": F.coalesce(F.when(adds, F.col(n)), F.lit(0)) for n in measures}
+    filled = {f"__c_{n}": F.when(adds & F.col(n).isNotNull(), 1).otherwise(0).cast("long") for n in measures}
+    summed = running(lines.withColumn("__probe", (~adds).cast("int")), keys, ["__at", "__probe", "tick", "__kind"], sums | filled, hot_rows=hot_rows)
+    here = lambda c, kind: F.max(F.when(F.col("__kind") == kind, F.col(c)))
+    total = lambda n, i: F.when(here(f"__c_{n}", 0) > here(f"__c_{n}", i), here(f"__s_{n}", 0) - here(f"__s_{n}", i))
+    return summed.groupBy(*keys, "tick").agg(
+        *[F.max(n).alias(n) for n in measures], *[total(n, i).alias(f"{n}_{label}") for n in measures for i, label in enumerate(spans, 1)])
 
 
 def prefix_sums(df: DataFrame, index: str, value: str, out: str, block: int = 4096) -> DataFrame:
@@ -305,9 +246,9 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column | str], k: int
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], accuracy: int = 100_000) -> DataFrame:
     """Exact nearest-rank quantiles (smallest value with at least ``ceil(p * n)`` rows at or below it).
 
-    One pass brackets each quantile with a mergeable sketch of bounded size; the second counts the rows
-    below the bracket and keeps only the values inside it, about ``6 / accuracy`` of the table. Their
-    running count is split like any hot group when even they are many.
+    One pass brackets each quantile with a mergeable sketch of bounded size. The second counts every value that
+    lies in a bracket, about ``6 / accuracy`` of the table per quantile, and all other rows as a few lines by the brackets
+    they lie below. What follows reads condensed lines only; their running count is split like any large group.
     """
     rows = df.select(F.col(value).alias("v")).where(F.col("v").isNotNull())
     margin = 3.0 / accuracy
@@ -317,21 +258,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], accuracy
         *[F.percentile_approx("v", min(1.0, p + margin), accuracy).alias(f"hi_{k}") for k, p in probs.items()],
     )
     packed = sketch.select(F.struct(*sketch.columns).alias("s")).scalar()
-    bounds = rows.select("v", packed.alias("s"))
-    places = bounds.select("v", "s", F.explode(F.array(*[
-        F.struct(
-            F.lit(k).alias("name"), F.col(f"s.lo_{k}").alias("lo"), F.col(f"s.hi_{k}").alias("hi"),
-            F.greatest(F.ceil(F.lit(p) * F.col("s.n")), F.lit(1).cast("long")).alias("want"),
-        ) for k, p in probs.items()])).alias("q"))
-    counted = (
-        places.where(F.col("v") <= F.col("q.hi"))
-        .groupBy(
-            F.col("q.name").alias("name"),
-            # all rows below the bracket fall into one counted line
-            F.when(F.col("v") >= F.col("q.lo"), F.col("v")).alias("v"),
-        )
-        .agg(F.count(F.lit(1)).alias("c"), F.max("q.want").alias("want"))
-    )
+    inside = reduce(lambda a, b: a | b, [F.col("v").between(F.col(f"s.lo_{k}"), F.col(f"s.hi_{k}")) for k in probs])
+    below = reduce(lambda a, b: a + b, [F.when(F.col("v") < F.col(f"s.lo_{k}"), 1 << i).otherwise(0) for i, k in enumerate(probs)])
+    lines = cut(rows.withColumn("s", packed).groupBy(F.when(inside, F.col("v")).alias("v"), below.alias("below"), "s").agg(F.count(F.lit(1)).alias("c")))
+    places = F.array(*[
+        F.struct(F.lit(k).alias("name"), F.greatest(F.ceil(F.lit(p) * F.col("s.n")), F.lit(1).cast("long")).alias("want"),
+                 (F.col("below").bitwiseAND(F.lit(1 << i)) > 0).alias("below"), F.col("v").between(F.col(f"s.lo_{k}"), F.col(f"s.hi_{k}")).alias("inside"))
+        for i, (k, p) in enumerate(probs.items())])
+    counted = lines.select("v", "c", F.explode(places).alias("q")).where("q.below OR q.inside").groupBy(
+        F.col("q.name").alias("name"), F.when(~F.col("q.below"), F.col("v")).alias("v")).agg(F.sum("c").alias("c"), F.max("q.want").alias("want"))
     return (
         running(cut(counted), ["name"], ["v"], {"upto": F.col("c")})
         .where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))

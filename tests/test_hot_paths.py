@@ -19,7 +19,7 @@ SIZED = ["a8_quarantined_rows", "f0c_quarantine_summary", "e1_impute_group_mean"
 @pytest.fixture
 def low_limits(monkeypatch):
     monkeypatch.setattr(ordered, "HOT_ROWS", 6)
-    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ordered, "BROADCAST_BYTES", 0)
 
 
 @pytest.mark.parametrize("name", ORDERED + SIZED)

@@ -51,48 +51,69 @@ def test_order_columns_of_any_type(skewed, kind):
     same(got, df.withColumn("a", F.lag("v", 2).over(W.partitionBy("key").orderBy("o", "id"))))
 
 
-def spans(df, keys, hot):
-    return {r[0]: r[1] for r in ordered.with_span(df, keys, hot).where("key = 'hot'").groupBy(ordered.SPAN).count().collect()}
+def spans(df, keys, order, hot):
+    return {r[0]: r[1] for r in ordered.spanned(df, keys, order, hot).where("key = 'hot'").groupBy(ordered.SPAN).count().collect()}
 
 
 def test_hot_key_is_found_and_split(skewed):
     hot = ordered.hot_keys(skewed, ["key"], ["t", "id"], 100)
-    assert [(r["key"], r["__pieces"]) for r in hot.levels[0].collect()] == [("hot", 3)]
-    sizes = spans(skewed, ["key"], hot)
-    assert len(sizes) == 3 and all(n < 150 for n in sizes.values())
+    assert [r["key"] for r in hot.keys.collect()] == ["hot"] and hot.rows == 300
+    sizes = spans(skewed, ["key"], ["t", "id"], hot)
+    assert len(sizes) == 3 and all(n < 200 for n in sizes.values())
     assert ordered.hot_keys(skewed, ["key"], ["t", "id"], 1000) is None
 
 
-@pytest.mark.parametrize("shape", ["outlier", "tied", "tied_null", "two_values"])
-def test_crowded_orders_are_cut_again(skewed, shape):
-    """All rows of the key at one moment, or crowded beside an outlier."""
-    t = {"outlier": F.when(F.col("id") == 0, F.lit(10**12)).otherwise(F.col("t")), "tied": F.lit(7), "tied_null": F.lit(None).cast("long"),
-         "two_values": F.when(F.col("id") % 2 == 0, 3)}[shape]
-    df = skewed.withColumn("t", t.cast("long"))
-    hot = ordered.hot_keys(df, ["key"], ["t", "id"], 20)
-    sizes = spans(df, ["key"], hot)
+def shaped(df, shape):
+    """All rows of the key at one moment, crowded beside an outlier, fractional, exponential, or alike in their first bytes."""
+    t = F.col("t")
+    if shape == "outlier":
+        return df.withColumn("t", F.when(F.col("id") == 0, F.lit(10**12)).otherwise(t))
+    if shape == "tied":
+        return df.withColumn("t", F.lit(7))
+    if shape == "tied_null":
+        return df.withColumn("t", F.lit(None).cast("long"))
+    if shape == "two_values":
+        return df.withColumn("t", F.when(F.col("id") % 2 == 0, 3))
+    if shape == "fractional":
+        return df.withColumn("t", t / 100_000.0)
+    if shape == "exponential":
+        return df.withColumn("t", F.exp(t / 4.0))
+    return df.withColumn("t", F.format_string("Customer#00000000000000%09d", t))
+
+
+@pytest.mark.parametrize("shape", ["outlier", "tied", "tied_null", "two_values", "fractional", "exponential", "prefixed", "third"])
+def test_spans_are_even_whatever_the_order_columns(skewed, shape):
+    order = ["one", "two", "id"] if shape == "third" else ["t", "id"]
+    df = (skewed.withColumns({"one": F.lit(1), "two": F.lit("x")}) if shape == "third" else shaped(skewed, shape)).cache()
+    hot = ordered.hot_keys(df, ["key"], order, 20)
+    sizes = spans(df, ["key"], order, hot)
     assert sum(sizes.values()) == 300 and max(sizes.values()) <= 80
-    w = W.partitionBy("key").orderBy("t", "id")
-    same(ordered.neighbour(df, ["key"], ["t", "id"], {"a": ("v", 2)}, hot=hot), df.withColumn("a", F.lag("v", 2).over(w)))
-    back = W.partitionBy("key").orderBy(F.col("t").desc(), F.col("id").desc())
-    same(ordered.neighbour(df, ["key"], ["t", "id"], {"a": ("v", 1)}, following=True, hot=hot), df.withColumn("a", F.lag("v", 1).over(back)))
-    same(ordered.running(df, ["key"], ["t", "id"], {"s": F.col("v")}, hot=hot),
+    w = W.partitionBy("key").orderBy(*order)
+    same(ordered.neighbour(df, ["key"], order, {"a": ("v", 2)}, hot=hot), df.withColumn("a", F.lag("v", 2).over(w)))
+    back = W.partitionBy("key").orderBy(*[F.col(c).desc() for c in order])
+    same(ordered.neighbour(df, ["key"], order, {"a": ("v", 1)}, following=True, hot=hot), df.withColumn("a", F.lag("v", 1).over(back)))
+    same(ordered.running(df, ["key"], order, {"s": F.col("v")}, hot=hot),
          df.withColumn("s", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0))))
 
 
-def test_list_of_hot_keys_is_bounded(skewed, monkeypatch):
-    monkeypatch.setattr(ordered, "MAX_HOT", 1)
+def test_no_hot_key_stays_whole(skewed):
+    """However many keys lie above the limit, each is split."""
     hot = ordered.hot_keys(skewed, ["key"], ["t", "id"], 5)
-    assert [r["key"] for r in hot.levels[0].collect()] == ["hot"]
-    got = ordered.neighbour(skewed, ["key"], ["t", "id"], {"a": ("v", 1)}, hot_rows=5)
-    same(got, skewed.withColumn("a", F.lag("v", 1).over(W.partitionBy("key").orderBy("t", "id"))))
+    assert hot.keys.count() > 20
+    largest = ordered.spanned(skewed, ["key"], ["t", "id"], hot).groupBy("key", ordered.SPAN).count().agg(F.max("count")).first()[0]
+    assert largest <= 20
+
+
+def test_key_lists_are_broadcast_by_their_bytes(spark):
+    small = spark.range(1000).select(F.col("id"), F.repeat(F.lit("x"), 100).alias("wide"))
+    plan = lambda limit: spark.range(10).join(ordered.sized(small, limit), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(200_000) and "strategy=broadcast" not in plan(100_000)
 
 
-@pytest.mark.parametrize("frame", [1, 10**9])
-def test_rolling_equals_range_window(spark, skewed, frame, monkeypatch):
-    monkeypatch.setattr(ordered, "SHORT_FRAME", frame)
-    df = skewed.where("key IS NOT NULL").withColumn("ts", F.timestamp_seconds(F.col("t") * 3600))
-    got = ordered.rolling(df, ["key"], "ts", {"n": F.lit(1).cast("long"), "s": F.col("v")}, {"a": 5 * 3600, "b": 60 * 3600}, "second")
+@pytest.mark.parametrize("hot_rows", [40, 10_000])
+def test_rolling_equals_range_window(spark, skewed, hot_rows):
+    df = skewed.where("key IS NOT NULL").withColumn("ts", F.timestamp_seconds(F.col("t") * 3600)).withColumn("v", F.when(F.col("t") % 60 < 50, F.col("v")))
+    got = ordered.rolling(df, ["key"], "ts", {"n": F.lit(1).cast("long"), "s": F.col("v")}, {"a": 5 * 3600, "b": 60 * 3600}, "second", hot_rows=hot_rows)
     ticks = df.groupBy("key", F.unix_seconds("ts").alias("tick")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
     w = W.partitionBy("key").orderBy("tick")
     want = ticks
