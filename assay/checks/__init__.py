@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain")
+GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain", "fine")
 
 
 def load_all() -> None:

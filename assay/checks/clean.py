@@ -18,7 +18,7 @@ SELECT o_orderkey, o_totalprice IS NULL AS o_totalprice_imputed,
 FROM {orders_dirty} WINDOW g AS (PARTITION BY o_orderpriority)
 """)
 def impute_group(t: Tables) -> DataFrame:
-    return clean.impute(t.orders_dirty, {"o_totalprice": ("group_mean", "o_orderpriority")}).select(
+    return clean.impute(t.orders_dirty, {"o_totalprice": ("group_mean", "o_orderpriority")}, scale=2).select(
         "o_orderkey", "o_totalprice_imputed", "o_totalprice")
 
 
@@ -285,7 +285,7 @@ SELECT l_returnflag, count(*) AS rows, count(*) FILTER (abs(l_extendedprice - m)
 FROM lineitem JOIN g USING (l_returnflag) GROUP BY 1
 """)
 def outliers(t: Tables) -> DataFrame:
-    return clean.outliers(t.lineitem, "l_extendedprice", ["l_returnflag"], 1.6).groupBy("l_returnflag").agg(
+    return clean.outliers(t.lineitem, "l_extendedprice", ["l_returnflag"], 1.6, scale=2).groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("outlier").alias("outliers"))
 
 

@@ -19,7 +19,7 @@ SELECT {key}, strftime(DATE '1970-01-01' + CAST(tick AS INTEGER), '%Y-%m-%d') AS
 
 
 def rolled(df: DataFrame, key: str, ts: str, col: str) -> DataFrame:
-    return H.rolling_features(df, key, ts, col).select(
+    return H.rolling_features(df, key, ts, col, scale=2).select(
         key, F.col("day").cast("string").alias("day"), "n", "n_7d", "n_30d", F.col("sum_30d").cast("double").alias("sum_30d"), "avg_7d")
 
 
@@ -53,7 +53,7 @@ SELECT c_custkey, coalesce(f, 0) AS frequency, coalesce(CAST(v AS DOUBLE), 0) AS
 FROM customer LEFT JOIN p ON o_custkey = c_custkey, q
 """)
 def customer(t: Tables) -> DataFrame:
-    out = H.customer_features(t.customer, "c_custkey", t.orders, "o_custkey", "o_orderdate", "o_totalprice", "2001-08-02")
+    out = H.customer_features(t.customer, "c_custkey", t.orders, "o_custkey", "o_orderdate", "o_totalprice", "2001-08-02", scale=2)
     return out.select("c_custkey", "frequency", F.coalesce(F.col("lifetime_value").cast("double"), F.lit(0.0)).alias("lifetime_value"),
                       F.coalesce("recency_days", F.lit(-1)).alias("recency_days"), F.coalesce("monetary", F.lit(0.0)).alias("monetary"),
                       F.coalesce(F.round("churn_score", 8), F.lit(0.0)).alias("churn_score"), F.coalesce("segment", F.lit(0)).alias("segment"))
@@ -100,7 +100,7 @@ WITH s AS (SELECT CAST(sum({D('c_acctbal')}) AS DOUBLE) / count(*) AS m,
 SELECT c_custkey, round((c_acctbal - m) / sqrt(greatest(q - m * m, 0)), 6) AS z FROM customer, s
 """)
 def zscore(t: Tables) -> DataFrame:
-    return H.normalise(t.customer, ["c_acctbal"]).select("c_custkey", F.round("c_acctbal_norm", 6).alias("z"))
+    return H.normalise(t.customer, ["c_acctbal"], scale=2).select("c_custkey", F.round("c_acctbal_norm", 6).alias("z"))
 
 
 @query("h6_minmax", """
@@ -159,7 +159,7 @@ SELECT user_id, strftime(DATE '1970-01-01' + CAST(tick AS INTEGER), '%Y-%m-%d')
   CAST(x30 AS DOUBLE) / n30 AS cross_border_ratio, CAST(r30 AS DOUBLE) / n30 AS round_ratio, CAST(c30 AS BIGINT) AS structuring_score FROM w
 """)
 def txn(t: Tables) -> DataFrame:
-    out = B.txn_features(t.events, "user_id", "ts", "value", F.col("event_type") == "purchase", 50.0, 0.1, 1)
+    out = B.txn_features(t.events, "user_id", "ts", "value", F.col("event_type") == "purchase", 50.0, 0.1, 1, scale=2)
     return out.withColumns({"day": F.col("day").cast("string")} | {f"sum_{k}d": F.col(f"sum_{k}d").cast("double") for k in (1, 7, 30)})
 
 
@@ -170,7 +170,7 @@ w AS (SELECT o_custkey, tick, sum(n) OVER w AS n, sum(a) OVER w AS a FROM d WIND
 SELECT o_custkey, strftime(DATE '1970-01-01' + CAST(tick AS INTEGER), '%Y-%m-%d') AS day, CAST(n AS BIGINT) AS n, CAST(a AS DOUBLE) AS amount FROM w WHERE n >= 2
 """)
 def structuring(t: Tables) -> DataFrame:
-    out = B.structuring(t.orders, "o_custkey", "o_orderdate", "o_totalprice", 300000, 0.2, 365, 2)
+    out = B.structuring(t.orders, "o_custkey", "o_orderdate", "o_totalprice", 300000, 0.2, 365, 2, scale=2)
     return out.withColumns({"day": F.col("day").cast("string"), "amount": F.col("amount").cast("double")})
 
 
@@ -185,7 +185,7 @@ WITH p AS (SELECT user_id, count(*) AS n, CAST(sum({D('value')}) AS DOUBLE) AS s
 SELECT user_id, n, s / n AS mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 6) AS volatility, idle_days, idle_days > 16 AS dormant FROM p
 """)
 def accounts(t: Tables) -> DataFrame:
-    return B.account_features(t.events, "user_id", "ts", "value", "2024-02-15", 16).withColumn("volatility", F.round("volatility", 6))
+    return B.account_features(t.events, "user_id", "ts", "value", "2024-02-15", 16, scale=2).withColumn("volatility", F.round("volatility", 6))
 
 
 @query("h14_usage_features", """
@@ -196,12 +196,12 @@ def usage(t: Tables) -> DataFrame:
 
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-PARAMS = [(s, lo, hi, pd, lgd) for s in SEGMENTS for lo, hi, pd, lgd in ((-10000.0, 0.0, 0.2, 0.9), (0.0, 3000.0, 0.05, 0.45), (3000.0, 100000.0, 0.01, 0.25))]
+PARAMS = [(s, lo, hi, pd, lgd) for s in SEGMENTS for lo, hi, pd, lgd in ((-500.0, 0.0, 0.2, 0.9), (0.0, 3000.0, 0.05, 0.45), (3000.0, 100000.0, 0.01, 0.25))]
 
 
 @query("h15_expected_loss", f"""
 WITH params(segment, lo, hi, pd, lgd) AS (VALUES {', '.join(f"('{s}', {lo}::DOUBLE, {hi}::DOUBLE, {pd}, {lgd})" for s, lo, hi, pd, lgd in PARAMS)})
-SELECT c_mktsegment, count(*) AS loans, CAST(sum(CAST(pd AS DECIMAL(9,6)) * CAST(lgd AS DECIMAL(9,6)) * greatest({D('c_acctbal')}, 0)) AS DOUBLE) AS reserve
+SELECT c_mktsegment, count(*) AS loans, CAST(sum(CAST(pd AS DECIMAL(9,6)) * CAST(lgd AS DECIMAL(9,6)) * greatest({D('c_acctbal')}, 0)) AS DOUBLE) AS reserve, count(*) FILTER (pd IS NULL) AS unrated
 FROM customer LEFT JOIN params ON segment = c_mktsegment AND c_acctbal >= lo AND c_acctbal < hi GROUP BY 1
 """)
 def loss(t: Tables) -> DataFrame:
@@ -278,7 +278,7 @@ SELECT user_id, strftime(DATE '1970-01-01' + CAST(tick AS INTEGER), '%Y-%m-%d')
        coalesce(round(CAST(n * sxy - sx * sy AS DOUBLE) / 100 / nullif(CAST(n * sxx - sx * sx AS DOUBLE), 0), 10), 0) AS slope FROM w
 """)
 def trend(t: Tables) -> DataFrame:
-    return C.trend(t.events, ["user_id"], "ts", "value").select(
+    return C.trend(t.events, ["user_id"], "ts", "value", scale=2).select(
         "user_id", F.col("day").cast("string").alias("day"), "n", F.coalesce(F.round("slope", 10), F.lit(0.0)).alias("slope"))
 
 
@@ -303,7 +303,7 @@ FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1
 """)
 def rates(t: Tables) -> DataFrame:
     joined = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
-    a = C.rate_features(joined, ["c_mktsegment"], {"finished": F.col("o_orderstatus") == "F"}, "o_totalprice")
+    a = C.rate_features(joined, ["c_mktsegment"], {"finished": F.col("o_orderstatus") == "F"}, "o_totalprice", scale=2)
     b = C.mix(joined, "c_mktsegment", "o_orderpriority", ["1-URGENT"]).withColumnRenamed("share_1-URGENT", "urgent")
     return a.join(b, "c_mktsegment")
 

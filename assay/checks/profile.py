@@ -42,7 +42,7 @@ SELECT '{c}' AS column_name, min({c}) AS min_value, max({c}) AS max_value,
          - (CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / count({c})) * (CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / count({c})), 0)), 3) AS stddev
 FROM lineitem""" for c in NUMERIC))
 def profile_numeric(t: Tables) -> DataFrame:
-    return profile.numeric_profile(t.lineitem, NUMERIC)
+    return profile.numeric_profile(t.lineitem, NUMERIC, scale=2)
 
 
 QUANTILES = {"p1": 0.01, "p50": 0.5, "p99": 0.99}

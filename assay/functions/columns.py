@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assay.functions import patterns
 
@@ -117,6 +117,44 @@ LOINC = r"^[0-9]{1,7}-[0-9]$"
 NDC = r"^[0-9]{5}-[0-9]{4}-[0-9]{2}$"
 
 
+# -- exact sums ----------------------------------------------------------------------------------------
+
+SCALE = 12  # digits after the point that a sum of doubles keeps where the caller names none
+
+
+def exact(df: DataFrame, col: str, scale: int | None = None) -> Column:
+    """The column as a type whose sums do not depend on the order of addition.
+
+    Decimals and whole numbers keep their own type. Doubles become decimals with ``scale`` digits after the
+    point; a value that loses more than a millionth of itself that way, or does not fit, is an error and not
+    a silent zero.
+    """
+    kind, c = df.schema[col].dataType, F.col(col)
+    if isinstance(kind, T.DecimalType):
+        return c
+    if isinstance(kind, T.IntegralType):
+        return c.cast("decimal(19,0)")
+    digits = SCALE if scale is None else scale
+    d = c.cast(f"decimal({18 if digits <= 4 else 38},{digits})")
+    lost = F.abs(d.cast("double") - c) > F.abs(c) * 1e-6
+    return F.when(lost, F.raise_error(F.concat(F.lit(f"{col} needs more than {digits} digits after the point: "), c.cast("string")))
+                  .cast(f"decimal({18 if digits <= 4 else 38},{digits})")).otherwise(d)
+
+
+def exact_square(df: DataFrame, col: str, scale: int | None = None) -> Column:
+    """Squares whose sums do not depend on the order of addition: exact for short decimals, else from doubles with 2 x ``scale`` digits, 14 at most."""
+    kind = df.schema[col].dataType
+    e = exact(df, col, scale)
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (e * e).cast(f"decimal(38,{2 * kind.scale})")
+    if isinstance(kind, T.IntegralType):
+        return e.cast("decimal(18,0)") * e.cast("decimal(18,0)")
+    digits = SCALE if scale is None else scale
+    if digits <= 4 and not isinstance(kind, T.DecimalType):
+        return (e * e).cast(f"decimal(38,{2 * digits})")
+    return (F.col(col).cast("double") * F.col(col).cast("double")).cast(f"decimal(38,{min(2 * digits, 14)})")
+
+
 # -- de-identification -------------------------------------------------------------------------------
 
 def token(col: Column | str, key: str) -> Column:

@@ -15,12 +15,12 @@ from assay.session import cut
 # -- imputation ---------------------------------------------------------------------------------------
 
 
-def _fill_value(df: DataFrame, col: str, how: tuple) -> Column | None:
+def _fill_value(df: DataFrame, col: str, how: tuple, scale: int | None) -> Column | None:
     kind = how[0]
     if kind == "constant":
         return F.lit(how[1])
     if kind == "mean":
-        return df.agg(F.avg(F.col(col).cast("decimal(18,2)")).cast("double")).scalar()
+        return df.agg(F.sum(fx.exact(df, col, scale)).cast("double") / F.count(col)).scalar()
     if kind == "median":
         return exact_quantiles(df, col, {"m": 0.5}).agg(F.max("value")).scalar()
     if kind == "mode":
@@ -29,11 +29,12 @@ def _fill_value(df: DataFrame, col: str, how: tuple) -> Column | None:
     return None
 
 
-def impute(df: DataFrame, plan: dict[str, tuple]) -> DataFrame:
+def impute(df: DataFrame, plan: dict[str, tuple], scale: int | None = None) -> DataFrame:
     """Fill nulls; ``{col}_imputed`` tells which values are not original.
 
     Plans: ("constant", v), ("mean",), ("median",), ("mode",), ("group_mean", group column), ("flag",).
-    Global figures are scalar subqueries; group means come from one condensed line per group.
+    Global figures are scalar subqueries; group means come from one condensed line per group. Means are exact
+    sums over counts; ``scale`` is the number of digits that doubles carry (see ``columns.exact``).
     """
     out = df.withColumns({f"{c}_imputed": F.col(c).isNull() for c in plan})
     for c, how in plan.items():
@@ -41,11 +42,11 @@ def impute(df: DataFrame, plan: dict[str, tuple]) -> DataFrame:
             continue
         if how[0] == "group_mean":
             means = df.groupBy(how[1]).agg(
-                (F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(c)).alias(f"__m_{c}"))
+                (F.sum(fx.exact(df, c, scale)).cast("double") / F.count(c)).alias(f"__m_{c}"))
             out = join_null_safe(out, sized(means), [how[1]])
             out = out.withColumn(c, F.coalesce(c, F.col(f"__m_{c}"))).drop(f"__m_{c}")
         else:
-            out = out.withColumn(c, F.coalesce(F.col(c), _fill_value(df, c, how)))
+            out = out.withColumn(c, F.coalesce(F.col(c), _fill_value(df, c, how, scale)))
     return out
 
 
@@ -237,21 +238,21 @@ def ltv(loans: DataFrame, appraisals: DataFrame | None = None, as_of: str | None
     return out.withColumn("ltv_current", ratio).drop("__current")
 
 
-def group_moments(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+def group_moments(df: DataFrame, col: str, by: list[str], scale: int | None = None) -> DataFrame:
     """Mean and population deviation per group from exact decimal sums."""
-    d = F.col(col).cast("decimal(18,2)")
-    n, s, q = F.count(col), F.sum(d).cast("double"), F.sum((d * d).cast("decimal(34,4)")).cast("double")
+    n, s, q = F.count(col), F.sum(fx.exact(df, col, scale)).cast("double"), F.sum(fx.exact_square(df, col, scale)).cast("double")
     return df.groupBy(*by).agg(n.alias("__n"), s.alias("__s"), q.alias("__q")).select(
         *by, (F.col("__s") / F.col("__n")).alias("group_mean"),
         F.sqrt(F.greatest(F.col("__q") / F.col("__n") - (F.col("__s") / F.col("__n")) * (F.col("__s") / F.col("__n")), F.lit(0.0))).alias("group_sd"))
 
 
-def outliers(df: DataFrame, col: str, by: list[str], k: float = 3.0, policy: tuple[float, float] | None = None) -> DataFrame:
+def outliers(df: DataFrame, col: str, by: list[str], k: float = 3.0, policy: tuple[float, float] | None = None,
+             scale: int | None = None) -> DataFrame:
     """More than ``k`` deviations from the group mean, or outside the policy range.
 
     Groups may be few and huge, so their moments are aggregated and joined back instead of windowed.
     """
-    out = join_null_safe(df, sized(group_moments(df, col, by)), by)
+    out = join_null_safe(df, sized(group_moments(df, col, by, scale)), by)
     flag = F.abs(F.col(col) - F.col("group_mean")) > k * F.col("group_sd")
     if policy:
         flag = flag | ~F.col(col).between(*policy)

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assay.functions import columns as fx
 from assay.operators.ordered import AUTO, exact_quantiles, hot_keys, neighbour, rolling, running
+from assay.session import cut
 
-MONEY = "decimal(18,2)"
-
-
-def rolling_features(df: DataFrame, key: str, ts: str, col: str, days: tuple[int, ...] = (7, 30)) -> DataFrame:
-    """Per key and day: trailing sums, counts and averages over the given numbers of days."""
-    out = rolling(df, [key], ts, {"n": F.lit(1).cast("long"), "amount": F.col(col).cast(MONEY)}, {f"{d}d": d for d in days}, "day")
+def rolling_features(df: DataFrame, key: str, ts: str, col: str, days: tuple[int, ...] = (7, 30),
+                     scale: int | None = None) -> DataFrame:
+    """Per key and day: trailing sums, counts and averages over the given numbers of days; a day without any value averages to null."""
+    out = rolling(df, [key], ts, {"n": F.lit(1).cast("long"), "filled": F.col(col).isNotNull().cast("long"), "amount": fx.exact(df, col, scale)}, {f"{d}d": d for d in days}, "day")
     return out.select(
         key, F.date_from_unix_date(F.col("tick").cast("int")).alias("day"), "n", "amount",
         *[F.col(f"n_{d}d") for d in days], *[F.col(f"amount_{d}d").alias(f"sum_{d}d") for d in days],
-        *[(F.col(f"amount_{d}d").cast("double") / F.col(f"n_{d}d")).alias(f"avg_{d}d") for d in days])
+        *[(F.col(f"amount_{d}d").cast("double") / F.nullif(F.col(f"filled_{d}d"), F.lit(0))).alias(f"avg_{d}d") for d in days])
 
 
 def lag_features(df: DataFrame, key: str, order: list[str], col: str, n: int = 1, hot=AUTO) -> DataFrame:
@@ -37,15 +37,16 @@ def with_quartile(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def customer_features(customers: DataFrame, key: str, orders: DataFrame, fk: str, ts: str, amount: str, as_of: str,
-                      churn: tuple[float, float] = (-3.0, 0.01)) -> DataFrame:
+                      churn: tuple[float, float] = (-3.0, 0.01), scale: int | None = None) -> DataFrame:
     """Lifetime value, recency, frequency, average amount, churn score and value segment per customer.
 
     The churn score is a documented logistic of recency in days with the caller's intercept and slope;
     it is not a trained model. Segments are quartiles of lifetime value among customers with orders.
     """
     per = orders.groupBy(F.col(fk).alias(key)).agg(
-        F.count(F.lit(1)).alias("frequency"), F.sum(F.col(amount).cast(MONEY)).alias("lifetime_value"),
+        F.count(F.lit(1)).alias("frequency"), F.sum(fx.exact(orders, amount, scale)).alias("lifetime_value"),
         F.datediff(F.lit(as_of).cast("date"), F.max(ts).cast("date")).alias("recency_days"))
+    per = cut(per)  # read for the quartiles, for their borders and for the result
     scored = with_quartile(per, "lifetime_value", "segment").withColumns({
         "monetary": F.col("lifetime_value").cast("double") / F.col("frequency"), "churn_score": logistic(F.col("recency_days"), *churn)})
     return customers.select(key).join(scored, key, "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
@@ -111,14 +112,13 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def normalise(df: DataFrame, cols: list[str], how: str = "zscore") -> DataFrame:
+def normalise(df: DataFrame, cols: list[str], how: str = "zscore", scale: int | None = None) -> DataFrame:
     """Add ``{col}_norm``: z-score (population deviation) or min-max, from one aggregate over all columns."""
     aggs = []
     for c in cols:
-        d = F.col(c).cast(MONEY)
-        aggs += [F.count(c).alias(f"n_{c}"), F.sum(d).cast("double").alias(f"s_{c}"),
-                 F.sum((d * d).cast("decimal(34,4)")).cast("double").alias(f"q_{c}"),
-                 F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}")]
+        aggs += [F.count(c).alias(f"n_{c}"), F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}")]
+        if how != "minmax":
+            aggs += [F.sum(fx.exact(df, c, scale)).cast("double").alias(f"s_{c}"), F.sum(fx.exact_square(df, c, scale)).cast("double").alias(f"q_{c}")]
     one = df.agg(*aggs)
     s = lambda n, c: F.col(f"__s.{n}_{c}")
     def norm(c):

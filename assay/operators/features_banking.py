@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assay.functions import columns as fx
 from assay.operators.ordered import AUTO, neighbour, rolling
 
 MONEY = "decimal(18,2)"
@@ -14,9 +15,9 @@ def is_round(amount: Column, unit: int = 1000) -> Column:
 
 
 def txn_features(df: DataFrame, key: str, ts: str, amount: str, cross_border: Column, limit: float, band: float = 0.1,
-                 unit: int = 1000, days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
+                 unit: int = 1000, days: tuple[int, ...] = (1, 7, 30), scale: int | None = None) -> DataFrame:
     """Per key and day: trailing counts and sums, cross-border and round-amount share, amounts just below the limit."""
-    a = F.col(amount).cast(MONEY)
+    a = fx.exact(df, amount, scale)
     near = (F.col(amount) >= limit * (1 - band)) & (F.col(amount) < limit)
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
     ticks = rolling(df, [key], ts, {"n": F.lit(1).cast("long"), "amount": a, "cross": one(cross_border),
@@ -29,10 +30,11 @@ def txn_features(df: DataFrame, key: str, ts: str, amount: str, cross_border: Co
         (F.col(f"round_{last}") / F.col(f"n_{last}")).alias("round_ratio"), F.col(f"near_{last}").alias("structuring_score"))
 
 
-def structuring(df: DataFrame, key: str, ts: str, amount: str, limit: float, band: float, days: int, least: int) -> DataFrame:
+def structuring(df: DataFrame, key: str, ts: str, amount: str, limit: float, band: float, days: int, least: int,
+                scale: int | None = None) -> DataFrame:
     """Days on which a key has at least ``least`` amounts just below the limit within the trailing days."""
     near = (F.col(amount) >= limit * (1 - band)) & (F.col(amount) < limit)
-    ticks = rolling(df.where(near), [key], ts, {"n": F.lit(1).cast("long"), "amount": F.col(amount).cast(MONEY)}, {"w": days}, "day")
+    ticks = rolling(df.where(near), [key], ts, {"n": F.lit(1).cast("long"), "amount": fx.exact(df, amount, scale)}, {"w": days}, "day")
     return ticks.where(F.col("n_w") >= least).select(
         key, F.date_from_unix_date(F.col("tick").cast("int")).alias("day"), F.col("n_w").alias("n"), F.col("amount_w").alias("amount"))
 
@@ -59,11 +61,10 @@ def customer_risk(customers: DataFrame, accounts: DataFrame, hits: DataFrame, ky
         F.when((hits_n > 0) | pep, "HIGH").when(F.col("kyc_score") < 80, "MEDIUM").otherwise("LOW").alias("cdd_tier"))
 
 
-def account_features(txns: DataFrame, key: str, ts: str, amount: str, as_of: str, days: int = 365) -> DataFrame:
+def account_features(txns: DataFrame, key: str, ts: str, amount: str, as_of: str, days: int = 365, scale: int | None = None) -> DataFrame:
     """Volatility, mean and dormancy of each account's activity, from exact sums."""
-    d = F.col(amount).cast(MONEY)
-    per = txns.groupBy(key).agg(F.count(amount).alias("n"), F.sum(d).cast("double").alias("s"),
-                                F.sum((d * d).cast("decimal(34,4)")).cast("double").alias("q"), F.max(ts).alias("last"))
+    per = txns.groupBy(key).agg(F.count(amount).alias("n"), F.sum(fx.exact(txns, amount, scale)).cast("double").alias("s"),
+                                F.sum(fx.exact_square(txns, amount, scale)).cast("double").alias("q"), F.max(ts).alias("last"))
     mean = F.col("s") / F.col("n")
     idle = F.datediff(F.lit(as_of).cast("date"), F.col("last").cast("date"))
     return per.select(key, "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("volatility"),
@@ -119,16 +120,18 @@ def travel_anomaly(uses: DataFrame, key: str, order: list[str], lat: str, lon: s
 def expected_loss(loans: DataFrame, params: DataFrame, segment: str, exposure: str, scenario: str | None = None) -> DataFrame:
     """PD × LGD × EAD per loan. ``params``: (segment, lo, hi, pd, lgd[, scenario]), bands closed-open.
 
+    ``in_band`` is false for a loan that no band covers; its loss is unknown (null), and ``reserve`` counts it apart.
     The segment is joined by equality, the band within it; scenarios multiply lines as wanted.
     """
     cols = [F.col(segment).alias("__segment"), "lo", "hi", "pd", "lgd"] + ([scenario] if scenario else [])
     on = (F.col(segment) == F.col("__segment")) & (F.col(exposure) >= F.col("lo")) & (F.col(exposure) < F.col("hi"))
     loss = (F.col("pd").cast("decimal(9,6)") * F.col("lgd").cast("decimal(9,6)")).cast("decimal(12,8)") * F.greatest(F.col(exposure).cast(MONEY), F.lit(0).cast(MONEY))
-    return loans.join(params.select(*cols), on, "left").withColumn("expected_loss", loss).drop("__segment", "lo", "hi")
+    return loans.join(params.select(*cols), on, "left").withColumns({"expected_loss": loss, "in_band": F.col("pd").isNotNull()}).drop("__segment", "lo", "hi")
 
 
 def reserve(losses: DataFrame, by: list[str]) -> DataFrame:
-    return losses.groupBy(*by).agg(F.count(F.lit(1)).alias("loans"), F.sum("expected_loss").alias("reserve"))
+    """Expected loss per group, the loans behind it, and the number of loans that no band covers."""
+    return losses.groupBy(*by).agg(F.count(F.lit(1)).alias("loans"), F.sum("expected_loss").alias("reserve"), F.count_if(~F.col("in_band")).alias("unrated"))
 
 
 def concentration(df: DataFrame, by: list[str], amount: str) -> DataFrame:

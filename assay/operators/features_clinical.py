@@ -73,13 +73,17 @@ def medication_features(meds: DataFrame, high_risk: DataFrame, poly: int = 5, ho
                 F.round(F.col("days_covered") / F.col("period_days"), 4).alias("adherence")))
 
 
-def trend(df: DataFrame, key: list[str], ts: str, value: str, days: int = 7) -> DataFrame:
-    """Least-squares slope per day over the trailing days, from trailing sums; null below two distinct days."""
+def trend(df: DataFrame, key: list[str], ts: str, value: str, days: int = 7, scale: int = 6) -> DataFrame:
+    """Least-squares slope per day over the trailing days, from trailing sums; null below two distinct days.
+
+    Rows without a value are left out. Values may have ``scale`` digits after the point, six at most.
+    """
+    df = df.where(F.col(value).isNotNull())
     x = F.unix_date(F.col(ts).cast("date")).cast("decimal(18,0)")
-    y = F.col(value).cast("decimal(18,2)")
+    y = fx.exact(df, value, scale).cast(f"decimal(28,{scale})")
     label = f"{days}d"
     sums = rolling(df, key, ts, {"n": F.lit(1).cast("long"), "x": x, "y": y, "xx": (x * x).cast("decimal(24,0)"),
-                                 "xy": (x * y).cast("decimal(26,2)")}, {label: days}, "day")
+                                 "xy": (x.cast("decimal(9,0)") * y).cast(f"decimal(38,{scale})")}, {label: days}, "day")
     c = lambda m: F.col(f"{m}_{label}")
     above = (c("n") * c("xy") - c("x") * c("y")).cast("double")
     below = (c("n") * c("xx") - c("x") * c("x")).cast("double")
@@ -110,11 +114,11 @@ def procedure_features(proc: DataFrame, ranges: list[tuple[str, str, str]]) -> D
     return proc.withColumns({"category": category, "complexity": F.least(F.floor(F.col("duration_minutes") / 60) + 1, F.lit(5))})
 
 
-def rate_features(df: DataFrame, by: list[str], rates: dict[str, Column], amount: str | None = None) -> DataFrame:
+def rate_features(df: DataFrame, by: list[str], rates: dict[str, Column], amount: str | None = None, scale: int | None = None) -> DataFrame:
     """Rows, shares of true conditions and average amount per group: denial, readmission, payer mix and the like."""
     aggs = [F.count(F.lit(1)).alias("rows")] + [(F.count_if(c) / F.count(F.lit(1))).alias(n) for n, c in rates.items()]
     if amount:
-        aggs.append((F.sum(F.col(amount).cast("decimal(18,2)")).cast("double") / F.count(amount)).alias("avg_amount"))
+        aggs.append((F.sum(fx.exact(df, amount, scale)).cast("double") / F.count(amount)).alias("avg_amount"))
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -124,10 +128,10 @@ def mix(df: DataFrame, by: str, col: str, values: list[str]) -> DataFrame:
     return df.groupBy(by).agg(*[(F.count_if(F.col(col) == v) / n).alias(f"share_{v}") for v in values])
 
 
-def claim_features(claims: DataFrame) -> DataFrame:
+def claim_features(claims: DataFrame, scale: int | None = None) -> DataFrame:
     """Denial rate and cost per encounter by payer."""
     per = claims.groupBy("payer", "encounter_id").agg(
-        F.sum(F.col("paid_amount").cast("decimal(18,2)")).alias("cost"), F.count(F.lit(1)).alias("n"),
+        F.sum(fx.exact(claims, "paid_amount", scale)).alias("cost"), F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("claim_status") == "DENIED").alias("denied"))
     return per.groupBy("payer").agg(
         F.sum("n").alias("claims"), (F.sum("denied") / F.sum("n")).alias("denial_rate"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from assay.functions import columns as fx
 from assay.operators.ordered import AUTO, neighbour, position, running
 
-MONEY = "decimal(18,2)"
-
 
 def dq_alerts(metrics: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """Metrics (subject, metric, value) above their threshold."""
@@ -48,11 +49,11 @@ def new_codes(current: DataFrame, reference: DataFrame, code: str, ts: str) -> D
     return seen.join(reference.select(code).distinct(), code, "left_anti")
 
 
-def ctr(df: DataFrame, key: str, ts: str, amount: str, limit: float = 10_000) -> DataFrame:
+def ctr(df: DataFrame, key: str, ts: str, amount: str, limit: float = 10_000, scale: int | None = None) -> DataFrame:
     """Reports due: customers and days with one transaction, or a day's sum, at or above the limit."""
     per = df.groupBy(key, F.col(ts).cast("date").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(amount).cast(MONEY)).alias("total"), F.max(F.col(amount).cast(MONEY)).alias("largest"))
-    return per.where(F.col("total") >= limit).withColumn(
+        F.count(F.lit(1)).alias("n"), F.sum(fx.exact(df, amount, scale)).alias("total"), F.max(fx.exact(df, amount, scale)).alias("largest"))
+    return per.where((F.col("total") >= limit) | (F.col("largest") >= limit)).withColumn(
         "reason", F.when(F.col("largest") >= limit, "single").otherwise("aggregate"))
 
 
@@ -82,11 +83,15 @@ def running_balance(df: DataFrame, key: str, order: list[str], signed: Column, h
 
 
 def illegal_transitions(df: DataFrame, key: str, order: list[str], status: str, allowed: list[tuple[str, str]], hot=AUTO) -> DataFrame:
-    """Status changes that are not among the allowed pairs."""
-    steps = neighbour(df, [key], order, {"previous": (status, 1)}, hot=hot)
-    changed = steps.where(F.col("previous").isNotNull() & (F.col("previous") != F.col(status)))
-    pairs = F.concat_ws("→", "previous", status)
-    return changed.where(~pairs.isin([f"{a}→{b}" for a, b in allowed]))
+    """Status changes that are not among the allowed pairs. A row without status says nothing: it is left out, and the rows around it are neighbours."""
+    steps = neighbour(df.where(F.col(status).isNotNull()), [key], order, {"previous": (status, 1)}, hot=hot)
+    return steps.where(illegal(F.col("previous"), F.col(status), allowed))
+
+
+def illegal(before: Column, after: Column, allowed: list[tuple[str, str]]) -> Column:
+    """Whether a known status became another one in a way that is not allowed."""
+    may = reduce(lambda a, b: a | b, [(before == a) & (after == b) for a, b in allowed], F.lit(False))
+    return before.isNotNull() & (before != after) & ~may
 
 
 def breaches(df: DataFrame, key: str, value: str, limits: DataFrame, limit: str) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from assay.functions import patterns
+from assay.functions import columns as fx, patterns
 
 
 def table_counts(tables: dict[str, DataFrame | None], total: str | None = None) -> DataFrame:
@@ -87,13 +87,12 @@ def profile_exact(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, columns: list[str], scale: int = 2) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], scale: int | None = None) -> DataFrame:
     """Exact min, max, mean and standard deviation from decimal sums (order of addition cannot matter)."""
     aggs = []
     for c in columns:
-        d = F.col(c).cast(f"decimal(18,{scale})")
         aggs += [F.count(c).alias(f"n_{c}"), F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}"),
-                 F.sum(d).cast("double").alias(f"s_{c}"), F.sum((d * d).cast(f"decimal(30,{2 * scale})")).cast("double").alias(f"q_{c}")]
+                 F.sum(fx.exact(df, c, scale)).cast("double").alias(f"s_{c}"), F.sum(fx.exact_square(df, c, scale)).cast("double").alias(f"q_{c}")]
     def line(c):
         n, s, q = F.col(f"n_{c}"), F.col(f"s_{c}"), F.col(f"q_{c}")
         return F.struct(F.lit(c).alias("column_name"), F.col(f"lo_{c}").alias("min_value"), F.col(f"hi_{c}").alias("max_value"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assay.operators import features_banking as B, features_clinical as C, model, profile, rules as R
 from assay.plans import bank, core, health
+from tests import samples
 
 AS_OF = "2024-06-15"
 
@@ -49,17 +50,18 @@ def test_health_rules(spark):
                claim_status="PAID", npi="1234567890")
     t["CLAIMS"] = table(spark, health.SCHEMAS, "CLAIMS", clm, dict(claim_id="k2", paid_amount=100.01), dict(claim_id="k3", npi="123"), dict(claim_id="k4", claim_date="2024-01-04"),
                         dict(claim_id="k5", claim_status="DENIED"), dict(claim_id="k6", claim_status="DENIED", denial_reason="Not Covered"), dict(claim_id="k7", claim_status="WHAT"))
-    t = health.prepare(t)
-    rules = health.rules(t, AS_OF)
+    codes, doses, bounds = samples.tables(spark)
+    t = health.prepare(t, doses, bounds)
+    rules = health.rules(t, AS_OF, codes)
     got = {n: failing(t[n], rules[n], health.KEYS[n]) for n in rules}
     assert got == {
         "PATIENTS": {"p1": {"patient_dedup_mpi"}, "p4": {"patient_dedup_mpi"}, "p2": {"date_coherence"}, "p3": {"phi_completeness"}, "p5": {"phi_completeness"}},
         "ENCOUNTERS": {"e2": {"date_coherence"}, "e3": {"fk:patient_id"}},
-        "DIAGNOSES": {"d2": {"code_validity"}, "d3": {"code_validity"}, "d4": {"date_coherence"}, "d5": {"code_validity"}},
-        "MEDICATIONS": {"m3": {"medication_safety"}, "m4": {"medication_safety"}, "m5": {"code_validity"}},
-        "LAB_RESULTS": {"l3": {"lab_range"}, "l4": {"lab_range"}, "l5": {"code_validity"}, "l6": {"date_coherence"}},
+        "DIAGNOSES": {"d2": {"code_validity", "code_known"}, "d3": {"code_validity", "code_known"}, "d4": {"date_coherence"}, "d5": {"code_known"}},
+        "MEDICATIONS": {"m3": {"medication_safety"}, "m4": {"medication_safety"}, "m5": {"code_validity", "code_known"}},
+        "LAB_RESULTS": {"l3": {"lab_range"}, "l4": {"lab_range"}, "l5": {"code_known"}, "l6": {"date_coherence"}},
         "PROVIDERS": {"v2": {"npi_format"}, "v3": {"phi_completeness"}},
-        "PROCEDURES": {"c2": {"code_validity"}, "c3": {"date_coherence"}},
+        "PROCEDURES": {"c2": {"code_validity", "code_known"}, "c3": {"date_coherence"}},
         "CLAIMS": {"k2": {"claim_integrity"}, "k3": {"claim_integrity"}, "k4": {"claim_integrity", "date_coherence"}, "k5": {"claim_integrity"}, "k7": {"accepted:claim_status"}},
     }
     # counted outcomes agree with the judged rows

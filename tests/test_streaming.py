@@ -93,7 +93,8 @@ def test_dedupe_drops_repeats_and_late_rows(spark, tmp_path):
 
 def test_monthly_counter_and_balance(spark, files, whole, tmp_path):
     got = run(spark, forms.monthly_counter(stream(spark, files), "user", "ts", 20), tmp_path / "a", "update")
-    final = {(r["user"], r["n"], r["freeze"]) for r in latest(got, ["user", "month"], "_batch").collect()}
+    days = latest(got, ["user", "day"], "_batch")
+    final = {(r["user"], r["n"], r["freeze"]) for r in forms.monthly_total(days, "user", 20).collect()}
     batch = monitor.monthly_limit(whole, "user", ["ts", "id"], 20).groupBy("user").agg(F.max("nth").alias("n"), F.bool_or("freeze").alias("f"))
     assert final == {tuple(r) for r in batch.collect()}
     got = run(spark, forms.running_balance(stream(spark, files), "user", F.col("amount")), tmp_path / "b", "update")
@@ -125,9 +126,21 @@ def test_transitions_across_batches(spark, files, whole, tmp_path):
     want = monitor.illegal_transitions(whole, "user", ["ts", "id"], "kind", allowed)
     pick = lambda df: table(df.select("id", "previous", "kind"))
     assert pick(got) == pick(want) and len(pick(got)) > 10
-    # a repeated batch changes nothing
+    # a repeated batch changes nothing, and neither does folding the state of the batches before it
     action(spark.createDataFrame(rows()[80:], SCHEMA), 2)
     assert pick(read(spark, str(tmp_path / "t" / "illegal"))) == pick(want)
+    forms.compact_state(spark, str(tmp_path / "t"), "user", ["ts", "id"], 1)
+    action(spark.createDataFrame(rows()[80:], SCHEMA), 2)
+    assert pick(read(spark, str(tmp_path / "t" / "illegal"))) == pick(want)
+
+
+def test_a_row_without_status_hides_no_change(spark, tmp_path):
+    line = lambda i, s: (i, "u", "s", T0 + dt.timedelta(minutes=i), s, 1.0)
+    action = forms.transitions_to(str(tmp_path / "t"), "user", ["ts", "id"], "kind", [("A", "B")])
+    action(spark.createDataFrame([line(1, "A"), line(2, None)], SCHEMA), 0)
+    action(spark.createDataFrame([line(3, "C")], SCHEMA), 1)
+    got = read(spark, str(tmp_path / "t" / "illegal")).collect()
+    assert [(r["id"], r["previous"], r["kind"]) for r in got] == [(3, "A", "C")]
 
 
 def test_static_limits(spark, files, whole, tmp_path):
