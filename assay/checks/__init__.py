@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain", "fine")
+GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain", "fine", "sinks")
 
 
 def load_all() -> None:

@@ -366,11 +366,10 @@ def masked_customer(t: Tables) -> DataFrame:
 
 
 @query("e29_shift_dates", """
-SELECT o_orderkey, strftime(o_orderdate::DATE + CAST((o_custkey * 7 + 3) % 365 + 1 AS INTEGER), '%Y-%m-%d') AS o_orderdate FROM orders
+SELECT o_orderkey, strftime(o_orderdate::DATE + CAST(('0x' || substr(md5('secret|' || o_custkey), 1, 8))::BIGINT % 365 + 1 AS INTEGER), '%Y-%m-%d') AS o_orderdate FROM orders
 """)
 def shifted(t: Tables) -> DataFrame:
-    offset = (F.pmod(F.col("o_custkey") * 7 + 3, F.lit(365)) + 1).cast("int")
-    return deid.shift_dates(t.orders, ["o_orderdate"], offset).select("o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"))
+    return deid.shift_dates(t.orders, ["o_orderdate"], fx.key_days("o_custkey", "secret")).select("o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"))
 
 
 @query("e29_rare_to_year", """

@@ -78,9 +78,17 @@ def chunks_overlap(t: Tables) -> DataFrame:
     return H.chunk_text(t.documents, "doc_id", "text", 200, 50).select("doc_id", "chunk_no", "n_tokens", F.md5("chunk").alias("digest"))
 
 
-@query("h5_hashed_vectors")
+@query("h5_hashed_vectors", r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 128 AS d, sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS v FROM w GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(v * v)::DOUBLE) AS n FROM c GROUP BY 1),
+a AS (SELECT doc_id, list(CAST(round(coalesce(v / nullif(n, 0), 0) * 1000000) AS BIGINT) ORDER BY g.d) AS x
+      FROM (SELECT doc_id, unnest(range(128)) AS d FROM documents) g LEFT JOIN c USING (doc_id, d) LEFT JOIN n USING (doc_id) GROUP BY 1)
+SELECT doc_id, array_to_string(x, ',') AS vector FROM a
+""")
 def vectors(t: Tables) -> DataFrame:
-    return H.hash_embed(t.documents, "doc_id", "text")
+    millionths = F.transform("vector", lambda x: F.round(x * 1_000_000).cast("bigint").cast("string"))
+    return H.hash_embed(t.documents, "doc_id", "text").select("doc_id", F.array_join(millionths, ",").alias("vector"))
 
 
 @query("h5_centroid_similarity", """

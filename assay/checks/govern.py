@@ -119,7 +119,15 @@ def change_log(t: Tables) -> DataFrame:
     return G.change_log(t.orders, t.orders_dirty, "o_orderkey", ["o_custkey", "o_orderstatus"], "loader", "2024-01-31")
 
 
-@query("g15_noisy_export")
+def laplace(salt: str, scale: float) -> str:
+    u = f"((('0x' || substr(md5('42|{salt}|' || l_suppkey || '|' || l_returnflag), 1, 12))::BIGINT + 0.5::DOUBLE) / {float(2**48)}::DOUBLE - 0.5::DOUBLE)"
+    return f"(-sign({u}) * {scale}::DOUBLE * ln(1 - 2 * abs({u})))"
+
+
+@query("g15_noisy_export", f"""
+WITH g AS (SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(sum(CAST(least(greatest(l_extendedprice, 0), 100000) AS DECIMAL(28,4))) AS DOUBLE) AS s FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, l_returnflag, CAST(round(greatest(n + {laplace('n', 2.0)}, 0)) AS BIGINT) AS noisy_count, round(s + {laplace('s', 200000.0)}, 2) AS noisy_sum FROM g WHERE n >= 10
+""")
 def noisy(t: Tables) -> DataFrame:
     return G.dp_aggregate(t.lineitem, ["l_suppkey", "l_returnflag"], "l_extendedprice", 1.0, 100_000.0, 10, 42)
 

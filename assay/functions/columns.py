@@ -180,5 +180,10 @@ def age_band(dob: Column | str, as_of: str, top: int = 90, width: int = 10) -> C
 
 
 def key_days(key_col: Column | str, key: str, width: int = 365) -> Column:
-    """A stable offset of 1 to ``width`` days for a subject."""
-    return F.pmod(F.xxhash64(_c(key_col), F.lit(key)), F.lit(width)).cast("int") + 1
+    """A stable offset of 1 to ``width`` days for a subject; a subject without identifier gets none (null)."""
+    return (digest_number(F.concat(F.lit(key), F.lit("|"), _c(key_col).cast("string"))) % width).cast("int") + 1
+
+
+def digest_number(text: Column, start: int = 1, digits: int = 8) -> Column:
+    """Hexadecimal digits of the text's MD5 as a whole number: a hash that every engine has."""
+    return F.conv(F.substring(F.md5(text), start, digits), 16, 10).cast("long")

@@ -77,25 +77,27 @@ def hash_embed(df: DataFrame, id: str, col: str, dim: int = 128, ngram: int = 1)
 
     Empty texts give the zero vector.
 
-    A deterministic stand-in for a model. The sign of a token comes from a second hash, so collisions
-    cancel instead of adding up. A text's tokens are counted inside its own task; at most ``dim`` numbers
-    per text are shuffled.
+    A deterministic stand-in for a model. Place and sign of a token come from digits of its MD5, so collisions
+    cancel instead of adding up. Everything happens inside the row: the tokens' codes (place and sign) are sorted, runs of equal codes are
+    counted in one pass, and the counts are laid out; nothing is shuffled.
     """
-    words = F.filter(F.split(F.lower(F.col(col)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     grams = [F.col("__w")] + [_word_grams("__w", n) for n in range(2, ngram + 1)]
-    counts = (
-        df.select(id, words.alias("__w"))
-        .select(id, F.explode_outer(F.concat(*grams) if ngram > 1 else grams[0]).alias("w"))
-        .select(id, F.pmod(F.xxhash64("w"), F.lit(dim)).alias("d"), F.when(F.col("w").isNull(), 0)
-                .when(F.pmod(F.hash("w"), F.lit(2)) == 0, 1).otherwise(-1).alias("sign"))
-        .groupBy(id, "d").agg(F.sum("sign").alias("v"))
-    )
-    packed = counts.groupBy(id).agg(
-        F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return packed.select(id, F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0),
-    ).alias("vector"))
+    code = lambda w: ((fx.digest_number(w) % dim) * 2 + fx.digest_number(w, 9, 1) % 2).cast("int")
+    one = "struct<code:int,n:int>"
+    start = F.struct(F.lit(-1).alias("code"), F.lit(0).alias("n"), F.array().cast(f"array<{one}>").alias("out"))
+    closed = lambda s: F.concat(s["out"], F.array(F.struct(s["code"].alias("code"), s["n"].alias("n"))))
+    step = lambda s, c: F.when(s["code"] == c, F.struct(s["code"].alias("code"), (s["n"] + 1).alias("n"), s["out"].alias("out"))).otherwise(
+        F.struct(c.alias("code"), F.lit(1).alias("n"), closed(s).alias("out")))
+    runs = F.aggregate(F.array_sort(F.transform("__g", code)), start, step, closed)
+    counts = F.map_from_entries(F.transform(runs, lambda r: F.struct(r["code"], r["n"])))
+    at = lambda i, sign: F.coalesce(F.try_element_at("__m", (i * 2 + sign).cast("int")), F.lit(0))
+    values = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (at(i, 0) - at(i, 1)).cast("double"))
+    norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x))
+    return (
+        df.select(id, words.alias("__w")).select(id, (F.concat(*grams) if ngram > 1 else grams[0]).alias("__g"))
+        .select(id, counts.alias("__m")).select(id, values.alias("__v")).select(id, "__v", norm.alias("__n"))
+        .select(id, F.transform("__v", lambda x: x / F.when(F.col("__n") > 0, F.col("__n")).otherwise(1.0)).alias("vector")))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from assay.functions import columns as fx
+
 DEFAULT_STEPS = [("source", "bronze", "parallel extract"), ("bronze", "silver", "cleanse and historise"),
                  ("silver", "gold", "rules and aggregates"), ("gold", "platinum", "features")]
 
@@ -125,7 +127,8 @@ def dp_aggregate(df: DataFrame, by: list[str], value: str, eps: float, bound: fl
     seed and the group only, so a rerun or a retried task gives the same export.
     """
     def noise(salt: str, scale: float) -> Column:
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *by), F.lit(2**52)) + 0.5) / float(2**52) - 0.5
+        group = F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+        u = (fx.digest_number(group, 1, 12) + 0.5) / float(2**48) - 0.5
         return -F.signum(u) * scale * F.log(F.lit(1.0) - 2.0 * F.abs(u))
     clipped = F.least(F.greatest(F.col(value).cast("double"), F.lit(0.0)), F.lit(float(bound)))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.sum(clipped.cast("decimal(28,4)")).cast("double").alias("__s")).where(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ DEFAULTS = {
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": "268435456",
+    # Checkpoints that nothing refers to any more are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -31,7 +34,8 @@ def session(app: str = "assay", master: str | None = None, **conf: str) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the one the cluster names in spark.checkpoint.dir.
 
-    A temporary folder is taken only where the setting is absent, which is the case in tests.
+    A temporary folder is taken only where the setting is absent and driver and executors are one process, which is
+    the case in tests. On a cluster the folder must be named: files on one machine's disk would be lost to the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -39,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="assay-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.types import DataType, StructType
 
 from assay.operators.ordered import first_rows
@@ -67,13 +69,28 @@ def write_layer(df: DataFrame, root: str, layer: str, table: str, cluster_by: li
     writer.parquet(f"{root}/{layer}/{table}")
 
 
+def part_path(root: str, **parts: str) -> str:
+    """Folder of one partition, its values escaped as Spark does."""
+    return "/".join([root, *[f"{k}={quote(str(v), safe='')}" for k, v in parts.items()]])
+
+
 def write_quarantine(judged: DataFrame, root: str, table: str, run_id: str) -> None:
-    """Append rows that failed at least one rule, with the names of the rules and the run."""
-    (
-        judged.where(F.size("failed_rules") > 0)
-        .withColumns({"table": F.lit(table), "run_id": F.lit(run_id)})
-        .write.mode("append").partitionBy("table", "run_id").parquet(f"{root}/quarantine")
-    )
+    """Rows that failed at least one rule, with the names of the rules, in the partition of the table and the run.
+
+    The partition is overwritten, also by no rows, so a repeated run leaves what it found the last time.
+    """
+    judged.where(F.size("failed_rules") > 0).write.mode("overwrite").parquet(part_path(f"{root}/quarantine", table=table, run_id=run_id))
+
+
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    return _as_text(spark, f"{root}/quarantine", ["table", "run_id"])
+
+
+def _as_text(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """A partitioned folder whose partition values stay texts, as run numbers may look like numbers or dates."""
+    found = spark.read.option("mergeSchema", "true").parquet(path)
+    kinds = T.StructType([T.StructField(f.name, T.StringType()) if f.name in parts else f for f in found.schema.fields])
+    return spark.read.schema(kinds).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str = "overwrite") -> None:
@@ -126,6 +143,27 @@ def audit_record(spark: SparkSession, seen: Observation, user: str, table: str,
     )
 
 
-def append_table(df: DataFrame, root: str, name: str) -> None:
-    """Append report rows (audit lines, run metrics) to a table that dashboards read."""
-    df.write.mode("append").parquet(f"{root}/reports/{name}")
+def write_report(df: DataFrame, root: str, name: str, run_id: str, part: str = "all") -> None:
+    """Report rows (audit lines, rule results, run metrics) of one part of a run, in a table that dashboards read.
+
+    A repeated part overwrites its own rows and nothing else.
+    """
+    df.drop("run_id", "part").write.mode("overwrite").parquet(part_path(f"{root}/reports/{name}", run_id=run_id, part=part))
+
+
+def read_report(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return _as_text(spark, f"{root}/reports/{name}", ["run_id", "part"])
+
+
+def read_records(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", **options: str) -> tuple[DataFrame, DataFrame]:
+    """(readable records, rejected lines) of CSV or JSON files: a line that does not parse is kept as it is, with its reason.
+
+    A record is a line. It is parsed against the schema with the whole line beside it; nothing is dropped.
+    """
+    wide = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line", **options}
+    parse = {"json": lambda: F.from_json("value", wide, how), "csv": lambda: F.from_csv("value", F.lit(wide.simpleString()[7:-1].replace(":", " ")), how)}[fmt]
+    found = spark.read.text(path).withColumn("r", parse())
+    good = found.where(F.col("r._line").isNull()).select(*[F.col("r").getField(f.name).alias(f.name) for f in schema.fields])
+    bad = found.where(F.col("r._line").isNotNull()).select(F.col("value").alias("line"), F.lit(f"not a {fmt} record of the schema").alias("reject_reason"))
+    return good, bad

@@ -57,9 +57,9 @@ def test_bronze_audit_and_months(spark, tmp_path):
     df, seen = layers.observed(layers.to_bronze(spark.range(25), "erp", "b1", "2024-01-31 06:00:00"), "load-" + uuid.uuid4().hex)
     layers.write_bronze(df, root, "t")
     audit = layers.audit_record(spark, seen, "ann", "t", "2024-01-31 06:00:00", ["ssn"])
-    layers.append_table(audit, root, "load_audit")
-    layers.append_table(audit, root, "load_audit")
-    assert [r["rows"] for r in spark.read.parquet(f"{root}/reports/load_audit").collect()] == [25, 25]
+    for run_id, part in (("1", "t"), ("1", "t"), ("2024-01", "t")):
+        layers.write_report(audit, root, "load_audit", run_id, part)
+    assert [(r["run_id"], r["rows"]) for r in layers.read_report(spark, root, "load_audit").orderBy("run_id").collect()] == [("1", 25), ("2024-01", 25)]
     assert (tmp_path / "bronze" / "t" / "_load_date=2024-01-31").is_dir()
     ledger = spark.range(90).select(F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("d"))
     layers.write_monthly(ledger, root, "silver", "ledger", "d")
@@ -68,6 +68,54 @@ def test_bronze_audit_and_months(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in back.where("month = DATE '2024-02-01'")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_records_that_do_not_parse(spark, tmp_path):
+    from pyspark.sql.types import StructType
+    lines = ['{"a": 1, "b": "x"}', '{"a": "no number", "b": "y"}', "not json", '{"a": 2}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(str(tmp_path / "j"))
+    good, bad = layers.read_records(spark, str(tmp_path / "j"), StructType.fromDDL("a int, b string"))
+    assert {tuple(r) for r in good.collect()} == {(1, "x"), (2, None)} and {r["line"] for r in bad.collect()} == set(lines[1:3])
+    spark.createDataFrame([("1,x",), ("z,y",), ("3",)], "value string").write.text(str(tmp_path / "c"))
+    good, bad = layers.read_records(spark, str(tmp_path / "c"), StructType.fromDDL("a int, b string"), "csv")
+    assert {tuple(r) for r in good.collect()} == {(1, "x")} and {r["line"] for r in bad.collect()} == {"z,y", "3"}
+
+
+def specs_of(spark, broken=False):
+    orders = spark.createDataFrame([(1, "c1", "5.0"), (1, "c1", "5.0"), (2, "zz", "-1.0"), (3, "c2", None), (4, "c2", "7.5")], "id int, cust string, amt string")
+    fail = lambda g: (_ for _ in ()).throw(RuntimeError("lost"))
+    return [medallion.TableSpec("orders", orders, ["id"], ["cust", "amt"], lambda s: [R.null_rule("amt"), R.range_rule("amt", lo=0)],
+                                steps=[lambda d: d.withColumn("amt", F.col("amt").try_cast("decimal(18,2)"))],
+                                features=fail if broken else lambda g: g.groupBy("cust").agg(F.sum("amt").alias("total")))]
+
+
+def contents(spark, root):
+    pick = lambda df: sorted(str(r) for r in df.collect())
+    out = {n: pick(layers.read_report(spark, root, n)) for n in ("dq_results", "load_audit", "lineage", "metrics", "layer_scores", "alerts", "schemas", "target_model")}
+    events = layers.read_report(spark, root, "run_events")
+    return out | {"quarantine": pick(layers.read_quarantine(spark, root)), "events": pick(events.drop("ts")), "gold": pick(readers.read_layer(spark, root, "gold", "orders"))}
+
+
+def test_a_repeated_run_leaves_one_copy_of_everything(spark, tmp_path):
+    root = str(tmp_path)
+    medallion.run(spark, root, specs_of(spark), "run-1", "2024-01-31 06:00:00")
+    first = contents(spark, root)
+    medallion.run(spark, root, specs_of(spark), "run-1", "2024-01-31 06:00:00")
+    assert contents(spark, root) == first and len(first["quarantine"]) == 2
+
+
+def test_a_broken_run_shows_how_far_it_came_and_can_be_repeated(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(RuntimeError, match="lost"):
+        medallion.run(spark, root, specs_of(spark, broken=True), "run-1", "2024-01-31 06:00:00")
+    tables, state = medallion.state(spark, root, "run-1")
+    assert (state.first()["status"], state.first()["current_stage"], state.first()["stages_complete"]) == ("running", 8, 7)
+    assert {r["table"]: r["layer"] for r in tables.collect()} == {"orders": "gold"}
+    medallion.run(spark, root, specs_of(spark), "run-1", "2024-01-31 06:00:00")
+    assert medallion.state(spark, root, "run-1")[1].first()["status"] == "complete"
+    broken = contents(spark, root)
+    medallion.run(spark, str(tmp_path / "other"), specs_of(spark), "run-1", "2024-01-31 06:00:00")
+    assert contents(spark, str(tmp_path / "other")) == broken
+
+
 def test_whole_run(spark, tmp_path):
     root, run_id = str(tmp_path), "run-" + uuid.uuid4().hex
     orders = spark.createDataFrame([(1, "c1", "5.0"), (1, "c1", "5.0"), (2, "zz", "-1.0"), (3, "c2", None), (4, "c2", "7.5")], "id int, cust string, amt string")
@@ -86,11 +134,11 @@ def test_whole_run(spark, tmp_path):
     assert {r["id"]: sorted(r["failed_rules"]) for r in bad.collect()} == {2: ["fk:cust", "range:amt"], 3: ["null_check:amt"]}
     assert {r["cust"]: float(r["total"]) for r in readers.read_layer(spark, root, "platinum", "orders").collect()} == {"c1": 5.0, "c2": 7.5}
     tables, state = medallion.state(spark, root, run_id)
-    assert state.first()["status"] == "complete" and state.first()["stages_complete"] == 5 and state.first()["current_stage"] == 8
+    assert state.first()["status"] == "complete" and state.first()["stages_complete"] == 9 and state.first()["current_stage"] == 9
     assert {r["table"]: (r["layer"], r["score"], r["rows_quarantined"]) for r in tables.collect()}["cust"] == ("gold", 100, 1)
-    scores = {(r["table_name"], r["layer"]): r["change"] for r in medallion.layer_scores(report).collect()}
-    assert scores[("orders", "gold")] > 0
-    assert spark.read.parquet(f"{root}/reports/dq_results").count() == 4
+    scores = {(r["table_name"], r["layer"]): r["change"] for r in medallion.layer_scores(spark, root, run_id).collect()}
+    assert scores[("orders", "gold")] > 0 and {k[1] for k in scores} == {"source", "bronze", "silver", "gold", "platinum"}
+    assert layers.read_report(spark, root, "dq_results").count() == 4
     # the same load again leaves the layers as they are
     again = medallion.run(spark, root, specs, run_id + "b", "2024-01-31 06:00:00")
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in report.collect()}
