@@ -129,8 +129,9 @@ def scorecard(t: Tables) -> DataFrame:
     rules = scorecard_rules(t)
     cards = []
     for n in FACTORS_SQL:
-        bad = R.quarantine_summary(dirty(t, n), n, rules[n]).select(F.struct("quarantined", "failures", "gold_rows").alias("b")).scalar()
-        factors = score.measure_factors(dirty(t, n), n, factor_spec(t, n)).withColumn("b", bad)
+        lines = R.key_lines(dirty(t, n), rules[n], score.factor_keys(factor_spec(t, n)))  # one scan for all keys
+        bad = R.quarantine_summary(dirty(t, n), n, rules[n], lines).select(F.struct("quarantined", "failures", "gold_rows").alias("b")).scalar()
+        factors = score.measure_factors(dirty(t, n), n, factor_spec(t, n), lines).withColumn("b", bad)
         cards.append(factors.select(*[c for c in factors.columns if c != "b"], "b.*"))
     return score.readiness(reduce(DataFrame.unionByName, cards), score.CORE_WEIGHTS)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assay.functions import columns as fx, patterns
 from assay.operators.ordered import join_null_safe, rolling, sized
+from assay.session import cut
 
 
 @dataclass(frozen=True)
@@ -91,18 +92,52 @@ def _parent_keys(rule: Exists) -> DataFrame:
     return rule.parent.select(*[F.col(p).alias(c) for p, c in zip(rule.parent_cols, rule.cols)]).distinct()
 
 
-def _orphans(df: DataFrame, rule: Exists) -> DataFrame:
-    """The keys of the child that the parent lacks."""
-    missing = df.select(*rule.cols).distinct().join(_parent_keys(rule), rule.cols, "left_anti")
-    return missing.where(_all_filled(rule.cols)) if rule.null_ok else missing
+class KeyLines:
+    """Rows per key for several sets of key columns, counted in one scan of the table and stored.
+
+    All key rules of a table, its quarantine and its key figures can read these lines instead of the table.
+    """
+
+    def __init__(self, df: DataFrame, sets: list[list[str]]):
+        self.sets = [list(s) for s in dict.fromkeys(tuple(s) for s in sets)]
+        columns = list(dict.fromkeys(c for s in self.sets for c in s))
+        # a set is told by its grouping number, so a null key is not taken for a column that the set lacks
+        self.number = {tuple(s): sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s) for s in self.sets}
+        if len(self.sets) == 1:
+            counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("__set"))
+            self.number = {tuple(self.sets[0]): 0}
+        else:
+            counted = df.select(*columns).groupingSets([[F.col(c) for c in s] for s in self.sets], *columns).agg(
+                F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("__set"))
+        self.lines = cut(counted)
+
+    def of(self, cols: list[str]) -> DataFrame:
+        """(cols, n): one line per key."""
+        return self.lines.where(F.col("__set") == self.number[tuple(cols)]).select(*cols, "n")
 
 
-def _repeats(df: DataFrame, rule: Unique) -> DataFrame:
-    return df.groupBy(*rule.cols).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def key_lines(df: DataFrame, rules: list[Rule], more: list[list[str]] | None = None) -> KeyLines | None:
+    """Lines for all key rules, and for more sets of columns; None if there are none."""
+    sets = [r.cols for r in rules if not isinstance(r, Row)] + (more or [])
+    return KeyLines(df, sets) if sets else None
 
 
-def run_rules(df: DataFrame, table: str, rules: list[Rule], graded: bool = True) -> DataFrame:
-    """(table_name, rule_id, rows, failed, passed, pass_rate, status, severity), one line per rule."""
+def _bad_keys(keys: DataFrame, rule: Unique | Exists) -> DataFrame:
+    """The offending keys among a rule's key lines."""
+    if isinstance(rule, Unique):
+        return keys.where("n > 1")
+    missing = keys.join(_parent_keys(rule), rule.cols, "left_anti")
+    return missing.where(_all_filled(rule.cols)) if rule.null_ok else missing
+
+
+def run_rules(df: DataFrame, table: str, rules: list[Rule], graded: bool = True, lines: KeyLines | None = None) -> DataFrame:
+    """(table_name, rule_id, rows, failed, passed, pass_rate, status, severity), one line per rule.
+
+    One scan for all row rules; one for all key rules together, none if their ``lines`` are given.
+    """
+    key_rules = [r for r in rules if not isinstance(r, Row)]
+    if lines is None and len(key_rules) > 1:
+        lines = key_lines(df, rules)
     row_rules = [r for r in rules if isinstance(r, Row)]
     base = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(_failed(r)).alias(f"f{i}") for i, r in enumerate(row_rules)])
     parts = []
@@ -113,7 +148,7 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], graded: bool = True)
     for r in rules:
         if isinstance(r, Row):
             continue
-        keys = df.groupBy(*r.cols).agg(F.count(F.lit(1)).alias("n"))
+        keys = lines.of(r.cols) if lines else df.groupBy(*r.cols).agg(F.count(F.lit(1)).alias("n"))
         if isinstance(r, Unique):
             bad = F.col("n") > 1
         else:
@@ -126,18 +161,20 @@ def run_rules(df: DataFrame, table: str, rules: list[Rule], graded: bool = True)
     return outcome(counts, graded)
 
 
-def judge(df: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(df: DataFrame, rules: list[Rule], lines: KeyLines | None = None) -> DataFrame:
     """The rows with ``failed_rules``, the names of the rules each one breaks.
 
+    Key rules find their offending keys in ``lines``, which one scan counts if they are not given.
     Only the offending keys of key rules are joined back. They are stored and counted first: when few,
     the table is not shuffled at all; when many, the join shuffles and Spark splits skewed partitions.
     """
     out, flags = df, []
+    lines = lines or key_lines(df, rules)
     for i, r in enumerate(rules):
         if isinstance(r, Row):
             flags.append(F.when(_failed(r), F.lit(r.id)))
             continue
-        bad = (_repeats(df, r) if isinstance(r, Unique) else _orphans(df, r)).select(*r.cols)
+        bad = _bad_keys(lines.of(r.cols), r).select(*r.cols)
         out = join_null_safe(out, sized(bad).withColumn(f"__bad{i}", F.lit(True)), r.cols)
         flags.append(F.when(F.col(f"__bad{i}"), F.lit(r.id)))
     return out.withColumn("failed_rules", F.array_compact(F.array(*flags))).select(*df.columns, "failed_rules")
@@ -149,9 +186,9 @@ def quarantine(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     return judged.where(F.size("failed_rules") == 0).drop("failed_rules"), judged.where(F.size("failed_rules") > 0)
 
 
-def quarantine_summary(df: DataFrame, table: str, rules: list[Rule]) -> DataFrame:
+def quarantine_summary(df: DataFrame, table: str, rules: list[Rule], lines: KeyLines | None = None) -> DataFrame:
     """Rows in, distinct rows quarantined, rows left for Gold, and the sum of failures over rules."""
-    return judge(df, rules).agg(
+    return judge(df, rules, lines).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.size("failed_rules") > 0).alias("quarantined"),
         F.coalesce(F.sum(F.size("failed_rules")), F.lit(0)).cast("long").alias("failures"),

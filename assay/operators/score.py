@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assay.operators.ordered import first_rows
+from assay.operators.rules import KeyLines
 
 # Weights of the two readiness formulas, in per cent.
 CORE_WEIGHTS = {"completeness": 30, "uniqueness": 20, "freshness": 20, "cardinality": 15, "referential": 15}
@@ -43,12 +44,17 @@ def _percent(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(100.0)).otherwise(F.floor(F.lit(10000) * num / den) / 100.0)
 
 
-def measure_factors(df: DataFrame, table: str, spec: FactorSpec) -> DataFrame:
+def factor_keys(spec: FactorSpec) -> list[list[str]]:
+    """The sets of key columns that the factors count."""
+    return [spec.keys, *[[fk] for fk, _, _ in spec.references]]
+
+
+def measure_factors(df: DataFrame, table: str, spec: FactorSpec, lines: KeyLines | None = None) -> DataFrame:
     """The five core factors of one table as percentages.
 
     completeness: filled cells of the required columns; uniqueness: distinct keys per row; freshness: rows
     not older than the limit; cardinality: columns with more than one value; referential: rows whose
-    foreign keys resolve. One pass for the row figures, one condensed count per key for the others.
+    foreign keys resolve. One pass for the row figures, one for all key figures, which read ``lines`` if they are given.
     """
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")]
     aggs = [F.count(F.lit(1)).alias("rows")]
@@ -61,9 +67,10 @@ def measure_factors(df: DataFrame, table: str, spec: FactorSpec) -> DataFrame:
     if spec.freshness:
         fresh = F.datediff(F.lit(spec.as_of).cast("date"), F.col(spec.freshness).cast("date")) <= spec.max_age_days
     aggs.append(F.count_if(fresh).alias("fresh"))
-    distinct = df.groupBy(*spec.keys).agg(F.lit(1).alias("o")).agg(F.count(F.lit(1))).scalar()
+    lines = lines or KeyLines(df, factor_keys(spec))
+    distinct = lines.of(spec.keys).agg(F.count(F.lit(1))).scalar()
     resolved = [
-        df.groupBy(F.col(fk).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        lines.of([fk]).select(F.col(fk).alias("k"), "n")
         .join(parent.select(F.col(pk).alias("k")).distinct(), "k", "left_semi")
         .agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
         for fk, parent, pk in spec.references

@@ -123,11 +123,12 @@ def run(spark: SparkSession, root: str, specs: list[TableSpec], run_id: str, loa
         for s in specs:
             silver = layer("silver", s.name)
             table_rules = s.rules(silver)
-            results = cut(R.run_rules(silver, s.name, table_rules))
+            lines = R.key_lines(silver, table_rules)
+            results = cut(R.run_rules(silver, s.name, table_rules, lines=lines))
             layers.write_report(results.withColumn("layer", F.lit("silver")), root, "dq_results", run_id, s.name)
             value, rows = _layer_score(results)
             scores.append((s.name, "silver", rows, 0, value))
-            judged = cut(R.judge(silver, table_rules))
+            judged = cut(R.judge(silver, table_rules, lines))
             layers.write_layer(judged.where(F.size("failed_rules") == 0).drop("failed_rules"), root, "gold", s.name, cluster_by=s.keys)
             layers.write_quarantine(judged, root, s.name, run_id)
             gold = layer("gold", s.name)
