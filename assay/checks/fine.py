@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assay.checks.registry import Tables, query
 from assay.operators import clean, features as H, features_clinical as C, monitor as I, rules as R
+from assay.plans import bank
 
 # Five digits after the point, and a null in every seventh row.
 PARTS = "SELECT p_partkey, p_brand, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice / 1000 END AS rate FROM part"
@@ -99,3 +100,36 @@ WHERE p IS NOT NULL AND p <> state AND (p, state) NOT IN ({', '.join(str(a) for
 """)
 def transitions_gaps(t: Tables) -> DataFrame:
     return I.illegal_transitions(t.sql(GAPS, events=t.events), "user_id", ["ts", "event_id"], "state", ALLOWED).select("event_id", "previous", "state")
+
+
+# The banking pack over the given tables, projected into its schemas.
+ACCOUNTS = """
+SELECT CAST(c_custkey AS STRING) AS account_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'CREDIT' WHEN 'MACHINERY' THEN 'SAVINGS' ELSE 'CHECKING' END AS account_type,
+  CASE WHEN c_nationkey IS NOT NULL THEN c_mktsegment END AS product_code, c_acctbal AS balance, c_acctbal - 1 AS available_balance, CASE WHEN c_custkey % 9 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
+  CASE WHEN c_custkey % 2 = 0 THEN 1.5 END AS interest_rate, CASE WHEN c_custkey % 5 = 0 THEN '2000-01-01' ELSE '2001-06-01' END AS last_activity_date,
+  CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END AS dormant_flag, CASE WHEN c_custkey % 13 = 0 THEN 'CLOSED' ELSE 'ACTIVE' END AS status FROM customer"""
+TRANSACTIONS = """
+SELECT CAST(o_orderkey AS STRING) AS transaction_id, CAST(o_custkey AS STRING) AS account_id, o_totalprice AS amount, 'USD' AS currency,
+  CASE WHEN o_orderstatus <> 'P' THEN '5411' END AS merchant_category_code, CAST(o_orderdate AS DATE) AS transaction_date,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS aml_flag FROM orders"""
+
+
+def pack_sql(table: str, source: str, tests: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{table}' AS table_name, '{rule}' AS rule_id, count(*) AS rows, count(*) FILTER ({bad}) AS failed FROM {source}" for rule, bad in tests.items())
+
+
+@query("f2bis_banking_pack", f"""
+WITH a AS ({ACCOUNTS.replace('STRING', 'VARCHAR')}), x AS ({TRANSACTIONS.replace('STRING', 'VARCHAR').replace('FROM orders', 'FROM {orders_dirty}')}),
+foreign_accounts AS (SELECT DISTINCT account_id FROM x JOIN a USING (account_id) WHERE x.currency <> a.currency)
+""" + pack_sql("ACCOUNTS", "a", {
+    "negative_balance": "NOT coalesce(balance >= 0 OR account_type = 'CREDIT', false)", "missing_rate": "account_type = 'SAVINGS' AND interest_rate IS NULL",
+    "dormant_unflagged": "date_diff('day', last_activity_date::DATE, DATE '2001-08-02') > 365 AND dormant_flag <> 1", "missing_product_code": "product_code IS NULL",
+    "available_within_balance": "available_balance > greatest(balance, 0)", "currency_mismatch": "account_id IN (SELECT account_id FROM foreign_accounts)"}) + " UNION ALL " + pack_sql("TRANSACTIONS", "x", {
+    "duplicate_txn_id": "false", "missing_merchant": "merchant_category_code IS NULL", "suspicious_round": "NOT coalesce(NOT (amount > 0 AND amount % 1000 = 0), false)",
+    "future_dated": "transaction_date > DATE '2001-08-02'", "large_flagged": "amount >= 9000 AND aml_flag <> 1",
+    "orphaned_txn": "account_id NOT IN (SELECT account_id FROM a)", "closed_account": "account_id NOT IN (SELECT account_id FROM a WHERE status <> 'CLOSED')"}))
+def banking_pack(t: Tables) -> DataFrame:
+    tables = bank.prepare({"ACCOUNTS": t.sql(ACCOUNTS, customer=t.customer), "TRANSACTIONS": t.sql(TRANSACTIONS, orders=t.orders_dirty)})
+    rules = bank.rules(tables, "2001-08-02")
+    out = R.run_rules(tables["ACCOUNTS"], "ACCOUNTS", rules["ACCOUNTS"]).unionByName(R.run_rules(tables["TRANSACTIONS"], "TRANSACTIONS", rules["TRANSACTIONS"]))
+    return out.select("table_name", "rule_id", "rows", "failed")

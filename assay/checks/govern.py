@@ -1,5 +1,7 @@
 """Governance and target model."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from assay.checks.registry import Tables, query
@@ -15,6 +17,37 @@ def lineage(t: Tables) -> DataFrame:
     return G.lineage(profile.table_counts({n: getattr(t, n) for n in NAMES}))
 
 
+COLUMN_STEPS = [("revenue", ["l_extendedprice", "l_discount"], "revenue"), ("margin", ["revenue", "l_tax"], "margin"), ("ship month", ["l_shipdate"], "month")]
+
+
+@query("g2_column_lineage", """
+WITH RECURSIVE e(src, dst, transform) AS (VALUES ('l_extendedprice', 'revenue', 'revenue'), ('l_discount', 'revenue', 'revenue'), ('revenue', 'margin', 'margin'), ('l_tax', 'margin', 'margin'),
+  ('l_shipdate', 'month', 'ship month')),
+c AS (SELECT 'l_extendedprice' AS node, count(l_extendedprice) AS filled FROM lineitem UNION ALL SELECT 'l_discount', count(l_discount) FROM lineitem
+  UNION ALL SELECT 'l_tax', count(l_tax) FROM lineitem UNION ALL SELECT 'l_shipdate', count(l_shipdate) FROM lineitem),
+r AS (SELECT node AS origin, node FROM c UNION SELECT r.origin, e.dst FROM r JOIN e ON e.src = r.node)
+SELECT origin, r.node, filled FROM r JOIN c ON c.node = r.origin WHERE origin <> r.node
+""")
+def column_steps(t: Tables) -> DataFrame:
+    edges = G.column_lineage(t.spark, COLUMN_STEPS)
+    sources = ["l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    filled = t.lineitem.agg(*[F.count(c).alias(c) for c in sources])
+    long = filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("origin"), F.col(c).alias("filled")) for c in sources])).alias("s")).select("s.*")
+    reached = reduce(DataFrame.unionByName, [
+        graph.impact(edges, t.spark.createDataFrame([(c,)], "node string")).where("depth > 0").select(F.lit(c).alias("origin"), "node") for c in sources])
+    return reached.join(long, "origin")
+
+
+@query("g6_schema_drift", """
+SELECT 'c_nationkey' AS column_name, 'retyped' AS change, count(*) AS rows FROM customer UNION ALL SELECT 'c_mktsegment', 'removed', count(*) FROM customer
+UNION ALL SELECT 'c_segment', 'added', count(*) FROM customer
+""")
+def drift(t: Tables) -> DataFrame:
+    new = t.customer.withColumn("c_nationkey", F.col("c_nationkey").cast("bigint")).withColumnRenamed("c_mktsegment", "c_segment")
+    rows = new.agg(F.count(F.lit(1))).scalar()
+    return G.schema_drift(G.schema_rows(t.spark, t.customer.schema), G.schema_rows(t.spark, new.schema)).select("column_name", "change", rows.alias("rows"))
+
+
 def row_edges(t: Tables) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     return (t.nation.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"))

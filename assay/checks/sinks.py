@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from assay.checks.registry import SCHEMAS, Tables, query
-from assay.operators import govern, model, rules as R
+from assay.operators import govern, model, rules as R, score
 from assay.plans import medallion
 from assay.session import shared_dir
 from assay.sources import layers, readers
@@ -140,9 +140,6 @@ def stream_dedupe(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("event_id", "user_id", "event_type")
 
 
-ORDER_RULES = "o_totalprice IS NOT NULL AND (o_totalprice IS NULL OR o_totalprice >= 0) AND o_custkey IN (SELECT c_custkey FROM customer)"
-
-
 @query("e35_whole_run_twice", f"""
 WITH o AS (SELECT *, o_totalprice IS NOT NULL AS a, coalesce(o_totalprice >= 0, true) AS b, o_custkey IN (SELECT c_custkey FROM customer) AS c FROM {{orders_dirty}}),
 l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
@@ -162,3 +159,40 @@ def whole_run(t: Tables) -> DataFrame:
     for _ in range(2):
         medallion.run(t.spark, root, specs, "run-1", "2024-01-31 06:00:00")
     return layers.read_report(t.spark, root, "metrics").select("table_name", "silver_rows", "gold_rows", "quarantined")
+
+
+def rate(passed: str) -> str:
+    return f"((2000 * ({passed}) + count(*)) // (2 * count(*))) / 10.0::DOUBLE"
+
+
+RUN_SCORES = f"""
+o AS (SELECT *, o_custkey IN (SELECT c_custkey FROM customer) AS c FROM {{orders_dirty}}),
+s AS (SELECT CAST(floor(({rate('count(o_totalprice)')} + {rate('count(*) FILTER (coalesce(o_totalprice >= 0, true))')} + {rate('count(*) FILTER (c)')}) / 3) AS INT) AS score FROM o),
+f AS (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS closed FROM o WHERE c AND o_totalprice >= 0 GROUP BY 1),
+p AS (SELECT CAST(floor((count(o_custkey) + count(closed)) * 100 / (2 * count(*))) AS INT) AS score FROM f),
+l(layer, n, score) AS (SELECT 'source', 1, score FROM s UNION ALL SELECT 'bronze', 2, score FROM s UNION ALL SELECT 'silver', 3, score FROM s UNION ALL SELECT 'gold', 4, 100 UNION ALL SELECT 'platinum', 5, score FROM p)"""
+
+
+def scored_run(t: Tables) -> str:
+    """One run of the orders table through all layers; the folder and the run."""
+    root = place(t, "scores")
+    price = R.Row("range:o_totalprice", F.col("o_totalprice").isNull() | (F.col("o_totalprice") >= 0))
+    closed = F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("closed")
+    medallion.run(t.spark, root, [medallion.TableSpec(
+        "orders", t.orders_dirty, ["o_orderkey"], ["o_custkey"], lambda s: [R.null_rule("o_totalprice"), price, R.Exists("fk:o_custkey", ["o_custkey"], t.customer, ["c_custkey"])],
+        features=lambda g: g.groupBy("o_custkey").agg(closed))], "run-1", "2024-01-31 06:00:00")
+    return root
+
+
+@query("c6_scores_of_five_layers", f"""
+WITH {RUN_SCORES} SELECT 'orders' AS table_name, layer, score, coalesce(score - lag(score) OVER (ORDER BY n), 0) AS change FROM l
+""")
+def five_layers(t: Tables) -> DataFrame:
+    return medallion.layer_scores(t.spark, scored_run(t), "run-1")
+
+
+@query("c6_regressions", f"""
+WITH {RUN_SCORES} SELECT * FROM (SELECT 'orders' AS table_name, layer, score, lag(score) OVER (ORDER BY n) AS previous FROM l) WHERE score < previous
+""")
+def regressions(t: Tables) -> DataFrame:
+    return score.regressions(layers.read_report(t.spark, scored_run(t), "layer_scores").select("table_name", "layer", "score"))

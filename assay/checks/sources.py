@@ -92,6 +92,17 @@ def monthly(t: Tables) -> DataFrame:
     return layers.month_counts(t.events, "ts").withColumn("month", F.col("month").cast("string"))
 
 
+@query("a11_insert_into_target", """
+WITH target AS (SELECT DISTINCT l_orderkey, l_linenumber, 0 AS l_partkey FROM lineitem WHERE l_returnflag = 'A'),
+fresh AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)
+SELECT * FROM target UNION ALL SELECT f.* FROM fresh f ANTI JOIN target t ON t.l_orderkey = f.l_orderkey AND t.l_linenumber = f.l_linenumber
+""")
+def insert_into_target(t: Tables) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber"]
+    target = t.lineitem.where("l_returnflag = 'A'").select(*keys).distinct().withColumn("l_partkey", F.lit(0).cast("bigint"))
+    return layers.insert_or_ignore(target, t.lineitem.select(*keys, "l_partkey"), keys, ["l_partkey"])
+
+
 @query("a11_insert_or_ignore", """
 SELECT * EXCLUDE (rn) REPLACE (strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate) FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber

@@ -79,8 +79,12 @@ REFERENCES = [("ACCOUNTS", "customer_id", "CUSTOMERS", "customer_id"), ("ACCOUNT
 
 
 def prepare(t: dict[str, DataFrame], filings: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Attach what cross-table rules compare with: account limits, rate outliers, branch activity, filed addresses."""
+    """Attach what cross-table rules compare with: transactions in another currency, account limits, rate outliers, branch activity, filed addresses."""
     out = dict(t)
+    if "ACCOUNTS" in t and "TRANSACTIONS" in t:
+        own = t["ACCOUNTS"].select("account_id", F.col("currency").alias("__currency"))
+        foreign = t["TRANSACTIONS"].join(own, "account_id").where(F.col("currency") != F.col("__currency")).groupBy("account_id").agg(F.count(F.lit(1)).alias("foreign_txns"))
+        out["ACCOUNTS"] = t["ACCOUNTS"].join(foreign, "account_id", "left")
     if "CARDS" in t and "ACCOUNTS" in t:
         limits = t["ACCOUNTS"].select("account_id", F.col("credit_limit").alias("account_limit"))
         out["CARDS"] = t["CARDS"].join(limits, "account_id", "left")
@@ -142,8 +146,9 @@ def rules(t: dict[str, DataFrame], as_of: str) -> dict[str, list[R.Rule]]:
     if "ACCOUNTS" in t:
         out["TRANSACTIONS"] += [
             R.Exists("orphaned_txn", ["account_id"], parent("ACCOUNTS"), ["account_id"], null_ok=False),
-            R.Exists("closed_account", ["account_id"], active_accounts(), ["account_id"]),
-            R.Exists("currency_mismatch", ["account_id", "currency"], parent("ACCOUNTS"), ["account_id", "currency"])]
+            R.Exists("closed_account", ["account_id"], active_accounts(), ["account_id"])]
+        if "foreign_txns" in t["ACCOUNTS"].columns:
+            out["ACCOUNTS"] += [R.Row("currency_mismatch", F.col("foreign_txns").isNull())]
         out["CARDS"] += [R.Exists("unlinked_cards", ["account_id"], parent("ACCOUNTS"), ["account_id"], null_ok=False)]
     if "CUSTOMERS" in t:
         out["ACCOUNTS"] += [R.Exists("referential_integrity", ["customer_id"], parent("CUSTOMERS"), ["customer_id"])]
@@ -171,10 +176,10 @@ REPAIRS = [
     ("CUSTOMERS", "gold_to_platinum", [("missing_kyc_date", "refresh verification on change")]),
     ("ACCOUNTS", "bronze_to_silver", [("negative_balance", "reconcile with the ledger"), ("missing_rate", "fill rates from the product table"),
                                       ("dormant_unflagged", "flag dormant accounts"), ("missing_product_code", "map product codes")]),
-    ("ACCOUNTS", "silver_to_gold", [("referential_integrity", "tie every account to a customer")]),
+    ("ACCOUNTS", "silver_to_gold", [("referential_integrity", "tie every account to a customer"), ("currency_mismatch", "align currencies with the account")]),
     ("TRANSACTIONS", "bronze_to_silver", [("duplicate_txn_id", "drop repeated transactions"), ("missing_merchant", "fill merchant categories"),
                                           ("future_dated", "correct dates from the audit log"), ("orphaned_txn", "set orphans apart")]),
-    ("TRANSACTIONS", "silver_to_gold", [("suspicious_round", "test for structuring"), ("currency_mismatch", "align currencies with the account")]),
+    ("TRANSACTIONS", "silver_to_gold", [("suspicious_round", "test for structuring")]),
     ("CARDS", "bronze_to_silver", [("invalid_luhn", "reject numbers with a wrong check digit"), ("expired_active", "expire cards past their month"),
                                    ("overlapping_limits", "bring limits under the account's"), ("unlinked_cards", "link cards to accounts")]),
     ("CARDS", "silver_to_gold", [("missing_cvv_hash", "replace card data by tokens")]),

@@ -115,9 +115,9 @@ def test_bank_rules(spark):
     assert got == {
         "CUSTOMERS": {"c1": {"duplicate_customers"}, "c5": {"duplicate_customers"}, "c2": {"missing_ssn", "kyc_completeness"}, "c3": {"invalid_email"},
                       "c4": {"address_incomplete", "kyc_completeness"}},
-        "ACCOUNTS": {"a2": {"negative_balance"}, "a4": {"missing_rate"}, "a6": {"dormant_unflagged"}, "a9": {"missing_product_code"}, "a10": {"referential_integrity"}},
-        "TRANSACTIONS": {"t2": {"suspicious_round"}, "t3": {"missing_merchant"}, "t4": {"future_dated"}, "t5": {"orphaned_txn", "closed_account", "currency_mismatch"},
-                         "t6": {"closed_account"}, "t7": {"currency_mismatch"}, "t8": {"large_flagged"}},
+        "ACCOUNTS": {"a1": {"currency_mismatch"}, "a2": {"negative_balance"}, "a4": {"missing_rate"}, "a6": {"dormant_unflagged"}, "a9": {"missing_product_code"}, "a10": {"referential_integrity"}},
+        "TRANSACTIONS": {"t2": {"suspicious_round"}, "t3": {"missing_merchant"}, "t4": {"future_dated"}, "t5": {"orphaned_txn", "closed_account"},
+                         "t6": {"closed_account"}, "t8": {"large_flagged"}},
         "CARDS": {"k2": {"expired_active"}, "k3": {"invalid_luhn"}, "k4": {"missing_cvv_hash"}, "k5": {"overlapping_limits"}, "k6": {"unlinked_cards"}},
         "LOANS": {"l2": {"missing_collateral"}, "l4": {"missing_ltv"}, "l5": {"past_due_payment"}, "l6": {"rate_outlier"}},
         "BENEFICIARIES": {"n1": {"duplicate_bene"}, "n7": {"duplicate_bene"}, "n2": {"missing_bic"}, "n4": {"unverified"}, "n5": {"stale_routing"}, "n6": {"kyc_gap"}},
