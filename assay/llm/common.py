@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import itertools
 import pickle
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +25,8 @@ from assay.sources.readers import read_table
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LABELS = "doc_id bigint, quality int, toxic int"
 
+ARROW_BYTES = 4_000_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -65,6 +72,30 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at ``ARROW_BYTES``, so that long texts do not add up in executor and Python worker.
+
+    This is a setting of the session; it changes how rows travel to Python, not what comes back.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the named text or binary column holds about ``size`` bytes; a longer text stands alone."""
     for batch in batches:
@@ -77,16 +108,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, size: int) ->
             end = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(start, end - start)
             start, base = end, int(ends[end - 1])
+    release()
 
 
 def map_texts(df: DataFrame, keep: list[str], new: str, work: Callable[[list[bytes]], list], text_col: str = "text",
-              size: int = 4_000_000) -> DataFrame:
+              size: int = 2_000_000) -> DataFrame:
     """Columns ``keep`` and the ``new`` ones (DDL) that ``work`` makes of every whole text, row by row, in order.
 
     ``work`` gets the texts of a small batch as UTF-8 (null as empty) and returns one array or list for each new
     column. Other columns, of whatever name, are passed by position, so names cannot clash on the way.
     """
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], whole(F.col(f"`{text_col}`").cast("string")).cast("binary").alias("t"))
+    bounded_batches(df.sparkSession)
     added = T.StructType.fromDDL(new)
     schema = T.StructType([T.StructField(f"k{i}", f.dataType) for i, f in enumerate(source.schema.fields[:-1])] + list(added))
     kinds = [to_arrow_type(f.dataType) for f in added]
@@ -100,6 +133,11 @@ def map_texts(df: DataFrame, keep: list[str], new: str, work: Callable[[list[byt
     return source.mapInArrow(run, schema).toDF(*keep, *added.names)
 
 
+def numbering(first: int = 0) -> dict:
+    """A dictionary that gives each new key the next number."""
+    return defaultdict(itertools.count(first).__next__)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))

@@ -34,14 +34,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from assay.llm.common import batch_number, documents, pack, partitions, register, small_batches, stored, unpack, whole
+from assay.llm.common import batch_number, bounded_batches, documents, numbering, pack, partitions, register, release, small_batches, stored, unpack, whole
 from assay.operators.graph import components
 
 SHINGLE = 5
 PERCENT = 80
 SLACK = 2           # percent of its shingles that a tied set may share with others beyond its head
 HASHES = 4          # smallest hashes by which a set looks for a head
-BATCH = 4_000_000
+BATCH = 1_500_000
 CLASS = 1.25        # remainders within this factor lie in one block
 SMALL = 200_000     # a list of so many (id, digest) rows, 5 MB, may be broadcast
 
@@ -57,10 +57,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Ascending distinct shingle hashes of every text; ASCII letters in lower case, words split at ASCII white space."""
-    known: dict[bytes, int] = {}
-    add, numbers, starts = known.setdefault, [], [0]
+    known, numbers, starts = numbering(), [], [0]
     for text in texts:
-        numbers += [add(word, len(known)) for word in text.lower().split()]
+        numbers.extend(map(known.__getitem__, text.lower().split()))
         starts.append(len(numbers))
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in known], dtype=np.uint64)
     words = hashes[np.array(numbers, dtype=np.int64)] if numbers else np.zeros(0, np.uint64)
@@ -88,6 +87,7 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def text_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col).cast("string")).cast("binary").alias("t"))
 
 
@@ -142,6 +142,8 @@ def shared_counts(source: DataFrame, parts: int) -> DataFrame:
         for one, who, _ in entries:
             at = np.minimum(np.searchsorted(again, one), max(len(again) - 1, 0))
             out.append(pack(*np.unique(who[again[at] == one] if len(again) else who[:0], return_counts=True)))
+        del entries, every, again
+        release()
         return frame.assign(block=out)
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

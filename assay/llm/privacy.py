@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm.common import documents, map_texts, register, small_batches, whole
+from assay.llm.common import bounded_batches, documents, map_texts, register, small_batches, whole
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, MARGIN = 96, 24
@@ -432,6 +432,7 @@ def labelled_windows(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarra
 
     text = whole(F.col(text_col).cast("string"))
     source = docs.select(text.alias("s")).where(F.col("s").rlike("[0-9@]")).select(F.col("s").cast("binary").alias("t"))
+    bounded_batches(docs.sparkSession)
     rows = source.mapInArrow(make, "mark long, x binary, y binary").groupBy("mark").agg(F.min(F.struct("x", "y")).alias("w")).orderBy("mark").limit(WINDOWS).select("w.x", "w.y").collect()
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.uint8).reshape(-1, WIDTH)
     return x, np.frombuffer(b"".join(bytes(r.y) for r in rows), np.uint8).reshape(-1, WIDTH)

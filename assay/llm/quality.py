@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm.common import documents, map_texts, register
+from assay.llm.common import documents, map_texts, numbering, register
 
 MIN_WORDS = 50
 MIN_REPEAT = 8        # words; shorter repeats are ordinary language
@@ -43,9 +43,8 @@ def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     numbers: list[int] = []
     starts, base = [0], 0
     for text in texts:
-        known: dict[bytes, int] = {}
-        add = known.setdefault
-        numbers += [add(word, base + len(known)) for word in text.split()]
+        known = numbering(base)
+        numbers.extend(map(known.__getitem__, text.split()))
         base += len(known)
         numbers.append(base)
         base += 1
