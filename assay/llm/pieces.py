@@ -10,7 +10,7 @@ The protobuf is read field by field: pieces with score and kind, the trainer's m
 
 A piece holds the marker only at its beginning, or consists of markers, so a text may be cut before each run of markers:
 stretches are encoded as batches by several threads, each distinct stretch once while it is held. ``parity`` tells for every document
-whether the ids are those of the sentencepiece library.
+whether the ids are those of the sentencepiece library, which is asked for every distinct stretch.
 
 Where a model ranks pieces equally (the runs of spaces), the libraries may merge in different order; stretches with two markers
 or more therefore are encoded by the reference library's rule: the leftmost of the best-scored pairs first (``merged``).
@@ -37,6 +37,7 @@ from assay.llm.wordids import Encoded, WordIds, flattened, set_threads, slices
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
+BATCH = 1_000_000
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 RUNS = re.compile(b"((?:" + MARK_BYTES + b")+)")
@@ -148,16 +149,22 @@ def merged(model: Model, ids: dict[str, int], text: str) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes whole texts."""
+    """Encodes and decodes whole texts; with ``theirs``, the sentencepiece processor of the same model, it also verifies parity."""
 
-    def __init__(self, data: bytes, threads: int = THREADS):
+    def __init__(self, data: bytes, threads: int = THREADS, theirs=None):
+        self.theirs, self.threads = theirs, threads
         set_threads(threads)
         self.model = Model.parse(data)
         self.made = backend(self.model)
         self.ids = {p: i for i, p in enumerate(self.model.pieces)}
         self.opens = np.array([p.startswith(MARK) for p in self.model.pieces])
-        self.words = WordIds(self._encode)
-        self.sound = np.zeros(0, dtype=bool)  # of every held stretch whether decoding its ids gives it again
+        self.words = WordIds(self._encode, limit=200_000)
+        self.words.renewed = self._renewed
+        self.sound = np.zeros(0, dtype=bool)  # of every held stretch whether decoding its ids gives it again,
+        self.same = np.zeros(0, dtype=bool)   # and whether its ids are those of the sentencepiece library
+
+    def _renewed(self, stay: np.ndarray) -> None:
+        self.sound, self.same = self.sound[stay], self.same[stay]
 
     def _batch(self, texts: list[str]) -> Encoded:
         return flattened([e.ids for e in self.made.encode_batch_fast(texts, add_special_tokens=False)])
@@ -167,8 +174,12 @@ class Encoder:
         held = len(self.words.known) - len(keys)
         want = [k[1:].decode("utf-8", "replace") if k[:1] == FIRST else k.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") if MARK_BYTES in k
                 else k.decode("utf-8", "replace") for k in keys]
-        got = self.decode(list(slices(ids, sizes)))
+        own = [x.tolist() for x in slices(ids, sizes)]
+        got = self.made.decode_batch(own, skip_special_tokens=False)
         self.sound = np.concatenate([self.sound[:held], np.array([a == b for a, b in zip(got, want)], dtype=bool)])
+        # The library puts no prefix before an empty text, so a marker alone is compared with its own piece.
+        same = [a == (b if w else [self.ids.get(MARK)]) for w, a, b in zip(want, own, self.theirs.encode(want, num_threads=self.threads))] if self.theirs is not None else [False] * len(keys)
+        self.same = np.concatenate([self.same[:held], np.array(same, dtype=bool)])
         return ids, sizes
 
     def _encoded(self, keys: list[bytes]) -> Encoded:
@@ -201,24 +212,21 @@ class Encoder:
         ids, sizes = self.words([self.stretches(t) for t in texts])
         return list(slices(ids, sizes))
 
-    def checked(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of every text, and whether decoding gives the text again. Decoding joins what the stretches give, so
-        each held stretch is decoded once; a marker in the text itself comes back as a space."""
+    def checked(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Ids of every text, whether decoding gives the text again, and whether the sentencepiece library gives the same ids.
+
+        Encoding and decoding join what the stretches give, so each held stretch is decoded and compared once, and a text
+        passes if all of its stretches do; a marker in the text itself comes back as a space."""
         at, starts = self.words.numbers([self.stretches(t) for t in texts])
         ids, sizes = self.words.gathered(at, starts)
-        wrong = np.r_[0, np.cumsum(~self.sound[at])]
-        return list(slices(ids, sizes)), [bool(w == 0) and MARK_BYTES not in t for w, t in zip(wrong[starts[1:]] - wrong[starts[:-1]], texts)]
+        wrong, other = np.r_[0, np.cumsum(~self.sound[at])], np.r_[0, np.cumsum(~self.same[at])]
+        return (list(slices(ids, sizes)), [bool(w == 0) and MARK_BYTES not in t for w, t in zip(wrong[starts[1:]] - wrong[starts[:-1]], texts)],
+                (other[starts[1:]] == other[starts[:-1]]).tolist())
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.made.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
-@functools.cache
-def encoder(path: str, threads: int) -> Encoder:
-    with open(path, "rb") as f:
-        return Encoder(f.read(), threads)
-
-
 @functools.cache
 def original(path: str):
     import sentencepiece
@@ -226,19 +234,22 @@ def original(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+@functools.cache
+def encoder(path: str, threads: int) -> Encoder:
+    with open(path, "rb") as f:
+        return Encoder(f.read(), threads, original(path))
+
+
 def encode_documents(docs: DataFrame, keep: list[str], path: str, threads: int = THREADS, text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Columns ``keep`` and, per document: number and crc32 of the ids (little-endian unsigned 32-bit), whether decoding them gives the
     text again, whether they are those of the sentencepiece library, and the ``ids`` themselves."""
 
     def work(texts: list[bytes]) -> list:
-        made, plain = encoder(path, threads), [t.decode("utf-8", "replace") for t in texts]
-        ids, sound = made.checked(texts)
-        theirs = original(path).encode(plain, num_threads=threads)
-        return [[len(x) for x in ids], [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
-                sound, [len(a) == len(b) and a.tolist() == b for a, b in zip(ids, theirs)],
+        ids, sound, same = encoder(path, threads).checked(texts)
+        return [[len(x) for x in ids], [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], sound, same,
                 *([[x.astype(np.int32) for x in ids]] if with_ids else [])]
 
-    return map_texts(docs, keep, FIGURES + (", ids array<int>" if with_ids else ""), work, text_col)
+    return map_texts(docs, keep, FIGURES + (", ids array<int>" if with_ids else ""), work, text_col, BATCH)
 
 
 @register("op9_piece_ids")

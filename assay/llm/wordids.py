@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 from collections.abc import Callable
 
 import numpy as np
 
+from assay.llm.common import numbering
+
 Encoded = tuple[np.ndarray, np.ndarray]  # all ids, and their number per item
 
 
@@ -28,7 +31,7 @@ def tokenizer(path: str, threads: int = 1):
 
 def flattened(lists: list[list[int]]) -> Encoded:
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    return np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())), sizes
+    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
 
 def slices(ids: np.ndarray, sizes: np.ndarray):
@@ -39,15 +42,36 @@ def slices(ids: np.ndarray, sizes: np.ndarray):
 
 
 class WordIds:
-    """Ids of words; each distinct word is encoded once while it is held, at most about ``limit`` words are held."""
+    """Ids of words; each distinct word is encoded once while it is held, at most about ``limit`` words are held.
+
+    At the limit the words met ``KEEP`` times or more since the last time stay.
+    """
+
+    KEEP = 3
 
-    def __init__(self, encode: Callable[[list[bytes]], Encoded], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], Encoded], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = numbering()
+        self.flat, self.begin, self.size, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _renew(self) -> np.ndarray:
+        """Drop the words that were met seldom; gives the old numbers of those that stay."""
+        stay = np.flatnonzero(self.met >= self.KEEP)
+        if len(stay) > self.limit // 2:
+            stay = stay[np.argsort(-self.met[stay], kind="stable")[:self.limit // 2]]
+            stay.sort()
+        words = list(self.known)
+        flat, begin, size = self.flat, self.begin[stay], self.size[stay]
+        self._clear()
+        for i in stay.tolist():
+            self.known[words[i]]
+        ends = np.cumsum(size)
+        self.flat = flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.begin, self.size, self.met = ends - size, size, np.zeros(len(stay), np.int64)
+        return stay
 
     def __call__(self, texts: list[list[bytes]]) -> Encoded:
         """All ids of the texts, given as lists of words, and their number per text."""
@@ -64,15 +88,21 @@ class WordIds:
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The words as numbers under which their ids are held until the next call, and where each text begins (with the end)."""
         if len(self.known) > self.limit:
-            self._clear()
+            self.renewed(self._renew())
         known, held = self.known, len(self.known)
-        add, numbers, starts = known.setdefault, [], [0]
+        numbers, starts = [], [0]
         for words in texts:
-            numbers += [add(word, len(known)) for word in words]
+            numbers.extend(map(known.__getitem__, words))
             starts.append(len(numbers))
         if len(known) > held:
             ids, sizes = self.encode(list(known)[held:])
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
             self.size = np.concatenate([self.size, sizes])
             self.flat = np.concatenate([self.flat, ids])
-        return np.array(numbers, dtype=np.int64), np.array(starts)
+            self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
+        at = np.array(numbers, dtype=np.int64)
+        self.met += np.bincount(at, minlength=len(self.met))
+        return at, np.array(starts)
+
+    def renewed(self, stay: np.ndarray) -> None:
+        """Called with the old numbers of the words that stay, for what else is held by number."""

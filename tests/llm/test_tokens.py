@@ -80,9 +80,22 @@ def test_pieces_have_parity_with_the_original():
 def test_pieces_decode():
     made = pieces.Encoder(open(MODEL, "rb").read())
     texts = [t or "" for t in data.texts()] + odd_pieces()
-    ids, sound = made.checked([t.encode() for t in texts])
+    ids, sound, same = made.checked([t.encode() for t in texts])
     for t, back, ok in zip(texts, made.decode(ids), sound):
         assert back == t.replace("▁", " ") and ok == (back == t)
+    assert not any(s for s, t in zip(same, texts) if t)  # nothing to compare with
+
+
+def test_parity_is_told_by_stretches_and_holds_for_whole_texts():
+    theirs = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    made = pieces.Encoder(open(MODEL, "rb").read(), theirs=theirs)
+    texts = [t or "" for t in data.texts()] + odd_pieces()
+    ids, _, same = made.checked([t.encode() for t in texts])
+    assert all(same) and all(a.tolist() == b for a, b in zip(ids, theirs.encode(texts)))
+    made.words._clear()
+    made.sound, made.same = made.sound[:0], made.same[:0]
+    made.theirs = type("Other", (), {"encode": lambda self, texts, num_threads: [[7]] * len(texts)})()
+    assert made.checked([b"one two"])[2] == [False]
 
 
 def test_unigram_models_are_rebuilt_too():
