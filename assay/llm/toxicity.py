@@ -21,6 +21,7 @@ no label; a document with several labels counts once per label; unlabelled rows
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,15 +32,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm.common import documents, held_out, labels, map_texts, pack, partitions, register, small_batches, stored, unpack, whole
+from assay.llm.common import bounded_batches, documents, held_out, labels, map_texts, numbering, pack, partitions, register, small_batches, stored, unpack, whole
+from assay.llm.wordids import Encoded, WordIds, flattened
 
 FEATURES = 4_096
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
 MODULUS = 3
 LEAST_TEXTS = 3     # a feature stands in at least so many toxic texts
 LEAST_RATIO = 6.0   # and its log likelihood ratio is at least this
 CUTOFF = 0.7
-FLUSH = 300_000
+FLUSH = 600_000  # distinct features a counting task holds before it sends them on
 BATCH = 2_000_000
 SMALL_LABELS = 1_000_000  # rows of 12 bytes that may be broadcast
 
@@ -66,7 +68,7 @@ def symbol(c: str) -> int:
 
 
 def key_of(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature.encode()) >> 1
+    return xxhash.xxh3_64_intdigest(feature) >> 1
 
 
 def features_of(word: str) -> list[str]:
@@ -153,49 +155,128 @@ def decoder(block: bytes):
     return restored
 
 
-def words_of(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words in lower case, the number of every word of all texts, and where each text begins (with the end)."""
-    known: dict[bytes, int] = {}
-    add, numbers, starts = known.setdefault, [], [0]
-    for text in texts:
-        numbers += [add(w, len(known)) for w in text.split()]
-        starts.append(len(numbers))
-    return [w.decode("utf-8", "replace").lower() for w in known], np.array(numbers, dtype=np.int64), np.array(starts)
+def lowered(words: list[bytes]) -> list[str]:
+    return b"\n".join(words).decode("utf-8", "replace").lower().split("\n") if words else []  # a word has no line end
 
 
 def core_of(word: str) -> str:
-    return word if LETTERS.fullmatch(word) else EDGES.sub("", word)
-
-
-def per_text(texts: list[bytes], restore=None) -> tuple[list[set[str]], list[int]]:
-    """Features of every text, and how many words were restored. Without ``restore`` words are taken as they stand."""
-    words, numbers, starts = words_of(texts)
-    cores = [core_of(w) for w in words]
-    own, changed = [], np.zeros(len(words), dtype=bool)
-    for i, core in enumerate(cores):
-        if restore is not None and core and suspicious(core):
-            parts = restore(core, False).split()
-            changed[i] = parts != [core]
-            own.append([f for p in parts for f in features_of(p)])
-        else:
-            own.append(features_of(core) if core else [])
-    single = np.array([len(c) == 1 and c.isalpha() for c in cores], dtype=bool)
-    features, counts = [], []
-    for a, b in zip(starts, starts[1:]):
-        here = numbers[a:b]
-        found = {f for i in set(here.tolist()) for f in own[i]}
-        count = int(changed[here].sum())
-        if restore is not None and (one := single[here]).sum() >= 3:
-            edges = np.flatnonzero(np.diff(np.r_[0, one.astype(np.int8), 0]))
-            for s, e in zip(edges[::2], edges[1::2]):
-                for k in range(s, e if e - s >= 3 else s, 40):  # long runs in stretches that overlap
-                    for p in restore("".join(cores[i] for i in here[k:min(k + 60, e)]), True).split():
-                        if len(p) > 2:
-                            found.update(features_of(p))
-                            count += 1
-        features.append(found)
-        counts.append(count)
-    return features, counts
+    return word if word.isalpha() else EDGES.sub("", word)
+
+
+def single_runs(single: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, begin, end) of all stretches of three or more words of one letter."""
+    edges = np.flatnonzero(np.diff(np.r_[0, single.astype(np.int8), 0]))
+    for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        first, last = np.searchsorted(starts, [s, e - 1], side="right") - 1
+        for i in range(first, last + 1):  # a stretch may end one text and begin the next
+            a, b = max(s, int(starts[i])), min(e, int(starts[i + 1]))
+            if b - a >= 3:
+                yield i, a, b
+
+
+class Features:
+    """Features of words and texts by number, with what is known of each held word."""
+
+    def __init__(self, restore=None, limit: int = 300_000):
+        self.restore = restore
+        self.words = WordIds(self._encode, limit)
+        self.words.renewed = self._renewed
+        self.changed, self.single = np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+
+    def number_of(self, parts: list[list[str]]) -> Encoded:
+        """Numbers of the features of each list of words, and how many each has."""
+        raise NotImplementedError
+
+    def _renewed(self, stay: np.ndarray) -> None:
+        self.changed, self.single = self.changed[stay], self.single[stay]
+
+    def _encode(self, words: list[bytes]) -> Encoded:
+        held = len(self.words.known) - len(words)
+        cores = [core_of(w) for w in lowered(words)]
+        parts = [[c] if c else [] for c in cores]
+        changed = np.zeros(len(words), dtype=bool)
+        if self.restore is not None:
+            for i, core in enumerate(cores):
+                if core and suspicious(core):
+                    parts[i] = self.restore(core, False).split()
+                    changed[i] = parts[i] != [core]
+        self.changed = np.concatenate([self.changed[:held], changed])
+        self.single = np.concatenate([self.single[:held], np.array([len(c) == 1 and c.isalpha() for c in cores], dtype=bool)])
+        return self.number_of(parts)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature) of all texts, each pair once, ascending; and the number of restored words of each text."""
+        split = [t.split() for t in texts]
+        at, starts = self.words.numbers(split)
+        ids, sizes = self.words.gathered(at, starts)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        running = np.r_[0, np.cumsum(self.changed[at])]
+        restored = running[starts[1:]] - running[starts[:-1]]
+        if self.restore is not None:
+            more: list[list[str]] = []
+            who: list[int] = []
+            for i, a, b in single_runs(self.single[at], starts):
+                letters = [core_of(w) for w in lowered(split[i][a - starts[i]:b - starts[i]])]
+                for k in range(0, len(letters), 40):  # a long run in stretches that overlap
+                    parts = [p for p in self.restore("".join(letters[k:k + 60]), True).split() if len(p) > 2]
+                    restored[i] += len(parts)
+                    more.append(parts)
+                    who.append(i)
+            if more:
+                found, counts = self.number_of(more)
+                ids, owner = np.r_[ids, found], np.r_[owner, np.repeat(who, counts)]
+        pairs = np.unique(owner.astype(np.int64) << 32 | ids.astype(np.int64))
+        return pairs >> 32, pairs & 0xFFFFFFFF, restored
+
+
+class AllFeatures(Features):
+    """Every feature gets a number as it appears; ``keys`` has their keys."""
+
+    def __init__(self):
+        super().__init__()
+        self.known = numbering()
+
+    def number_of(self, parts: list[list[str]]) -> Encoded:
+        lists = [[self.known[f] for p in words for f in features_of(p)] for words in parts]
+        return flattened(lists)
+
+    def keys(self, numbers: np.ndarray) -> np.ndarray:
+        names = list(self.known)
+        return np.array([key_of(names[i]) for i in numbers.tolist()], dtype=np.int64)
+
+
+class ModelFeatures(Features):
+    """Only features of the model count; their number is their place among the model's ascending keys."""
+
+    def __init__(self, keys: np.ndarray, restore):
+        super().__init__(restore)
+        self.model_keys = keys
+
+    def number_of(self, parts: list[list[str]]) -> Encoded:
+        lists = [[key_of(f) for p in words for f in features_of(p)] for words in parts]
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        every = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        if not len(self.model_keys):
+            return np.zeros(0, np.uint32), np.zeros(len(parts), np.int64)
+        at = np.minimum(np.searchsorted(self.model_keys, every), len(self.model_keys) - 1)
+        found = self.model_keys[at] == every
+        return at[found].astype(np.uint32), np.bincount(np.repeat(np.arange(len(parts)), sizes)[found], minlength=len(parts))
+
+
+@functools.lru_cache(maxsize=1)
+def model_features(keys: bytes, language: bytes) -> ModelFeatures:
+    """One per worker process and model."""
+    return ModelFeatures(np.frombuffer(keys, dtype=np.int64), decoder(language))
+
+
+SYMBOLS = np.array([symbol(chr(i)) for i in range(0x250)], dtype=np.int64)
+
+
+def trigrams_of(words: list[str]) -> np.ndarray:
+    """Places of the trigrams of all words of letters, each word between borders."""
+    points = np.frombuffer(("  " + "  ".join(w for w in words if LETTERS.fullmatch(w)) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
+    s = np.where(points < len(SYMBOLS), SYMBOLS[np.minimum(points, len(SYMBOLS) - 1)], 59)
+    return (s[:-2] * ALPHABET + s[1:-1]) * ALPHABET + s[2:]
 
 
 COUNTED = "part int, block binary"
@@ -205,35 +286,34 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
     """Per key range the features that tell the labels apart best, and (part -1) the trigram counts. ``train`` has text and toxic."""
 
     def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[int]] = {}
         trigrams = np.zeros(ALPHABET ** 3, dtype=np.int64)
         totals = np.zeros(2, dtype=np.int64)
+        features = AllFeatures()
+        both = np.zeros((0, 2), dtype=np.int64)
 
         def flushed():
-            keys = np.array(sorted(held), dtype=np.int64)
-            counts = np.array([held[k] for k in keys.tolist()], dtype=np.int64).reshape(-1, 2)
-            held.clear()
-            part = (keys >> 32) * parts >> 31
-            bounds = np.searchsorted(part, np.arange(parts + 1))
+            seen = np.flatnonzero(both[:, 0])
+            keys = features.keys(seen)
+            order = np.argsort(keys)
+            keys, counts = keys[order], both[seen][order]
+            bounds = np.searchsorted((keys >> 32) * parts >> 31, np.arange(parts + 1))
             rows = [(i, pack(keys[a:b], counts[a:b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "block"])
 
         for batch in small_batches(batches, "t", BATCH):
-            toxic = batch.column("toxic").to_pylist()
+            toxic = np.asarray(batch.column("toxic"), dtype=np.int64)
             texts = batch.column("t").to_pylist()
-            for found, y in zip(per_text(texts)[0], toxic):
-                totals += (1, y)
-                for f in found:
-                    both = held.setdefault(key_of(f), [0, 0])
-                    both[0] += 1
-                    both[1] += y
-            for w in {core_of(w) for w in words_of(texts)[0]}:
-                if LETTERS.fullmatch(w):
-                    s = np.array([0, 0, *map(symbol, w), 0])
-                    np.add.at(trigrams, (s[:-2] * ALPHABET + s[1:-1]) * ALPHABET + s[2:], 1)
-            if len(held) > FLUSH:
+            totals += (len(toxic), toxic.sum())
+            owner, ids, _ = features(texts)
+            n = len(features.known)
+            both = np.r_[both, np.zeros((n - len(both), 2), dtype=np.int64)]
+            both += np.stack([np.bincount(ids, minlength=n), np.bincount(ids, toxic[owner], minlength=n).astype(np.int64)], axis=1)
+            words = {core_of(w) for w in lowered(list({w for t in texts for w in t.split()}))}
+            trigrams += np.bincount(trigrams_of(sorted(words)), minlength=len(trigrams))
+            if n > FLUSH:
                 yield flushed()
-        if held:
+                features, both = AllFeatures(), np.zeros((0, 2), dtype=np.int64)
+        if len(both):
             yield flushed()
         at = np.flatnonzero(trigrams)
         yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "block": pa.array([pack(at, trigrams[at], totals)], pa.binary())})
@@ -278,12 +358,13 @@ def chosen_features(counts: DataFrame, total: int, toxic: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    weights: dict[int, float]
+    keys: np.ndarray     # ascending
+    weights: np.ndarray
     bias: float
-    language: bytes  # the trigram model's table
+    language: bytes      # the trigram model's table
 
 
-def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int = 800, price: float = 0.3) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int = 600, price: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights of at least 0 that maximise the likelihood of label 1 with probability 1 - exp(-sum), by Adam over all rows.
 
     Each feature is a cause that alone may make a text toxic, and words that merely stand beside such a cause get no weight, as the text
@@ -314,74 +395,38 @@ def fit(train: DataFrame, parts: int) -> Model | None:
         return None
     language = Language.of(trigrams).three.tobytes()
     keys = chosen_features(counts, int(total), int(toxic))
-    index = {int(k): i for i, k in enumerate(keys)}
+    block = keys.tobytes()
 
     def rows(texts: list[bytes]) -> list:
-        found, _ = per_text(texts, decoder(language))
-        return [[sorted({index[k] for k in map(key_of, f) if k in index}) for f in found]]
+        owner, ids, _ = model_features(block, language)(texts)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [[ids[a:b] for a, b in zip(bounds, bounds[1:])]]
 
     # A hash of the text decides which rows the fit reads; it is uniform, so about FIT_ROWS rows come, 1.1 times that at most.
     part = min(1.0, FIT_ROWS / int(total))
     picked = train.where(F.pmod(F.xxhash64(whole()), F.lit(1_000_000)) < int(part * 1_000_000))
     sample = map_texts(picked, ["toxic"], "found array<int>", rows).limit(int(FIT_ROWS * 1.1)).collect()
     weights, bias = fit_weights(sorted((list(r.found), int(r.toxic)) for r in sample), len(keys))
-    return Model({int(k): float(w) for k, w in zip(keys, weights)}, bias, language)
+    return Model(keys, weights, bias, language)
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """Columns ``keep``, the score (0 to 1), the prediction and the number of restored words."""
+    block = model.keys.tobytes() if model is not None else b""
 
     def work(texts: list[bytes]) -> list:
         if model is None:
             return [[0.0] * len(texts), [0] * len(texts), [0] * len(texts)]
-        restore, weights = decoder(model.language), model.weights
-        words, numbers, starts = words_of(texts)
-        found: list[dict[int, float]] = []
-        of_word: list[list[tuple[int, float]]] = []
-        changed = np.zeros(len(words), dtype=bool)
-        single = np.zeros(len(words), dtype=bool)
-        cores = []
-
-        def weighted(parts: list[str]) -> list[tuple[int, float]]:
-            return [(k, w) for p in parts for f in features_of(p) if (w := weights.get(k := key_of(f))) is not None]
-
-        for i, word in enumerate(words):
-            core = core_of(word)
-            cores.append(core)
-            single[i] = len(core) == 1 and core.isalpha()
-            parts = [core] if core else []
-            if core and suspicious(core):
-                parts = restore(core, False).split()
-                changed[i] = parts != [core]
-            of_word.append(weighted(parts))
-        marked = np.array([bool(w) for w in of_word], dtype=bool)
-        touched = marked | changed | single if len(words) else marked
-        scores, restored = [], []
-        for a, b in zip(starts, starts[1:]):
-            here = numbers[a:b]
-            hits, count = {}, 0
-            here_touched = touched[here]
-            if here_touched.any():
-                for i in set(here[here_touched].tolist()):
-                    hits.update(of_word[i])
-                count = int(changed[here].sum())
-                one = single[here]
-                if one.sum() >= 3:
-                    edges = np.flatnonzero(np.diff(np.r_[0, one.astype(np.int8), 0]))
-                    for s, e in zip(edges[::2], edges[1::2]):
-                        for k in range(s, e if e - s >= 3 else s, 40):
-                            parts = [p for p in restore("".join(cores[i] for i in here[k:min(k + 60, e)]), True).split() if len(p) > 2]
-                            hits.update(weighted(parts))
-                            count += len(parts)
-            scores.append(float(-np.expm1(-(model.bias + sum(v for _, v in sorted(hits.items()))))))
-            restored.append(count)
-        return [scores, [int(s >= CUTOFF) for s in scores], restored]
+        owner, ids, restored = model_features(block, model.language)(texts)
+        scores = -np.expm1(-(model.bias + np.bincount(owner, model.weights[ids], minlength=len(texts))))
+        return [scores, (scores >= CUTOFF).astype(int), restored]
 
     return map_texts(docs, keep, RESULT, work, size=BATCH)
 
 
 def toxicity(docs: DataFrame, marks: DataFrame, keep: list[str]) -> DataFrame:
     """Learn from the labelled rows that are not held out, then score every document."""
+    bounded_batches(docs.sparkSession)
     marks = marks.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     few = marks.count() <= SMALL_LABELS
     marked = docs.where(~held_out(MODULUS)).select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("__id"))
