@@ -34,7 +34,8 @@ from assay.llm.common import documents, register, stored, whole
 
 LEVELS = ["domain", "lang", "source"]
 SMALL = 50_000
-RANGE_ROWS = 4_000
+RANGE_ROWS = 2_000
+MOST_RANGES = 16  # as a power of two: 65,536 ranges a leaf, whose running sum is one small task; a range then holds 1/65,536 of the leaf
 SEED = 17
 SHARE = 0.5      # of all tokens of the corpus, the budget of the registered query
 EPOCHS = 2
@@ -129,7 +130,7 @@ def selection(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weigh
         *LEVELS, F.expr("CASE WHEN tokens > 0 THEN target DIV tokens ELSE 0L END").alias("full"),
         F.expr("CASE WHEN tokens > 0 THEN target % tokens ELSE 0L END").alias("rest")).where("full > 0 OR rest > 0"), "mix-plan")
     plan = F.broadcast(plan) if total.leaves <= SMALL else plan
-    ranges = 1 << max(0, math.ceil(math.log2(max(1, (total.docs or 0) / RANGE_ROWS))))
+    ranges = 1 << min(MOST_RANGES, max(0, math.ceil(math.log2(max(1, (total.docs or 0) / RANGE_ROWS)))))
     placed = sized.join(plan, LEVELS).withColumn("key", order_key(F.col("full"), seed)).withColumn(
         "range", F.shiftright(F.col("key"), 60 - int(math.log2(ranges))))
     # Tokens before each range of a leaf's last epoch: as many rows as ranges, whatever the number of documents.
