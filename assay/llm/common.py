@@ -88,8 +88,14 @@ def _libc():
         return None
 
 
+#: What a worker process drops when a map task ends.
+FORGET: list[Callable[[], None]] = []
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker lives on after its task, beside those of later stages."""
+    for forget in FORGET:
+        forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if (libc := _libc()) is not None:

@@ -32,12 +32,12 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm.common import documents, map_texts, register
+from assay.llm.common import FORGET, documents, map_texts, register
 from assay.llm.wordids import Encoded, WordIds, flattened, set_threads, slices
 
 MODEL = "piece_bpe_32k.model"
 THREADS = 2
-BATCH = 1_000_000
+BATCH = 500_000
 MARK = "▁"
 MARK_BYTES = MARK.encode()
 RUNS = re.compile(b"((?:" + MARK_BYTES + b")+)")
@@ -158,11 +158,15 @@ class Encoder:
         self.made = backend(self.model)
         self.ids = {p: i for i, p in enumerate(self.model.pieces)}
         self.opens = np.array([p.startswith(MARK) for p in self.model.pieces])
-        self.words = WordIds(self._encode, limit=200_000)
+        self.words = WordIds(self._encode, limit=150_000)
         self.words.renewed = self._renewed
         self.sound = np.zeros(0, dtype=bool)  # of every held stretch whether decoding its ids gives it again,
         self.same = np.zeros(0, dtype=bool)   # and whether its ids are those of the sentencepiece library
 
+    def forget(self) -> None:
+        self.words.clear()
+        self._renewed(np.zeros(0, dtype=np.int64))
+
     def _renewed(self, stay: np.ndarray) -> None:
         self.sound, self.same = self.sound[stay], self.same[stay]
 
@@ -237,7 +241,9 @@ def original(path: str):
 @functools.cache
 def encoder(path: str, threads: int) -> Encoder:
     with open(path, "rb") as f:
-        return Encoder(f.read(), threads, original(path))
+        made = Encoder(f.read(), threads, original(path))
+    FORGET.append(made.forget)  # held stretches do not outlive a task
+    return made
 
 
 def encode_documents(docs: DataFrame, keep: list[str], path: str, threads: int = THREADS, text_col: str = "text", with_ids: bool = True) -> DataFrame:
