@@ -20,45 +20,56 @@ in one chunk; a task holds a batch of texts and one chunk.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm.common import documents, folder, partitions, register, small_batches, whole
+from assay.llm.common import bounded_batches, documents, folder, numbering, partitions, register, small_batches, whole
 from assay.llm.wordids import Encoded, WordIds, flattened, slices, tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK = 32_768
 CHUNK = 262_144
-BATCH = 4_000_000
+BATCH = 6_000_000
 
 CHUNKS = ("part int, chunk int, first long, n_ids long, bits int, bit_planes boolean, block int, planes binary, plane_ends array<int>, "
           "doc_ids array<long>, doc_sizes array<long>")
 
 
-LETTERS = re.compile(r"[^\W\d_]+")
-COMMA = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
-LINE = 64
+LINE = 256
+ENDS = (".", ",")
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text, cut where the vocabulary's pattern cuts in any case: at white space, and between a letter and a single full stop or
-    comma. ASCII letters are put in lower case, as the normaliser does, unless the text might name a special token."""
-    if b"<|" in text:
-        return text.split()
-    return COMMA.sub(rb" \1", text.lower()).split()
+def words_of(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """All words of the texts (UTF-8), and where each text begins (with the end).
+
+    ASCII letters are put in lower case, as the normaliser does, except in texts that might name a special token.
+    """
+    try:
+        plain = texts.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        plain = pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+    split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(plain, "<|"), plain, pc.ascii_lower(plain)))
+    pieces = split.flatten()
+    filled = pc.not_equal(pc.binary_length(pieces), 0)  # white space at an end of a text leaves an empty piece
+    starts = np.r_[0, np.cumsum(filled.to_numpy(zero_copy_only=False))][split.offsets.to_numpy()]
+    return pieces.filter(filled), starts
 
 
 class VocabularyIds:
-    """The tokenizers library's ids of words. Words of letters only are encoded many to a line; each ends with a piece that closes a word."""
+    """The tokenizers library's ids of words.
+
+    Words of letters only are encoded many to a line; each ends with a piece that closes a word. A full stop or comma behind an ASCII
+    letter is a piece of its own wherever it stands, so such a word takes the ids of the word before the mark, which often is known.
+    """
 
     def __init__(self, path: str):
         self.made = tokenizer(path)
@@ -69,14 +80,17 @@ class VocabularyIds:
         if suffix:
             self.closes[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
         self.by_line = bool(suffix)
-        self.words = WordIds(self.encode)
+        self.marks = {m: self.made.encode(m, add_special_tokens=False).ids for m in ENDS}
+        self.cuts = self.by_line and all(len(i) == 1 and self.made.encode(f"a{m}", add_special_tokens=False).ids == [
+            *self.made.encode("a", add_special_tokens=False).ids, *i] for m, i in self.marks.items())
+        self.words = WordIds(self.encode, limit=400_000)
 
     def _batch(self, texts: list[str]) -> Encoded:
         return flattened([e.ids for e in self.made.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def encode(self, words: list[bytes]) -> Encoded:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = np.array([self.by_line and LETTERS.fullmatch(t) is not None for t in texts])
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, and where the ids of each begin and how many they are."""
+        plain = np.array([self.by_line and t.isalpha() for t in texts], dtype=bool)
         ids, sizes = [np.zeros(0, np.uint32)] * 2, [np.zeros(0, np.int64)] * 2
         if plain.any():
             letters = [t for t, p in zip(texts, plain) if p]
@@ -87,15 +101,40 @@ class VocabularyIds:
         if not plain.all():
             ids[1], sizes[1] = self._batch([t for t, p in zip(texts, plain) if not p])
         every = np.concatenate(sizes)
-        begin = np.cumsum(every) - every
-        order = np.empty(len(words), dtype=np.int64)
-        order[np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]] = np.arange(len(words))
-        size = every[order]
-        at = np.repeat(begin[order] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.concatenate(ids)[at], size
-
-    def __call__(self, texts: list[bytes]) -> Encoded:
-        return self.words([words_of(t) for t in texts])
+        order = np.empty(len(texts), dtype=np.int64)
+        order[np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]] = np.arange(len(texts))
+        return np.concatenate(ids), (np.cumsum(every) - every)[order], every[order]
+
+    def encode(self, words: list[str]) -> Encoded:
+        held, known = len(self.words.begin), self.words.known
+        fresh: dict[str, int] = numbering()
+        source = np.empty(len(words), dtype=np.int64)  # a held word's number, or held plus the place among the fresh ones
+        mark = np.zeros(len(words), dtype=np.uint32)
+        for i, text in enumerate(words):
+            if self.cuts and text[-1] in ENDS and "a" <= text[-2:-1] <= "z":
+                mark[i] = self.marks[text[-1]][0]
+                number = known.get(text[:-1])
+                source[i] = number if number is not None and number < held else held + fresh[text[:-1]]
+            else:
+                source[i] = held + fresh[text]
+        ids, begin, size = self._plain(list(fresh))
+        old = source < held
+        begin, size = np.append(begin, 0), np.append(size, 0)  # there may be no fresh word
+        begin, size = begin[np.where(old, 0, source - held)], size[np.where(old, 0, source - held)]
+        begin[old], size[old] = self.words.begin[source[old]], self.words.size[source[old]]
+        total = size + (mark > 0)
+        start = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), dtype=np.uint32)
+        for flat, own in ((ids, ~old), (self.words.flat, old)):
+            n = size[own]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(start[own], n) + within] = flat[np.repeat(begin[own], n) + within]
+        out[(start + size)[mark > 0]] = mark[mark > 0]
+        return out, total
+
+    def __call__(self, texts: list[bytes] | pa.Array) -> Encoded:
+        words, starts = words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        return self.words.gathered(self.words.numbers_of(words), starts)
 
 
 @functools.cache
@@ -158,7 +197,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
 
         end = np.array([end_id], dtype=np.uint32)
         for batch in small_batches(batches, "t", BATCH):
-            ids, counts = ids_of(batch.column("t").to_pylist())
+            ids, counts = ids_of(batch.column("t"))
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), slices(ids, counts)):
                 doc_ids.append(doc_id)
                 held += [own, end]
@@ -172,6 +211,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
             yield flushed()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(F.col(text_col).cast("string")).cast("binary").alias("t"))
+    bounded_batches(docs.sparkSession)
     ranged = source.repartitionByRange(parts or partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     ranged.mapInArrow(encode, CHUNKS).write.parquet(path)
 

@@ -8,6 +8,7 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from assay.llm.common import numbering
 
@@ -41,36 +42,72 @@ def slices(ids: np.ndarray, sizes: np.ndarray):
         end += n
 
 
+class Growing:
+    """An array that grows at its end without being copied each time."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[:self.size]
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.room):
+            room = np.zeros(max(end, len(self.room) * 3 // 2), self.room.dtype)
+            room[:self.size] = self.values
+            self.room = room
+        self.room[self.size:end] = more
+        self.size = end
+
+
 class WordIds:
-    """Ids of words; each distinct word is encoded once while it is held, at most about ``limit`` words are held.
+    """Ids of words (bytes or texts); each distinct word is encoded once while it is held, at most about ``limit`` words are held.
 
     At the limit the words met ``KEEP`` times or more since the last time stay.
     """
 
     KEEP = 3
 
-    def __init__(self, encode: Callable[[list[bytes]], Encoded], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list], Encoded], limit: int = 400_000):
         self.encode, self.limit = encode, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known: dict[bytes, int] = numbering()
-        self.flat, self.begin, self.size, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._flat, self._begin, self._size, self._met = Growing(np.uint32), Growing(np.int64), Growing(np.int32), Growing(np.int32)
+
+    @property
+    def flat(self) -> np.ndarray:
+        """All held ids; ``begin`` and ``size`` tell where those of each word are."""
+        return self._flat.values
+
+    @property
+    def begin(self) -> np.ndarray:
+        return self._begin.values
+
+    @property
+    def size(self) -> np.ndarray:
+        return self._size.values
 
     def _renew(self) -> np.ndarray:
         """Drop the words that were met seldom; gives the old numbers of those that stay."""
-        stay = np.flatnonzero(self.met >= self.KEEP)
+        met = self._met.values
+        stay = np.flatnonzero(met >= self.KEEP)
         if len(stay) > self.limit // 2:
-            stay = stay[np.argsort(-self.met[stay], kind="stable")[:self.limit // 2]]
+            stay = stay[np.argsort(-met[stay], kind="stable")[:self.limit // 2]]
             stay.sort()
         words = list(self.known)
-        flat, begin, size = self.flat, self.begin[stay], self.size[stay]
-        self._clear()
+        flat, begin, size = self.flat, self.begin[stay], self.size[stay].astype(np.int64)
+        self.clear()
         for i in stay.tolist():
             self.known[words[i]]
         ends = np.cumsum(size)
-        self.flat = flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        self.begin, self.size, self.met = ends - size, size, np.zeros(len(stay), np.int64)
+        self._flat.extend(flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)])
+        self._begin.extend(ends - size)
+        self._size.extend(size)
+        self._met.extend(np.zeros(len(stay), np.int32))
         return stay
 
     def __call__(self, texts: list[list[bytes]]) -> Encoded:
@@ -79,7 +116,7 @@ class WordIds:
 
     def gathered(self, at: np.ndarray, starts: np.ndarray) -> Encoded:
         """Ids of numbered words, and their number per text."""
-        sizes = self.size[at]
+        sizes = self.size[at].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(total)]
@@ -87,22 +124,36 @@ class WordIds:
 
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The words as numbers under which their ids are held until the next call, and where each text begins (with the end)."""
-        if len(self.known) > self.limit:
-            self.renewed(self._renew())
-        known, held = self.known, len(self.known)
+        held = self._ready()
         numbers, starts = [], [0]
         for words in texts:
-            numbers.extend(map(known.__getitem__, words))
+            numbers.extend(map(self.known.__getitem__, words))
             starts.append(len(numbers))
-        if len(known) > held:
-            ids, sizes = self.encode(list(known)[held:])
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, ids])
-            self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
-        at = np.array(numbers, dtype=np.int64)
-        self.met += np.bincount(at, minlength=len(self.met))
-        return at, np.array(starts)
+        return self._learnt(held, np.array(numbers, dtype=np.int64)), np.array(starts)
+
+    def numbers_of(self, words: pa.StringArray) -> np.ndarray:
+        """The words as numbers; the words of an Arrow array are first reduced to its distinct ones."""
+        held = self._ready()
+        distinct = words.dictionary_encode()
+        keys = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        return self._learnt(held, place[distinct.indices.to_numpy()])
+
+    def _ready(self) -> int:
+        if len(self.known) > self.limit:
+            self.renewed(self._renew())
+        return len(self.known)
+
+    def _learnt(self, held: int, at: np.ndarray) -> np.ndarray:
+        """Encode the words that are new since there were ``held``."""
+        if len(self.known) > held:
+            ids, sizes = self.encode(list(self.known)[held:])
+            self._begin.extend(len(self.flat) + np.cumsum(sizes) - sizes)
+            self._size.extend(sizes)
+            self._flat.extend(ids)
+            self._met.extend(np.zeros(len(sizes), np.int32))
+        self._met.values[:] += np.bincount(at, minlength=self._met.size).astype(np.int32)
+        return at
 
     def renewed(self, stay: np.ndarray) -> None:
         """Called with the old numbers of the words that stay, for what else is held by number."""

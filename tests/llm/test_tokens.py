@@ -26,6 +26,17 @@ def test_words_give_the_ids_of_whole_texts():
         assert got.tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_are_kept_and_dropped():
+    from tokenizers import Tokenizer
+
+    whole, made = Tokenizer.from_file(VOCABULARY), idfiles.VocabularyIds(VOCABULARY)
+    made.words.limit = 30
+    texts = ["word", "word.", "word, word.", "word"] + [data.text(s, 40).replace(" ", ", ", 5) for s in range(30)] + ["word. word"]
+    for t in texts:  # one by one, so that words known from before meet fresh ones, or none
+        ids, sizes = made([t.encode()])
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids and sizes.tolist() == [len(ids)]
+
+
 @pytest.mark.parametrize("bit_planes", [True, False])
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_planes_round_trip(bit_planes, bits):
@@ -92,8 +103,7 @@ def test_parity_is_told_by_stretches_and_holds_for_whole_texts():
     texts = [t or "" for t in data.texts()] + odd_pieces()
     ids, _, same = made.checked([t.encode() for t in texts])
     assert all(same) and all(a.tolist() == b for a, b in zip(ids, theirs.encode(texts)))
-    made.words._clear()
-    made.sound, made.same = made.sound[:0], made.same[:0]
+    made.forget()
     made.theirs = type("Other", (), {"encode": lambda self, texts, num_threads: [[7]] * len(texts)})()
     assert made.checked([b"one two"])[2] == [False]
 
