@@ -61,13 +61,13 @@ def texts(n=160):
 
 @pytest.fixture(scope="module")
 def network(spark):
-    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts(700))), "doc_id long, text string")  # about 1,400 windows
     x, y = privacy.labelled_windows(docs)
     return privacy.train(x, y, epochs=8)
 
 
 def test_network_on_texts_it_has_not_seen(network):
-    fresh = texts(220)[160:]
+    fresh = texts(760)[700:]
     found = privacy.decoded(fresh, network)
     want = {(i, *s) for i, t in enumerate(fresh) for s in privacy.rule_spans(t)}
     got = {(i, s.kind, s.start, s.end) for i, spans in enumerate(found) for s in spans}
