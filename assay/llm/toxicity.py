@@ -1,15 +1,17 @@
 """Toxicity scores of restored text: noisy-channel deobfuscation, then a classifier of independent causes.
 
 1. **Counts.** In one pass over the labelled training rows, tasks count in how many texts, and in how many toxic ones, each feature
-   stands, and the character trigrams of their words. Counts are condensed per task and summed by key range; the features that
-   tell the labels apart best (``FEATURES`` at most, by their likelihood ratio) form the model's vocabulary.
+   stands, and the character trigrams of their words. Counts are condensed per task and summed by key range; all features that
+   tell the labels apart (by their likelihood ratio) form the model's vocabulary.
 2. **Restoration.** A word that holds look-alike signs among letters (1d10t), signs between single letters (i.d.i.o.t), a letter three
    times or more, or belongs to a run of single letters (i d i o t) is decoded: each sign offers what may have been meant (itself, its
    letters, nothing), a run of equal letters offers one or two of them, a gap between single letters offers a space or
    none; Viterbi finds the best path through this lattice under the character trigram model and the channel's costs.
    All other words are their own restoration.
 3. **Classifier.** Regression with independent causes (the score is 1 - exp(-sum of weights)) on the restored words and their beginnings of four, five and seven letters (so inflected forms of a learned
-   word count too), fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of their text. Every text is scored whole.
+   word count too), fitted on all labelled training rows. A clean text adds its plain sum of weights to the loss, so the number of clean
+   texts with each feature says all of them; of the toxic texts tasks count the distinct sets of features. Up to ``ENTRIES``
+   features of such sets are held by the driver, more stay with the tasks and every step adds up their slopes. Every text is scored whole.
 
 Labels are read for training rows only; language, source and doc_id are no inputs (doc_id only decides which rows are held out).
 
@@ -23,7 +25,8 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assay.llm.common import bounded_batches, documents, held_out, labels, map_texts, numbering, pack, partitions, register, small_batches, stored, unpack, whole
 from assay.llm.wordids import Encoded, WordIds, flattened
 
-FEATURES = 4_096
-FIT_ROWS = 20_000
+ENTRIES = 4_000_000  # features of distinct toxic texts that the driver holds while it fits
 MODULUS = 3
 LEAST_TEXTS = 3     # a feature stands in at least so many toxic texts
 LEAST_RATIO = 6.0   # and its log likelihood ratio is at least this
@@ -340,7 +342,7 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
 
 
 def chosen_features(counts: DataFrame, total: int, toxic: int) -> np.ndarray:
-    """Keys of the features with the largest likelihood ratio, ascending; ``FEATURES`` at most leave each range."""
+    """Keys of the features with a likelihood ratio of at least ``LEAST_RATIO``, ascending."""
     base = (toxic + 0.5) / (total + 1)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,10 +351,9 @@ def chosen_features(counts: DataFrame, total: int, toxic: int) -> np.ndarray:
                 keys, n = unpack(block)
                 rate = (n[:, 1] + 0.5 * base) / (n[:, 0] + 0.5)
                 value = np.where(rate > base, n[:, 1] * np.log(rate / base) + (n[:, 0] - n[:, 1]) * np.log(np.maximum(1 - rate, 1e-9) / (1 - base)), 0)
-                take = np.argsort(-value, kind="stable")[:FEATURES]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[take]), "value": pa.array(value[take])})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[value >= LEAST_RATIO])})
 
-    rows = counts.where("part >= 0").select("block").mapInArrow(best, "key long, value double").where(F.col("value") >= LEAST_RATIO).orderBy(F.desc("value"), "key").limit(FEATURES).collect()
+    rows = counts.where("part >= 0").select("block").mapInArrow(best, "key long").collect()
     return np.sort(np.array([r.key for r in rows], dtype=np.int64))
 
 
@@ -364,20 +365,31 @@ class Model:
     language: bytes      # the trigram model's table
 
 
-def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int = 600, price: float = 0.3) -> tuple[np.ndarray, float]:
+Sets = tuple[np.ndarray, np.ndarray, np.ndarray]  # set and feature of each entry, and the texts of each set
+
+
+def sets_of(keys: list[bytes], n: list[int]) -> Sets:
+    return np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys]), np.frombuffer(b"".join(keys), np.int32).astype(np.int64), np.array(n, dtype=float)
+
+
+def toxic_slopes(theta: np.ndarray, at: np.ndarray, cols: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Gradient of the weights, and of the bias after them, from sets of features of toxic texts."""
+    total = np.bincount(at, theta[cols], minlength=len(n)) + theta[-1]
+    slope = -n / np.expm1(np.minimum(total, 700.0))
+    return np.r_[np.bincount(cols, slope[at], minlength=len(theta) - 1), slope.sum()]
+
+
+def descend(toxic: Callable[[np.ndarray], np.ndarray], clean: np.ndarray, steps: int = 800, price: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights of at least 0 that maximise the likelihood of label 1 with probability 1 - exp(-sum), by Adam over all rows.
 
     Each feature is a cause that alone may make a text toxic, and words that merely stand beside such a cause get no weight, as the text
-    is explained already. A weight costs as much as ``price`` clean texts with that feature would.
+    is explained already. A weight costs as much as ``price`` clean texts with that feature would. ``toxic`` gives the gradient of the
+    toxic texts, ``clean`` the number of clean texts with each feature and, after them, of all clean texts.
     """
-    at = np.array([i for i, (f, _) in enumerate(rows) for _ in f], dtype=np.int64)
-    cols = np.array([j for f, _ in rows for j in f], dtype=np.int64)
-    y = np.array([t for _, t in rows], dtype=float)
-    theta, m, v = np.full(n_features + 1, 0.05), np.zeros(n_features + 1), np.zeros(n_features + 1)
+    theta, m, v = np.full(len(clean), 0.05), np.zeros(len(clean)), np.zeros(len(clean))
+    fixed = clean + np.r_[np.full(len(clean) - 1, price), 0.0]
     for step in range(1, steps + 1):
-        total = np.bincount(at, theta[cols], minlength=len(y)) + theta[-1]
-        slope = np.where(y > 0, -1 / np.expm1(np.minimum(total, 700.0)), 1.0)
-        gradient = np.r_[np.bincount(cols, slope[at], minlength=n_features) + price, slope.sum()]
+        gradient = toxic(theta) + fixed
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient ** 2
         theta -= 0.1 * (0.995 ** step) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
         theta = np.maximum(theta, 0)
@@ -385,6 +397,77 @@ def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int =
     return theta[:-1], float(theta[-1])
 
 
+def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int = 800, price: float = 0.3) -> tuple[np.ndarray, float]:
+    """``descend`` over rows at hand: the features of each text, and its label."""
+    sets = Counter(np.array(f, dtype=np.int32).tobytes() for f, y in rows if y > 0)
+    clean = [f for f, y in rows if y <= 0]
+    counts = np.bincount(np.array([j for f in clean for j in f], dtype=np.int64), minlength=n_features)
+    at = sets_of(list(sets), list(sets.values()))
+    return descend(lambda theta: toxic_slopes(theta, *at), np.r_[counts, len(clean)].astype(float), steps, price)
+
+
+TALLIED = "key binary, toxic int, n long"
+
+
+def tallied(train: DataFrame, block: bytes, language: bytes) -> DataFrame:
+    """The distinct sets of features of toxic texts, and each single feature of clean texts, with the number of those texts."""
+    n_features = len(block) // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: Counter = Counter()
+        clean, held = np.zeros(n_features, dtype=np.int64), 0
+
+        def told(keys: list[bytes], toxic: int, n: list[int]):
+            return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "toxic": pa.array([toxic] * len(keys), pa.int32()), "n": pa.array(n, pa.int64())})
+
+        for batch in small_batches(batches, "t", BATCH):
+            texts, toxic = batch.column("t").to_pylist(), np.asarray(batch.column("toxic")) > 0
+            owner, ids, _ = model_features(block, language)(texts)
+            clean += np.bincount(ids[~toxic[owner]], minlength=n_features)
+            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+            for i in np.flatnonzero(toxic).tolist():
+                sets[ids[bounds[i]:bounds[i + 1]].astype(np.int32).tobytes()] += 1
+                held += int(bounds[i + 1] - bounds[i])
+            if held > FLUSH:
+                yield told(list(sets), 1, list(sets.values()))
+                sets, held = Counter(), 0
+        yield told(list(sets), 1, list(sets.values()))
+        seen = np.flatnonzero(clean)
+        yield told([int(j).to_bytes(4, "little") for j in seen], 0, clean[seen].tolist())
+
+    source = train.select(whole().cast("binary").alias("t"), F.col("toxic").cast("int").alias("toxic"))
+    return stored(source.mapInArrow(run, TALLIED).groupBy("key", "toxic").agg(F.sum("n").alias("n")), "toxic-sets")
+
+
+def spread_slopes(sets: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """``toxic_slopes`` of sets that are too many for the driver: each call is a job over them."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"block": pa.array([pack(*sets_of(batch.column("key").to_pylist(), batch.column("n").to_pylist()))], pa.binary())})
+
+    blocks = stored(sets.select("key", "n").mapInArrow(packed, "block binary"), "toxic-blocks")
+
+    def slopes(theta: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = np.zeros(len(theta))
+            for batch in batches:
+                for block in batch.column(0).to_pylist():
+                    mine += toxic_slopes(theta, *unpack(block))
+            at = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "slope": pa.array(mine[at])})
+
+        # Sorted before they are added: the sum is the same whichever task ends first.
+        added = F.aggregate(F.array_sort(F.collect_list("slope")), F.lit(0.0), lambda a, x: a + x)
+        gradient = np.zeros(len(theta))
+        for row in blocks.mapInArrow(part, "at long, slope double").groupBy("at").agg(added.alias("slope")).collect():
+            gradient[row["at"]] = row["slope"]
+        return gradient
+
+    return slopes
+
+
 def fit(train: DataFrame, parts: int) -> Model | None:
     counts = counted(train, parts)
     trigrams, total, toxic = np.zeros(ALPHABET ** 3, dtype=np.int64), 0, 0
@@ -397,16 +480,18 @@ def fit(train: DataFrame, parts: int) -> Model | None:
     keys = chosen_features(counts, int(total), int(toxic))
     block = keys.tobytes()
 
-    def rows(texts: list[bytes]) -> list:
-        owner, ids, _ = model_features(block, language)(texts)
-        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-        return [[ids[a:b] for a, b in zip(bounds, bounds[1:])]]
-
-    # A hash of the text decides which rows the fit reads; it is uniform, so about FIT_ROWS rows come, 1.1 times that at most.
-    part = min(1.0, FIT_ROWS / int(total))
-    picked = train.where(F.pmod(F.xxhash64(whole()), F.lit(1_000_000)) < int(part * 1_000_000))
-    sample = map_texts(picked, ["toxic"], "found array<int>", rows).limit(int(FIT_ROWS * 1.1)).collect()
-    weights, bias = fit_weights(sorted((list(r.found), int(r.toxic)) for r in sample), len(keys))
+    sets = tallied(train, block, language)
+    clean = np.zeros(len(keys) + 1)
+    clean[-1] = total - toxic
+    for row in sets.where("toxic = 0").collect():
+        clean[int.from_bytes(row.key, "little")] = row.n
+    sets = sets.where("toxic = 1")
+    if (sets.agg(F.sum(F.length("key") / 4 + 1)).first()[0] or 0) <= ENTRIES:
+        held = sorted((bytes(r.key), r.n) for r in sets.collect())
+        at = sets_of([k for k, _ in held], [n for _, n in held])
+        weights, bias = descend(lambda theta: toxic_slopes(theta, *at), clean)
+    else:
+        weights, bias = descend(spread_slopes(sets), clean)
     return Model(keys, weights, bias, language)
 
 

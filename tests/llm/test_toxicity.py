@@ -89,3 +89,26 @@ def test_causes_alone_suffice():
     rows = [([0, 1], 1)] * 40 + [([0], 1)] * 3 + [([2], 0)] * 60 + [([1, 2], 0)] * 5 + [([], 0)] * 50
     weights, bias = toxicity.fit_weights(rows, 3)
     assert 1 - np.exp(-weights[0]) > 0.95 and weights[1] < 0.3 and weights[2] < 0.05 and bias < 0.01
+
+
+def test_every_labelled_row_and_feature_counts(spark):
+    """25,000 rows of their own words; five words stand in five toxic texts each, and 6,000 more tell the labels apart."""
+    rare = ["quibzor", "wexplim", "dvorniq", "zkabluf", "hjemtod"]
+    rows = [(f"{w} plain{i} other words", 1) for w in rare for i in range(5)]
+    rows += [(" ".join(f"x{k}q" for k in range(a, a + 200)) + f" y{i}", 1) for a in range(0, 6000, 200) for i in range(8)]
+    rows += [(f"plain{i} other words", 0) for i in range(25_000)]
+    train = spark.createDataFrame(rows, "text string, toxic int")
+    model = toxicity.fit(train, 4)
+    assert len(model.keys) >= 6_000
+    docs = spark.createDataFrame([(i, f"some {w} here") for i, w in enumerate([*rare, "nothing"])], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
+def test_slopes_of_tasks_and_driver_agree(spark):
+    rng = np.random.default_rng(3)
+    rows = [(np.flatnonzero(rng.random(12) < 0.3).astype(np.int32).tobytes(), int(rng.integers(1, 5))) for _ in range(300)]
+    sets = spark.createDataFrame(rows, "key binary, n long").repartition(5)
+    theta = np.r_[rng.random(12), 0.01]
+    spread = toxicity.spread_slopes(sets)(theta)
+    assert np.allclose(spread, toxicity.toxic_slopes(theta, *toxicity.sets_of(*map(list, zip(*rows)))), rtol=1e-12)
