@@ -3,10 +3,13 @@
 1. **Counts.** In one pass over the labelled training rows, tasks count in how many texts, and in how many toxic ones, each feature
    stands, and the character trigrams of their words. Counts are condensed per task and summed by key range; all features that
    tell the labels apart (by their likelihood ratio) form the model's vocabulary.
-2. **Restoration.** A word that holds look-alike signs among letters (1d10t), signs between single letters (i.d.i.o.t), a letter three
-   times or more, or belongs to a run of single letters (i d i o t) is decoded: each sign offers what may have been meant (itself, its
-   letters, nothing), a run of equal letters offers one or two of them, a gap between single letters offers a space or
-   none; Viterbi finds the best path through this lattice under the character trigram model and the channel's costs.
+2. **Restoration.** Every word that holds look-alike signs (1d10t, @$$, idio+), signs between letters (i.d.1.0.t) or a letter twice or
+   more in a row (iidioott), or belongs to a run of single letters and look-alikes (1 d 1 0 t) is decoded, however long: each sign offers
+   what may have been meant (itself, its letters, nothing), a run of equal letters offers one or two of them, a gap between single letters
+   offers a space or none; Viterbi finds the best path through this lattice under the character trigram model and the channel's costs.
+   Signs at the ends of a word may be punctuation, so the best path that reads them all as letters counts too. The features of a
+   decoded word are those of its readings and of the word as it stands; it counts as restored if the best path has other letters
+   (of doubled letters alone, at least two fewer: letter is no hidden word), or if signs stood between single ones. A number with its signs (24/7, $100) is no hidden word, nor are signs without a letter, @ or $ (``readable``).
    All other words are their own restoration.
 3. **Classifier.** Regression with independent causes (the score is 1 - exp(-sum of weights)) on the restored words and their beginnings of four, five and seven letters (so inflected forms of a learned
    word count too), fitted on all labelled training rows. A clean text adds its plain sum of weights to the loss, so the number of clean
@@ -52,14 +55,19 @@ RESULT = "score double, predicted int, n_restored long"
 #: Signs and what they may stand for; each also may stand for itself or for nothing.
 LOOK_ALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
                "+": "t", "€": "e", "(": "c", "£": "l"}
-ITSELF, MEANT, NOTHING, DOUBLE = -4.0, -1.0, -2.5, -0.7   # log costs of the channel
+SIGNS = re.escape("".join(LOOK_ALIKES))
+ITSELF, MEANT, NOTHING, DOUBLE, TWICE = -4.0, -1.0, -2.5, -0.7, -2.0   # log costs of the channel; TWICE for one letter meant by two
 
 BEGINNINGS = (4, 5, 7)
 
 EDGES = re.compile(r"^[^\w@$€£]+|[^\w]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
-DOTTED = re.compile(r"(?:[^\W\d_][\W_]){2,}[^\W\d_]")
+KEPT = re.compile(rf"[\w{SIGNS}]")
+REPEATED = re.compile(r"([^\W\d_])\1")
+THRICE = re.compile(r"([^\W\d_])\1\1")
+DOTTED = re.compile(rf"(?:(?:[^\W\d_]|[{SIGNS}])[\W_]){{2,}}(?:[^\W\d_]|[{SIGNS}])")
+HOLDS = re.compile(rf"[{SIGNS}\W_]")
+LONG = 200  # characters of a word whose restoration is not remembered
 ALPHABET = 64
 
 
@@ -91,19 +99,28 @@ class Language:
         return cls(np.log((c3 + 5 * p2) / (c3.sum(2, keepdims=True) + 5)))
 
 
+def readable(core: str) -> bool:
+    """Whether signs may stand for letters here: there is a letter, @, $$, or a $ without any digit."""
+    return any(map(str.isalpha, core)) or (len(core) > 1 and ("@" in core or "$$" in core or ("$" in core and not any(map(str.isdigit, core)))))
+
+
 def suspicious(core: str) -> bool:
     """Whether a word without its outer signs may hide another."""
     if LETTERS.fullmatch(core):
         return REPEATED.search(core) is not None
-    if DOTTED.fullmatch(core):
-        return True
-    marks = sum(c in LOOK_ALIKES for c in core)
-    letters = sum(c.isalpha() for c in core)
-    return len(core) <= 40 and letters >= 2 and marks > 0 and letters + marks == len(core) and marks <= letters + 1
+    return len(core) > 1 and (HOLDS.search(core) is not None or REPEATED.search(core) is not None) and readable(core)
+
 
+def counts_as_restored(outer: str, best: str) -> bool:
+    if LETTERS.fullmatch(outer) and not THRICE.search(outer):
+        return len(outer) - len(best) > 1
+    return best != "" and (best != "".join(filter(str.isalnum, outer)) or DOTTED.fullmatch(outer) is not None)
 
-def lattice(core: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
-    """For each place what may stand there, with the channel's cost."""
+
+def lattice(core: str, spaced: bool = False, ends: bool = False) -> list[list[tuple[str, float]]]:
+    """For each place what may stand there, with the channel's cost. With ``ends`` look-alikes before the first and after the last letter or
+    digit are letters."""
+    inner = [i for i, c in enumerate(core) if c.isalnum()] or [len(core)]
     places: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(core):
@@ -115,23 +132,28 @@ def lattice(core: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
             if run >= 3:
                 places.append([(c, 0.0), (c + c, DOUBLE)])
             else:
-                places += [[(c, 0.0)]] * run
+                places.append([(c, 0.0)] if run == 1 else [(c + c, 0.0), (c, TWICE)])
                 if spaced and i + run < len(core):
                     places.append([("", 0.0), (" ", 0.0)])
+        elif c.isdigit() and c not in LOOK_ALIKES:
+            places += [[(c, 0.0)]] * run
         else:
             meant = [(m, MEANT) for m in LOOK_ALIKES.get(c, "")]
-            places += [meant + [("", NOTHING if meant else 0.0)] + ([(c, ITSELF)] if c.isdigit() else [])] * (run if meant else 1)
+            letter = ends and meant and not inner[0] <= i <= inner[-1]
+            places += [meant + ([] if letter else [("", NOTHING if meant else 0.0)]) + ([(c, ITSELF)] if c.isdigit() else [])] * (run if meant else 1)
+            if spaced and meant and i + run < len(core):
+                places.append([("", 0.0), (" ", 0.0)])
         i += run
     return places
 
 
-def decode(core: str, language: Language, spaced: bool = False) -> str:
+def decode(core: str, language: Language, spaced: bool = False, ends: bool = False) -> str:
     """The most probable restoration: Viterbi over the lattice, the state being the last two characters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     three = language.three
-    for choices in [*lattice(core, spaced), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+    for choices in [*lattice(core, spaced, ends), [(" ", 0.0)]]:
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
             for piece, cost in choices:
                 x, y, total = a, b, score + cost
                 for c in piece:
@@ -140,9 +162,14 @@ def decode(core: str, language: Language, spaced: bool = False) -> str:
                     x, y = (y, z) if z else (0, 0)
                 held = new.get((x, y))
                 if held is None or total > held[0]:
-                    new[x, y] = (total, text + piece)
+                    new[x, y] = (total, (path, piece) if piece else path)
         best = new
-    return max(best.values())[1].strip()
+    (_, path), = best.values()  # the border at the end leaves one state
+    pieces = []
+    while path is not None:
+        path, piece = path
+        pieces.append(piece)
+    return "".join(reversed(pieces)).strip()
 
 
 @functools.lru_cache(maxsize=1)
@@ -151,8 +178,11 @@ def decoder(block: bytes):
     language = Language(np.frombuffer(block, dtype=np.float64).reshape(ALPHABET, ALPHABET, ALPHABET))
 
     @functools.lru_cache(maxsize=100_000)
-    def restored(core: str, spaced: bool) -> str:
-        return decode(core, language, spaced)
+    def remembered(core: str, spaced: bool, ends: bool) -> str:
+        return decode(core, language, spaced, ends)
+
+    def restored(core: str, spaced: bool, ends: bool = False) -> str:
+        return remembered(core, spaced, ends) if len(core) <= LONG else decode(core, language, spaced, ends)
 
     return restored
 
@@ -165,6 +195,21 @@ def core_of(word: str) -> str:
     return word if word.isalpha() else EDGES.sub("", word)
 
 
+def outer_of(word: str) -> str:
+    """The word without its outer signs, look-alikes kept."""
+    if word.isalpha():
+        return word
+    end = len(word)
+    while end and not KEPT.match(word[end - 1]):
+        end -= 1
+    return word[KEPT.search(word).start():end] if end else ""
+
+
+def single(word: str) -> bool:
+    outer = outer_of(word)
+    return len(outer) == 1 and (outer.isalpha() or outer in LOOK_ALIKES)
+
+
 def single_runs(single: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(text, begin, end) of all stretches of three or more words of one letter."""
     edges = np.flatnonzero(np.diff(np.r_[0, single.astype(np.int8), 0]))
@@ -194,16 +239,20 @@ class Features:
 
     def _encode(self, words: list[bytes]) -> Encoded:
         held = len(self.words.known) - len(words)
-        cores = [core_of(w) for w in lowered(words)]
+        small = lowered(words)
+        cores = [core_of(w) for w in small]
         parts = [[c] if c else [] for c in cores]
         changed = np.zeros(len(words), dtype=bool)
         if self.restore is not None:
             for i, core in enumerate(cores):
-                if core and suspicious(core):
-                    parts[i] = self.restore(core, False).split()
-                    changed[i] = parts[i] != [core]
+                outer = outer_of(small[i])
+                if suspicious(outer):
+                    best = self.restore(outer, False).split()
+                    changed[i] = counts_as_restored(outer, "".join(best))
+                    more = self.restore(outer, False, True).split() if outer != core or not outer[0].isalnum() else []
+                    parts[i] = list(dict.fromkeys(parts[i] + best + more))
         self.changed = np.concatenate([self.changed[:held], changed])
-        self.single = np.concatenate([self.single[:held], np.array([len(c) == 1 and c.isalpha() for c in cores], dtype=bool)])
+        self.single = np.concatenate([self.single[:held], np.array([single(w) for w in small], dtype=bool)])
         return self.number_of(parts)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +267,9 @@ class Features:
             more: list[list[str]] = []
             who: list[int] = []
             for i, a, b in single_runs(self.single[at], starts):
-                letters = [core_of(w) for w in lowered(split[i][a - starts[i]:b - starts[i]])]
+                letters = [outer_of(w) for w in lowered(split[i][a - starts[i]:b - starts[i]])]
+                if not any(map(str.isalpha, letters)) and not readable("".join(letters)):
+                    continue
                 for k in range(0, len(letters), 40):  # a long run in stretches that overlap
                     parts = [p for p in self.restore("".join(letters[k:k + 60]), True).split() if len(p) > 2]
                     restored[i] += len(parts)

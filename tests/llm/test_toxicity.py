@@ -112,3 +112,25 @@ def test_slopes_of_tasks_and_driver_agree(spark):
     theta = np.r_[rng.random(12), 0.01]
     spread = toxicity.spread_slopes(sets)(theta)
     assert np.allclose(spread, toxicity.toxic_slopes(theta, *toxicity.sets_of(*map(list, zip(*rows)))), rtol=1e-12)
+
+
+def test_every_hidden_form_is_restored(spark, fitted):
+    """Signs at the ends, few letters, separators among look-alikes, spaced look-alikes, doubled letters, long words."""
+    hidden = ["grobnik!", "(grobnik", "+grobnik", "munt.r.0.p", "m.u.n.t.r.0.p", "m u n t r 0 p", "$ h @ l v e t", "shalve+", "$h@1v3+", "$halve+!",
+              "ggrroobbnniikk", "mmuunnttrroopp", "grob" + "." * 50 + "nik", "$-h-@-l-v-e-+"]
+    docs = spark.createDataFrame([(i, f"{data.text(i, 10)} {h} {data.text(i + 1, 8)}") for i, h in enumerate(hidden)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, fitted[2], ["doc_id"]).collect()}
+    assert all(got[i] >= 0.7 for i in got), [(hidden[i], got[i]) for i in got if got[i] < 0.7]
+
+
+def test_which_words_are_decoded():
+    for word in ("a$$", "a55", "5h17", "@$$", "4$$", "idio+", "!diot", "|diot", "(lown", "1.d.1.0.t", "iidioott", "i" + "." * 60 + "diot"):
+        assert toxicity.suspicious(toxicity.outer_of(word)), word
+    for word in ("100", "24/7", "$100", "1,000.50", "50€", "3+4", "$5-$10", "1.2.3", "plain", "!!!", "|", "word."):
+        assert not toxicity.suspicious(toxicity.outer_of(word)), word
+    assert all(map(toxicity.single, "1d0@$!"))
+
+
+def test_a_long_word_takes_linear_time(fitted):
+    language = toxicity.Language(np.frombuffer(fitted[2].language).reshape(toxicity.ALPHABET, toxicity.ALPHABET, toxicity.ALPHABET))
+    assert len(toxicity.decode("gr0bnik" * 10_000, language)) > 50_000
