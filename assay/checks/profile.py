@@ -42,7 +42,20 @@ SELECT '{c}' AS column_name, min({c}) AS min_value, max({c}) AS max_value,
          - (CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / count({c})) * (CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / count({c})), 0)), 3) AS stddev
 FROM lineitem""" for c in NUMERIC))
 def profile_numeric(t: Tables) -> DataFrame:
-    return profile.numeric_profile(t.lineitem, NUMERIC, scale=2)
+    return profile.numeric_profile(t.lineitem, NUMERIC, scale=2).withColumns({"mean": F.round("mean", 4), "stddev": F.round("stddev", 3)})
+
+
+FINE = "SELECT o_orderkey, o_totalprice / 1e10 AS tiny, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice * 1e-7 END AS small FROM orders"
+
+
+@query("b3_profile_fine_values", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, round(1e6 * sum({c}::DECIMAL(38,12))::DOUBLE / count({c}), 6) AS mean_millionths, stddev_pop({c}) > 0 AS varies,
+       count({c}) AS filled FROM ({FINE}) GROUP BY ()""" for c in ("tiny", "small")))
+def profile_fine(t: Tables) -> DataFrame:
+    fine = t.sql(FINE, orders=t.orders)
+    found = profile.numeric_profile(fine, ["tiny", "small"], scale=12)
+    filled = profile.profile(fine, ["tiny", "small"]).select("column_name", F.round(F.col("rows") * (100 - F.col("null_pct")) / 100).cast("long").alias("filled"))
+    return found.join(filled, "column_name").select("column_name", F.round(F.col("mean") * 1e6, 6).alias("mean_millionths"), (F.col("stddev") > 0).alias("varies"), "filled")
 
 
 QUANTILES = {"p1": 0.01, "p50": 0.5, "p99": 0.99}

@@ -96,8 +96,7 @@ def numeric_profile(df: DataFrame, columns: list[str], scale: int | None = None)
     def line(c):
         n, s, q = F.col(f"n_{c}"), F.col(f"s_{c}"), F.col(f"q_{c}")
         return F.struct(F.lit(c).alias("column_name"), F.col(f"lo_{c}").alias("min_value"), F.col(f"hi_{c}").alias("max_value"),
-                        F.round(s / n, 4).alias("mean"),
-                        F.round(F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))), 3).alias("stddev"))
+                        (s / n).alias("mean"), F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("stddev"))
     return _long_form(df.agg(*aggs), columns, line)
 
 
