@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain", "fine", "sinks", "discovery")
+GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain", "fine", "sinks", "discovery", "increment")
 
 
 def load_all() -> None:
