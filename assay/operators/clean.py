@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assay.functions import columns as fx
+from assay.operators.meets import as_of
 from assay.operators.ordered import exact_quantiles, first_rows, hot_keys, join_null_safe, neighbour, sized
 from assay.operators.rules import judge
 from assay.session import cut
@@ -238,6 +239,13 @@ def ltv(loans: DataFrame, appraisals: DataFrame | None = None, as_of: str | None
     return out.withColumn("ltv_current", ratio).drop("__current")
 
 
+def ltv_as_of(loans: DataFrame, appraisals: DataFrame, collateral: str, paid_on: str) -> DataFrame:
+    """Loan to value at each loan's own payment date: the last appraisal (collateral, appraised_on, value) of its collateral up to then counts."""
+    known = as_of(loans, appraisals, [collateral], paid_on, "appraised_on", ["value"])
+    ratio = F.when(F.col("value") > 0, F.round(F.col("outstanding_balance") / F.col("value") * 100, 2))
+    return known.withColumn("ltv_at_payment", ratio)
+
+
 def group_moments(df: DataFrame, col: str, by: list[str], scale: int | None = None) -> DataFrame:
     """Mean and population deviation per group from exact decimal sums."""
     n, s, q = F.count(col), F.sum(fx.exact(df, col, scale)).cast("double"), F.sum(fx.exact_square(df, col, scale)).cast("double")

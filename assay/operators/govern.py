@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from assay.functions import columns as fx
+from assay.operators.digests import changed_rows, field_changes, row_changes
+from assay.operators.meets import open_at
 
 DEFAULT_STEPS = [("source", "bronze", "parallel extract"), ("bronze", "silver", "cleanse and historise"),
                  ("silver", "gold", "rules and aggregates"), ("gold", "platinum", "features")]
@@ -89,11 +91,10 @@ def access_report(events: DataFrame, ts: str, user: str, purpose: str, win: str
 
 
 def consumers_without(consumers: DataFrame, agreements: DataFrame, key: str, on_date: Column) -> DataFrame:
-    """Consumers without an agreement valid on the date: equality on the consumer, interval within it."""
-    valid = agreements.select(F.col(key).alias("__key"), "valid_from", "valid_to")
-    return consumers.withColumn("__on", on_date).join(
-        valid, (F.col(key) == F.col("__key")) & (F.col("valid_from") <= F.col("__on"))
-        & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("__on"))), "left_anti").drop("__on")
+    """Consumers without an agreement valid on the date: agreements open at it are counted along time, not pair by pair."""
+    valid = agreements.select(key, F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"))
+    asked = consumers.withColumn("__on", on_date)
+    return open_at(asked, valid, [key], "__on", "__from", "__to", "__open").where("__open = 0").drop("__on", "__open")
 
 
 def tag_regimes(df: DataFrame, regimes: DataFrame, key: str, text: str = "regimes", sep: str = "/") -> DataFrame:
@@ -108,16 +109,14 @@ def map_area(df: DataFrame, key: str, areas: DataFrame, area_key: str, name: str
     return df.join(side, F.col(key) == F.col("__area"), "left").drop("__area").withColumn("area", F.coalesce("area", F.lit("UNMAPPED")))
 
 
-def change_log(old: DataFrame, new: DataFrame, key: str, cols: list[str], who: str, when: str) -> DataFrame:
-    """One line per changed field of each key, inserts and deletes included."""
-    o = old.select(F.col(key).alias("__o"), *[F.col(c).cast("string").alias(f"o_{c}") for c in cols])
-    n = new.select(F.col(key).alias("__n"), *[F.col(c).cast("string").alias(f"n_{c}") for c in cols])
-    joined = o.join(n, F.col("__o") == F.col("__n"), "full")
-    kind = F.when(F.col("__o").isNull(), "insert").when(F.col("__n").isNull(), "delete").otherwise("update")
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"o_{c}").alias("old_value"), F.col(f"n_{c}").alias("new_value")) for c in cols])
-    return joined.select(F.coalesce("__o", "__n").alias(key), kind.alias("change"), F.explode(fields).alias("f")).select(
-        key, "change", "f.*").where(~F.col("old_value").eqNullSafe(F.col("new_value"))).withColumns(
-        {"changed_by": F.lit(who), "changed_at": F.lit(when)})
+def change_log(old: DataFrame, new: DataFrame, key: str | list[str], cols: list[str], who: str, when: str, by_digest: bool = False, **digest) -> DataFrame:
+    """One line per changed field of each key, inserts and deletes included; null keys are a key, repeated rows count as often as they stand.
+
+    ``by_digest`` compares digests of key ranges first and then the rows of those that differ (see ``digests.changed_rows``).
+    """
+    keys = [key] if isinstance(key, str) else key
+    changes = changed_rows(old, new, keys, cols, **digest) if by_digest else row_changes(old, new, keys, cols)
+    return field_changes(changes, keys, cols).withColumns({"changed_by": F.lit(who), "changed_at": F.lit(when)})
 
 
 def dp_aggregate(df: DataFrame, by: list[str], value: str, eps: float, bound: float, min_n: int, seed: int) -> DataFrame:
