@@ -162,7 +162,29 @@ WITH g AS (SELECT l_suppkey, l_returnflag, count(*) AS n, CAST(sum(CAST(least(gr
 SELECT l_suppkey, l_returnflag, CAST(round(greatest(n + {laplace('n', 2.0)}, 0)) AS BIGINT) AS noisy_count, round(s + {laplace('s', 200000.0)}, 2) AS noisy_sum FROM g WHERE n >= 10
 """)
 def noisy(t: Tables) -> DataFrame:
-    return G.dp_aggregate(t.lineitem, ["l_suppkey", "l_returnflag"], "l_extendedprice", 1.0, 100_000.0, 10, 42)
+    return G.noisy_aggregate(t.lineitem, ["l_suppkey", "l_returnflag"], "l_extendedprice", 1.0, 100_000.0, 10, 42)
+
+
+PRIVATE = {"eps": 2.0, "bound": 50_000.0, "min_n": 20, "seed": 42, "max_groups": 2, "max_rows": 2}
+
+
+def _private_sql() -> str:
+    """Every order is a subject: at most two rows in each of at most two (supplier, flag) groups."""
+    group, value = "'=' || l_suppkey || '|=' || l_returnflag", "least(greatest(l_extendedprice, 0), 50000)::DECIMAL(28,4)"
+    def laplace(salt, scale):
+        u = f"((('0x' || substr(md5('42|{salt}|' || g), 1, 12))::BIGINT + 0.5::DOUBLE) / {float(2**48)}::DOUBLE - 0.5::DOUBLE)"
+        return f"(-sign({u}) * {scale}::DOUBLE * ln(1 - 2 * abs({u})))"
+    return f"""
+WITH r AS (SELECT l_orderkey, l_suppkey, l_returnflag, {group} AS g, {value} AS v FROM lineitem),
+d AS (SELECT *, md5('42|group|' || l_orderkey || '|' || g) AS gd, md5('42|row|' || l_orderkey || '|' || g || '|' || v::VARCHAR) AS rd FROM r),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY gd) AS gr, row_number() OVER (PARTITION BY l_orderkey, gd ORDER BY rd) AS rr FROM d),
+s AS (SELECT l_suppkey, l_returnflag, g, count(*) AS n, sum(v)::DOUBLE AS s FROM k WHERE gr <= 2 AND rr <= 2 GROUP BY ALL)
+SELECT l_suppkey, l_returnflag, round(n + {laplace('n', 4.0)})::BIGINT AS noisy_count, round(s + {laplace('s', 200000.0)}, 2) AS noisy_sum FROM s WHERE n + {laplace('n', 4.0)} >= 20"""
+
+
+@query("g15_private_export", _private_sql())
+def private_export(t: Tables) -> DataFrame:
+    return G.private_export(t.lineitem, "l_orderkey", ["l_suppkey", "l_returnflag"], "l_extendedprice", **PRIVATE)
 
 
 @query("d2_resource_documents", """
@@ -174,3 +196,16 @@ def documents(t: Tables) -> DataFrame:
     keyed = joined.withColumn("key", F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
     return model.to_resource(keyed, "Organization", "key", {
         "name": F.col("c_name"), "address": F.array(F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region")))})
+
+
+# Long chains: every order leads to the next one of its customer's block of 100.
+@query("g3_impact_of_chains", """
+WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders WHERE o_orderkey % 100 <> 99 UNION ALL SELECT o_orderkey, o_orderkey + 50 FROM orders WHERE o_orderkey % 1000 = 0),
+r AS (SELECT o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey % 400 = 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node)
+SELECT node, min(depth) AS depth FROM r GROUP BY 1
+""")
+def impact_of_chains(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    links = t.orders.where(key % 100 != 99).select(key.alias("src"), (key + 1).alias("dst")).unionByName(
+        t.orders.where(key % 1000 == 0).select(key.alias("src"), (key + 50).alias("dst")))
+    return graph.impact(links, t.orders.where(key % 400 == 0).select(key.alias("node")))

@@ -114,3 +114,29 @@ def insert_or_ignore(t: Tables) -> DataFrame:
                                    ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax",
                                     "l_returnflag", "l_linestatus"])
     return kept.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+
+
+# Text and composite keys, some null; one key holds a tenth of all rows.
+KEYED = """
+SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'hot' WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority || '/' || (o_custkey % 211) END AS k1,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_custkey % 7 END AS k2 FROM orders
+"""
+
+
+@query("a3_chunk_plan_text_keys", f"""
+WITH n AS (SELECT k1, row_number() OVER (ORDER BY k1 NULLS FIRST) - 1 AS rn FROM ({KEYED}) x)
+SELECT rn // 700 AS chunk_id, count(*) AS rows, arg_min(coalesce(k1, '-'), rn) AS min_key, arg_max(coalesce(k1, '-'), rn) AS max_key, max(rn) + 1 AS rows_done FROM n GROUP BY 1
+""")
+def chunk_plan_text(t: Tables) -> DataFrame:
+    plan = readers.chunk_plan(t.sql(KEYED, orders=t.orders), "k1", 700)
+    return plan.withColumns({c: F.coalesce(c, F.lit("-")) for c in ("min_key", "max_key")})
+
+
+@query("a3_chunk_plan_composite", f"""
+WITH n AS (SELECT coalesce(k2::VARCHAR, '-') || ':' || coalesce(k1, '-') AS k, row_number() OVER (ORDER BY k2 NULLS FIRST, k1 NULLS FIRST) - 1 AS rn FROM ({KEYED}) x)
+SELECT rn // 900 AS chunk_id, count(*) AS rows, arg_min(k, rn) AS min_key, arg_max(k, rn) AS max_key, max(rn) + 1 AS rows_done FROM n GROUP BY 1
+""")
+def chunk_plan_composite(t: Tables) -> DataFrame:
+    plan = readers.chunk_plan(t.sql(KEYED, orders=t.orders), ["k2", "k1"], 900)
+    shown = lambda c: F.concat_ws(":", F.coalesce(F.col(f"{c}.k2").cast("string"), F.lit("-")), F.coalesce(f"{c}.k1", F.lit("-"))).alias(c)
+    return plan.select("chunk_id", "rows", shown("min_key"), shown("max_key"), "rows_done")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from assay.functions import columns as fx
 from assay.operators.digests import changed_rows, field_changes, row_changes
 from assay.operators.meets import open_at
+from assay.operators.ordered import first_rows
+from assay.sources.layers import write_report
 
 DEFAULT_STEPS = [("source", "bronze", "parallel extract"), ("bronze", "silver", "cleanse and historise"),
                  ("silver", "gold", "rules and aggregates"), ("gold", "platinum", "features")]
@@ -119,8 +122,9 @@ def change_log(old: DataFrame, new: DataFrame, key: str | list[str], cols: list[
     return field_changes(changes, keys, cols).withColumns({"changed_by": F.lit(who), "changed_at": F.lit(when)})
 
 
-def dp_aggregate(df: DataFrame, by: list[str], value: str, eps: float, bound: float, min_n: int, seed: int) -> DataFrame:
-    """Counts and sums per group with Laplace noise; groups under ``min_n`` rows are left out.
+def noisy_aggregate(df: DataFrame, by: list[str], value: str, eps: float, bound: float, min_n: int, seed: int) -> DataFrame:
+    """Counts and sums per group with Laplace noise; groups under ``min_n`` rows are left out. Not private: a subject may hold many rows, and
+    the limit is tested on the exact count; ``private_export`` bounds both.
 
     Values are clipped to ``[0, bound]``; half of ``eps`` goes to each figure. The noise depends on the
     seed and the group only, so a rerun or a retried task gives the same export.
@@ -134,3 +138,65 @@ def dp_aggregate(df: DataFrame, by: list[str], value: str, eps: float, bound: fl
         F.col("__n") >= min_n).select(
         *by, F.round(F.greatest(F.col("__n") + noise("n", 2.0 / eps), F.lit(0.0))).cast("long").alias("noisy_count"),
         F.round(F.col("__s") + noise("s", 2.0 * bound / eps), 2).alias("noisy_sum"))
+
+
+def _noise(group: Column, seed: int, salt: str, scale: float) -> Column:
+    """Laplace noise of this scale that depends on the seed and the group only."""
+    u = (fx.digest_number(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), group), 1, 12) + 0.5) / float(2**48) - 0.5
+    return -F.signum(u) * scale * F.log(F.lit(1.0) - 2.0 * F.abs(u))
+
+
+def bounded(df: DataFrame, subject: str, by: list[str], value: str, bound: float, max_groups: int, max_rows: int, seed: int) -> DataFrame:
+    """Of every subject at most ``max_rows`` rows in each of at most ``max_groups`` groups, values clipped to ``[0, bound]``: ``by, value``.
+
+    Which ones is decided by a seeded digest, not by what they hold. Rows without a subject are nobody's and are left out.
+    """
+    group = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in by])
+    clipped = F.least(F.greatest(F.col(value).cast("double"), F.lit(0.0)), F.lit(float(bound)))
+    who = F.col(subject).cast("string")
+    rows = df.where(F.col(subject).isNotNull()).select(
+        F.col(subject).alias("__who"), *[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], clipped.cast("decimal(28,4)").alias("__v"),
+        F.md5(F.concat_ws("|", F.lit(f"{seed}|group"), who, group)).alias("__gd"),
+        F.md5(F.concat_ws("|", F.lit(f"{seed}|row"), who, group, F.coalesce(clipped.cast("decimal(28,4)").cast("string"), F.lit("-")))).alias("__rd"))
+    few = first_rows(rows, ["__who", "__gd"], ["__rd"], max_rows)
+    chosen = few.withColumn("__rank", F.dense_rank().over(W.partitionBy("__who").orderBy("__gd"))).where(F.col("__rank") <= max_groups)
+    return chosen.select(*[F.col(f"__g{i}").alias(c) for i, c in enumerate(by)], F.col("__v").alias(value))
+
+
+def private_export(df: DataFrame, subject: str, by: list[str], value: str, eps: float, bound: float, min_n: float, seed: int,
+                   max_groups: int = 1, max_rows: int = 1) -> DataFrame:
+    """Noisy counts and sums per group of which no subject changes more than a stated bound.
+
+    One subject moves all counts together by at most ``max_groups * max_rows`` and all sums by that times ``bound``; the noise of either has that over ``eps / 2`` as
+    scale. A group is shown if its noisy count reaches ``min_n``, so whether it is shown is as private as the count.
+    """
+    moved = float(max_groups * max_rows)
+    group = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in by])
+    kept = bounded(df, subject, by, value, bound, max_groups, max_rows, seed)
+    sums = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("__s"))
+    count = F.col("__n") + _noise(group, seed, "n", 2.0 * moved / eps)
+    return sums.withColumn("__c", count).where(F.col("__c") >= min_n).select(
+        *by, F.round("__c").cast("long").alias("noisy_count"), F.round(F.col("__s") + _noise(group, seed, "s", 2.0 * moved * bound / eps), 2).alias("noisy_sum"))
+
+
+LEDGER = "dataset string, export string, eps double"
+
+
+def spend(spark: SparkSession, root: str, dataset: str, export: str, eps: float, budget: float) -> float:
+    """Enter an export in the dataset's ledger and give what is left of its budget; an export that would overspend is refused.
+
+    An export is entered under its name, so one that is repeated (same seed, same result) does not spend again.
+    """
+    if not 0 < eps:
+        raise ValueError("an export must spend something")
+    try:
+        spent = {r.export: r.eps for r in spark.read.schema(LEDGER).parquet(f"{root}/reports/privacy_ledger/*/*").where(F.col("dataset") == dataset).collect()}
+    except AnalysisException as absent:
+        if absent.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spent = {}
+    after = spent | {export: max(eps, spent.get(export, 0.0))}
+    if sum(after.values()) > budget + 1e-12:
+        raise ValueError(f"{export} would spend {eps} of {budget - sum(spent.values())} left for {dataset}")
+    write_report(spark.createDataFrame([(dataset, export, after[export])], LEDGER), root, "privacy_ledger", dataset, export)
+    return budget - sum(after.values())

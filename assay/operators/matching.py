@@ -7,6 +7,9 @@ partners per form is limited by the alphabet and the length, never by how often
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from decimal import Decimal
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -88,6 +91,94 @@ def match_entities(df: DataFrame, id: str, weights: dict[str, int], threshold: i
     return found.select(F.col("node").alias(id), F.col("component").alias("entity"))
 
 
+def agreement_patterns(df: DataFrame, fields: list[str]) -> DataFrame:
+    """How many of all pairs of rows agree on which fields: ``pattern`` (bit i: field i agrees), ``pairs``. A null agrees with nothing.
+
+    No pair is formed. Rows with one value in a set of fields are n (n - 1) / 2 pairs that agree at least there; the counts for all sets of fields, a line
+    each, give the pairs that agree on exactly a set by inclusion and exclusion.
+    """
+    if len(fields) > 8:
+        raise ValueError("at most eight fields")
+    sets = range(1 << len(fields))
+    names = lambda s: [f for i, f in enumerate(fields) if s >> i & 1]
+    pairs = F.sum((F.col("n").cast("decimal(19,0)") * (F.col("n") - 1).cast("decimal(18,0)") / 2).cast("decimal(38,0)"))
+    total = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("s"), F.col("n"))
+    lines = cut(df.groupBy(*fields).agg(F.count(F.lit(1)).alias("n")))
+    counted = [total.groupBy("s").agg(pairs.alias("pairs"))]
+    for s in sets[1:]:
+        known = lines.where(" AND ".join(f"`{n}` IS NOT NULL" for n in names(s))).groupBy(*names(s)).agg(F.sum("n").alias("n"))
+        counted.append(known.agg(pairs.alias("pairs")).select(F.lit(s).alias("s"), "pairs"))
+    at_least = counted[0]
+    for c in counted[1:]:
+        at_least = at_least.unionByName(c)
+    known = {r.s: int(r.pairs or 0) for r in at_least.collect()}  # 2^fields lines
+    exact = [(s, sum((-1) ** (t ^ s).bit_count() * known.get(t, 0) for t in sets if t & s == s)) for s in sets]
+    return df.sparkSession.createDataFrame([(s, Decimal(n)) for s, n in exact if n], "pattern int, pairs decimal(38,0)")
+
+
+@dataclass(frozen=True)
+class Learnt:
+    """Share of matches among pairs, and for each field how often matches and others agree."""
+    share: float
+    match: tuple[float, ...]
+    other: tuple[float, ...]
+
+    def odds(self, pattern: int) -> float:
+        """log2 of the odds that a pair with this pattern is a match."""
+        out = math.log2(self.share) - math.log2(1 - self.share)
+        for i, (m, u) in enumerate(zip(self.match, self.other)):
+            out += math.log2(m / u) if pattern >> i & 1 else math.log2((1 - m) / (1 - u))
+        return out
+
+    def posterior(self, pattern: int) -> float:
+        return 1 / (1 + 2 ** -max(-500.0, min(500.0, self.odds(pattern))))
+
+
+def learn(patterns: list[tuple[int, int]], n_fields: int, rounds: int = 500, start: float = 0.9, eps: float = 1e-9) -> Learnt:
+    """Match and non-match probabilities by expectation and maximisation over counted patterns, a few hundred lines whatever the table.
+
+    Fields are taken as independent within matches and within others. The start is plain: matches agree on each field with ``start``, others as often as
+    all pairs do, and as many pairs are matches as agree on most fields.
+    """
+    total = sum(n for _, n in patterns)
+    inside = lambda p: min(max(p, eps), 1 - eps)
+    most = sum(n for s, n in patterns if 2 * s.bit_count() > n_fields)
+    model = Learnt(inside(max(most, 1) / max(total, 1)), (start,) * n_fields,
+                   tuple(inside(sum(n for s, n in patterns if s >> i & 1) / max(total, 1)) for i in range(n_fields)))
+    for _ in range(rounds):
+        weight = [(s, n, model.posterior(s)) for s, n in patterns]
+        matches = math.fsum(n * w for _, n, w in weight)
+        others = math.fsum(n * (1 - w) for _, n, w in weight)
+        if not matches or not others:
+            break
+        after = Learnt(inside(matches / total), tuple(inside(math.fsum(n * w for s, n, w in weight if s >> i & 1) / matches) for i in range(n_fields)),
+                       tuple(inside(math.fsum(n * (1 - w) for s, n, w in weight if s >> i & 1) / others) for i in range(n_fields)))
+        moved = max(abs(a - b) for a, b in zip((after.share, *after.match, *after.other), (model.share, *model.match, *model.other)))
+        model = after
+        if moved < 1e-12:
+            break
+    return model
+
+
+def learnt_weights(model: Learnt, fields: list[str], posterior: float = 0.9, scale: int = 1000) -> tuple[dict[str, int], int]:
+    """The model as weights of agreeing fields and a threshold, for ``match_entities``: a pair is joined if a match is at least this likely.
+
+    A field whose agreement speaks against a match weighs nothing.
+    """
+    gain = {f: max(0.0, math.log2(m / u) - math.log2((1 - m) / (1 - u))) for f, m, u in zip(fields, model.match, model.other)}
+    wanted = math.log2(posterior / (1 - posterior)) - model.odds(0)
+    return {f: round(scale * g) for f, g in gain.items()}, math.ceil(scale * wanted)
+
+
+def match_learnt(df: DataFrame, id: str, fields: list[str], posterior: float = 0.9, fuzzy: str | None = None, d: int = 1) -> tuple[DataFrame, Learnt]:
+    """Entities by weights that the table itself teaches, and the model."""
+    model = learn([(r.pattern, int(r.pairs)) for r in agreement_patterns(df, fields).collect()], len(fields))
+    weights, threshold = learnt_weights(model, fields, posterior)
+    if sum(weights.values()) < threshold:
+        return df.select(id, F.col(id).alias("entity")), model  # no agreement makes a match this likely
+    return match_entities(df, id, weights, threshold, fuzzy, d), model
+
+
 def correct_codes(df: DataFrame, col: str, valid: DataFrame, valid_col: str, max_dist: int = 1) -> DataFrame:
     """Replace codes by their valid form: as is, standardised, or the nearest valid code; else null.
 

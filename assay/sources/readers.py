@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
-from assay.operators.ordered import prefix_sums, running
+from assay.operators import ordered
 from assay.session import cut
 
 
@@ -60,37 +62,47 @@ def range_summary(df: DataFrame, key: str, n: int = 8) -> DataFrame:
     )
 
 
-def chunk_plan(df: DataFrame, key: str, size: int) -> DataFrame:
+def _numbered_keys(keys: list[str]) -> list[Column]:
+    return [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
+
+
+def chunk_plan(df: DataFrame, key: str | list[str], size: int) -> DataFrame:
     """Chunks of ``size`` rows in key order, the last one partial: chunk, rows, key bounds, rows so far.
 
-    Row numbers come from counts per key plus a prefix sum over key ranges, never from one global window;
-    a range that holds too many keys is split like any hot group.
-    Keys may repeat; rows with equal keys fill chunks in sequence.
+    The key may be of any type that has an order, or several columns (the bounds are structs then); null comes first and is a key
+    like any other. Keys may repeat; rows with equal keys fill chunks in sequence, however many they are. Rows are counted per key; the keys are laid
+    out by ranges whose borders Spark samples, and a range's first row number is what the ranges before it hold.
     """
-    counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    stats = cut(counts.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("c").alias("total")))
-    packed = stats.select(F.struct(*stats.columns).alias("s")).scalar()
-    placed = counts.select("k", "c", packed.alias("s")).withColumn(
-        "slot",
-        F.floor((F.col("k") - F.col("s.lo")) / (F.col("s.hi") - F.col("s.lo") + 1)
-                * F.ceil(F.col("s.total") / size)),
-    )
-    sizes = placed.groupBy("slot").agg(F.sum("c").alias("n"))
-    offsets = prefix_sums(sizes, "slot", "n", "offset").select("slot", "offset")
-    runs = (
-        running(placed.select("slot", "k", "c"), ["slot"], ["k"], {"upto": F.col("c")})
-        .join(offsets, "slot")
-        .withColumn("last", F.col("offset") + F.col("upto"))
-        .withColumn("first", F.col("last") - F.col("c"))
-        # a key whose rows cross a chunk border contributes to every chunk it touches
-        .withColumn("chunk", F.explode(F.sequence(
-            F.floor(F.col("first") / size), F.floor((F.col("last") - 1) / size))))
-        .withColumn("rows_in", F.least("last", (F.col("chunk") + 1) * size) - F.greatest("first", F.col("chunk") * size))
-    )
-    return runs.groupBy(F.col("chunk").alias("chunk_id")).agg(
-        F.sum("rows_in").alias("rows"), F.min("k").alias("min_key"), F.max("k").alias("max_key"),
-        F.max(F.least(F.col("last"), (F.col("chunk") + 1) * size)).alias("rows_done"),
-    )
+    keys = [key] if isinstance(key, str) else list(key)
+    order = [f"__k{i}" for i in range(len(keys))]
+    counts = cut(df.groupBy(*_numbered_keys(keys)).agg(F.count(F.lit(1)).alias("c")))
+    parts = math.ceil(counts.count() / ordered.HOT_ROWS)
+    spans = cut(counts.repartitionByRange(parts, *order).withColumn("span", F.spark_partition_id())) if parts > 1 else counts.withColumn("span", F.lit(0))
+    along = W.partitionBy(F.lit(0)).orderBy("span").rowsBetween(W.unboundedPreceding, -1)  # one line a range
+    offsets = spans.groupBy("span").agg(F.sum("c").alias("n")).select("span", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("offset"))
+    bound = F.col("__k0") if len(keys) == 1 else F.struct(*[F.col(o).alias(k) for o, k in zip(order, keys)])
+    runs = spans.withColumn("upto", F.sum("c").over(W.partitionBy("span").orderBy(*order))).join(F.broadcast(offsets), "span").select(
+        bound.alias("k"), (F.col("offset") + F.col("upto") - F.col("c")).alias("first"), (F.col("offset") + F.col("upto")).alias("last"))
+    # a key whose rows cross a chunk border contributes to every chunk it touches
+    touched = runs.withColumn("chunk", F.explode(F.sequence(F.expr(f"first DIV {size}L"), F.expr(f"(last - 1) DIV {size}L"))))
+    upper = F.least(F.col("last"), (F.col("chunk") + 1) * size)
+    ends = touched.groupBy(F.col("chunk").alias("chunk_id")).agg(
+        F.sum(upper - F.greatest("first", F.col("chunk") * size)).alias("rows"), F.min_by("k", "first").alias("min_key"), F.max_by("k", "first").alias("max_key"),
+        F.max(upper).alias("rows_done"))
+    return ends
+
+
+def sampled_ranges(df: DataFrame, key: str | list[str], n: int) -> DataFrame:
+    """``n`` ranges of about as many rows each over keys of any type: range, rows, smallest and largest key. Borders come from a sample that Spark takes.
+
+    Rows with one key are in one range; null comes first.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    order = [f"__k{i}" for i in range(len(keys))]
+    ranged = df.select(*_numbered_keys(keys)).repartitionByRange(n, *order).withColumn("range_id", F.spark_partition_id())
+    bound = F.struct(*order)
+    return ranged.groupBy("range_id").agg(F.count(F.lit(1)).alias("rows"), F.min(bound).alias("lo"), F.max(bound).alias("hi")).select(
+        "range_id", "rows", *[F.col(f"{side}.{o}").alias(f"{name}_{k}") for side, name in (("lo", "min"), ("hi", "max")) for o, k in zip(order, keys)])
 
 
 def estimated_chunks(rows: int, size: int) -> int:

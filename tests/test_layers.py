@@ -194,10 +194,10 @@ def test_regimes_and_noise(spark):
     tagged = G.tag_regimes(facts.select("table_name"), facts.select("table_name", "regimes"), "table_name")
     assert {r["table_name"] for r in tagged.where("regime = 'CRA'").collect()} == {"LOANS", "BRANCHES"}
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.lit(2.0).alias("v")).unionByName(spark.createDataFrame([(9, 1.0)], "g long, v double"))
-    a, b = [{tuple(r) for r in G.dp_aggregate(df, ["g"], "v", 1.0, 10.0, 5, seed).collect()} for seed in (1, 1)]
+    a, b = [{tuple(r) for r in G.noisy_aggregate(df, ["g"], "v", 1.0, 10.0, 5, seed).collect()} for seed in (1, 1)]
     assert a == b and {g for g, _, _ in a} == {0, 1, 2}
     assert all(abs(n - 333) < 60 for _, n, _ in a)
-    assert a != {tuple(r) for r in G.dp_aggregate(df, ["g"], "v", 1.0, 10.0, 5, 2).collect()}
+    assert a != {tuple(r) for r in G.noisy_aggregate(df, ["g"], "v", 1.0, 10.0, 5, 2).collect()}
 
 
 def test_descriptors_and_phi(spark):
