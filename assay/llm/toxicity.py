@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assay.llm.common import bounded_batches, documents, held_out, labels, map_texts, numbering, pack, partitions, register, small_batches, stored, unpack, whole
 from assay.llm.wordids import Encoded, WordIds, flattened
@@ -65,6 +65,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 KEPT = re.compile(rf"[\w{SIGNS}]")
 REPEATED = re.compile(r"([^\W\d_])\1")
 THRICE = re.compile(r"([^\W\d_])\1\1")
+REPEATED_RUN = re.compile(r"([^\W\d_])\1+")
+MOST_RUNS = 5  # doubled places of a word whose paths are listed; with more, Viterbi goes through them
 DOTTED = re.compile(rf"(?:(?:[^\W\d_]|[{SIGNS}])[\W_]){{2,}}(?:[^\W\d_]|[{SIGNS}])")
 HOLDS = re.compile(rf"[{SIGNS}\W_]")
 LONG = 200  # characters of a word whose restoration is not remembered
@@ -77,12 +79,16 @@ def symbol(c: str) -> int:
     return o - 96 if 97 <= o <= 122 else 27 + (o & 31) if 0xDF <= o <= 0xFF else 59 if c.isalpha() else 0
 
 
+known_symbol = functools.lru_cache(maxsize=4096)(symbol)
+
+
 def key_of(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature) >> 1
 
 
 def features_of(word: str) -> list[str]:
-    return [word] + [word[:n] + "-" for n in BEGINNINGS if len(word) > n]
+    n = len(word)
+    return [word, *[word[:b] + "-" for b in BEGINNINGS if n > b]] if n > BEGINNINGS[0] else [word]
 
 
 @dataclass
@@ -157,7 +163,7 @@ def decode(core: str, language: Language, spaced: bool = False, ends: bool = Fal
             for piece, cost in choices:
                 x, y, total = a, b, score + cost
                 for c in piece:
-                    z = symbol(c)
+                    z = known_symbol(c)
                     total += three[x, y, z]
                     x, y = (y, z) if z else (0, 0)
                 held = new.get((x, y))
@@ -172,19 +178,69 @@ def decode(core: str, language: Language, spaced: bool = False, ends: bool = Fal
     return "".join(reversed(pieces)).strip()
 
 
-@functools.lru_cache(maxsize=1)
-def decoder(block: bytes):
-    """A decoder that remembers a bounded number of words, one per worker process and model."""
-    language = Language(np.frombuffer(block, dtype=np.float64).reshape(ALPHABET, ALPHABET, ALPHABET))
-
-    @functools.lru_cache(maxsize=100_000)
-    def remembered(core: str, spaced: bool, ends: bool) -> str:
-        return decode(core, language, spaced, ends)
+def variants(word: str) -> tuple[list[str], list[float]] | None:
+    """All paths through the lattice of a word of letters only, with the channel's costs; None if there are too many to list."""
+    runs = [(m.start(), m.end()) for m in REPEATED_RUN.finditer(word)]
+    if len(runs) > MOST_RUNS:
+        return None
+    made, costs, done = [""], [0.0], 0
+    for a, b in runs:
+        c = word[a]
+        choices = ((c, 0.0), (c + c, DOUBLE)) if b - a > 2 else ((c + c, 0.0), (c, TWICE))
+        before = word[done:a]
+        made = [m + before + piece for m in made for piece, _ in choices]
+        costs = [x + cost for x in costs for _, cost in choices]
+        done = b
+    return [m + word[done:] for m in made], costs
+
+
+def decode_letters(words: list[str], language: Language) -> list[str]:
+    """``decode`` of words of letters with few doubled ones, all at once: their paths are listed and summed in one go; ties go to the first path."""
+    out, every, costs, sizes, at = list(words), [], [], [], []
+    for i, word in enumerate(words):
+        found = variants(word)
+        if found is None:
+            out[i] = decode(word, language)
+        else:
+            every += found[0]
+            costs += found[1]
+            sizes.append(len(found[0]))
+            at.append(i)
+    if not every:
+        return out
+    lengths = np.fromiter(map(len, every), np.int64, len(every)) + 2  # trigrams of a path, and one over the border to the next
+    ends = np.cumsum(lengths)
+    values = language.three.ravel()[trigrams_of_letters(every)]
+    values[ends[:-1] - 1] = 0.0
+    total = np.add.reduceat(values, ends - lengths) + np.array(costs)
+    sizes = np.array(sizes)
+    first = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    best = np.flatnonzero(total == np.maximum.reduceat(total, first)[owner])
+    _, one = np.unique(owner[best], return_index=True)
+    for i, j in zip(at, best[one].tolist()):
+        out[i] = every[j]
+    return out
+
+
+class Decoder:
+    """Restorations of words under one model; a bounded number of those that hold signs is remembered."""
+
+    def __init__(self, block: bytes):
+        self.language = Language(np.frombuffer(block, dtype=np.float64).reshape(ALPHABET, ALPHABET, ALPHABET))
+        self._remembered = functools.lru_cache(maxsize=100_000)(lambda core, spaced, ends: decode(core, self.language, spaced, ends))
+
+    def __call__(self, core: str, spaced: bool, ends: bool = False) -> str:
+        return self._remembered(core, spaced, ends) if len(core) <= LONG else decode(core, self.language, spaced, ends)
+
+    def letters(self, words: list[str]) -> list[str]:
+        return decode_letters(words, self.language)
 
-    def restored(core: str, spaced: bool, ends: bool = False) -> str:
-        return remembered(core, spaced, ends) if len(core) <= LONG else decode(core, language, spaced, ends)
 
-    return restored
+@functools.lru_cache(maxsize=1)
+def decoder(block: bytes) -> Decoder:
+    """One per worker process and model."""
+    return Decoder(block)
 
 
 def lowered(words: list[bytes]) -> list[str]:
@@ -240,20 +296,33 @@ class Features:
     def _encode(self, words: list[bytes]) -> Encoded:
         held = len(self.words.known) - len(words)
         small = lowered(words)
-        cores = [core_of(w) for w in small]
+        plain = [w.isalpha() for w in small]
+        cores = [w if p else EDGES.sub("", w) for w, p in zip(small, plain)]
+        outers = [w if p else outer_of(w) for w, p in zip(small, plain)]
         parts = [[c] if c else [] for c in cores]
         changed = np.zeros(len(words), dtype=bool)
         if self.restore is not None:
-            for i, core in enumerate(cores):
-                outer = outer_of(small[i])
-                if suspicious(outer):
+            doubled = [i for i, o in enumerate(outers) if REPEATED.search(o) and o.isalpha()]
+            for i, best in zip(doubled, self.restore.letters([outers[i] for i in doubled])):
+                if best != outers[i]:
+                    changed[i] = counts_as_restored(outers[i], best)
+                if best not in parts[i]:
+                    parts[i].append(best)
+            for i in (i for i, p in enumerate(plain) if not p):
+                core, outer = cores[i], outers[i]
+                if not outer.isalpha() and suspicious(outer):
                     best = self.restore(outer, False).split()
                     changed[i] = counts_as_restored(outer, "".join(best))
                     more = self.restore(outer, False, True).split() if outer != core or not outer[0].isalnum() else []
                     parts[i] = list(dict.fromkeys(parts[i] + best + more))
         self.changed = np.concatenate([self.changed[:held], changed])
-        self.single = np.concatenate([self.single[:held], np.array([single(w) for w in small], dtype=bool)])
-        return self.number_of(parts)
+        self.single = np.concatenate([self.single[:held], np.array([len(o) == 1 and (o.isalpha() or o in LOOK_ALIKES) for o in outers], dtype=bool)])
+        distinct = numbering()  # words that differ in their outer signs only have the same parts
+        same = np.fromiter(map(distinct.__getitem__, map(tuple, parts)), np.int64, len(parts))
+        ids, sizes = self.number_of(list(distinct))
+        begin, each = (np.cumsum(sizes) - sizes)[same], sizes[same]
+        ends = np.cumsum(each)
+        return ids[np.repeat(begin - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)], each
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, feature) of all texts, each pair once, ascending; and the number of restored words of each text."""
@@ -306,11 +375,12 @@ class ModelFeatures(Features):
         self.model_keys = keys
 
     def number_of(self, parts: list[list[str]]) -> Encoded:
-        lists = [[key_of(f) for p in words for f in features_of(p)] for words in parts]
-        sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        every = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
         if not len(self.model_keys):
             return np.zeros(0, np.uint32), np.zeros(len(parts), np.int64)
+        lists = [features_of(words[0]) if len(words) == 1 else [f for p in words for f in features_of(p)] for words in parts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        digests = map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(lists))
+        every = (np.fromiter(digests, np.uint64, int(sizes.sum())) >> np.uint64(1)).astype(np.int64)  # as key_of
         at = np.minimum(np.searchsorted(self.model_keys, every), len(self.model_keys) - 1)
         found = self.model_keys[at] == every
         return at[found].astype(np.uint32), np.bincount(np.repeat(np.arange(len(parts)), sizes)[found], minlength=len(parts))
@@ -327,7 +397,11 @@ SYMBOLS = np.array([symbol(chr(i)) for i in range(0x250)], dtype=np.int64)
 
 def trigrams_of(words: list[str]) -> np.ndarray:
     """Places of the trigrams of all words of letters, each word between borders."""
-    points = np.frombuffer(("  " + "  ".join(w for w in words if LETTERS.fullmatch(w)) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
+    return trigrams_of_letters([w for w in words if LETTERS.fullmatch(w)])
+
+
+def trigrams_of_letters(words: list[str]) -> np.ndarray:
+    points = np.frombuffer(("  " + "  ".join(words) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
     s = np.where(points < len(SYMBOLS), SYMBOLS[np.minimum(points, len(SYMBOLS) - 1)], 59)
     return (s[:-2] * ALPHABET + s[1:-1]) * ALPHABET + s[2:]
 
@@ -458,11 +532,24 @@ def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int =
 
 
 TALLIED = "key binary, toxic int, n long"
+FOUND = "ids binary, n_restored long"
+
+
+def found_features(docs: DataFrame, keys: np.ndarray, language: bytes, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, the model's features that every whole text has (``ids``, four bytes each) and the number of restored words."""
+    block = keys.tobytes()
 
+    def work(texts: list[bytes]) -> list:
+        owner, ids, restored = model_features(block, language)(texts)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1)) * 4
+        every = ids.astype(np.int32).tobytes()
+        return [[every[a:b] for a, b in zip(bounds, bounds[1:])], restored]
+
+    return map_texts(docs, keep, FOUND, work, size=BATCH)
 
-def tallied(train: DataFrame, block: bytes, language: bytes) -> DataFrame:
-    """The distinct sets of features of toxic texts, and each single feature of clean texts, with the number of those texts."""
-    n_features = len(block) // 8
+
+def tallied(found: DataFrame, n_features: int) -> DataFrame:
+    """The distinct sets of features of toxic texts, and each single feature of clean texts, with the number of those texts. ``found`` has ids and toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: Counter = Counter()
@@ -471,14 +558,12 @@ def tallied(train: DataFrame, block: bytes, language: bytes) -> DataFrame:
         def told(keys: list[bytes], toxic: int, n: list[int]):
             return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "toxic": pa.array([toxic] * len(keys), pa.int32()), "n": pa.array(n, pa.int64())})
 
-        for batch in small_batches(batches, "t", BATCH):
-            texts, toxic = batch.column("t").to_pylist(), np.asarray(batch.column("toxic")) > 0
-            owner, ids, _ = model_features(block, language)(texts)
-            clean += np.bincount(ids[~toxic[owner]], minlength=n_features)
-            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-            for i in np.flatnonzero(toxic).tolist():
-                sets[ids[bounds[i]:bounds[i + 1]].astype(np.int32).tobytes()] += 1
-                held += int(bounds[i + 1] - bounds[i])
+        for batch in batches:
+            ids, toxic = batch.column("ids").to_pylist(), (np.asarray(batch.column("toxic")) > 0).tolist()
+            clean += np.bincount(np.frombuffer(b"".join(x for x, y in zip(ids, toxic) if not y), np.int32), minlength=n_features)
+            for x in (x for x, y in zip(ids, toxic) if y):
+                sets[x] += 1
+                held += len(x) // 4
             if held > FLUSH:
                 yield told(list(sets), 1, list(sets.values()))
                 sets, held = Counter(), 0
@@ -486,8 +571,7 @@ def tallied(train: DataFrame, block: bytes, language: bytes) -> DataFrame:
         seen = np.flatnonzero(clean)
         yield told([int(j).to_bytes(4, "little") for j in seen], 0, clean[seen].tolist())
 
-    source = train.select(whole().cast("binary").alias("t"), F.col("toxic").cast("int").alias("toxic"))
-    return stored(source.mapInArrow(run, TALLIED).groupBy("key", "toxic").agg(F.sum("n").alias("n")), "toxic-sets")
+    return stored(found.select("ids", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, TALLIED).groupBy("key", "toxic").agg(F.sum("n").alias("n")), "toxic-sets")
 
 
 def spread_slopes(sets: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
@@ -519,7 +603,8 @@ def spread_slopes(sets: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     return slopes
 
 
-def fit(train: DataFrame, parts: int) -> Model | None:
+def vocabulary(train: DataFrame, parts: int) -> tuple[np.ndarray, bytes, int] | None:
+    """Keys of the model's features, the trigram model, and the number of clean texts; None without a labelled text."""
     counts = counted(train, parts)
     trigrams, total, toxic = np.zeros(ALPHABET ** 3, dtype=np.int64), 0, 0
     for row in counts.where("part < 0").collect():
@@ -527,13 +612,14 @@ def fit(train: DataFrame, parts: int) -> Model | None:
         trigrams[at] = n
     if not total:
         return None
-    language = Language.of(trigrams).three.tobytes()
-    keys = chosen_features(counts, int(total), int(toxic))
-    block = keys.tobytes()
+    return chosen_features(counts, int(total), int(toxic)), Language.of(trigrams).three.tobytes(), int(total - toxic)
+
 
-    sets = tallied(train, block, language)
+def weighted(found: DataFrame, keys: np.ndarray, language: bytes, n_clean: int) -> Model:
+    """The model, from the features found in the labelled texts (ids, toxic)."""
+    sets = tallied(found, len(keys))
     clean = np.zeros(len(keys) + 1)
-    clean[-1] = total - toxic
+    clean[-1] = n_clean
     for row in sets.where("toxic = 0").collect():
         clean[int.from_bytes(row.key, "little")] = row.n
     sets = sets.where("toxic = 1")
@@ -546,31 +632,54 @@ def fit(train: DataFrame, parts: int) -> Model | None:
     return Model(keys, weights, bias, language)
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, the score (0 to 1), the prediction and the number of restored words."""
-    block = model.keys.tobytes() if model is not None else b""
+def fit(train: DataFrame, parts: int) -> Model | None:
+    """Learn from texts with their label (text, toxic)."""
+    known = vocabulary(train, parts)
+    return None if known is None else weighted(found_features(train, known[0], known[1], ["toxic"]), *known)
 
-    def work(texts: list[bytes]) -> list:
-        if model is None:
-            return [[0.0] * len(texts), [0] * len(texts), [0] * len(texts)]
-        owner, ids, restored = model_features(block, model.language)(texts)
-        scores = -np.expm1(-(model.bias + np.bincount(owner, model.weights[ids], minlength=len(texts))))
-        return [scores, (scores >= CUTOFF).astype(int), restored]
 
-    return map_texts(docs, keep, RESULT, work, size=BATCH)
+def scored(found: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, the score (0 to 1), the prediction and the number of restored words, from the features found in every text."""
+    source = found.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], "ids", "n_restored")
+    schema = T.StructType(source.schema.fields[:-2] + T.StructType.fromDDL(RESULT).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids").to_pylist()
+            owner = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
+            scores = -np.expm1(-(model.bias + np.bincount(owner, model.weights[np.frombuffer(b"".join(ids), np.int32)], minlength=len(ids))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(scores, pa.float64()), pa.array((scores >= CUTOFF).astype(np.int32)), batch.column("n_restored")], names=schema.names)
+
+    return source.mapInArrow(run, schema).toDF(*keep, *[f.name for f in T.StructType.fromDDL(RESULT)])
+
+
+def unscored(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The result where nothing was learnt."""
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_restored"))
+
+
+def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """``scored`` over whole texts."""
+    return unscored(docs, keep) if model is None else scored(found_features(docs, model.keys, model.language, keep), model, keep)
 
 
 def toxicity(docs: DataFrame, marks: DataFrame, keep: list[str]) -> DataFrame:
-    """Learn from the labelled rows that are not held out, then score every document."""
+    """Learn from the labelled rows that are not held out, then score every document. Every text is decoded once."""
     bounded_batches(docs.sparkSession)
     marks = marks.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     few = marks.count() <= SMALL_LABELS
     marked = docs.where(~held_out(MODULUS)).select("doc_id", "text").join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("__id"))
     # One row for each text and label: copies of one text say nothing about other words of it.
     first = stored(marked.groupBy(F.xxhash64(whole()).alias("mark"), "toxic").agg(F.min("doc_id").alias("__id")).select("__id", "toxic"), "toxic-first")
-    few = first.count() <= SMALL_LABELS
-    train = docs.select("doc_id", "text").join(F.broadcast(first) if few else first, F.col("doc_id") == F.col("__id")).select("text", "toxic")
-    return score(docs, fit(train, 2 * partitions(docs.sparkSession)), keep)
+    first = F.broadcast(first) if first.count() <= SMALL_LABELS else first
+    known = vocabulary(docs.select("doc_id", "text").join(first, F.col("doc_id") == F.col("__id")).select("text", "toxic"), 2 * partitions(docs.sparkSession))
+    if known is None:
+        return unscored(docs, keep)
+    kept = {f"keep{i}": F.col(f"`{c}`") for i, c in enumerate(keep)}
+    plain = docs.select(*[c.alias(n) for n, c in kept.items()], F.col("doc_id").alias("of"), "text")
+    found = stored(found_features(plain, known[0], known[1], [*kept, "of"]), "toxic-features")
+    model = weighted(found.select("of", "ids").join(first, F.col("of") == F.col("__id")).select("ids", "toxic"), *known)
+    return scored(found.drop("of"), model, list(kept)).toDF(*keep, *[f.name for f in T.StructType.fromDDL(RESULT)])
 
 
 @register("op3_toxicity")
