@@ -20,7 +20,7 @@ the result names each document's connected component. No candidate is ever dropp
 Shingles are 64-bit hashes of the words; a set with 20,000 of them holds two equal ones with a chance of 1e-11.
 
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and is its own component; a text of one to
-four words has one shingle; repeated rows are rows of the same component; a row without doc_id has no component and takes no
+four words has one shingle; rows with one doc_id are one document with one component, whatever their texts; a row without doc_id has no component and takes no
 part; an empty table gives no rows; other columns do not matter.
 """
 
@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assay.llm.common import batch_number, bounded_batches, documents, numbering, pack, partitions, register, release, small_batches, stored, unpack, whole
 from assay.operators.graph import components
+from assay.operators.ordered import sized
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,6 +44,8 @@ SLACK = 2           # percent of its shingles that a tied set may share with oth
 HASHES = 4          # smallest hashes by which a set looks for a head
 BATCH = 1_500_000
 CLASS = 1.25        # remainders within this factor lie in one block
+FINE = 1.05         # needs within this factor lie in one part of a long block
+LONG_BLOCK = 1_000  # entries from which a block is parted
 SMALL = 200_000     # a list of so many (id, digest) rows, 5 MB, may be broadcast
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -159,9 +162,9 @@ def shared_counts(source: DataFrame, parts: int) -> DataFrame:
 
 
 def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the wanted documents (id, d0, d1), whole, with their smallest hashes."""
-    keys = wanted.select("id", "d0", "d1")
-    picked = source.join(F.broadcast(keys) if wanted.count() <= SMALL else keys, F.col("doc_id") == F.col("id")).select("id", "d0", "d1", "t")
+    """The wanted sets (id, of a document ``first``, d0, d1), whole, with their smallest hashes."""
+    keys = wanted.select("id", "first", "d0", "d1")
+    picked = source.join(F.broadcast(keys) if wanted.count() <= SMALL else keys, F.col("doc_id") == F.col("first")).select("id", "d0", "d1", "t")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "t", BATCH):
@@ -172,7 +175,7 @@ def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
                 pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()),
                 pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], names=["id", "n", "tokens", "least"])
 
-    # A doc_id may stand in several rows.
+    # A doc_id may stand in several rows, with this text or others.
     return stored(picked.mapInArrow(make, "id long, n int, tokens array<long>, least array<long>").dropDuplicates(["id"]), "sets")
 
 
@@ -229,19 +232,35 @@ def block_of(remaining: str | Column) -> Column:
     return F.floor(F.log(F.col(remaining) if isinstance(remaining, str) else remaining) / float(np.log(CLASS))).cast("int")
 
 
+def size_class(need: Column) -> Column:
+    return F.floor(F.log(F.greatest(need, F.lit(1))) / float(np.log(FINE))).cast("int")
+
+
 def candidates(heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs of heads (p, q) that share a prefix shingle at positions that still allow the overlap they need."""
+    """Pairs of heads (p, q) that share a prefix shingle at positions that still allow the overlap they need.
+
+    The head that needs less is in the lists. As a pair needs at least twice what that one asks for, an entry after which too few shingles remain is in no
+    list: that removes what many unlike texts share, such as the template of a site. A block that is long all the same is parted by what its entries need, and
+    a probe looks only at the parts whose need its own remainder can cover.
+    """
     rare = F.col("n") - F.size("tokens")  # shingles of no other set come first in the order
     prefix = F.greatest(F.col("n") - F.col("least") + 1 - rare, F.lit(0)).cast("int")
     entries = heads.select("id", "n", "need", "least", rare.alias("rare"), F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token")).select(
         "id", "n", "need", "least", "token", (F.col("n") - F.col("rare") - F.col("at")).alias("remaining"))
-    listed = entries.select("token", F.col("id").alias("q"), F.col("n").alias("n_q"), F.col("need").alias("need_q"), F.col("remaining").alias("r_q"), block_of("remaining").alias("block"))
-    # The smaller set is in the list and the larger probes: blocks below the overlap that it needs are skipped.
-    probes = entries.select("token", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("need").alias("need_p"), F.col("remaining").alias("r_p"),
+    listed = entries.where(F.col("remaining") * (100 + percent) >= 2 * F.col("need")).select(
+        "token", F.col("id").alias("q"), F.col("need").alias("need_q"), F.col("remaining").alias("r_q"), block_of("remaining").alias("block"))
+    long_ = sized(listed.groupBy("token", "block").agg(F.count(F.lit(1)).alias("__n"), F.min("need_q").alias("least_need")).where(F.col("__n") > LONG_BLOCK).drop("__n"))
+    # The larger probes: blocks below the overlap that it needs are skipped.
+    probes = entries.select("token", F.col("id").alias("p"), F.col("need").alias("need_p"), F.col("remaining").alias("r_p"),
                             F.explode(F.sequence(block_of(F.greatest("least", F.lit(1))) - 1, block_of("n") + 1)).alias("block"))
-    smaller = (F.col("n_q") < F.col("n_p")) | ((F.col("n_q") == F.col("n_p")) & (F.col("q") < F.col("p")))
+    most = F.least("need_p", F.col("r_p") * (100 + percent) - F.col("need_p"))  # what an entry may need at most
+    parts = F.when(F.col("least_need").isNull(), F.array(F.lit(-1))).when(
+        most >= F.col("least_need"), F.sequence(size_class(F.col("least_need")), size_class(most))).otherwise(F.array().cast("array<int>"))
+    probes = probes.join(long_, ["token", "block"], "left").withColumn("part", F.explode(parts)).drop("least_need")
+    listed = listed.join(long_, ["token", "block"], "left").withColumn("part", F.when(F.col("least_need").isNull(), -1).otherwise(size_class(F.col("need_q")))).drop("least_need")
+    less = (F.col("need_q") < F.col("need_p")) | ((F.col("need_q") == F.col("need_p")) & (F.col("q") < F.col("p")))
     enough = F.least("r_p", "r_q") * (100 + percent) >= F.col("need_p") + F.col("need_q")
-    return probes.join(listed, ["token", "block"]).where(smaller & enough).select("p", "q").distinct()
+    return probes.join(listed, ["token", "block", "part"]).where(less & enough).select("p", "q").distinct()
 
 
 def compared(heads: DataFrame, percent: int) -> DataFrame:
@@ -274,7 +293,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     source = text_column(docs, id_col, text_col)
     rows = stored(shared_counts(source, 2 * partitions(docs.sparkSession)), "shingles")
     may_link = (F.col("n_shingles") > 0) & (F.col("shared") * 100 >= F.col("n_shingles") * percent) & F.col("doc_id").isNotNull()
-    equal = stored(rows.where(may_link).groupBy("d0", "d1").agg(F.min("doc_id").alias("id")), "equal-sets")
+    equal = stored(rows.where(may_link).groupBy("d0", "d1").agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()), "equal-sets")
     sets = sets_of(source, equal)
     ordered = ordered_sets(sets, percent)
     ties, members = tied(ordered, sets.select("id", "least"), percent)
@@ -283,9 +302,17 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     direct = linked("n_p", "n_q", "common", percent)
     indirect = derived(pairs.where(~direct & (F.col("tied_p") + F.col("tied_q") > 0)), heads, members, ordered, percent)
     links = ties.unionByName(pairs.where(direct).select(F.col("p").alias("src"), F.col("q").alias("dst"))).unionByName(indirect)
-    named = equal.join(components(links), F.col("id") == F.col("node"), "left").select("d0", "d1", F.coalesce("component", "id").alias("component"))
+    # Texts of one doc_id are one document: its sets are tied to the least of them.
+    several = sized(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id"))
+    standing = rows.where(may_link).join(several, "doc_id", "left_semi").select("doc_id", "d0", "d1").distinct().join(equal, ["d0", "d1"]).select("doc_id", "id")
+    links = links.unionByName(standing.join(standing.groupBy("doc_id").agg(F.min("id").alias("dst")), "doc_id").where("id <> dst").select(F.col("id").alias("src"), "dst"))
+    grouped = equal.join(components(links), F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id"))
+    named = grouped.select("d0", "d1", "group").join(grouped.groupBy("group").agg(F.min("first").alias("component")), "group").drop("group")
     keyed = rows.withColumns({c: F.when(may_link, F.col(c)) for c in ("d0", "d1")})
-    return keyed.join(named, ["d0", "d1"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    placed = keyed.join(named, ["d0", "d1"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # A row of such a doc_id without shingles that others share belongs to the component of its other texts.
+    shown = sized(placed.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least")))
+    return placed.join(shown, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
+import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from assay.llm import jaccard
 from tests.llm import data
@@ -24,7 +26,7 @@ def brute(rows):
 
     for a, (i, s) in enumerate(sets):
         for b, (j, u) in enumerate(sets[:a]):
-            if i is not None and j is not None and s and u and 100 * len(s & u) >= 80 * len(s | u):
+            if i is not None and j is not None and (i == j or (s and u and 100 * len(s & u) >= 80 * len(s | u))):
                 parent[find(a)] = find(b)
     least = defaultdict(list)
     for a, (i, _) in enumerate(sets):
@@ -83,3 +85,29 @@ def test_keep_one(spark):
     assert out.columns == docs.columns
     stay = {int(c) for i, _, c in brute([(r[0], r[1]) for r in data.rows()]) if c != "None"}
     assert {r.doc_id for r in out.collect()} - {None} == stay
+
+
+def test_texts_of_one_doc_id_are_one_document(spark):
+    a, b = data.text(31, 80), data.text(32, 90)
+    rows = [(1, a), (1, b), (2, data.changed(a, 1, 1)), (3, data.changed(b, 2, 1)), (2, a), (3, b), (5, data.text(33, 40)), (5, data.changed(b, 3, 1)), (4, data.text(34, 50)), (4, "")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        check(spark, order)
+
+
+@pytest.mark.parametrize("sizes", ["103", "95 + id % 20"])
+def test_a_template_of_many_pages_is_linear(spark, sizes):
+    """Sets that share 86 shingles of a template and are not similar: comparing them by two would take 800 million steps."""
+    n = F.expr(f"CAST({sizes} AS INT)")
+    heads = spark.range(40_000).select("id", n.alias("n")).withColumns({
+        "tokens": F.expr("transform(sequence(1, 86), x -> CAST(x AS BIGINT))"), "need": (F.col("n") * 80).cast("long"), "least": F.ceil(F.col("n") * 0.78)})
+    begin = time.time()
+    jaccard.candidates(jaccard.stored(heads, "template"), 80).count()
+    assert time.time() - begin < 40
+
+
+def test_long_blocks_are_parted_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG_BLOCK", 2)
+    rng = random.Random(8)
+    passage = data.text(700, 70)
+    rows = [(k, passage + " " + data.text(7000 + k % 25, rng.randint(3, 60))) for k in range(90)]
+    check(spark, rows)
