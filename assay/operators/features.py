@@ -78,25 +78,28 @@ def hash_embed(df: DataFrame, id: str, col: str, dim: int = 128, ngram: int = 1)
     Empty texts give the zero vector.
 
     A deterministic stand-in for a model. Place and sign of a token come from digits of its MD5, so collisions
-    cancel instead of adding up. Everything happens inside the row: the tokens' codes (place and sign) are sorted, the lengths of
-    the runs of equal codes are laid out as the vector; nothing is shuffled.
+    cancel instead of adding up. Everything happens inside the row: the tokens' codes (place and sign) are sorted, and the lengths of
+    the runs of equal codes are laid out with the gaps between them, in one go; nothing is shuffled or looked up.
     """
     words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     grams = [F.col("__w")] + [_word_grams("__w", n) for n in range(2, ngram + 1)]
     # nine digits of one digest: eight for the place, the last for the sign
     place = lambda x: (F.shiftright(x, 4) % dim) * 2 + x.bitwiseAND(F.lit(1))
-    codes = F.array_sort(F.transform("__g", lambda w: place(fx.digest_number(w, 1, 9)).cast("int")))
+    numbers = F.transform("__g", lambda w: fx.digest_number(w, 1, 9))  # once a token; the place needs it twice
+    codes = F.sort_array(F.transform(numbers, lambda x: place(x).cast("int")))
     n = F.size("__c")
     ends = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
                     lambda i: (i == n) | (F.get("__c", i - 1) != F.get("__c", i)))
-    counts = F.map_from_arrays(F.transform("__e", lambda e: F.get("__c", e - 1)),
-                               F.transform("__e", lambda e, j: e - F.coalesce(F.get("__e", j - 1), F.lit(0))))
-    at = lambda i, sign: F.coalesce(F.try_element_at("__m", (i * 2 + sign).cast("int")), F.lit(0))
-    values = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (at(i, 0) - at(i, 1)).cast("double"))
+    code = lambda e: F.get("__c", e - 1)
+    before = lambda j: F.get("__e", j - 1)
+    gap = lambda e, j: F.array_repeat(F.lit(0), code(e) - F.coalesce(code(before(j)), F.lit(-1)) - 1)
+    runs = F.flatten(F.transform("__e", lambda e, j: F.concat(gap(e, j), F.array(e - F.coalesce(before(j), F.lit(0))))))
+    rest = F.array_repeat(F.lit(0), 2 * dim - 1 - F.coalesce(F.get("__c", n - 1), F.lit(-1)))
+    values = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.get("__m", i * 2) - F.get("__m", i * 2 + 1)).cast("double"))
     norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x))
     return (
         df.select(id, words.alias("__w")).select(id, (F.concat(*grams) if ngram > 1 else grams[0]).alias("__g"))
-        .select(id, codes.alias("__c")).select(id, "__c", ends.alias("__e")).select(id, counts.alias("__m")).select(id, values.alias("__v")).select(id, "__v", norm.alias("__n"))
+        .select(id, codes.alias("__c")).select(id, "__c", ends.alias("__e")).select(id, F.concat(runs, rest).alias("__m")).select(id, values.alias("__v")).select(id, "__v", norm.alias("__n"))
         .select(id, F.transform("__v", lambda x: x / F.when(F.col("__n") > 0, F.col("__n")).otherwise(1.0)).alias("vector")))
 
 

@@ -205,6 +205,9 @@ def rolling(
     """
     at = F.unix_date(F.col(ts).cast("date")).cast("long") if tick == "day" else F.unix_seconds(F.col(ts).cast("timestamp"))
     ticks = df.groupBy(*keys, at.alias("tick")).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
+    if hot_keys(ticks, keys, ["tick"], hot_rows) is None:
+        over = lambda length: W.partitionBy(*keys).orderBy("tick").rangeBetween(1 - length, 0)
+        return ticks.select(*keys, "tick", *measures, *[F.sum(n).over(over(length)).alias(f"{n}_{label}") for n in measures for label, length in spans.items()])
     probes = [F.struct(F.col("tick").alias("at"), F.lit(0).alias("kind"))] + [
         F.struct((F.col("tick") - length).alias("at"), F.lit(i).alias("kind")) for i, length in enumerate(spans.values(), 1)]
     lines = ticks.select("*", F.explode(F.array(*probes)).alias("__e")).select("*", F.col("__e.at").alias("__at"), F.col("__e.kind").alias("__kind")).drop("__e")
