@@ -38,7 +38,7 @@ MINIMUM = 100
 LONGEST = 5
 TOP = 2_000
 BATCH = 1_000_000
-SHARD = 800_000      # words of a shard, more if a single text is longer
+SHARD = 1_400_000    # words of a shard, more if a single text is longer
 PER_PART = 4_000_000  # words of the corpus for each range of filters
 ROUNDS = 4           # of the permutation
 
@@ -203,6 +203,17 @@ def joined_breaks(seq: np.ndarray, *beside: np.ndarray) -> tuple[np.ndarray, ...
     return tuple(x[keep] for x in (seq, *beside))
 
 
+def packed_ids(ids: np.ndarray, *beside: np.ndarray) -> bytes:
+    """A sequence of numbers by byte planes, of which the high ones are nearly empty."""
+    return pack(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T), *map(np.packbits, beside))
+
+
+def unpacked_ids(block: bytes) -> tuple[np.ndarray, ...]:
+    planes, *beside = unpack(block)
+    ids = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return ids, *[np.unpackbits(b, count=len(ids)).astype(bool) for b in beside]
+
+
 def shards(docs: DataFrame, parts: int, lang_col: str, text_col: str) -> DataFrame:
     """Stored rows: a shard's sequence of word numbers; and per range of word hashes the shard's words, their numbers and counts."""
     bounded_batches(docs.sparkSession)
@@ -221,13 +232,13 @@ def shards(docs: DataFrame, parts: int, lang_col: str, text_col: str) -> DataFra
             part = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             at = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(i, pack([keys[j] for j in order[a:b].tolist()], numbers[order[a:b]], times[order[a:b]]))
+            rows = [(i, pack([keys[j] for j in order[a:b].tolist()], numbers[order[a:b]], times[order[a:b]].astype(np.uint32)))
                     for i, a, b in zip(range(parts), at, at[1:]) if b > a]
             known.clear()
             held.clear()
             yield pa.RecordBatch.from_arrays([
                 pa.array([-1] + [r[0] for r in rows], pa.int32()), pa.array([shard] * (len(rows) + 1), pa.int64()),
-                pa.array([None] + [r[1] for r in rows], pa.binary()), pa.array([pack(seq)] + [None] * len(rows), pa.binary())], names=["part", "shard", "block", "seq"])
+                pa.array([None] + [r[1] for r in rows], pa.binary()), pa.array([packed_ids(seq)] + [None] * len(rows), pa.binary())], names=["part", "shard", "block", "seq"])
 
         for batch in small_batches(batches, "t", BATCH):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist()):
@@ -255,7 +266,7 @@ def named(made: DataFrame, parts: int, minimum: int) -> DataFrame:
         coded = pa.array(itertools.chain.from_iterable(b[0] for b in blocks), pa.binary()).dictionary_encode()
         at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         total = np.zeros(len(words), np.int64)
-        np.add.at(total, at, np.concatenate([b[2] for b in blocks]))
+        np.add.at(total, at, np.concatenate([b[2] for b in blocks]).astype(np.int64))
         often = sorted(np.flatnonzero(total >= minimum).tolist(), key=words.__getitem__)
         ids = np.zeros(len(words), np.int64)
         ids[often] = 1 + key[0] + parts * np.arange(len(often), dtype=np.int64)
@@ -283,7 +294,7 @@ def numbered(made: DataFrame, names: DataFrame) -> DataFrame:
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"shard": [], "seq": []})
-        seq, = unpack(left.seq.iloc[0])
+        seq, = unpacked_ids(left.seq.iloc[0])
         table = np.zeros(int(seq.max(initial=0)) + 1, np.int64)
         for block in right.block:
             numbers, ids = unpack(block)
@@ -293,7 +304,7 @@ def numbered(made: DataFrame, names: DataFrame) -> DataFrame:
         ids, = joined_breaks(np.where(np.r_[pair, False] | np.r_[False, pair], ids, BREAK)) if len(ids) else (ids,)
         if not ids.any():
             return pd.DataFrame({"shard": [], "seq": []})
-        return pd.DataFrame({"shard": [key[0]], "seq": [pack(ids.astype(np.uint32), ids != BREAK)]})
+        return pd.DataFrame({"shard": [key[0]], "seq": [packed_ids(ids, ids != BREAK)]})
 
     left = made.where("part < 0").select("shard", "seq")
     right = names.where("shard IS NOT NULL").select("shard", "block")
@@ -322,7 +333,7 @@ def counted(state: DataFrame, n: int, b: int, parts: int, minimum: int) -> DataF
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, block in zip(batch.column("shard").to_pylist(), batch.column("seq").to_pylist()):
-                seq, live = unpack(block)
+                seq, live = unpacked_ids(block)
                 at = places(seq, live, n)
                 if not len(at):
                     continue
@@ -358,7 +369,7 @@ def narrowed(state: DataFrame, counts: DataFrame, n: int, b: int, parts: int) ->
         nothing = pd.DataFrame({"shard": [], "seq": []})
         if not len(left) or not len(right):
             return nothing
-        seq, live = unpack(left.seq.iloc[0])
+        seq, live = unpacked_ids(left.seq.iloc[0])
         at = places(seq, live, n)
         words, _, place = phrases(seq, at, n, b)
         flags = np.zeros(len(words[0]), bool)
@@ -373,7 +384,7 @@ def narrowed(state: DataFrame, counts: DataFrame, n: int, b: int, parts: int) ->
         for j in range(n):
             inside[begin + j] = True
         seq, live = joined_breaks(np.where(inside, seq, 0).astype(np.uint32), live)
-        return pd.DataFrame({"shard": [key[0]], "seq": [pack(seq, live)]})
+        return pd.DataFrame({"shard": [key[0]], "seq": [packed_ids(seq, live)]})
 
     back = counts.where("shard IS NOT NULL").select("shard", "part", "block")
     return stored(state.groupBy("shard").cogroup(back.groupBy("shard")).applyInPandas(run, STATE), "phrase-places")
