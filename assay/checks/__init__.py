@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain", "fine", "sinks", "discovery", "increment", "meets", "identifiers")
+GROUPS = ("sources", "profile", "scores", "rules", "clean", "features", "monitor", "govern", "domain", "fine", "sinks", "discovery", "increment", "meets", "identifiers", "packs")
 
 
 def load_all() -> None:
