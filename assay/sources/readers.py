@@ -77,19 +77,21 @@ def chunk_plan(df: DataFrame, key: str | list[str], size: int) -> DataFrame:
     order = [f"__k{i}" for i in range(len(keys))]
     counts = cut(df.groupBy(*_numbered_keys(keys)).agg(F.count(F.lit(1)).alias("c")))
     parts = math.ceil(counts.count() / ordered.HOT_ROWS)
-    spans = cut(counts.repartitionByRange(parts, *order).withColumn("span", F.spark_partition_id())) if parts > 1 else counts.withColumn("span", F.lit(0))
-    along = W.partitionBy(F.lit(0)).orderBy("span").rowsBetween(W.unboundedPreceding, -1)  # one line a range
-    offsets = spans.groupBy("span").agg(F.sum("c").alias("n")).select("span", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("offset"))
     bound = F.col("__k0") if len(keys) == 1 else F.struct(*[F.col(o).alias(k) for o, k in zip(order, keys)])
-    runs = spans.withColumn("upto", F.sum("c").over(W.partitionBy("span").orderBy(*order))).join(F.broadcast(offsets), "span").select(
-        bound.alias("k"), (F.col("offset") + F.col("upto") - F.col("c")).alias("first"), (F.col("offset") + F.col("upto")).alias("last"))
+    if parts > 1:
+        spans = cut(counts.repartitionByRange(parts, *order).withColumn("span", F.spark_partition_id()))
+        along = W.partitionBy(F.lit(0)).orderBy("span").rowsBetween(W.unboundedPreceding, -1)  # one line a range
+        offsets = spans.groupBy("span").agg(F.sum("c").alias("n")).select("span", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("offset"))
+        placed = spans.withColumn("upto", F.sum("c").over(W.partitionBy("span").orderBy(*order))).join(F.broadcast(offsets), "span")
+    else:
+        placed = counts.withColumn("upto", F.sum("c").over(W.partitionBy(F.lit(0)).orderBy(*order))).withColumn("offset", F.lit(0).cast("long"))
+    runs = placed.select(bound.alias("k"), (F.col("offset") + F.col("upto") - F.col("c")).alias("first"), (F.col("offset") + F.col("upto")).alias("last"))
     # a key whose rows cross a chunk border contributes to every chunk it touches
     touched = runs.withColumn("chunk", F.explode(F.sequence(F.expr(f"first DIV {size}L"), F.expr(f"(last - 1) DIV {size}L"))))
     upper = F.least(F.col("last"), (F.col("chunk") + 1) * size)
-    ends = touched.groupBy(F.col("chunk").alias("chunk_id")).agg(
+    return touched.groupBy(F.col("chunk").alias("chunk_id")).agg(
         F.sum(upper - F.greatest("first", F.col("chunk") * size)).alias("rows"), F.min_by("k", "first").alias("min_key"), F.max_by("k", "first").alias("max_key"),
         F.max(upper).alias("rows_done"))
-    return ends
 
 
 def sampled_ranges(df: DataFrame, key: str | list[str], n: int) -> DataFrame:
