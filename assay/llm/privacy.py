@@ -7,7 +7,9 @@
   missing plus sign, dots or spaces between digits), so that the network learns more than the rules. Character classes go through a
   bidirectional LSTM; emissions and learned transitions form a CRF over O and B/I of the four kinds, trained by its exact likelihood.
 * **Decoding.** Every digit, @ and bracketed or spelled "at" of a text lies in windows of ``WIDTH`` that overlap by half; text without any
-  holds none of the four kinds. Each window is decoded by Viterbi; a span cut off by a window's edge is left to the window beside it.
+  holds none of the four kinds. The first window of a stretch begins before the word in front of it, however long, the last one ends behind the word
+  after it. Each window is decoded by Viterbi; a span cut off by a window's edge is in the window beside it, or, if it is longer than what they
+  share, is joined from its parts.
 * **Reconciliation.** Over the whole text the spans of all windows compete: the set without overlaps that has the largest total score is
   taken, by one pass over all ends. Rule spans stay as they are; a decoded span is added where it overlaps none and has what its kind
   needs (Luhn digits of a card, four numbers of an address, ...).
@@ -37,14 +39,14 @@ WINDOWS = 2_400
 HIDDEN = 16
 EPOCHS = 6
 SEED = 11
-FIGURES = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+FIGURES = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SPELLED = re.compile(r"[(\[]\s?at\s?[)\]]|\bat\b(?=[^\n]{1,40}\bdot\b)")
+SPELLED = re.compile(r"[(\[]\s?at\s?[)\]]|\bat\b(?=[^\n]{1,40}\bdot\b)", re.IGNORECASE)
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -103,18 +105,41 @@ def classes_of(text: str) -> np.ndarray:
     return np.where(points < 128, CLASS_OF[np.minimum(points, 127)], 20).astype(np.uint8)
 
 
+def word_before(text: str, at: int, least: int) -> int:
+    """Where the word before a place begins, but not before ``least``; a space between them does not part them."""
+    i = at - 1 if at > least and text[at - 1] == " " else at
+    while i > least and text[i - 1] in LOCAL:
+        i -= 1
+    return i
+
+
+def word_after(text: str, at: int, most: int) -> int:
+    """Where the word after the sign at a place ends."""
+    i = at + 1
+    while i < most and text[i] in ")] ":
+        i += 1
+    while i < most and text[i] in LOCAL:
+        i += 1
+    return i
+
+
 def window_starts(text: str, classes: np.ndarray) -> list[int]:
-    """Starts of the windows: they cover every digit, @ and spelled "at" with a margin, and overlap by half."""
+    """Starts of the windows: they cover every digit, @ and spelled "at" with a margin and the words beside them, and overlap by half."""
     seeds = np.flatnonzero((classes == 3) | (classes == 4))
-    if "at" in text and ("(" in text or "[" in text or "dot" in text):
-        seeds = np.unique(np.r_[seeds, [m.start() for m in SPELLED.finditer(text)]]).astype(np.int64)
+    low = text.lower()
+    if "at" in low and ("(" in text or "[" in text or "dot" in low):
+        seeds = np.unique(np.r_[seeds, [x for m in SPELLED.finditer(text) for x in (m.start(), m.end() - 1)]]).astype(np.int64)
     if not len(seeds):
         return []
     cuts = np.flatnonzero(np.diff(seeds) > 2 * MARGIN)
-    starts = []
+    starts, end = [], 0
     for a, b in zip(np.r_[0, cuts + 1], np.r_[cuts, len(seeds) - 1]):
-        low, high = max(0, int(seeds[a]) - MARGIN), min(len(classes), int(seeds[b]) + MARGIN + 1)
+        first, last = int(seeds[a]), int(seeds[b])
+        before = int(seeds[b + 1]) if b + 1 < len(seeds) else len(classes)
+        low = max(0, min(first - MARGIN, word_before(text, first, end) - 4))
+        high = min(len(classes), max(last + MARGIN, word_after(text, last, before) + 3) + 1)
         starts += list(range(low, max(low + 1, high - WIDTH // 2), WIDTH // 2))
+        end = last + 1
     return starts
 
 
@@ -136,8 +161,9 @@ def rewritten(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
         choice = xxhash.xxh32_intdigest(value.encode()) % 16
         if choice < 4:
             if kind == 0:
-                value = value.replace("@", (" @ ", " (at) ", "[at]", " at ")[choice])
-                value = value.replace(".", " dot ") if choice == 3 else value
+                at, dot = ("AT", "DOT") if xxhash.xxh32_intdigest(value.encode(), 1) % 4 == 0 else ("at", "dot")
+                value = value.replace("@", (" @ ", f" ({at}) ", f"[{at}]", f" {at} ")[choice])
+                value = value.replace(".", f" {dot} ") if choice == 3 else value
             elif kind == 1:
                 value = value.replace(".", ("[.]", " . ", "[.]", " . ")[choice])
             elif kind == 2:
@@ -302,23 +328,35 @@ class Scored:
     score: float
 
 
-def window_spans(tags: np.ndarray, e: np.ndarray, start: int, length: int) -> list[Scored]:
-    """Spans of one decoded window of a text of ``length``, without those that the window's edges may have cut."""
-    out, t = [], 0
+def window_spans(tags: np.ndarray, e: np.ndarray, start: int, length: int, before: Scored | None = None) -> tuple[list[Scored], Scored | None]:
+    """Spans of one decoded window of a text of ``length``, and the one that its end cuts off.
+
+    What the window's start cuts off goes on from ``before``, the cut span of the window that begins half a width earlier, or is left to that window.
+    """
+    out, rest, t = [], None, 0
     while t < WIDTH:
         tag = int(tags[t])
         if not tag:
             t += 1
             continue
-        end = t + 1
-        while end < WIDTH and tags[end] == 2 + 2 * ((tag - 1) // 2):
+        kind, end = (tag - 1) // 2, t + 1
+        while end < WIDTH and tags[end] == 2 + 2 * kind:
             end += 1
-        cut = (t == 0 and start > 0) or (end == WIDTH and start + WIDTH < length) or tag % 2 == 0
-        if not cut and start + end <= length:
-            steps = np.arange(t, end)
-            out.append(Scored((tag - 1) // 2, start + t, start + end, float((e[steps, tags[t:end]] - e[steps, 0]).sum())))
+        steps = np.arange(t, end)
+        score = float((e[steps, tags[t:end]] - e[steps, 0]).sum())
+        begin = start + t
+        if t == 0 and start > 0:
+            known = before is not None and before.kind == kind and before.start < start < before.end
+            begin, score = (before.start, before.score + score) if known else (-1, score)
+        elif tag % 2 == 0:
+            begin = -1
+        if begin >= 0 and start + end <= length:
+            if end == WIDTH and start + WIDTH < length:
+                rest = Scored(kind, begin, start + end, score)
+            else:
+                out.append(Scored(kind, begin, start + end, score))
         t = end
-    return out
+    return out, rest
 
 
 def reconciled(spans: list[Scored]) -> list[Scored]:
@@ -350,7 +388,7 @@ def plausible(kind: int, value: str) -> bool:
     """Whether a decoded span has what its kind needs."""
     digits = digits_of(value)
     if kind == 0:
-        return re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(?:@|[(\[]\s?at\s?[)\]]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|\sdot\s)\s?[A-Za-z0-9-]+)+", value) is not None
+        return re.fullmatch(r"[A-Za-z0-9._%+-]+\s?(?:@|[(\[]\s?at\s?[)\]]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:\.|\sdot\s)\s?[A-Za-z0-9-]+)+", value, re.IGNORECASE) is not None
     if kind == 1:
         numbers = re.findall("[0-9]+", value)
         return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers) and re.fullmatch(r"[0-9.\[\]\s]+", value) is not None
@@ -370,24 +408,28 @@ def decoded(texts: list[str], p: dict, chunk: int = 1024) -> list[list[Scored]]:
         lengths.append(len(classes))
     found: list[list[Scored]] = [[] for _ in texts]
     windows = np.concatenate(blocks) if blocks else np.zeros((0, WIDTH), np.uint8)
+    last: tuple[int, int, Scored | None] = (-1, 0, None)
     for a in range(0, len(windows), chunk):
         e, _ = emissions(windows[a:a + chunk], p)
         tags = viterbi(e, p)
         for k in np.flatnonzero(tags.any(1)):
             i, start = places[a + k]
-            found[i] += window_spans(tags[k], e[:, k], start, lengths[i])
+            whole_spans, cut = window_spans(tags[k], e[:, k], start, lengths[i], last[2] if last[:2] == (i, start - WIDTH // 2) else None)
+            found[i] += whole_spans
+            last = (i, start, cut)
     return [reconciled(spans) for spans in found]
 
 
 def may_hold(text: bytes) -> bool:
     """Whether a text has a digit, an @ or a spelled "at": else it holds none of the kinds."""
+    text = text.lower()
     return any(mark in text for mark in (b"@", b"0", b"1", b"2", b"3", b"4", b"5", b"6", b"7", b"8", b"9", b"(at", b"[at", b"( at", b"[ at", b" dot "))
 
 
 def figures(texts: list[bytes], p: dict | None) -> list[list]:
     """The columns of ``FIGURES``."""
     rows: list = [None] * len(texts)
-    nothing = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0)
+    nothing = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0, 0)
     wanted = [i for i, t in enumerate(texts) if may_hold(t)]
     plain = {i: texts[i].decode("utf-8", "replace") for i in wanted}
     more = dict(zip(wanted, decoded([plain[i] for i in wanted], p))) if p is not None else {}
@@ -406,7 +448,7 @@ def figures(texts: list[bytes], p: dict | None) -> list[list]:
                 added.append((s.kind, s.start, s.end))
         counts = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
         written = [",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans)) for spans in (base, base + added)]
-        rows[i] = (*counts, hashlib.sha256(written[0].encode()).hexdigest(), written[1], len(added))
+        rows[i] = (*counts, hashlib.sha256(written[0].encode()).hexdigest(), written[1], len(added), len(base) + len(added))
     return [list(column) for column in zip(*rows)]
 
 

@@ -139,6 +139,39 @@ def test_every_span_lies_in_windows():
         assert all(any(s <= a and b <= s + privacy.WIDTH for s in starts) for _, a, b in privacy.rule_spans(t) if b - a <= privacy.WIDTH // 2)
 
 
+def test_long_words_beside_a_sign_lie_in_windows():
+    local = "christopher.montgomery-smith.of.the.very.long.name.indeed.and.more" * 2
+    for value in (f"{local} (at) example.org", f"{local} (AT) example.org", "x [ At ] " + "sub." * 30 + "org", local + " @ example.org", "a.b AT mail DOT example DOT org"):
+        text = data.text(1, 30) + " " + value + " " + data.text(2, 30)
+        classes = privacy.classes_of(text)
+        starts = privacy.window_starts(text, classes)
+        begin = text.index(value)
+        assert starts and starts[0] <= begin and starts[-1] + privacy.WIDTH >= begin + len(value), value
+        assert privacy.may_hold(text.encode())
+
+
+def test_cut_spans_are_joined():
+    """One span of 150 characters over windows that share 48."""
+    half, tags = privacy.WIDTH // 2, np.zeros(400, np.uint8)
+    tags[100], tags[101:250] = 1, 2
+    e = np.ones((privacy.WIDTH, privacy.TAGS), np.float32)
+    e[:, 0] = 0
+    out, cut, last = [], None, None
+    for start in range(0, 304, half):
+        found, cut = privacy.window_spans(tags[start:start + privacy.WIDTH], e, start, 400, cut if last == start - half else None)
+        out += found
+        last = start
+    assert [(s.kind, s.start, s.end) for s in privacy.reconciled(out)] == [(0, 100, 250)]
+    assert privacy.window_spans(tags[144:240], e, 144, 400)[0] == []  # without the window before, its beginning is unknown
+
+
+def test_spelled_forms_in_any_case_are_found(network):
+    names = [data.text(900 + i, 1) for i in range(40)]
+    texts_ = [f"{data.text(i, 12)} {n}.{i}{at}mail{i % 7}.example.org {data.text(50 + i, 12)}" for i, n in enumerate(names) for at in (" (at) ", " (AT) ")]
+    found = privacy.figures([t.encode() for t in texts_], network)
+    assert sum(1 for n in found[6] if n) >= 0.5 * len(texts_)
+
+
 def test_rows(spark):
     docs = data.frame(spark)
     got = privacy.personal_data(docs, ["doc_id", "kept"]).collect()
