@@ -1,5 +1,7 @@
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -119,3 +121,17 @@ def test_piece_rows(spark):
     got = pieces.encode_documents(data.frame(spark), ["doc_id", "kept"], MODEL).collect()
     assert len(got) == len(data.rows()) and all(g.parity and g.n_tokens == len(g.ids) for g in got)
     assert pieces.encode_documents(data.empty(spark), ["doc_id"], MODEL).collect() == []
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": None}, {}])
+def test_other_vocabularies_are_encoded_as_the_library_does(tmp_path, change):
+    from tokenizers import Tokenizer
+
+    made = json.loads(Path(VOCABULARY).read_text()) | change
+    path = tmp_path / "vocabulary.json"
+    path.write_text(json.dumps(made))
+    whole, ours = Tokenizer.from_file(str(path)), idfiles.VocabularyIds(str(path))
+    assert ours.apart == (not change)
+    texts = [(t or "") for t in data.texts()[:12]] + ["Straight On, Sir. HELLO World 12.5 É", "  two  spaces\n\nlines "]
+    ids, sizes = ours([t.encode() for t in texts])
+    assert [x.tolist() for x in idfiles.slices(ids, sizes)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
