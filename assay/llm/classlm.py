@@ -5,11 +5,14 @@ log10 P(text) = sum over tokens of log10 P(class | class before) + log10 P(word
 1. **Counts.** Tasks condense their training words to (key, count) before the shuffle, split by key range; one task per range
    sums its words. The vocabulary stays a distributed table, one block per range, and grows with the corpus.
 2. **Frequent words.** The largest words, ``FREQUENT`` at most (their number is read off a histogram of counts, so the bound is
-   proven before anything is collected), go to every task. The ``CLUSTERED`` largest are clustered; all other words, seen or
-   not, belong to one of 16 classes by their last byte, which the key carries in its lowest bits.
+   proven before anything is collected), go to every task. The ``CLUSTERED`` largest are clustered by exchange; every other frequent word then joins the
+   learnt class that explains its neighbours best. Words beyond those, seen or not, belong to one of 16 classes by their last byte, which the key
+   carries in its lowest bits.
 3. **Exchange clustering.** All training texts are counted into a bigram matrix over clustered words and byte classes; its size
    depends on ``CLUSTERED`` only. Each word in turn moves to the class that raises the class-bigram likelihood most, until a
    round moves none or ``ROUNDS`` are done. This runs on the driver, over that bounded matrix.
+   For the other frequent words tasks count the classes before and after each, by ranges of words; with the classes fixed, the task of a range
+   gives each of its words the class of the largest likelihood. Transitions are then counted once more over all training texts.
 4. **Scores.** A batch scores its frequent words itself. Its other words travel as compact blocks to the task that holds their
    range of the vocabulary, and sums per document come back; no word's postings gather in one task, as words left to this
    way are rare by construction.
@@ -40,6 +43,7 @@ CLUSTERED = 2_048
 LEARNED = 48      # classes found by exchange
 SHAPES = 16       # classes of all other words, by last byte
 ROUNDS = 8
+RANGE = 4_096     # frequent words that one task gives classes to
 BLOCK = 64        # rows of the bigram matrix that one task sums
 FLUSH = 400_000   # distinct words a counting task holds before it sends them on
 BATCH = 2_500_000
@@ -158,6 +162,7 @@ class Words:
     counts: np.ndarray
     symbol: np.ndarray
     clustered: int
+    classes: np.ndarray | None = None  # class of each of them, once they all have one
 
     @classmethod
     def of(cls, keys: np.ndarray, counts: np.ndarray) -> "Words":
@@ -187,6 +192,15 @@ class Words:
         return symbol, np.where(found, counts, 0), found
 
 
+    def classes_of(self, keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Class of each word: its own if it is frequent, else that of its symbol."""
+        symbol, _, found = self.look_up(keys)
+        if self.classes is None or not found.any():
+            return of[symbol]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(found, self.classes[at], of[symbol])
+
+
 def bigrams(train: DataFrame, words: Words) -> np.ndarray:
     """How often symbol b follows symbol a over all training texts; a text begins after an end token."""
     n = words.symbols
@@ -278,12 +292,13 @@ class Model:
 
 
 def shapes_of(vocab: DataFrame, words: Words) -> np.ndarray:
-    """Number of distinct words in each byte class that are not clustered."""
+    """Number of distinct words in each byte class, without those that are frequent."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0).to_pylist():
-                symbol = words.look_up(unpack(block)[0])[0] - words.clustered
+                symbol, _, found = words.look_up(unpack(block)[0])
+                symbol = symbol[~found] - words.clustered
                 yield pa.RecordBatch.from_pydict({"shape": list(range(SHAPES)), "n": [int(x) for x in np.bincount(symbol[(symbol >= 0) & (symbol < SHAPES)], minlength=SHAPES)]})
 
     out = np.zeros(SHAPES, dtype=np.int64)
@@ -292,6 +307,66 @@ def shapes_of(vocab: DataFrame, words: Words) -> np.ndarray:
     return out
 
 
+def class_table(train: DataFrame, words: Words, of: np.ndarray, classes: int) -> np.ndarray:
+    """How often a word of class b follows one of class a over all training texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(classes * classes, dtype=np.int64)
+        for batch in small_batches(batches, "t", BATCH):
+            numbers, _, keys = tokens(batch.column("t").to_pylist())
+            cls = words.classes_of(keys, of).astype(np.int64)[numbers]
+            table += np.bincount(np.r_[of[-1], cls[:-1]] * classes + cls, minlength=classes * classes)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(table[at], pa.int64())})
+
+    table = np.zeros(classes * classes, dtype=np.int64)
+    for row in train.select(whole().cast("binary").alias("t")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        table[row["cell"]] = row["n"]
+    return table.reshape(classes, classes)
+
+
+def best_classes(train: DataFrame, words: Words, of: np.ndarray, table: np.ndarray, learned: int = LEARNED) -> np.ndarray:
+    """Class of every frequent word: of a clustered one its own, of another the learnt class under which its neighbours are the most likely.
+
+    ``table`` has the class transitions with all other words in their byte classes; they stay fixed, so each word is judged alone, in the task of its range.
+    """
+    classes = len(table)
+    smooth = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * classes))
+    going, coming, size = smooth[:learned].T, smooth[:, :learned], np.log(table.sum(0)[:learned] + 0.5)
+    open_ = (words.symbol >= words.clustered) & (words.keys != np.uint64(END_KEY))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "t", BATCH):
+            numbers, _, keys = tokens(batch.column("t").to_pylist())
+            symbol, _, found = words.look_up(keys)
+            at = np.minimum(np.searchsorted(words.keys, keys), max(len(words.keys) - 1, 0))
+            mine = np.where(found, at, -1)
+            mine[found] = np.where(open_[at[found]], at[found], -1)
+            cls, word = of[symbol].astype(np.int64)[numbers], mine[numbers]
+            here = np.flatnonzero(word >= 0)  # never the end token, so another token follows
+            before = np.where(here > 0, cls[here - 1], of[-1])
+            pairs, times = np.unique(np.r_[word[here] * 2 * classes + cls[np.minimum(here + 1, len(cls) - 1)], (word[here] * 2 + 1) * classes + before], return_counts=True)
+            bounds = np.searchsorted(pairs, np.arange(0, len(words.keys) + RANGE, RANGE) * 2 * classes)
+            rows = [(i, pack(pairs[a:b] - i * RANGE * 2 * classes, times[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["i", "block"])
+
+    def choose(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        seen = np.zeros(RANGE * 2 * classes)
+        for pairs, times in map(unpack, frame.block):
+            seen[pairs] += times
+        seen = seen.reshape(RANGE, 2, classes)
+        gain = seen[:, 0] @ going + seen[:, 1] @ coming - seen[:, 0].sum(1)[:, None] * size
+        held = np.flatnonzero(seen.any((1, 2)))
+        return pd.DataFrame({"i": [int(key[0])], "block": [pack(held, gain[held].argmax(1))]})
+
+    out = of[words.symbol]
+    rows = train.select(whole().cast("binary").alias("t")).mapInArrow(count, "i int, block binary").groupBy("i").applyInPandas(choose, "i int, block binary")
+    for row in rows.collect():  # a number for each frequent word
+        held, best = unpack(row.block)
+        out[row.i * RANGE + held] = best
+    return out
+
+
 def fit(train: DataFrame, vocab: DataFrame) -> Model:
     keys, counts, total, distinct = frequent_words(vocab)
     words = Words.of(keys, counts)
@@ -301,8 +376,14 @@ def fit(train: DataFrame, vocab: DataFrame) -> Model:
     member = np.zeros((len(of), classes))
     member[np.arange(len(of)), of] = 1
     table = member.T @ matrix @ member
+    if len(words.keys) > words.clustered + 1:
+        words.classes = best_classes(train, words, of, table)
+        table = class_table(train, words, of, classes)
+    own = words.classes if words.classes is not None else of[words.symbol]
     follows = np.log10((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * classes))
-    distinct_of = np.r_[np.ones(words.clustered), shapes_of(vocab, words), 1] @ member
+    distinct_of = np.bincount(own[words.keys != np.uint64(END_KEY)], minlength=classes).astype(float)
+    distinct_of[of[words.clustered:words.clustered + SHAPES]] += shapes_of(vocab, words)
+    distinct_of[of[-1]] += 1
     emits = np.log10(table.sum(0) + 0.5 * (distinct_of + 1))
     return Model(words, of, follows, emits, total, distinct)
 
@@ -316,8 +397,8 @@ def score(docs: DataFrame, model: Model, vocab: DataFrame, parts: int) -> DataFr
     def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sequence, batch in enumerate(small_batches(batches, "t", BATCH)):
             numbers, starts, keys = tokens(batch.column("t").to_pylist())
-            symbol, counts, found = words.look_up(keys)
-            cls = of[symbol][numbers]
+            _, counts, found = words.look_up(keys)
+            cls = words.classes_of(keys, of)[numbers]
             before = np.r_[of[-1], cls[:-1]]
             before[starts[:-1]] = of[-1]
             known = found[numbers]

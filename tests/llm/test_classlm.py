@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -48,10 +49,10 @@ def test_score_of_one_text_from_the_model(spark):
     assert np.allclose((10 ** model.follows).sum(1), 1)
     counts = Counter(w for r in data.rows() if not held(r[0]) for w in words(r[1]))
     text = data.rows()[30][1]
-    symbol = lambda w: int(model.words.look_up(np.array([classlm.key_of(w)], np.uint64))[0][0])
+    class_of = lambda w: int(model.words.classes_of(np.array([classlm.key_of(w)], np.uint64), model.of)[0])
     before, score = model.of[-1], 0.0
     for w in words(text):
-        c = model.of[symbol(w)]
+        c = class_of(w)
         score += model.follows[before, c] + math.log10(counts[w] + 0.5) - model.emits[c]
         before = c
     got = classlm.score(docs.where("doc_id = 30"), model, vocab, 3).first()
@@ -78,6 +79,25 @@ def test_exchange_raises_the_likelihood_and_finds_planted_classes():
     assert len({(planted[s], o) for s, o in zip(start, of[:40])}) == 4
 
 
+def test_frequent_words_join_the_class_of_their_neighbours(spark, monkeypatch):
+    """Two kinds of words take turns; the rare ones of either kind, which exchange does not see, are told apart by their neighbours alone."""
+    monkeypatch.setattr(classlm, "CLUSTERED", 12)
+    monkeypatch.setattr(classlm, "LEARNED", 2)
+    monkeypatch.setattr(classlm, "RANGE", 7)
+    monkeypatch.setattr(classlm, "exchange", lambda matrix, clustered, exchange=classlm.exchange: exchange(matrix, clustered, 2))
+    monkeypatch.setattr(classlm, "best_classes", lambda *a, best=classlm.best_classes: best(*a, learned=2))
+    rng = random.Random(3)
+    one, two = [[f"{c}{i}z" for i in range(30)] for c in "ab"]
+    pick = lambda ws: ws[min(int(rng.expovariate(0.25)), 29)]
+    rows = [(i, " ".join(pick(one) + " " + pick(two) for _ in range(80)), None, None, None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = classlm.fit(docs, classlm.vocabulary(docs, 3))
+    class_of = lambda w: int(model.words.classes_of(np.array([classlm.key_of(w.encode())], np.uint64), model.of)[0])
+    seen = {w for r in rows for w in r[1].split()}
+    kinds = [{class_of(w) for w in ws if w in seen} for ws in (one, two)]
+    assert len(kinds[0]) == len(kinds[1]) == 1 and kinds[0] != kinds[1] and max(*kinds[0], *kinds[1]) < 2
+
+
 def test_empty_table(spark):
     assert classlm.class_scores(data.empty(spark)).collect() == []
 
