@@ -1,7 +1,6 @@
 import hashlib
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from assay.llm import manifest
@@ -66,12 +65,18 @@ def test_against_brute_force(spark):
     assert {r[-1] for r in out} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65, 520])
-def test_sizes_at_the_borders_of_levels(spark, n):
-    rows = [(i, f"Text {i % 9}", "en", "s", i) + (None,) * len(data.EXTRA) for i in range(n)]
+def test_sizes_at_the_borders_of_levels(spark):
+    sizes = [1, 2, 7, 8, 9, 63, 64, 65, 512, 520]
+    rows = [(1000 * g + i, f"Text {i % 9}", f"l{g}", "s", i) + (None,) * len(data.EXTRA) for g, n in enumerate(sizes) for i in range(n)]
     assert got(manifest.verified(data.frame(spark, rows))) == expected(rows)
 
 
+def test_one_leaf_is_its_tree(spark):
+    rows = [(3, "Text", "en", "s", 4) + (None,) * len(data.EXTRA)]
+    out = got(manifest.verified(data.frame(spark, rows)))
+    assert out == expected(rows) and out[0][1] == out[0][2] == out[0][3] and out[0][4] == h("")
+
+
 def test_many_groups_and_another_fan_out(spark):
     rows = [(i, f"Text {i}", f"l{i % 23}" if i % 5 else ("" if i % 2 else None), "s", i) + (None,) * len(data.EXTRA) for i in range(90)]
     assert got(manifest.verified(data.frame(spark, rows), fanout=3)) == expected(rows, 3)
