@@ -186,12 +186,12 @@ def reach(edges, start):
     return out
 
 
-@pytest.mark.parametrize("condense_from", [0, 1, 3, 50])
+@pytest.mark.parametrize("condense_from", [0, 3])
 def test_reach_through_chains_branches_and_rings(spark, condense_from):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(0, 40)] + [(i, i + 1) for i in range(100, 130)] + [(130, 20), (5, 100), (40, 0), (200, 201), (201, 202), (202, 200), (40, 300), (300, 301)]
     edges += [(rng.randrange(400, 440), rng.randrange(400, 440)) for _ in range(60)] + [(10, 400), (300, 300)]
-    for start in ([0], [100, 35], [999], [202], [415, 3]):
+    for start in ([0, 202], [100, 35, 415], [999]):
         got = graph.impact(spark.createDataFrame(edges + edges[:5], "src int, dst int"), spark.createDataFrame([(s,) for s in start + start[:1]], "node int"), condense_from)
         rows = [tuple(r) for r in got.select("node", "depth").collect()]
         assert len(rows) == len(set(rows)) and dict(rows) == reach(edges, start), start
