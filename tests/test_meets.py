@@ -101,6 +101,25 @@ def test_box_and_point_tables_may_be_empty(spark):
     assert meets.in_boxes(p, b.limit(0), "x", "y").count() == 0
 
 
+@pytest.mark.parametrize("few, block", [(1, 5), (7, 40)])
+def test_crowded_cells_are_split_and_dealt_out(spark, few, block):
+    p, b = spark.createDataFrame(points(), "id int, x double, y double"), spark.createDataFrame(boxes(), "name string, lo_x double, lo_y double, hi_x double, hi_y double")
+    want = {(i, n) for i, x, y in points() if x is not None and x == x for n, a, c, d, e in boxes() if a is not None and a == a and a <= x <= d and c <= y <= e}
+    got = [(r.id, r.name) for r in meets.in_boxes(p, b, "x", "y", block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    size = {n: (d - a) * (e - c) for n, a, c, d, e in boxes() if a is not None}
+    areas = {r.id: r.area for r in meets.area_of(p, "id", b, "x", "y", "name", few=few).collect()}
+    assert areas == {i: min(((size[n], n) for j, n in want if j == i), default=(0, "UNMAPPED"))[1] for i, _, _ in points()}
+
+
+def test_the_smallest_of_many_nested_boxes(spark):
+    """100,000 points by 100,000 boxes around the same centre: ten thousand million pairs, were they compared."""
+    p = spark.range(100_000).select("id", (F.col("id") - 50_000).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    b = spark.range(1, 100_001).select(F.col("id").cast("string").alias("name"), (-F.col("id")).alias("lo_x"), F.lit(-1).alias("lo_y"), F.col("id").alias("hi_x"), F.lit(1).alias("hi_y"))
+    out = meets.area_of(p, "id", b, "x", "y", "name")
+    assert out.where(F.col("area") != F.greatest(F.abs("x"), F.lit(1)).cast("long").cast("string")).isEmpty() and out.count() == 100_000
+
+
 # --- changes --------------------------------------------------------------------------------------------------------------------------
 
 def versions():
