@@ -1,6 +1,6 @@
 """Which columns hold values of which others: inclusion dependencies between all columns of all tables, without being told where to look.
 
-Every value is shuffled once. Values of one kind meet under one key with the set of columns that hold them; the sets are counted, and
+Every value is shuffled once, in the type of its kind. Values of one kind meet under one key with the set of columns that hold them; the sets are counted, and
 from these few lines follow the distinct values of every column and of every pair. Before that, a sample of the values by hash (all columns take the
 same values, so a value of the sample that a column lacks is missing for certain) and the rows of each column rule out pairs that cannot
 reach the wanted share; columns in no pair left are never shuffled whole.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from assay.session import cut
 
 LONG = 64
+BITS = 62  # columns whose bits lie in one whole number
 SAMPLE = 2_000_000  # values of all columns together that the sample is meant to hold
 PAIR = "child string, child_column string, parent string, parent_column string"
 
@@ -30,14 +31,16 @@ def kind_of(data_type: T.DataType) -> str | None:
 
 
 def value_of(name: str, kind: str) -> Column:
-    """The value as text under its kind; equal values of one kind have equal texts."""
+    """The value in the one type of its kind; equal values of one kind are equal in it. Long texts are their SHA-256."""
     c = F.col(f"`{name}`")
+    if kind == "i":
+        return c.cast("long")
     if kind == "n":
-        c = c.cast("double") + F.lit(0.0)  # -0.0 is 0.0
+        return c.cast("double") + F.lit(0.0)  # -0.0 is 0.0
     if kind == "t":
-        c = F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return c.cast("timestamp").cast("timestamp_ntz")
     text = c.cast("string")
-    return F.concat(F.lit(kind), F.when(F.octet_length(text) > LONG, F.sha2(text.cast("binary"), 256)).otherwise(text))
+    return F.when(F.octet_length(text) > LONG, F.sha2(text.cast("binary"), 256)).otherwise(text) if kind == "s" else text
 
 
 class Columns:
@@ -47,15 +50,19 @@ class Columns:
         self.tables = tables
         self.names = [(t, f.name, k) for t, df in tables.items() for f in df.schema.fields if (k := kind_of(f.dataType))]
 
-    def values(self, wanted: set[int], every: int = 1) -> DataFrame:
-        """(key, col) of the wanted columns; of one in ``every`` values by hash."""
-        parts = []
-        for table, df in self.tables.items():
-            cells = [F.struct(F.lit(i).alias("col"), value_of(c, k).alias("key")) for i, (t, c, k) in enumerate(self.names) if t == table and i in wanted]
-            if cells:
-                parts.append(df.select(F.explode(F.array(*cells)).alias("x")).select("x.key", "x.col").where("key IS NOT NULL"))
-        rows = reduce(DataFrame.unionByName, parts)
-        return rows if every == 1 else rows.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0)
+    def values(self, wanted: set[int], every: int = 1) -> list[DataFrame]:
+        """(key, col) of the wanted columns, a table for each kind; of one in ``every`` values by hash."""
+        out = []
+        for kind in KINDS:
+            parts = []
+            for table, df in self.tables.items():
+                cells = [F.struct(F.lit(i).alias("col"), value_of(c, k).alias("key")) for i, (t, c, k) in enumerate(self.names) if t == table and k == kind and i in wanted]
+                if cells:
+                    parts.append(df.select(F.explode(F.array(*cells)).alias("x")).select("x.key", "x.col").where("key IS NOT NULL"))
+            if parts:
+                rows = reduce(DataFrame.unionByName, parts)
+                out.append(rows if every == 1 else rows.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0))
+        return out
 
     def filled(self) -> dict[int, tuple[int, int]]:
         """Values that are not null, and rows, of every column: one pass over each table, one line each."""
@@ -67,10 +74,23 @@ class Columns:
         return out
 
 
-def shared(values: DataFrame) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
-    """Distinct values of every column and of every two. What is collected has one line a pair of columns."""
-    sets = cut(values.groupBy("key").agg(F.array_sort(F.collect_set("col")).alias("cols")).groupBy("cols").agg(F.count(F.lit(1)).alias("n")))
-    pairs = sets.select(F.explode("cols").alias("a"), "cols", "n").select("a", F.explode("cols").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def shared(columns: Columns, wanted: set[int], every: int = 1) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+    """Distinct values of every column and of every two. What is collected has one line a pair of columns.
+
+    The columns that hold a value are bits of one or more whole numbers: an aggregate of fixed width, which is condensed before the shuffle.
+    """
+    order = sorted(wanted)
+    words = [order[i:i + BITS] for i in range(0, len(order), BITS)]
+    names = [f"w{i}" for i in range(len(words))]
+    bit = [F.coalesce(*[F.when(F.col("col") == c, F.lit(1 << i)) for i, c in enumerate(word)], F.lit(0)).cast("long").alias(n) for n, word in zip(names, words)]
+    sets = []
+    for values in columns.values(wanted, every):
+        held = values.select("key", *bit).groupBy("key").agg(*[F.bit_or(n).alias(n) for n in names])
+        sets.append(held.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    counted = cut(reduce(DataFrame.unionByName, sets))
+    cols = F.array_compact(F.array(*[F.when(F.col(n).bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for n, word in zip(names, words) for i, c in enumerate(word)]))
+    counted = counted.select(cols.alias("cols"), "n")
+    pairs = counted.select(F.explode("cols").alias("a"), "cols", "n").select("a", F.explode("cols").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
     found = {(r.a, r.b): r.n for r in pairs.collect()}
     return {a: n for (a, b), n in found.items() if a == b}, found
 
@@ -90,11 +110,11 @@ def inclusions(tables: dict[str, DataFrame], t: float = 1.0, sample: int = SAMPL
     every = max(1, sum(filled[i][0] for i in alive) // sample)
     pairs = {(a, b) for a in alive for b in alive if a != b and columns.names[a][2] == columns.names[b][2]}
     if every > 1 and pairs:
-        size, both = shared(columns.values(alive, every))
+        size, both = shared(columns, alive, every)
         # What the sample lacks is lacking; a column has no more distinct values than filled rows.
         pairs = {(a, b) for a, b in pairs if size.get(a, 0) - both.get((a, b), 0) <= (1 - t) * filled[a][0]}
     left = {i for pair in pairs for i in pair}
-    size, both = shared(columns.values(left)) if left else ({}, {})
+    size, both = shared(columns, left) if left else ({}, {})
     name = lambda i: columns.names[i][:2]
     lines = [(*name(a), *name(b), size[a], both.get((a, b), 0), size[b], size[b] == filled[b][0] == filled[b][1])
              for a, b in sorted(pairs) if both.get((a, b), 0) >= t * size[a]]

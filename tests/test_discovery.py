@@ -71,6 +71,21 @@ def test_hopeless_columns_are_not_shuffled(spark, tables, monkeypatch):
     assert found.count() == 0 and seen == [(3, 12)]  # the sample ruled out all pairs, so no column was read whole
 
 
+def test_values_meet_as_bits_of_fixed_width(spark):
+    """More columns than one whole number has bits; and no set is collected per value, which falls back to sorting all of them."""
+    wide = spark.range(50).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(70)], *[(F.col("id") * 0.5 - 0.0 * i).alias(f"d{i}") for i in range(2)])
+    found = {(r.child_column, r.parent_column) for r in inclusion.inclusions({"w": wide}, 0.98).collect()}
+    assert found == {(f"c{a}", f"c{b}") for a in range(70) for b in range(70) if abs(a - b) == 1} | {("d0", "d1"), ("d1", "d0")}
+    plan = []
+    original = inclusion.cut
+    inclusion.cut = lambda df: plan.append(df._jdf.queryExecution().executedPlan().toString()) or original(df)
+    try:
+        inclusion.inclusions({"w": wide})
+    finally:
+        inclusion.cut = original
+    assert plan and not any("ObjectHashAggregate" in p for p in plan)
+
+
 def test_nested_columns_are_left_out(spark):
     df = spark.createDataFrame([([1.0], "a")], "v array<float>, w string")
     assert inclusion.inclusions({"x": df, "y": df.select("w")}).count() == 2
