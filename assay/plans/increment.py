@@ -9,6 +9,10 @@ Every run writes new folders beside the old (``version=N``) and then, last, one
 what it wrote. A reader sees what commits name. A run that broke off has no commit; it changes nothing that is read, and the
 next run takes the same number and overwrites what it left.
 
+A run that touches more than FOLDERS partitions writes neighbouring ones into one folder, each row with its partition and version, so that files grow
+with the rows and not with the number of partitions. Its commit still names every partition: one that a later run rewrites is left out when
+its old folder is read.
+
 Defined results: a row older than the one that stands is ignored whenever it arrives; of rows that are equal in the order, the one with the
 larger hash of all columns stands; a deleted key stays as a marker in Silver, so that older rows do not bring it back, and is in neither Gold nor
 quarantine nor totals; a null in a key is a value like any other; a run without new rows commits nothing. One run at a time.
@@ -16,10 +20,11 @@ quarantine nor totals; a null in a key is a value like any other; a run without
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from assay.operators import rules as R
 from assay.operators.clean import transform_chain
@@ -27,9 +32,10 @@ from assay.operators.ordered import first_rows
 from assay.session import cut
 from assay.sources.layers import part_path
 
-COMMIT = "layer string, part string, version long, rows long, watermark string"
+COMMIT = "layer string, part string, version long, rows long, watermark string, folder string"
 LANDING = ("_load_date", "_load_ts", "_source", "_batch_id")
 BUCKETS = 32  # of the totals
+FOLDERS = 128  # that a run writes in a layer
 
 
 @dataclass(frozen=True)
@@ -64,27 +70,53 @@ class Store:
             found = []
         self.version = max((r.version for r in found), default=0)
         self.watermark = next((r.watermark for r in found if r.version == self.version and r.layer == "run"), None)
-        self.live: dict[tuple[str, str], tuple[int, int]] = {}
+        self.live: dict[tuple[str, str], tuple[int, int, str]] = {}
+        self.held: Counter = Counter()  # partitions with rows in a folder, as it was written
         for r in sorted(found, key=lambda r: r.version):
             if r.layer != "run":
-                self.live[(r.layer, r.part)] = (r.version, r.rows)
+                folder = r.part if r.folder is None else r.folder
+                self.live[(r.layer, r.part)] = (r.version, r.rows, folder)
+                self.held[(r.layer, r.version, folder)] += r.rows > 0
 
     def folder(self, layer: str, version: int) -> str:
         return part_path(f"{self.root}/{layer}/{self.target.name}", version=str(version))
 
     def read(self, layer: str, schema, parts: list[str] | None = None) -> DataFrame:
         """Rows of a layer as the commits have it, of the given partitions or of all; only their folders are opened."""
-        paths = [part_path(self.folder(layer, version), part=part) for (name, part), (version, rows) in sorted(self.live.items())
-                 if name == layer and rows and (parts is None or part in parts)]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        asked = None if parts is None else set(parts)
+        wanted: dict[tuple[int, str], list[str]] = {}
+        for (name, part), (version, rows, folder) in sorted(self.live.items()):
+            if name == layer and rows and (asked is None or part in asked):
+                wanted.setdefault((version, folder), []).append(part)
+        whole = {at for at, found in wanted.items() if len(found) == self.held[(layer, *at)]}
+        opened = lambda kinds, some: self.spark.read.schema(kinds).parquet(*[part_path(self.folder(layer, v), part=f) for v, f in sorted(some)])
+        out = opened(schema, whole) if whole else self.spark.createDataFrame([], schema)
+        mixed = wanted.keys() - whole
+        if not mixed:
+            return out
+        standing = self.spark.createDataFrame([(v, p) for v, f in mixed for p in wanted[(v, f)]], "_version bigint, _part string")
+        wide = T.StructType([*out.schema.fields, *standing.schema.fields])
+        left = opened(wide, mixed).join(F.broadcast(standing), ["_version", "_part"], "left_semi").select(*out.columns)
+        return out.unionByName(left) if whole else left
 
     def write(self, df: DataFrame, layer: str, version: int, touched: list[str]) -> list[tuple]:
         """Write partitions of a layer under a new version; gives the commit's lines. ``rebalance`` splits a large partition over tasks."""
-        path = self.folder(layer, version)
+        path, folders = self.folder(layer, version), _folders(touched)
+        packed = len(touched) > FOLDERS
+        if packed:
+            lies = self.spark.createDataFrame(list(folders.items()), "_part string, part string")
+            df = df.withColumnRenamed("part", "_part").join(F.broadcast(lies), "_part").withColumn("_version", F.lit(version).cast("long"))
         df.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}"
-        counts = {r.part: r.n for r in self.spark.read.schema(schema).parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return [(layer, p, version, counts.get(p, 0), None) for p in touched]
+        counts = {p: n for p, n in self.spark.read.schema(schema).parquet(path).groupBy("_part" if packed else "part").agg(F.count(F.lit(1))).collect()}
+        return [(layer, p, version, counts.get(p, 0), None, folders[p]) for p in touched]
+
+
+def _folders(parts: list[str]) -> dict[str, str]:
+    """The folder of each partition: its own, or, of many, the one named by the first of its neighbours. Shorter names come first, as numbers do."""
+    ordered = sorted(parts, key=lambda p: (len(p), p))
+    size = -(-len(ordered) // FOLDERS)
+    return {p: ordered[i - i % size] for i, p in enumerate(ordered)}
 
 
 def _columns(df: DataFrame) -> str:
@@ -136,7 +168,7 @@ def advance(spark: SparkSession, root: str, target: Target, bronze: DataFrame, a
     latest = [F.col(c).desc_nulls_last() for c in target.order] + [F.xxhash64(*[c for c in fresh.columns if c != "part"]).desc()]
     lines = store.write(first_rows(old.unionByName(fresh), target.keys, latest), "silver", version, touched)
 
-    silver = spark.read.schema(f"{shape}, part string").parquet(store.folder("silver", version))
+    silver = spark.read.schema(shape).parquet(store.folder("silver", version)).withColumn("part", part)
     alive = silver if target.deleted is None else silver.where(~F.coalesce(target.deleted, F.lit(False)))
     judged = R.judge(alive, target.rules) if target.rules else alive.withColumn("failed_rules", F.array().cast("array<string>"))
     lines += store.write(judged.where(F.size("failed_rules") == 0).drop("failed_rules"), "gold", version, touched)
@@ -144,7 +176,7 @@ def advance(spark: SparkSession, root: str, target: Target, bronze: DataFrame, a
 
     buckets: list[str] = []
     if target.groups:
-        gold = spark.read.schema(f"{shape}, part string").parquet(store.folder("gold", version))
+        gold = spark.read.schema(shape).parquet(store.folder("gold", version))
         change = _wide(_sums(target, gold, 1).unionByName(_sums(target, store.read("gold", shape, touched), -1)), target)
         bucket = F.pmod(F.xxhash64(*target.groups), F.lit(BUCKETS)).cast("string")
         moved = " OR ".join(f"`{n}` <> 0" for n in ["rows", *target.measures])
@@ -160,7 +192,7 @@ def advance(spark: SparkSession, root: str, target: Target, bronze: DataFrame, a
 
 def commit(spark: SparkSession, store: Store, version: int, lines: list[tuple], watermark: str) -> None:
     """Make a version readable: one file, put in place by one rename."""
-    done = spark.createDataFrame([*lines, ("run", None, version, None, watermark)], COMMIT)
+    done = spark.createDataFrame([*lines, ("run", None, version, None, watermark, None)], COMMIT)
     done.coalesce(1).write.mode("overwrite").parquet(part_path(store.commits, version=str(version)))
 
 

@@ -121,3 +121,25 @@ def test_nothing_new_commits_nothing(spark, tmp_path, loads):
     assert increment.advance(spark, root, TARGET, rows)["new_rows"] == 0 and files(root) == before
     assert increment.advance(spark, str(tmp_path / "none"), TARGET, rows.limit(0))["version"] == 0
     assert increment.read(spark, str(tmp_path / "none"), TARGET, "gold", SILVER).count() == 0
+
+
+def test_many_partitions_share_folders_and_stand_alone_in_later_runs(spark, tmp_path):
+    from decimal import Decimal
+    root = str(tmp_path)
+    row = lambda k, s, load: (k, s, "abc"[k % 3], Decimal((k + s) % 7 - 1), (k + s) % 11 == 0, load)
+    folders = lambda layer, version: {p.split("part=")[1].split("/")[0] for p in files(f"{root}/{layer}/t/version={version}")}
+    rows = [row(k, 1, 1) for k in range(0, 8000, 5)] + [(None, 1, "a", Decimal(1), False, 1)]
+    out = increment.advance(spark, root, TARGET, spark.createDataFrame(rows, SCHEMA))
+    assert len(out["touched"]) == 801 and state(spark, root) == brute_force(rows)
+    assert all(len(folders(layer, 1)) <= 128 for layer in ("silver", "gold", "quarantine"))
+    before = files(root)
+    rows += [row(k, 2, 2) for k in (30, 31, 38, 7995)]  # two partitions are rewritten, their neighbours in the old folders stand
+    assert increment.advance(spark, root, TARGET, spark.createDataFrame(rows, SCHEMA))["touched"] == ["3", "799"]
+    assert folders("silver", 2) == {"3", "799"} and {p: t for p, t in files(root).items() if p in before} == before
+    assert state(spark, root) == brute_force(rows)
+    rows += [row(k, 3, 3) for k in range(0, 4000, 10)]
+    increment.advance(spark, root, TARGET, spark.createDataFrame(rows, SCHEMA))
+    assert len(folders("silver", 3)) <= 128 and state(spark, root) == brute_force(rows)
+    rows += [row(k, 4, 4) for k in range(100, 900, 10)]
+    increment.advance(spark, root, TARGET, spark.createDataFrame(rows, SCHEMA))
+    assert state(spark, root) == brute_force(rows)
