@@ -20,6 +20,7 @@ from assay.session import cut
 HOT_ROWS = 1_000_000          # a group up to this size is ordinary work for one task
 BROADCAST_BYTES = 16_000_000  # key lists and group figures up to this measured size are broadcast
 SPAN = "__span"
+SCOUTS = 1_000                # one row in so many tells whether groups are large
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, names: list[str], how: str = "left") -> DataFrame:
@@ -71,6 +72,21 @@ def hot_keys(df: DataFrame, keys: list[str], order: list[str], hot_rows: int | N
     return Hot(sized(found.drop("__n")), total, unit) if total else None
 
 
+def scouts(df: DataFrame) -> DataFrame:
+    """The rows that ``crowded`` looks at."""
+    return df.sample(1 / SCOUTS, seed=7)
+
+
+def crowded(scouted: DataFrame, keys: list[str], hot_rows: int | None = None) -> bool:
+    """Whether a key seems to hold more rows than one task should take, judged by ``scouts``.
+
+    It may choose between two plans that give the same rows; no result is taken from it.
+    """
+    unit = HOT_ROWS if hot_rows is None else hot_rows
+    largest = scouted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0]
+    return SCOUTS * (largest or 0) > unit
+
+
 def spanned(df: DataFrame, keys: list[str], order: list[str], hot: Hot) -> DataFrame:
     """Add the span number: 0 for rows of ordinary keys; it grows along the order of the large ones, whose rows are stored.
 

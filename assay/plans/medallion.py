@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assay.operators import clean, events as K, govern, profile, rules as R, score
 from assay.operators.monitor import score_alert
+from assay.operators.ordered import crowded, scouts
 from assay.session import cut
 from assay.sources import layers
 
@@ -77,6 +78,11 @@ def _filled(df: DataFrame) -> int:
     return df.agg(F.floor(share).cast("int")).first()[0]
 
 
+def _by_range(df: DataFrame, keys: list[str]) -> bool:
+    """Whether rows dealt out by ranges of the keys lie together for Spark; floating keys, which it normalises first, do not."""
+    return not any("float" in k or "double" in k for k in (df.schema[c].dataType.simpleString() for c in keys))
+
+
 def run(spark: SparkSession, root: str, specs: list[TableSpec], run_id: str, load_ts: str, user: str = "loader", alert_below: int = 80) -> DataFrame:
     """Carry every table through the nine stages; returns one line per table.
 
@@ -85,6 +91,9 @@ def run(spark: SparkSession, root: str, specs: list[TableSpec], run_id: str, loa
     row-wise steps that give their columns types. Rules are judged once, over the Silver table; Gold and the
     quarantine are two filters of that stored result. Quarantine counts rows, not failures.
 
+    Silver is dealt out by ranges of its keys once, for the choice of rows and for its files, unless a key holds too many rows. Where all rules
+    look at single rows, Gold is filtered file by file and keeps the order of Silver.
+
     A run can be repeated under its run id, also after it broke off: every output is a partition of the run or a whole layer
     table, and is overwritten. Events are stored stage by stage, so a broken run shows how far it came.
     """
@@ -117,7 +126,12 @@ def run(spark: SparkSession, root: str, specs: list[TableSpec], run_id: str, loa
     with stage(5):
         for s in specs:
             bronze = layer("bronze", s.name).drop(*landing)
-            layers.write_layer(clean.dedupe(clean.transform_chain(bronze, s.steps), s.keys, s.order), root, "silver", s.name, cluster_by=s.keys)
+            rows = clean.transform_chain(bronze, s.steps)
+            if _by_range(rows, s.keys) and not crowded(clean.transform_chain(scouts(bronze), s.steps), s.keys):
+                kept = clean.dedupe(rows.repartitionByRange(*s.keys), s.keys, s.order)
+                layers.write_layer(kept.sortWithinPartitions(*s.keys), root, "silver", s.name)
+            else:
+                layers.write_layer(clean.dedupe(rows, s.keys, s.order), root, "silver", s.name, cluster_by=s.keys)
             journal.add("table_update", table=s.name, layer="silver", rows_processed=layer("silver", s.name).count(), rows_quarantined=0)
     with stage(6):
         for s in specs:
@@ -128,8 +142,11 @@ def run(spark: SparkSession, root: str, specs: list[TableSpec], run_id: str, loa
             layers.write_report(results.withColumn("layer", F.lit("silver")), root, "dq_results", run_id, s.name)
             value, rows = _layer_score(results)
             scores.append((s.name, "silver", rows, 0, value))
-            judged = cut(R.judge(silver, table_rules, lines))
-            layers.write_layer(judged.where(F.size("failed_rules") == 0).drop("failed_rules"), root, "gold", s.name, cluster_by=s.keys)
+            in_order = all(isinstance(r, R.Row) for r in table_rules)
+            with layers.file_by_file(spark) if in_order else nullcontext():
+                judged = layers.store_judged(R.judge(silver, table_rules, lines), root, s.name, run_id)
+                good = judged.where(F.size("failed_rules") == 0).drop("failed_rules")
+                layers.write_layer(good, root, "gold", s.name, cluster_by=None if in_order else s.keys)
             layers.write_quarantine(judged, root, s.name, run_id)
             gold = layer("gold", s.name)
             scored(s, "gold", gold, rows - gold.count())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
@@ -69,6 +70,18 @@ def write_layer(df: DataFrame, root: str, layer: str, table: str, cluster_by: li
     writer.parquet(f"{root}/{layer}/{table}")
 
 
+@contextmanager
+def file_by_file(spark: SparkSession):
+    """Inside, a task scans rows of one file only, so that a table written from a clustered one, row by row, is clustered as that is."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def part_path(root: str, **parts: str) -> str:
     """Folder of one partition, its values escaped as Spark does."""
     return "/".join([root, *[f"{k}={quote(str(v), safe='')}" for k, v in parts.items()]])
@@ -82,6 +95,13 @@ def write_quarantine(judged: DataFrame, root: str, table: str, run_id: str) -> N
     judged.where(F.size("failed_rules") > 0).write.mode("overwrite").parquet(part_path(f"{root}/quarantine", table=table, run_id=run_id))
 
 
+def store_judged(judged: DataFrame, root: str, table: str, run_id: str) -> DataFrame:
+    """The judged rows as files of the run, read back: what is split from them fits together, and they lie packed by column."""
+    path = part_path(f"{root}/judged", table=table, run_id=run_id)
+    judged.write.mode("overwrite").parquet(path)
+    return judged.sparkSession.read.schema(judged.schema).parquet(path)
+
+
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
     return _as_text(spark, f"{root}/quarantine", ["table", "run_id"])
 

@@ -6,9 +6,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from assay.operators import govern as G, model, profile, rules as R
+from assay.operators import govern as G, model, ordered, profile, rules as R
 from assay.plans import bank, core, health, medallion
-from assay.session import shared_dir
+from assay.session import cut, shared_dir
 from assay.sources import layers, readers
 
 
@@ -116,6 +116,36 @@ def test_a_broken_run_shows_how_far_it_came_and_can_be_repeated(spark, tmp_path)
     assert contents(spark, str(tmp_path / "other")) == broken
 
 
+@pytest.mark.parametrize("hot_rows", [ordered.HOT_ROWS, 0])
+def test_no_checkpoint_holds_a_table_and_the_layers_lie_in_order(spark, tmp_path, monkeypatch, hot_rows):
+    root, stored = str(tmp_path), []
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(medallion, "cut", lambda df: stored.append(cut(df)) or stored[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        rows = spark.range(12_000).selectExpr("nullif(id % 10000, 77) AS k", "id AS v", "if(id % 7 = 0, NULL, id) AS w").repartition(6)
+        medallion.run(spark, root, [medallion.TableSpec("t", rows, ["k"], ["v"], lambda s: [R.null_rule("w")])], "run-1", "2024-01-31 06:00:00")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert stored and all(df.count() < 100 for df in stored) and spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    want = {(None if i == 77 else i, i, None if i % 7 == 0 else i) for i in range(10_000)}
+    read = lambda name: [tuple(r) for r in readers.read_layer(spark, root, name, "t").collect()]
+    assert len(read("silver")) == 10_000 and set(read("silver")) == want
+    assert sorted(read("gold"), key=str) == sorted((r for r in want if r[2] is not None), key=str)
+    assert {(r["k"], r["v"], r["w"]) for r in layers.read_quarantine(spark, root).collect()} == {r for r in want if r[2] is None}
+    for name in ("silver", "gold"):
+        ends = readers.read_layer(spark, root, name, "t").groupBy(F.input_file_name()).agg(F.min("k"), F.max("k")).collect()
+        ends = sorted((r[1], r[2]) for r in ends)
+        assert len(ends) == 4 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_large_groups_are_noticed(spark):
+    rows = spark.range(6000).withColumn("k", F.lit(1)).repartition(4)
+    assert ordered.crowded(rows, ["k"]) and not ordered.crowded(rows, ["id"]) and not ordered.crowded(rows.limit(0), ["k"])
+    assert 0 < ordered.scouts(spark.range(200_000)).count() < 2_000
+
+
 def test_whole_run(spark, tmp_path):
     root, run_id = str(tmp_path), "run-" + uuid.uuid4().hex
     orders = spark.createDataFrame([(1, "c1", "5.0"), (1, "c1", "5.0"), (2, "zz", "-1.0"), (3, "c2", None), (4, "c2", "7.5")], "id int, cust string, amt string")
