@@ -13,6 +13,8 @@ A run that touches more than FOLDERS partitions writes neighbouring ones into on
 with the rows and not with the number of partitions. Its commit still names every partition: one that a later run rewrites is left out when
 its old folder is read.
 
+The row rules look at single rows, so Gold and quarantine are filtered from Silver's files without a shuffle, each task into the folders that it reads.
+
 Defined results: a row older than the one that stands is ignored whenever it arrives; of rows that are equal in the order, the one with the
 larger hash of all columns stands; a deleted key stays as a marker in Silver, so that older rows do not bring it back, and is in neither Gold nor
 quarantine nor totals; a null in a key is a value like any other; a run without new rows commits nothing. One run at a time.
@@ -99,18 +101,25 @@ class Store:
         left = opened(wide, mixed).join(F.broadcast(standing), ["_version", "_part"], "left_semi").select(*out.columns)
         return out.unionByName(left) if whole else left
 
+    def placed(self, df: DataFrame, version: int, touched: list[str]) -> DataFrame:
+        """The rows with the name of their folder as ``part``; where partitions share folders, also with their partition and version."""
+        if len(touched) <= FOLDERS:
+            return df
+        lies = self.spark.createDataFrame(list(_folders(touched).items()), "_part string, part string")
+        return df.withColumnRenamed("part", "_part").join(F.broadcast(lies), "_part").withColumn("_version", F.lit(version).cast("long"))
+
     def write(self, df: DataFrame, layer: str, version: int, touched: list[str]) -> list[tuple]:
-        """Write partitions of a layer under a new version; gives the commit's lines. ``rebalance`` splits a large partition over tasks."""
+        """Write placed rows of a layer under a new version, as they are dealt out; gives the commit's lines."""
         path, folders = self.folder(layer, version), _folders(touched)
-        packed = len(touched) > FOLDERS
-        if packed:
-            lies = self.spark.createDataFrame(list(folders.items()), "_part string, part string")
-            df = df.withColumnRenamed("part", "_part").join(F.broadcast(lies), "_part").withColumn("_version", F.lit(version).cast("long"))
-        df.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
-        schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}"
-        counts = {p: n for p, n in self.spark.read.schema(schema).parquet(path).groupBy("_part" if packed else "part").agg(F.count(F.lit(1))).collect()}
+        df.write.mode("overwrite").partitionBy("part").parquet(path)
+        by = "_part" if len(touched) > FOLDERS else "part"
+        counts = {p: n for p, n in self.written(df, layer, version).groupBy(by).agg(F.count(F.lit(1))).collect()}
         return [(layer, p, version, counts.get(p, 0), None, folders[p]) for p in touched]
 
+    def written(self, df: DataFrame, layer: str, version: int) -> DataFrame:
+        """What was written from these placed rows, whether committed or not."""
+        return self.spark.read.schema(df.schema).parquet(self.folder(layer, version))
+
 
 def _folders(parts: list[str]) -> dict[str, str]:
     """The folder of each partition: its own, or, of many, the one named by the first of its neighbours. Shorter names come first, as numbers do."""
@@ -119,6 +128,11 @@ def _folders(parts: list[str]) -> dict[str, str]:
     return {p: ordered[i - i % size] for i, p in enumerate(ordered)}
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """The rows of a folder in one task, or, of a large one, split over tasks."""
+    return placed.hint("rebalance", "part")
+
+
 def _columns(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "part")
 
@@ -129,7 +143,8 @@ def _touched(df: DataFrame) -> list[str]:
 
 
 def _sums(target: Target, df: DataFrame, sign: int) -> DataFrame:
-    return df.select(*target.groups, F.lit(sign).cast("long").alias("rows"), *[(F.coalesce(m, F.lit(0)) * sign).alias(n) for n, m in target.measures.items()])
+    signed = lambda m: -m if sign < 0 else m  # noqa: E731  a product would widen decimals beyond what fits a long
+    return df.select(*target.groups, F.lit(sign).cast("long").alias("rows"), *[signed(F.coalesce(m, F.lit(0))).alias(n) for n, m in target.measures.items()])
 
 
 def _totals(target: Target, df: DataFrame) -> DataFrame:
@@ -157,18 +172,20 @@ def advance(spark: SparkSession, root: str, target: Target, bronze: DataFrame, a
     rows = transform_chain(fresh.drop(*[c for c in LANDING if c != at and c in fresh.columns]), target.steps)
     part = F.coalesce(target.part.cast("string"), F.lit("none"))
     fresh = cut(rows.withColumn("part", part))
-    line = fresh.agg(F.max(at).cast("string"), F.count(F.lit(1))).first()
+    seen = cut(fresh.groupBy("part").agg(F.max(at).alias("at"), F.count(F.lit(1)).alias("n")))  # a line per partition
+    line = seen.agg(F.max("at").cast("string"), F.sum("n")).first()
     if not line[1]:
         return {"version": store.version, "watermark": store.watermark, "new_rows": 0, "touched": [], "buckets": []}
-    version, touched = store.version + 1, _touched(fresh)
+    version, touched = store.version + 1, _touched(seen)
     fresh = fresh.drop(at) if at in LANDING else fresh
 
     shape = _columns(fresh)
     old = store.read("silver", shape, touched).withColumn("part", part)
     latest = [F.col(c).desc_nulls_last() for c in target.order] + [F.xxhash64(*[c for c in fresh.columns if c != "part"]).desc()]
-    lines = store.write(first_rows(old.unionByName(fresh), target.keys, latest), "silver", version, touched)
+    stands = store.placed(first_rows(old.unionByName(fresh), target.keys, latest), version, touched)
+    lines = store.write(_dealt(stands), "silver", version, touched)
 
-    silver = spark.read.schema(shape).parquet(store.folder("silver", version)).withColumn("part", part)
+    silver = store.written(stands, "silver", version)
     alive = silver if target.deleted is None else silver.where(~F.coalesce(target.deleted, F.lit(False)))
     judged = R.judge(alive, target.rules) if target.rules else alive.withColumn("failed_rules", F.array().cast("array<string>"))
     lines += store.write(judged.where(F.size("failed_rules") == 0).drop("failed_rules"), "gold", version, touched)
@@ -185,7 +202,7 @@ def advance(spark: SparkSession, root: str, target: Target, bronze: DataFrame, a
         before = store.read("totals", _columns(delta), buckets)
         after = _totals(target, before.unionByName(delta.drop("part"))).where("rows <> 0").withColumn("part", bucket)
         if buckets:
-            lines += store.write(after, "totals", version, buckets)
+            lines += store.write(_dealt(store.placed(after, version, buckets)), "totals", version, buckets)
     commit(spark, store, version, lines, line[0])
     return {"version": version, "watermark": line[0], "new_rows": line[1], "touched": touched, "buckets": buckets}
 

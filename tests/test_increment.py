@@ -4,7 +4,7 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
 from assay.operators import rules as R
 from assay.plans import increment
@@ -143,3 +143,28 @@ def test_many_partitions_share_folders_and_stand_alone_in_later_runs(spark, tmp_
     rows += [row(k, 4, 4) for k in range(100, 900, 10)]
     increment.advance(spark, root, TARGET, spark.createDataFrame(rows, SCHEMA))
     assert state(spark, root) == brute_force(rows)
+
+
+def test_gold_and_quarantine_are_filtered_from_silver_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from decimal import Decimal
+    rows = [(k, 1, "abc"[k % 3], Decimal(k % 7 - 1), k % 11 == 0, 1) for k in range(0, 8000, 5)]
+    plans, write = {}, DataFrameWriter.parquet
+
+    def seen(self, path, *args, **options):
+        plans.setdefault(path.removeprefix(f"{tmp_path}/").split("/")[1], []).append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    for name, some in (("many", rows), ("few", rows[:200])):  # partitions that share folders, and that have their own
+        root = str(tmp_path / name)
+        increment.advance(spark, root, TARGET, spark.createDataFrame(some, SCHEMA))
+        assert state(spark, root) == brute_force(some)
+    assert len(plans["gold"]) == len(plans["quarantine"]) == 2
+    assert not any("shuffle" in p or "Exchange" in p for p in plans["gold"] + plans["quarantine"])
+
+
+def test_a_sign_makes_no_measure_wider(spark):
+    df = spark.createDataFrame([(1, 1, "a", None, False, 1)], SCHEMA)
+    plain = dict(df.select(*[F.coalesce(m, F.lit(0)).alias(n) for n, m in TARGET.measures.items()]).dtypes)
+    for sign in (1, -1):
+        assert dict(increment._sums(TARGET, df, sign).dtypes) == {"grp": "string", "rows": "bigint", **plain}
