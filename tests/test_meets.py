@@ -112,6 +112,37 @@ def test_crowded_cells_are_split_and_dealt_out(spark, few, block):
     assert areas == {i: min(((size[n], n) for j, n in want if j == i), default=(0, "UNMAPPED"))[1] for i, _, _ in points()}
 
 
+def sent(df):
+    """Rows that pass through the exchanges of a query that is run once."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+
+    def rows(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            return rows(node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(rows(node.children().apply(i)) for i in range(node.children().size()))
+
+    return rows(plan)
+
+
+def test_a_point_is_sent_once_however_many_shapes_boxes_have(spark):
+    """Boxes of 49 shapes: points were sent once for every shape."""
+    rng = random.Random(9)
+    place = lambda: rng.choice([rng.uniform(-60, 60), rng.randrange(-60, 60) * 1.0])
+    spots = [(i, place(), place()) for i in range(3000)] + [(3000 + i, v, w) for i, (v, w) in enumerate([(float("inf"), 0.0), (0.0, float("-inf")), (-0.0, 0.0), (0.0, -0.0)])] * 2
+    areas = [(f"a{i}", x, y, x + 2.0 ** (i % 7) - 1, y + 2.0 ** (i // 7 % 7) - 1) for i, x, y in ((i, place(), place()) for i in range(490))]
+    areas += [("edge", 0.0, float("-inf"), float("inf"), 0.0), ("spot", 0.0, 0.0, -0.0, -0.0)] * 2
+    p, b = spark.createDataFrame(spots, "id int, x double, y double"), spark.createDataFrame(areas, "name string, lo_x double, lo_y double, hi_x double, hi_y double")
+    want = Counter((i, n) for i, x, y in spots for n, c, d, e, f in areas if c <= x <= e and d <= y <= f)
+    for block in (100, 1000):
+        found = meets.in_boxes(p, b, "x", "y", block=block)
+        assert found.columns == p.columns + b.columns
+        assert Counter((r.id, r.name) for r in found.select("id", "name").collect()) == want
+    assert sent(meets.in_boxes(p, b, "x", "y")) < 4 * (len(spots) + len(areas))
+
+
 def test_the_smallest_of_many_nested_boxes(spark):
     """100,000 points by 100,000 boxes around the same centre: ten thousand million pairs, were they compared."""
     p = spark.range(100_000).select("id", (F.col("id") - 50_000).cast("double").alias("x"), F.lit(0.0).alias("y"))
